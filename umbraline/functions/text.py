@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,24 +42,53 @@ def same_text(a: Column, b: Column, least: float = SAME_TEXT) -> Column:
     return (a == b) | filled & (F.contains(a, b) | F.contains(b, a) | (edit_similarity(a, b) >= least))
 
 
+#: Characters of the parts in which long texts are searched.
+PART = 96
+
+
 def fuzzy_contains(haystack: Column, needle: str, least: float = FUZZY) -> Column:
-    """Whether the text holds the needle, or a window of nearly its length similar to it."""
+    """Whether the text holds the needle, or a window of nearly its length similar to it.
+
+    A window within d edits of the needle holds one of any d + 1 pieces of it unchanged, so
+    windows are only compared in those (overlapping) parts of the text that hold a piece.
+    """
     n, wanted = len(needle), F.lit(needle)
     if not n:
         return F.lit(False)
-    near = F.lit(False)
-    for step in WINDOW_STEPS:
-        size = n + step
-        if size >= 3:
-            starts = F.sequence(F.lit(1), F.length(haystack) - size + 1)
-            alike = _any_window(haystack, wanted, size, least, starts)
-            near = near | F.when(F.length(haystack) >= size, alike).otherwise(False)
+    sizes = [n + step for step in WINDOW_STEPS if n + step >= 3]
+    edits = math.floor((1 - least) * (n + 2) + 1e-9)
+    count = min(n, edits + 1)
+    borders = [round(k * n / count) for k in range(count + 1)]
+    pieces = [needle[a:b] for a, b in itertools.pairwise(borders)]
+    # With as many edits as characters any window may do.
+    may = (lambda part: F.lit(True)) if edits >= n else lambda part: reduce(lambda x, y: x | y, [F.contains(part, F.lit(p)) for p in pieces])
+    overlap = n + 1
+
+    def in_part(part: Column) -> Column:
+        found = F.lit(False)
+        for size in sizes:
+            found = found | F.when(F.length(part) >= size, _any_window(part, wanted, size, least)).otherwise(False)
+        return F.when(may(part), found).otherwise(False)
+
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(haystack), F.lit(1)) - 1) / PART).cast("int"))
+    parts = F.transform(starts, lambda j: F.substring(haystack, j * PART + 1, F.lit(PART + overlap)))
     whole = (F.length(haystack) <= n + 2) & (edit_similarity(haystack, wanted) >= least)
-    return F.contains(haystack, wanted) | near | whole
+    return F.contains(haystack, wanted) | whole | F.when(may(haystack), F.exists(parts, in_part)).otherwise(False)
+
+
+def _any_window(haystack: Column, wanted: Column, size: int, least: float) -> Column:
+    return F.exists(F.sequence(F.lit(1), F.length(haystack) - size + 1), lambda i: edit_similarity(F.substring(haystack, i, F.lit(size)), wanted) >= least)
 
 
-def _any_window(haystack: Column, wanted: Column, size: int, least: float, starts: Column) -> Column:
-    return F.exists(starts, lambda i: edit_similarity(F.substring(haystack, i, F.lit(size)), wanted) >= least)
+def shared_with(text: Column, phrase: str) -> Column:
+    """Length of the longest run of characters that the text shares with a short phrase."""
+    low, other = F.lower(text), phrase.lower()
+    out = None
+    for size in range(len(other), 0, -1):
+        runs = sorted({other[i : i + size] for i in range(len(other) - size + 1)})
+        held = reduce(lambda x, y: x | y, [F.contains(low, F.lit(r)) for r in runs])
+        out = F.when(held, size) if out is None else out.when(held, size)
+    return F.lit(0) if out is None else out.otherwise(0)
 
 
 def shared_length(a: Column, b: Column) -> Column:

@@ -72,7 +72,7 @@ def relevance(blocks: DataFrame, query: str) -> Column:
     low = query.lower()
     words = [w for w in low.split() if len(w) >= 2]
     via = F.greatest(F.lit(0), F.lit(0), *[F.when(F.contains(F.lower("text"), F.lit(w)), len(w)).otherwise(0) for w in words])
-    return F.greatest(via, t.shared_length(F.col("text"), F.lit(low)))
+    return F.greatest(via, t.shared_with(F.col("text"), low))
 
 
 def ranked(blocks: DataFrame, query: str, most: int = 120, most_relevant: int = 60) -> DataFrame:

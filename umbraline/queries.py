@@ -43,6 +43,12 @@ def _iou(a: str, b: str) -> str:
     return f"(CASE WHEN {common} > 0 THEN {common}::DOUBLE / ({a}w * {a}h + {b}w * {b}h - {common}) ELSE 0.0::DOUBLE END)"
 
 
+def _shared(h: str, phrase: str) -> str:
+    """Longest run of a short phrase that is inside the text."""
+    runs = [(n, sorted({phrase[i : i + n] for i in range(len(phrase) - n + 1)})) for n in range(len(phrase), 0, -1)]
+    return "CASE " + " ".join(f"WHEN regexp_matches({h}, '{'|'.join(r)}') THEN {n}" for n, r in runs) + " ELSE 0 END"
+
+
 def _dist(a: str, b: str) -> str:
     return f"sqrt(power(({a}x + {a}w / 2.0::DOUBLE - {b}x - {b}w / 2.0::DOUBLE) / 1600.0::DOUBLE, 2) + power(({a}y + {a}h / 2.0::DOUBLE - {b}y - {b}h / 2.0::DOUBLE) / 900.0::DOUBLE, 2))"
 
@@ -123,7 +129,7 @@ def text_leaf_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     "relevance_rank",
     f"""WITH {_B}, s AS (SELECT *, lower(text) AS low FROM b WHERE confidence >= 90),
 v AS (SELECT *, greatest(CASE WHEN contains(low, 'licensed') THEN 8 ELSE 0 END, CASE WHEN contains(low, 'token') THEN 5 ELSE 0 END,
-  CASE WHEN length(low) = 0 THEN 0 ELSE list_max(list_transform(range(1, length(low) + 1), lambda i: coalesce(list_max(list_filter(range(1, length(low) - i + 2), lambda n: contains('licensed token', substring(low, i, n)))), 0))) END) AS score FROM s),
+  {_shared("low", "licensed token")}) AS score FROM s),
 r AS (SELECT *, score >= 2 AS relevant, row_number() OVER (PARTITION BY video, frame ORDER BY score >= 2 DESC, CASE WHEN score >= 2 THEN score END DESC NULLS LAST, CASE WHEN score >= 2 THEN type <> 'LINE' END NULLS FIRST, CASE WHEN score >= 2 THEN confidence END DESC NULLS LAST, l, k) AS place,
   least(10, sum(CAST(score >= 2 AS INT)) OVER (PARTITION BY video, frame)) AS n FROM v),
 c AS (SELECT *, relevant AND place <= n AS chosen FROM r WHERE relevant AND place <= n OR type = 'LINE'),
@@ -170,9 +176,9 @@ def global_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "curator_decisions",
-    f"""WITH {_H}, d AS (SELECT video, frame, pos, event_id, (event_id % 3) <> 0 AS keep, CASE WHEN event_id % 5 = 0 THEN 'edited' ELSE '' END AS new_text, event_id AS at FROM hit WHERE event_id % 7 <> 0
+    f"""WITH {_H}, d AS (SELECT video, frame, pos, event_id, (event_id % 3) <> 0 AS keep, CASE WHEN event_id % 5 = 0 THEN 'edited' ELSE '' END AS new_text, event_id AS seq FROM hit WHERE event_id % 7 <> 0
   UNION ALL SELECT video, frame, pos, event_id, FALSE, '', -1 FROM hit),
-last AS (SELECT video, frame, pos, arg_max(keep, at) AS keep, arg_max(new_text, at) AS new_text FROM d GROUP BY video, frame, pos)
+last AS (SELECT video, frame, pos, arg_max(keep, seq) AS keep, arg_max(new_text, seq) AS new_text FROM d GROUP BY video, frame, pos)
 SELECT hit.video, hit.frame, CAST(hit.pos AS INT) AS ocr_index, CASE WHEN new_text <> '' THEN new_text ELSE text END AS text FROM hit JOIN last USING (video, frame, pos) WHERE keep""",
 )
 def curator_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,8 +340,8 @@ def greedy_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "validate_links",
-    f"""WITH {_H}, d AS (SELECT video, frame, pos AS b_index, event_id AS at, CAST(event_id % 4 AS INT) AS a_index FROM hit WHERE event_id % 11 <> 0 UNION ALL SELECT video, frame, pos, -1, 0 FROM hit WHERE event_id % 2 = 0),
-last AS (SELECT video, frame, b_index, arg_max(a_index, at) AS wanted FROM d GROUP BY video, frame, b_index),
+    f"""WITH {_H}, d AS (SELECT video, frame, pos AS b_index, event_id AS seq, CAST(event_id % 4 AS INT) AS a_index FROM hit WHERE event_id % 11 <> 0 UNION ALL SELECT video, frame, pos, -1, 0 FROM hit WHERE event_id % 2 = 0),
+last AS (SELECT video, frame, b_index, arg_max(a_index, seq) AS wanted FROM d GROUP BY video, frame, b_index),
 p AS (SELECT b.video, b.frame, b.pos AS b_index, CASE WHEN a.x IS NOT NULL THEN wanted END AS a_index, CASE WHEN a.x IS NOT NULL THEN 0.7::DOUBLE * {_iou("a.", "b.")} + 0.3::DOUBLE * CASE WHEN a.text = b.text THEN 1 ELSE 0 END END AS score
   FROM hit b LEFT JOIN last ON last.video = b.video AND last.frame = b.frame AND last.b_index = b.pos LEFT JOIN hit a ON a.video = b.video AND a.frame = b.frame - 1 AND a.pos = wanted),
 r AS (SELECT *, row_number() OVER (PARTITION BY video, frame, a_index ORDER BY score DESC NULLS LAST, b_index) AS n FROM p)
@@ -418,7 +424,7 @@ _PAIR = "pair AS (SELECT video, frame AS a, lead(frame) OVER (PARTITION BY video
 _CHANGE = f"""last AS (SELECT video, frame, text, arg_max(x, pos) AS x, arg_max(y, pos) AS y, arg_max(w, pos) AS w, arg_max(h, pos) AS h FROM hit WHERE text <> 'error' GROUP BY video, frame, text),
 m AS (SELECT g.video, g.a, g.b, k.x, k.y, k.w, k.h, k.pos, p.x AS px, p.y AS py, p.w AS pw, p.h AS ph FROM gap g JOIN hit k ON k.video = g.video AND k.frame = g.b LEFT JOIN last p ON p.video = g.video AND p.frame = g.a AND p.text = k.text),
 change AS (SELECT video, a, b, coalesce(max(sqrt(power(px + pw / 2.0::DOUBLE - x - w / 2.0::DOUBLE, 2) + power(py + ph / 2.0::DOUBLE - y - h / 2.0::DOUBLE, 2))), 0) AS move_px,
- coalesce(max(abs(w - pw)::DOUBLE / greatest(1, pw)), 0) AS rel_w, coalesce(max(abs(h - ph)::DOUBLE / greatest(1, ph)), 0) AS rel_h, coalesce(max(abs(w * h - greatest(1, pw * ph))::DOUBLE / greatest(1, pw * ph)), 0) AS rel_area,
+ coalesce(max(abs(w - pw)::DOUBLE / greatest(1, pw)), 0) AS rel_w, coalesce(max(abs(h - ph)::DOUBLE / greatest(1, ph)), 0) AS rel_h, coalesce(max(CASE WHEN px IS NOT NULL THEN abs(w * h - greatest(1, pw * ph))::DOUBLE / greatest(1, pw * ph) END), 0) AS rel_area,
  coalesce(max(CASE WHEN px IS NULL THEN (w * h)::DOUBLE / 1440000 END), 0) AS new_area, count(px) AS linked, count(*) AS boxes FROM m GROUP BY video, a, b)"""
 
 
@@ -611,10 +617,10 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Conversation turns as frames: the first words of a turn are its blocks, some of them hits."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video"), (F.col("turn") + 1).cast("int").alias("frame"), F.slice(F.split(F.lower("text"), r"\s+"), 1, 12).alias("ws"))
     each = turns.select("video", "frame", F.posexplode("ws").alias("k", "text")).where("text <> ''")
-    place = [F.lit(0).alias("l"), "k", F.lit("WORD").alias("type"), "text", (50.0 + F.col("k")).alias("confidence"), (F.col("k") * 0.08).alias("left"), F.lit(0.1).alias("top"), F.lit(0.07).alias("w"), F.lit(0.05).alias("h")]
+    place = [F.lit(0).alias("l"), "k", F.lit("WORD").alias("type"), "text", (50.0 + F.col("k")).alias("confidence"), (F.col("k") % 3 * 0.1).alias("left"), F.lit(0.1).alias("top"), F.lit(0.07).alias("w"), F.lit(0.05).alias("h")]
     words = each.select("video", "frame", *place)
     box = g.to_pixels(F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.lit(1600), F.lit(900))
-    hits = words.where("text = 'the'").select("video", "frame", F.col("k").alias("pos"), box.alias("b"), "text", F.lit(1.0).alias("score")).select("video", "frame", "pos", "b.*", "text", "score")
+    hits = words.where("text = 'the' and frame % 2 = 1").select("video", "frame", F.col("k").alias("pos"), box.alias("b"), "text", F.lit(1.0).alias("score")).select("video", "frame", "pos", "b.*", "text", "score")
     return hits, words
 
 
@@ -632,8 +638,8 @@ def forward_difflib(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("prompt_cascade")
 def prompt_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits, words = _turns(spark, sf_dir)
-    boxes = hits.withColumn("instance", t.text_instance(F.lit("L0"), F.col("text")))
+    _, words = _turns(spark, sf_dir)
+    boxes = words.where(F.col("text").isin("the", "of", "and", "de", "que")).select("video", "frame", "text", t.text_instance(F.lit("L0"), F.col("text")).alias("instance")).distinct()
     seeds = link.transition_seeds(boxes, F.col("instance"))
     return cascade.recovered(seeds, words, boxes, depth=6).select("video", "frame", "instance", "direction", "text", "step")
 
