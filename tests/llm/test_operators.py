@@ -1,0 +1,258 @@
+from __future__ import annotations
+
+import hashlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+from umbraline.llm import byte_bpe, decontaminate, private_data, quality_rules, queries, sharding, simhash, wordpiece
+
+from conftest import PASSAGE  # isort: skip
+
+
+def pairs(documents):
+    return [(r["doc_id"], r["text"]) for r in documents.collect()]
+
+
+def multiset(rows):
+    return Counter(map(str, rows))
+
+
+def test_token_counts(documents, nothing):
+    pieces = wordpiece.automaton(byte_bpe._path(wordpiece.VOCABULARY))
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=byte_bpe._path(wordpiece.VOCABULARY))
+    known = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+
+    def greedy(word):
+        n, i = 0, 0
+        while i < len(word):
+            j = next((j for j in range(len(word), i, -1) if word[i:j] in known), None)
+            if j is None:
+                return 0
+            n, i = n + 1, j
+        return n
+
+    want = []
+    for doc, text in pairs(documents):
+        counts = [greedy(wordpiece.WORD_START + w) for w in brute.words(text)]
+        want.append((doc, len(counts), sum(c or 1 for c in counts), counts.count(0)))
+    assert multiset(tuple(r) for r in wordpiece.token_counts(documents).collect()) == multiset(want)
+    assert wordpiece.token_counts(nothing).count() == 0
+    assert pieces.count("\x00") == 0
+
+
+def test_longest_match_with_overlapping_pieces():
+    pieces = ["a", "ab", "abc", "bcd", "cdx", "b", "c", "d", "abcdz"]
+    machine = wordpiece.LongestMatch(pieces)
+
+    def greedy(word):
+        n, i = 0, 0
+        while i < len(word):
+            j = next((j for j in range(len(word), i, -1) if word[i:j] in pieces), None)
+            if j is None:
+                return 0
+            n, i = n + 1, j
+        return n
+
+    import itertools
+
+    for size in range(1, 7):
+        for word in map("".join, itertools.product("abcdxz", repeat=size)):
+            assert machine.count(word) == greedy(word), word
+
+
+def test_byte_bpe_is_the_ranks_encoding(documents, nothing):
+    path = public_tokenizers.path(byte_bpe.VOCABULARY)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks(path), special_tokens={})
+    want = []
+    for doc, text in pairs(documents):
+        ids = known.encode_ordinary(text or "")
+        want.append((doc, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert multiset(tuple(r) for r in byte_bpe.round_trip(documents).collect()) == multiset(want)
+    back = byte_bpe.decode(byte_bpe.encode(documents))
+    assert multiset((r["doc_id"], r["text"]) for r in back.collect()) == multiset((d, t or "") for d, t in pairs(documents))
+    assert byte_bpe.round_trip(nothing).count() == 0
+
+
+def test_byte_bpe_offsets_and_split_characters():
+    bpe = byte_bpe.loaded(public_tokenizers.path(byte_bpe.VOCABULARY))
+    text = "a漢字 😀 b  c\n\nd"
+    raw = text.encode()
+    for token, start, end in bpe.encode_with_offsets(text):
+        assert bpe.bytes_of[token] == raw[start:end]
+    ids = bpe.encode(text)
+    assert "".join(bpe.stream(iter(ids))) == text
+    assert "�" in bpe.decode(bpe.encode("漢")[:1])
+
+
+def test_quality_rules(documents, nothing):
+    got = queries.quality_rules.judge(documents)
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert multiset((r["doc_id"], *[r[c] for c in cols]) for r in got.collect()) == multiset((d, *brute.rules(t)) for d, t in pairs(documents))
+    assert quality_rules.judge(nothing).count() == 0
+
+
+def test_a_bad_host_takes_its_documents_along(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, good, "good", ) for i in range(50)] + [(100 + i, "too short", "bad") for i in range(50)] + [(999, good, "bad"), (1000, good, None)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(kept[i] for i in range(50)) and not any(kept[100 + i] for i in range(50))
+    assert not kept[999] and kept[1000]
+
+
+def test_decontamination(spark, documents, nothing):
+    items = [(1, PASSAGE), (2, PASSAGE), (3, "two words"), (4, ""), (5, None), (6, "word"), (None, "spam now"), (7, "Now buy; now BUY now buy now buy now buy now buy now buy")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.hits(documents, bench).collect()
+    assert multiset((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == multiset((d, *brute.benchmark_hits(t, items)) for d, t in pairs(documents))
+    assert decontaminate.hits(nothing, bench).count() == 0
+    assert decontaminate.hits(documents, bench.limit(0)).where("n_hit > 0").count() == 0
+    left = decontaminate.clean(documents, bench)
+    assert left.columns == documents.columns and left.count() == sum(r["n_hit"] == 0 for r in got)
+
+
+def test_short_and_long_windows_are_joined(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "c d e f g h i j k l"), (2, "e f"), (3, "a")], "item_id long, text string")
+    assert decontaminate.hits(docs, bench).first()["n_hit"] == 11
+
+
+def test_simhash_components(documents, nothing):
+    rows = pairs(documents)
+    prints = [brute.fingerprint(t) for _, t in rows]
+    roots = brute.components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    least = defaultdict(lambda: None)
+    for (doc, _), root in zip(rows, roots, strict=True):
+        if doc is not None and (least[root] is None or doc < least[root]):
+            least[root] = doc
+    want = multiset((doc, f"{p:016x}", least[root]) for (doc, _), p, root in zip(rows, prints, roots, strict=True))
+    spark_rows = simhash.near_duplicates(documents).selectExpr("doc_id", "lower(lpad(hex(fp), 16, '0'))", "component_id").collect()
+    assert multiset(tuple(r) for r in spark_rows) == want
+    assert simhash.near_duplicates(nothing).count() == 0
+    kept = simhash.keep_one(documents)
+    assert kept.columns == documents.columns and kept.count() == len(set(roots))
+
+
+def test_tiles_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    prints = [int(c) for c in centres]
+    for c in centres:  # chains of steps of up to three bits
+        at = int(c)
+        for _ in range(12):
+            for b in rng.integers(0, 64, rng.integers(1, 4)):
+                at ^= 1 << int(b)
+            prints.append(at)
+    prints = sorted(set(prints))
+    frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
+    from umbraline.llm.components import components
+
+    found = {r["node"]: r["root"] for r in components(simhash.links(frame)).collect()}
+    want = brute.components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    groups, ours = defaultdict(set), defaultdict(set)
+    for p, root in zip(prints, want, strict=True):
+        groups[root].add(p)
+        signed = int(np.uint64(p).view(np.int64))
+        ours[found.get(signed, signed)].add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_a_dense_tile_hands_on_few_links(same):
+    rng = np.random.default_rng(1)
+    a = np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    a = np.unique(a)
+    got = list(simhash.linked(a, a if same else a ^ np.uint64(1), same))
+    assert len(got) < 2 * len(a)
+
+
+def test_sharding(spark, documents, nothing):
+    rows = pairs(documents)
+    got = sharding.shard(documents, shards=5, chunk=4, fan=2).collect()
+    assert len(got) == len(rows)
+    slots, where = defaultdict(list), defaultdict(set)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        where[r["text_crc32"], r["size"]].add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for s in where.values())
+    import zlib
+
+    want = multiset((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert multiset((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert sharding.shard(nothing).count() == 0
+    parts = spark.createDataFrame([(str(i), int(b)) for i, b in enumerate(np.random.default_rng(0).exponential(1000, 3000) + 10)], "group string, bytes long")
+    sums = [r["s"] for r in sharding.balance(parts, 8, chunk=500, fan=3).join(parts, "group").groupBy("shard").agg({"bytes": "sum"}).toDF("shard", "s").collect()]
+    total = sum(sums)
+    assert len(sums) == 8 and max(sums) - min(sums) < total / 8 * 0.02
+
+
+def test_differencing_keeps_every_part():
+    parts = np.zeros((50, 4), np.int64)
+    parts[:, 0] = np.random.default_rng(2).integers(1, 1000, 50)
+    to, sums = sharding.difference(parts)
+    again = np.zeros(4, np.int64)
+    for row, places in zip(parts, to, strict=True):
+        assert sorted(places) == [0, 1, 2, 3]
+        again[places] += row
+    assert (again == sums).all() and sums.max() - sums.min() <= 30
+
+
+def test_private_data(documents, nothing):
+    rows = pairs(documents)
+    found = private_data.find(documents)
+    got = found.select("doc_id", private_data.written(private_data.F.col("found")).alias("s")).collect()
+    want = multiset((d, ",".join(f"{k}:{a}:{b}" for k, a, b in brute.spans(t))) for d, t in rows)
+    assert multiset(tuple(r) for r in got) == want
+    assert private_data.find(nothing).count() == 0
+    clean = private_data.sanitise(documents)
+    assert clean.columns == documents.columns and clean.count() == len(rows)
+    mail = [r["text"] for r in clean.collect() if r["text"] and "[EMAIL]" in r["text"]]
+    assert mail == ["write to [EMAIL] or 10.0.0.256 and [IP], card [CARD], call [PHONE]."]
+    untouched = [t for _, t in rows if not brute.spans(t)]
+    assert all(t in [r["text"] for r in clean.collect()] for t in untouched)
+
+
+def test_odd_matches(spark):
+    odd = ["a@b.c_x@e.f y@z.q", "1.2.3.4.5.6.7.8 999.1.1.1 00255.1.2.3 256.1.1.1", "4111-1111-1111-1111 4111 1111 1111 1112", "+49 30 1234567- +1", "@@@ a@b a@b..c a@b.c.", "x" * 3000 + "@a" + ".b" * 2000, "1." * 5000, "+" * 100 + "1 2 3 4 5 6 7 8"]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["found"]] for r in private_data.base_spans(docs).collect()}
+    assert got == {i: brute.spans(t) for i, t in enumerate(odd)}
+
+
+def test_terms_that_disclose(spark):
+    rows = [(i, f"note {i}x the zorblax wrote from bob@x.org about item {i}y") for i in range(5)]
+    rows += [(10 + i, f"the note about item number {i} wrote itself") for i in range(30)] + [(50, "a Zorblax alone"), (51, None), (52, "")]
+    found = {r["doc_id"]: r["added"] for r in private_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [x["value"] for x in found[0]] == ["zorblax", "from"] and [x["value"] for x in found[50]] == ["Zorblax"]
+    assert not found[10] and not found[51]
+
+
+def test_queries_return_the_stated_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {
+        "op2_html_extraction": ["page_id", "url", "text", "n_chars"],
+        "op3_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        "op4_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+        "op5_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+        "op6_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        "op7_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+        "op8_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
+        "op9_simhash": ["doc_id", "fingerprint", "component_id"],
+        "op10_private_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    }
+    for name, columns in want.items():
+        assert queries.QUERIES[name](spark, sf).columns == columns
+
+
+def test_span_digests(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = dict(pairs(spark.read.parquet(f"{sf}/documents.parquet")))
+    for r in queries.op10_private_data(spark, sf).collect():
+        assert r["base_sha256"] == brute.span_digest(brute.spans(texts[r["doc_id"]]))

@@ -128,13 +128,15 @@ class ByteBpe:
     def encode_with_offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) with offsets in the UTF-8 bytes of the text, end exclusive.
 
-        In the alphabet one character is one byte, so the library's character offsets
-        are byte offsets, also where a token holds only a part of a character.
+        The library's tokens follow each other without gaps, also where one holds only a
+        part of a character, so their places are sums of their lengths in bytes.
         """
         out, at = [], 0
         for piece in self.pieces.findall(text):
-            out += [(t.id, at + t.offsets[0], at + t.offsets[1]) for t in self._tokens(piece)]
-            at += len(piece.encode())
+            for token in self._tokens(piece):
+                end = at + len(self.bytes_of[token.id])
+                out.append((token.id, at, end))
+                at = end
         return out
 
     def decode_bytes(self, ids: list[int]) -> bytes:
