@@ -9,7 +9,7 @@ frame they are taken in order, so the result is that of walking frame by frame.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -21,10 +21,27 @@ BOX = "x int, y int, w int, h int, text string, score double"
 NAMES = ["x", "y", "w", "h", "text", "score"]
 
 
-def partials(hits: DataFrame, blocks: DataFrame, query: str, direction: int, width: int, height: int, least: float = 0.82, shortest: int = 2) -> DataFrame:
+def edit_part_score(part: Column, query: str) -> Column:
+    """1 if the query holds the part, else the best edit similarity of a window of nearly its length."""
+    wanted = F.lit(query)
+    best = F.lit(0.0)
+    for step in (-2, -1, 0, 1, 2):
+        size = F.length(part) + step
+        starts = F.sequence(F.lit(1), len(query) - size + 1)
+        best = F.greatest(best, F.when((size >= 2) & (size <= len(query)), _best_window(wanted, part, size, starts)).otherwise(0.0))
+    return F.when((F.length(part) == 0) | (F.length(wanted) == 0), 0.0).when(F.contains(wanted, part), 1.0).otherwise(best)
+
+
+def _best_window(text: Column, part: Column, size: Column, starts: Column) -> Column:
+    return F.array_max(F.transform(starts, lambda i: t.edit_similarity(F.substring(text, i, size), part)))
+
+
+def partials(hits: DataFrame, blocks: DataFrame, query: str, direction: int, width: int, height: int, least: float = 0.82, shortest: int = 2, metric: str = "sequence") -> DataFrame:
     """``video, frame (of the part), pos (of the hit)`` and the best part's box, for hits that have one.
 
     Longer text wins, then the better score, then confidence, then the first block.
+    ``metric`` is ``sequence`` (matching blocks, in Python) or ``edit`` (edit distance, built in;
+    a line is then taken as a whole).
     """
     c = F.col
     wanted = F.lit(" ".join(query.lower().split()))
@@ -35,10 +52,13 @@ def partials(hits: DataFrame, blocks: DataFrame, query: str, direction: int, wid
     near = looking.join(blocks, ["video", "frame"]).where(g.intersects(c("left"), c("top"), c("left") + c("w"), c("top") + c("h"), r(0), r(1), r(2), r(3)))
     near = near.withColumn("norm", t.normalised(c("text"))).where(F.length("norm") >= shortest)
     # A long line that isn't part of the query can still hold a part: its words are looked at below.
-    scored = near.withColumn("q", wanted).withColumn("part", m.part_scores(c("norm"), c("q"))).where(c("part") >= least)
+    plain = " ".join(query.lower().split())
+    part = edit_part_score(c("norm"), plain) if metric == "edit" else m.part_scores(c("norm"), c("q"))
+    scored = near.withColumn("q", wanted).withColumn("part", part).where(c("part") >= least)
     words = blocks.where("type = 'WORD'").groupBy("video", "frame", "l").agg(F.array_sort(F.collect_list(F.struct("k", "text", "left", "top", "w", "h"))).alias("own"))
     lined = scored.join(words, ["video", "frame", "l"], "left").withColumn("own", F.when(c("type") == "LINE", c("own")))
-    run = lined.withColumn("run", m.best_parts(F.transform("own", lambda w: t.normalised(w["text"])), c("q")))
+    whole = F.lit(None).cast("struct<first:int,last:int,score:double>")
+    run = lined.withColumn("run", whole if metric == "edit" else m.best_parts(F.transform("own", lambda w: t.normalised(w["text"])), c("q")))
     span = F.when(c("run.first").isNotNull(), F.slice("own", c("run.first") + 1, c("run.last") - c("run.first") + 1))
     with_span = run.withColumn("span", span)
     some = c("span").isNotNull()
@@ -72,7 +92,7 @@ def _accept(found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=["video", "frame", "from_pos", *NAMES])
 
 
-def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int = -1, width: int = 1600, height: int = 900, centre: float = 0.08, rounds: int = 1000) -> DataFrame:
+def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int = -1, width: int = 1600, height: int = 900, centre: float = 0.08, rounds: int = 1000, metric: str = "sequence") -> DataFrame:
     """Boxes added by walking in ``direction``: ``video, frame, from_pos, box, round``.
 
     ``hits`` has ``video, frame, pos`` and a box, ``blocks`` the recognised lines and words.
@@ -86,9 +106,10 @@ def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int =
         here = frontier.select("video", (F.col("frame") + direction).cast("int").alias("frame"), "pos", *[F.col(k).alias(f"b_{k}") for k in NAMES])
         rect = lambda p: [F.col(f"{p}_{k}") for k in "xywh"]
         near = here.join(there, ["video", "frame"]).where(g.centre_distance(*rect("a"), *rect("b"), F.lit(float(width)), F.lit(float(height))) <= centre)
-        same = near.withColumn("same", m.texts_alike(t.normalised(F.col("a_text")), t.normalised(F.col("b_text")))).where("same").select("video", "frame", "pos").distinct()
+        texts = t.normalised(F.col("a_text")), t.normalised(F.col("b_text"))
+        same = near.withColumn("same", t.same_text(*texts) if metric == "edit" else m.texts_alike(*texts)).where("same").select("video", "frame", "pos").distinct()
         lost = frontier.join(same.select("video", (F.col("frame") - direction).cast("int").alias("frame"), "pos"), ["video", "frame", "pos"], "left_anti")
-        found = partials(lost, blocks, query, direction, width, height)
+        found = partials(lost, blocks, query, direction, width, height, metric=metric)
         boxes = known.groupBy("video", "frame").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("there"), F.max("pos").alias("last"))
         grouped = found.join(boxes, ["video", "frame"], "left")
         added = grouped.groupBy("video", "frame").applyInPandas(_accept, f"video {video}, frame int, from_pos int, {BOX}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as g
 from .functions import text as t
 from .model import DedupParams, ExportStyle
-from .operators import cascade, detect, export, gaps, link, merge, metrics, propagate, sequence
+from .operators import cascade, detect, export, gaps, link, merge, metrics, propagate, render, sequence
 from .plans import predicate, prompt
 from .registry import query
 from .session import table
@@ -650,3 +650,52 @@ def cascade_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = rows.select("video", F.expr("cast(i div 8 as int)").alias("seed"), (F.col("i") % 8).alias("step"), F.expr("hash % 7 <> 0").alias("visible"), F.expr("cast(hash % 3 as int)").alias("changes"))
     seeds = verdicts.select("video", "seed").distinct().select("video", "seed", F.when(F.col("seed") % 2 == 0, "forward").otherwise("back").alias("direction"), (F.col("seed") * 3 + 1).alias("first_focus"), F.lit(1).alias("low"), F.lit(30).alias("high"))
     return cascade.chains(seeds, verdicts)
+
+
+@query("backtrack_edit")
+def backtrack_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, words = _turns(spark, sf_dir)
+    return propagate.propagated(hits, words, "the", -1, metric="edit")
+
+
+# Texts for readers ---------------------------------------------------------------------
+
+
+@query(
+    "pass_summary",
+    f"""WITH {_H}, f AS (SELECT video, frame, count(*) AS n, string_agg(text, ', ' ORDER BY pos) AS texts FROM hit GROUP BY video, frame),
+l AS (SELECT *, n - lag(n) OVER (PARTITION BY video ORDER BY frame) AS d FROM f)
+SELECT video, string_agg('#' || frame || ': ' || n || CASE WHEN d > 0 THEN ' (+' || d || ')' WHEN d < 0 THEN ' (' || d || ')' ELSE '' END || ' ' || texts, chr(10) ORDER BY frame) AS summary FROM l GROUP BY video""",
+)
+def pass_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.pass_summary(adapters.hits(spark, sf_dir))
+
+
+@query(
+    "overlay",
+    f"""WITH {_H}, c AS (SELECT *, CASE text WHEN 'view' THEN '#3b82f6' WHEN 'click' THEN '#22c55e' WHEN 'error' THEN '#f97316' ELSE '#ef4444' END AS colour FROM hit)
+SELECT video, frame, '<svg xmlns="http://www.w3.org/2000/svg" width="1600" height="900">' || string_agg('<rect x="' || x || '" y="' || y || '" width="' || w || '" height="' || h || '" fill="none" stroke="' || colour || '"/><text x="' || x || '" y="' || CASE WHEN y >= 14 THEN y - 3 ELSE y + 14 END || '" fill="' || colour || '">' || text || '</text>', '' ORDER BY pos) || '</svg>' AS svg FROM c GROUP BY video, frame""",
+)
+def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.overlay(adapters.hits(spark, sf_dir).withColumn("origin", F.expr(_ORIGIN.replace("event_type", "text"))), 1600, 900)
+
+
+@query(
+    "kept_counts",
+    f"""WITH {_S} SELECT video, count(*) AS raw_count, max(i) + 1 AS last_index FROM seq GROUP BY video""",
+)
+def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.sequence(spark, sf_dir).groupBy("video").agg(F.count("*").alias("raw_count"), (F.max("i") + 1).alias("last_index"))
+
+
+@query(
+    "scene_notes",
+    f"""WITH {_B}, {_ANCHOR}, e AS (SELECT video, key, arg_min(text, frame) AS text, count(DISTINCT frame) AS n FROM anchors GROUP BY video, key),
+r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY n DESC, text) AS place FROM e),
+t AS (SELECT video, string_agg('"' || text || '" on ' || n, '; ' ORDER BY place) AS top FROM r WHERE place <= 12 GROUP BY video),
+c AS (SELECT video, count(DISTINCT frame) AS f FROM anchors GROUP BY video)
+SELECT c.video, least(f, 20) || ' frames with anchors: ' || coalesce(top, '') AS notes FROM c LEFT JOIN t USING (video)""",
+)
+def scene_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.anchors(adapters.blocks(spark, sf_dir))
+    return render.scene_notes(found, detect.global_anchors(found))

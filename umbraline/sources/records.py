@@ -85,6 +85,17 @@ def source_fps(average: Column, real: Column) -> Column:
     return F.coalesce(rate(average), rate(real))
 
 
+def video_info(probes: DataFrame) -> DataFrame:
+    """``width, height, duration`` of probe results; the stream's duration counts before the container's.
+
+    Sizes and durations that are missing or not positive are an error.
+    """
+    duration = F.coalesce(F.col("stream_duration").try_cast("double"), F.col("format_duration").try_cast("double"))
+    checked = lambda value, name: F.when(value > 0, value).otherwise(F.raise_error(F.lit(f"no usable {name}")))
+    others = [c for c in probes.columns if c not in ("width", "height", "stream_duration", "format_duration")]
+    return probes.select(*others, checked(F.col("width"), "width").alias("width"), checked(F.col("height"), "height").alias("height"), checked(duration, "duration").alias("duration"))
+
+
 def jpeg_size(blob: Column) -> Column:
     """(width, height) of a JPEG: the numbers in its first start-of-frame segment."""
     from ._jpeg import sizes
