@@ -87,23 +87,26 @@ def ranked(blocks: DataFrame, query: str, most: int = 120, most_relevant: int =
     return kept.withColumn("chosen", chosen).withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= most).drop("place", "n_relevant", "relevant")
 
 
-def tightest_spans(lines: DataFrame, words: DataFrame, query: str, most_words: int = 64) -> DataFrame:
-    """For lines that hold the query: the shortest run of their words that holds it.
+def tightest_spans(lines: DataFrame, words: DataFrame, query: str) -> DataFrame:
+    """For lines that hold the query: the shortest run of their words that holds it (ties: the first).
 
-    ``words`` has ``video, frame, l, k, text`` and places.  Runs are built per line from the
-    words where the query's first and last characters can lie, so their number grows with
-    the square of a line's length only for lines up to ``most_words``; longer lines use runs
-    of at most that many words.
+    ``words`` has ``video, frame, l, k, text`` and places.  The shortest run begins in the
+    word with the query's first character and ends in that with its last, so it has no more
+    words than the query; only runs up to that many are looked at.
     """
     wanted = " ".join(query.lower().split())
+    most = len(wanted.split(" "))
     keys = ["video", "frame", "l"]
     holding = lines.where(F.contains(t.normalised(F.col("text")), F.lit(wanted))).select(*keys)
     own = words.join(holding, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "text", "left", "top", "w", "h"))).alias("words"))
-    norms = F.transform("words", lambda w: t.normalised(w["text"]))
-    starts = own.withColumn("norms", norms).select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i"))
-    longest = F.least(F.size("words") - F.col("i"), F.lit(most_words))
-    runs = F.filter(F.transform(F.sequence(F.lit(1), longest), lambda n: F.struct(F.length(F.array_join(F.slice("norms", F.col("i") + 1, n), " ")).alias("length"), n.alias("n"), F.contains(F.array_join(F.slice("norms", F.col("i") + 1, n), " "), F.lit(wanted)).alias("has"))), lambda r: r["has"])
-    best = starts.withColumn("run", F.array_min(runs)).where("run is not null").groupBy(*keys).agg(F.min(F.struct("run.length", "i", "run.n")).alias("s"), F.first("words").alias("words"))
+
+    def run(n: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(0), F.size("norms") - n), lambda i: F.struct(F.array_join(F.slice("norms", i + 1, n), " ").alias("text"), i.alias("i")))
+        held = F.filter(joined, lambda r: F.contains(r["text"], F.lit(wanted)))
+        return F.when(F.size("norms") >= n, F.array_min(F.transform(held, lambda r: F.struct(F.length(r["text"]).alias("length"), r["i"].alias("i"), F.lit(n).alias("n")))))
+
+    normed = own.withColumn("norms", F.transform("words", lambda w: t.normalised(w["text"])))
+    best = normed.withColumn("s", F.array_min(F.array_compact(F.array(*[run(n) for n in range(1, most + 1)])))).where("s is not null")
     span = F.slice("words", F.col("s.i") + 1, F.col("s.n"))
     ends = lambda a, b: F.array_max(F.transform("span", lambda w: w[a] + w[b]))
     return best.withColumn("span", span).select(
