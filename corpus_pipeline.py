@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from umbraline.llm import byte_bpe, decontaminate, line_quality, private_data, simhash
-from umbraline.llm.common import shared_folder, table
+from umbraline.llm.common import remove, shared_folder, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written as Parquet and read again."""
+    """All stages over ``documents``; what each returns is written as Parquet and read again.
+
+    A stage's rows are deleted once the next one has written its own.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")  # nothing reads it any more
     return docs
 
 

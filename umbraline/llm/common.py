@@ -35,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system holds it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage."""
     shared_folder(df.sparkSession)
@@ -73,3 +79,15 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         held += int(size)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def text_slices(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of up to ``most`` characters in all, or of one longer text."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and held + len(text) > most:
+            yield texts[start:i]
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield texts[start:]

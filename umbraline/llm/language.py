@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chain import Adam, expectations, marginals
-from .common import held_out, narrowed, slices
+from .common import held_out, narrowed, slices, text_slices
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -77,6 +77,13 @@ def words_of(texts: list[str]) -> Words:
     return Words(grams, first, affixes, spelling, ends - begins, per_text)
 
 
+def _joined(parts: list[Words]) -> Words:
+    """The words of several runs of texts as those of one."""
+    before = np.concatenate([[0], np.cumsum([len(p.grams) for p in parts])[:-1]])
+    both = lambda name: np.concatenate([getattr(p, name) for p in parts])
+    return Words(both("grams"), np.concatenate([p.first + b for p, b in zip(parts, before, strict=True)]), both("affixes"), both("spelling"), both("lengths"), both("per_text"))
+
+
 @dataclass
 class LanguageField:
     languages: list[str]
@@ -126,7 +133,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 3, piece: int = 30,
     if k == 0:
         return LanguageField([UNKNOWN], np.zeros((2, BUCKETS, 1), np.float32), np.zeros((2, BUCKETS, 1), np.float32), np.zeros(0, np.uint64), np.zeros((1, 1), np.float32), np.zeros((1, 1)))
     label_of = {n: i for i, n in enumerate(names)}
-    w = words_of(texts)
+    w = _joined([words_of(part) for part in text_slices(texts)])  # in slices, which need far less memory at once
     y = np.repeat([label_of[x] for x in langs], w.per_text)
     found, counts = np.unique(w.spelling, return_counts=True)
     often = found[counts >= 5]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chain import Adam, expectations, marginals
-from .common import held_out, narrowed, slices
+from .common import held_out, narrowed, slices, text_slices
 
 #: Bins of each feature; FEATURES names them in the order of the columns.
 BINS = 8
@@ -108,7 +108,7 @@ def lines_of(texts: list[str]) -> Lines:
             np.select([last & 32 > 0, last & 16 > 0, last & 8 > 0, last & 4 > 0, last & 2 > 0], [1, 2, 3, 4, 5], 0),
         ],
         1,
-    ).astype(np.int64)
+    ).astype(np.int8)
     return Lines(bins, np.maximum(size, 1), per_text)
 
 
@@ -153,7 +153,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 11)
         share = float(np.mean(labels)) if labels else 0.5
         field.doc = np.array([np.log((share + 0.01) / (1.01 - share)), 0.0, 0.0])
         return field
-    lines = lines_of(texts)
+    parts = [lines_of(part) for part in text_slices(texts)]  # in slices, which need far less memory at once
+    lines = Lines(*[np.concatenate([getattr(p, name) for p in parts]) for name in ("bins", "weight", "per_text")])
     rows = field.rows(lines)
     text_first = np.concatenate([[0], np.cumsum(lines.per_text)])
     y_text = np.array(labels)
