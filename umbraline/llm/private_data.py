@@ -37,6 +37,8 @@ GENERAL_BITS = 1.0
 REMOVE_BITS = 0.15
 #: Disclosing terms up to this many are sent to all workers; more are joined by shuffling.
 BROADCAST_TERMS = 20_000
+#: Documents with such terms up to this many are sent to the texts; beyond, texts are shuffled.
+BROADCAST_DOCUMENTS = 50_000
 _WORD = r"\p{L}{4,}"
 
 
@@ -140,7 +142,10 @@ def disclosing_terms(documents: DataFrame, based: DataFrame, support: int = SUPP
     pairs = beside.select("doc_id", "content", "b.entity", "b.window", F.explode("b.terms").alias("term"))
     supported = pairs.select("entity", "term", "window").distinct().groupBy("entity", "term").count().where(F.col("count") >= support).drop("count")
     together = pairs.join(supported, ["entity", "term"]).select("entity", "term", "doc_id", "content").groupBy("entity", "term", "doc_id", "content").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    together = cut(together)
+    # A term's documents are at least those where it stands beside any entity.  Where these
+    # alone leave too much uncertain, counting it in the whole corpus can't change that.
+    least = pairs.select("term", "doc_id", "content").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    together = cut(together.join(least, "term").where(F.log2(F.col("n_beside") / F.col("n_both")) <= general_bits).drop("n_beside"))
     candidates = cut(together.select("term").distinct())
     size = candidates.count()
     if size == 0:
@@ -170,9 +175,11 @@ def find(documents: DataFrame, support: int = SUPPORT, general_bits: float = GEN
     if size == 0:
         return based.select("doc_id", "content", "found", F.array().cast(kind).alias("added"))
     few = size <= BROADCAST_TERMS
-    holding = _documents_with(documents, terms, few).groupBy("doc_id", "content").agg(F.collect_set(F.struct("term", "removed")).alias("terms"))
+    holding = cut(_documents_with(documents, terms, few).groupBy("doc_id", "content").agg(F.collect_set(F.struct("term", "removed")).alias("terms")).withColumnsRenamed({"doc_id": "_id", "content": "_of"}))
+    if holding.count() <= BROADCAST_DOCUMENTS:
+        holding = F.broadcast(holding)
     rows = narrowed(documents, "doc_id", "text").where("text is not null").withColumn("content", F.xxhash64("text"))
-    texts = rows.join(holding.withColumnRenamed("doc_id", "_id"), (rows.content == holding.content) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").drop(holding.content).dropDuplicates(["doc_id", "content"])
+    texts = rows.join(holding, (F.col("content") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_of").dropDuplicates(["doc_id", "content"])
     spot = F.flatten(F.transform("terms", lambda t: F.transform(_placed(F.col("text"), F.concat(F.lit(r"(?iu)(?<!\p{L})"), t["term"], F.lit(r"(?!\p{L})"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), t["removed"].alias("removed")))))
     added = texts.select(F.col("doc_id").alias("_id"), F.col("content").alias("_of"), F.array_sort(spot).alias("all"))
     joined = based.join(added, (F.col("content") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
