@@ -78,7 +78,7 @@ def recovered(seeds: DataFrame, blocks: DataFrame, boxes: DataFrame, depth: int
         new = cut(found.select("video", "frame", "instance", "wanted", "direction", "b.text", "b.left", "b.top", "b.w", "b.h"))
         parts.append(new.withColumn("step", F.lit(n)))
         onward = there.select("video", "instance", "wanted", "direction", "frame").unionByName(new.select("video", "instance", "wanted", "direction", "frame"))
-        known = cut(known.unionByName(new.select("video", "frame", "instance")).distinct())
+        known = known.unionByName(new.select("video", "frame", "instance"))
         level = cut(onward.withColumn("frame", (c("frame") + step).cast("int")).distinct())
         if not level.limit(1).count():
             break

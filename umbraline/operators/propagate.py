@@ -17,6 +17,8 @@ from ..functions import matching as m
 from ..functions import text as t
 from ..session import cut
 
+#: Hits of a round up to this many are sent to the blocks; more are joined by shuffling.
+BROADCAST_HITS = 100_000
 BOX = "x int, y int, w int, h int, text string, score double"
 NAMES = ["x", "y", "w", "h", "text", "score"]
 
@@ -36,10 +38,11 @@ def _best_window(text: Column, part: Column, size: Column, starts: Column) -> Co
     return F.array_max(F.transform(starts, lambda i: t.edit_similarity(F.substring(text, i, size), part)))
 
 
-def partials(hits: DataFrame, blocks: DataFrame, query: str, direction: int, width: int, height: int, least: float = 0.82, shortest: int = 2, metric: str = "sequence") -> DataFrame:
+def partials(hits: DataFrame, blocks: DataFrame, query: str, direction: int, width: int, height: int, least: float = 0.82, shortest: int = 2, metric: str = "sequence", few: bool = False) -> DataFrame:
     """``video, frame (of the part), pos (of the hit)`` and the best part's box, for hits that have one.
 
     Longer text wins, then the better score, then confidence, then the first block.
+    With ``few`` the hits are sent to the blocks; their number must have been checked.
     ``metric`` is ``sequence`` (matching blocks, in Python) or ``edit`` (edit distance, built in;
     a line is then taken as a whole).
     """
@@ -49,13 +52,14 @@ def partials(hits: DataFrame, blocks: DataFrame, query: str, direction: int, wid
     region = g.widened(share("x", width), share("y", height), (c("hit.x") + c("hit.w")) / float(width), (c("hit.y") + c("hit.h")) / float(height))
     looking = hits.select("video", (c("frame") + direction).cast("int").alias("frame"), "pos", F.struct(*NAMES).alias("hit")).select("video", "frame", "pos", F.array(*region).alias("r"))
     r = lambda k: c("r")[k]
-    near = looking.join(blocks, ["video", "frame"]).where(g.intersects(c("left"), c("top"), c("left") + c("w"), c("top") + c("h"), r(0), r(1), r(2), r(3)))
+    near = blocks.join(F.broadcast(looking) if few else looking, ["video", "frame"]).where(g.intersects(c("left"), c("top"), c("left") + c("w"), c("top") + c("h"), r(0), r(1), r(2), r(3)))
     near = near.withColumn("norm", t.normalised(c("text"))).where(F.length("norm") >= shortest)
     # A long line that isn't part of the query can still hold a part: its words are looked at below.
     plain = " ".join(query.lower().split())
     part = edit_part_score(c("norm"), plain) if metric == "edit" else m.part_scores(c("norm"), c("q"))
     scored = near.withColumn("q", wanted).withColumn("part", part).where(c("part") >= least)
-    words = blocks.where("type = 'WORD'").groupBy("video", "frame", "l").agg(F.array_sort(F.collect_list(F.struct("k", "text", "left", "top", "w", "h"))).alias("own"))
+    at = looking.select("video", "frame").distinct()  # no more rows than hits
+    words = blocks.where("type = 'WORD'").join(F.broadcast(at) if few else at, ["video", "frame"], "left_semi").groupBy("video", "frame", "l").agg(F.array_sort(F.collect_list(F.struct("k", "text", "left", "top", "w", "h"))).alias("own"))
     lined = scored.join(words, ["video", "frame", "l"], "left").withColumn("own", F.when(c("type") == "LINE", c("own")))
     whole = F.lit(None).cast("struct<first:int,last:int,score:double>")
     run = lined.withColumn("run", whole if metric == "edit" else m.best_parts(F.transform("own", lambda w: t.normalised(w["text"])), c("q")))
@@ -96,11 +100,11 @@ def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int =
     """Boxes added by walking in ``direction``: ``video, frame, from_pos, box, round``.
 
     ``hits`` has ``video, frame, pos`` and a box, ``blocks`` the recognised lines and words.
-    A frame is walked to only if it has blocks.
+    A frame is walked to only if it has blocks; a hit that finds nothing is left out of later rounds.
     """
     video = hits.schema["video"].dataType.simpleString()
     known = cut(hits.select("video", "frame", "pos", *NAMES))
-    frontier, out = known, None
+    frontier, size, out = known, known.count(), None
     for n in range(rounds):
         there = known.select("video", F.col("frame").alias("frame"), *[F.col(k).alias(f"a_{k}") for k in NAMES])
         here = frontier.select("video", (F.col("frame") + direction).cast("int").alias("frame"), "pos", *[F.col(k).alias(f"b_{k}") for k in NAMES])
@@ -109,17 +113,20 @@ def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int =
         texts = t.normalised(F.col("a_text")), t.normalised(F.col("b_text"))
         same = near.withColumn("same", t.same_text(*texts) if metric == "edit" else m.texts_alike(*texts)).where("same").select("video", "frame", "pos").distinct()
         lost = frontier.join(same.select("video", (F.col("frame") - direction).cast("int").alias("frame"), "pos"), ["video", "frame", "pos"], "left_anti")
-        found = partials(lost, blocks, query, direction, width, height, metric=metric)
+        found = partials(lost, blocks, query, direction, width, height, metric=metric, few=size <= BROADCAST_HITS)
         boxes = known.groupBy("video", "frame").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("there"), F.max("pos").alias("last"))
         grouped = found.join(boxes, ["video", "frame"], "left")
         added = grouped.groupBy("video", "frame").applyInPandas(_accept, f"video {video}, frame int, from_pos int, {BOX}")
         numbered = added.join(boxes.select("video", "frame", "last"), ["video", "frame"], "left").selectExpr("video", "frame", "from_pos", *NAMES, "cast(coalesce(last, -1) + 1 + from_pos as int) pos")
         new = cut(numbered.withColumn("round", F.lit(n)))
-        if not new.limit(1).count():
+        size = new.count()
+        if not size:
             break
         out = new if out is None else out.unionAll(new)
         frontier = new.select("video", "frame", "pos", *NAMES)
-        known = cut(known.unionAll(frontier))
+        known = known.unionAll(frontier)
+        if n % 8 == 7:
+            known = cut(known)
     if out is None:
         out = new
     return out.select("video", "frame", "from_pos", *NAMES, "round")
