@@ -182,4 +182,6 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, width: int = 3) -> Data
     name = fresh(documents, "content")
     marked = documents.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = marked.join(chosen.toDF("_id", "_of"), (F.col(name) == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", name]).drop(name)
+    if found.groupBy("doc_id", "content").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", name])  # moves the texts once more, so only if there are repeated rows
+    return kept.drop(name)
