@@ -18,7 +18,7 @@ from umbraline.llm.common import remove, shared_folder, table
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier doesn't reject."""
     model = line_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return line_quality.rate(docs, model, whole_rows=True).where("predicted = 1").select(*[f"`{c}`" for c in docs.columns])
+    return line_quality.keep_good(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

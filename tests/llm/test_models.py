@@ -92,8 +92,9 @@ def test_quality_of_odd_rows(spark, documents, nothing):
     assert line_quality.rate(nothing, model).count() == 0
     none = line_quality.fit(documents, labels.limit(0))
     assert line_quality.rate(documents, none).where("score between 0 and 1").count() == documents.count()
-    with pytest.raises(ValueError):
-        line_quality.rate(documents, model, whole_rows=True)  # it has a column named score
+    good = line_quality.keep_good(documents, model)
+    assert good.columns == documents.columns
+    assert good.count() == line_quality.rate(documents, model).where("predicted = 1").count()
 
 
 def test_main_text_of_pages(spark):

@@ -47,3 +47,15 @@ def test_stages_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark, documents):
+    names = ("own_id", "own_content", "own_spans", "_id", "_of", "predicted", "n_tokens", "found", "root")
+    docs = documents.selectExpr("*", *[f"doc_id + 100 as {n}" for n in names], "text as `a text`")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if k < 4:
+            assert out.columns == docs.columns
+        else:
+            assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert 0 < out.count() <= docs.count()

@@ -51,7 +51,9 @@ class _Uneven(Exception):
 
 
 class _Memo(dict):
-    """Packed ids by key, for the first ``most`` keys."""
+    """Packed ids by key, for the first ``most`` keys that aren't long."""
+
+    LONGEST = 64
 
     def __init__(self, make, most: int):
         super().__init__()
@@ -59,7 +61,7 @@ class _Memo(dict):
 
     def __missing__(self, key: str) -> bytes:
         ids = self.make(key)
-        if len(self) < self.most:
+        if len(self) < self.most and len(key) <= self.LONGEST:
             self[key] = ids
         return ids
 

@@ -242,7 +242,7 @@ def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` with no word inside an occurrence of a benchmark window."""
-    name = fresh(documents, "content")
-    bad = hits(documents, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("content").alias("_of")).distinct()
+    name, own, of = (fresh(documents, c) for c in ("content", "own_id", "own_content"))
+    bad = hits(documents, benchmark).where("n_hit > 0").select(F.col("doc_id").alias(own), F.col("content").alias(of)).distinct()
     marked = documents.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
-    return marked.join(bad, (F.col(name) == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").drop(name)
+    return marked.join(bad, (F.col(name) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(own)), "left_anti").drop(name)

@@ -215,27 +215,39 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = 1_500) -> Line
     return train(*sample(documents, labels, per_label))
 
 
-def rate(documents: DataFrame, model: LineField, id_column: str = "doc_id", text_column: str = "text", whole_rows: bool = False) -> DataFrame:
-    """``id_column, score, predicted`` for every row, or all its columns and these two.
+def rate(documents: DataFrame, model: LineField, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``id_column, score, predicted`` for every row.
 
     ``score`` is the probability of label 1 and ``predicted`` is 1 from ``GOOD`` on.  Null
-    texts count as empty ones, which the model scores as one empty line; repeated rows stay.
-    With ``whole_rows`` the names ``score`` and ``predicted`` must be free.
+    texts count as empty ones, which the model scores as one empty line; repeated rows stay;
+    other columns are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    rows = documents if whole_rows else narrowed(documents, id_column, text_column)
-    text = rows.columns.index(text_column)
-    kept = list(range(len(rows.columns))) if whole_rows else [0]
-    names = [rows.columns[i] for i in kept]
-    if whole_rows and {"score", "predicted"} & {c.lower() for c in names}:
-        raise ValueError("the rows already have a column named score or predicted")
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    rows = narrowed(documents, id_column, text_column)
+    kind = rows.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = pickle.loads(shared.value)
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                score = field.score(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(score >= GOOD, pa.int32())], names=[id_column, "score", "predicted"])
+
+    return rows.mapInArrow(run, f"`{id_column}` {kind}, score double, predicted int")
+
+
+def keep_good(documents: DataFrame, model: LineField, text_column: str = "text") -> DataFrame:
+    """The rows of ``documents`` that score ``GOOD`` or more, in one pass and without new columns.
+
+    Columns may have any names; null and repeated rows are treated as by ``rate``.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    text = documents.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = pickle.loads(shared.value)
         for batch in batches:
             for part in slices(batch, text, 1 << 20):
-                score = field.score(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], pa.array(score, pa.float64()), pa.array(score >= GOOD, pa.int32())], names=[*names, "score", "predicted"])
+                yield part.filter(pa.array(field.score(part.column(text).to_pylist()) >= GOOD))
 
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return documents.mapInArrow(run, documents.schema)

@@ -212,18 +212,19 @@ def sanitise(documents: DataFrame, support: int = SUPPORT, general_bits: float =
         F.transform("added", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("till"), F.when(x["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("by"))),
     )
     changes = find(documents, support, general_bits, remove_bits).where("size(found) + size(added) > 0")
-    changes = changes.select(F.col("doc_id").alias("_id"), F.col("content").alias("_of"), F.array_sort(spans).alias("_spans")).dropDuplicates(["_id", "_of"])
-    name = fresh(documents, "content")
+    name, own, of, new_spans, new_text = (fresh(documents, c) for c in ("content", "own_id", "own_content", "own_spans", "own_text"))
+    changes = changes.select(F.col("doc_id").alias(own), F.col("content").alias(of), F.array_sort(spans).alias(new_spans)).dropDuplicates([own, of])
     marked = documents.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = marked.join(changes, (F.col(name) == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = marked.join(changes, (F.col(name) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(own)), "left")
     text = F.col("text")
 
     def step(a: Column, x: Column) -> Column:
         return F.when(x["start"] < a["at"], a).otherwise(F.struct((-x["till"]).alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), x["by"]).alias("out")))
 
-    new = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    new = F.when(F.col("_spans").isNull(), text).otherwise(new)
-    out = {"text": new.alias("text")}
+    new = F.aggregate(new_spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    # Under a name of its own: beside a column that is called text again, the expression would read that one.
+    joined = joined.withColumn(new_text, F.when(F.col(new_spans).isNull(), text).otherwise(new))
+    out = {"text": F.col(new_text).alias("text")}
     if "n_chars" in documents.columns:
-        out["n_chars"] = F.length(new).cast(documents.schema["n_chars"].dataType).alias("n_chars")
+        out["n_chars"] = F.length(new_text).cast(documents.schema["n_chars"].dataType).alias("n_chars")
     return joined.select(*[out.get(c, F.col(f"`{c}`")) for c in documents.columns])

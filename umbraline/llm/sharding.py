@@ -29,6 +29,8 @@ SHARDS = 40
 #: Groups of a chunk, about; chunks that are differenced together.
 CHUNK = 4_096
 FAN = 256
+#: Rows that are numbered together, about.
+BIN_ROWS = 50_000
 #: Bytes that a row takes besides its text.
 OVERHEAD = 16
 
@@ -136,7 +138,8 @@ def shard(documents: DataFrame, shards: int = SHARDS, chunk: int = CHUNK, fan: i
     rows = cut(narrowed(documents, "doc_id", "text").select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_of(F.col("text")).alias("group")))
     groups = cut(rows.groupBy("group").agg(F.sum("size").alias("bytes")))
     placed = rows.join(balance(groups, shards, chunk, fan), "group").drop("group")
-    out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot")
+    # So many bins that none has many rows, even if one shard has nearly all of them.
+    out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot", max(64, math.ceil(rows.count() / BIN_ROWS)))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -179,9 +179,9 @@ def keep_one(documents: DataFrame, radius: int = RADIUS, width: int = 3) -> Data
     found = near_duplicates(documents, radius, width)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")
     chosen = found.groupBy("root").agg(F.min(order).alias("own")).select("own.doc_id", "own.content")
-    name = fresh(documents, "content")
+    name, own, of = (fresh(documents, c) for c in ("content", "own_id", "own_content"))
     marked = documents.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = marked.join(chosen.toDF("_id", "_of"), (F.col(name) == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = marked.join(chosen.toDF(own, of), (F.col(name) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
     if found.groupBy("doc_id", "content").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", name])  # moves the texts once more, so only if there are repeated rows
     return kept.drop(name)

@@ -26,7 +26,8 @@ WORD_START = "▁"
 class LongestMatch:
     """Greedy longest-match-first piece counts of single words."""
 
-    MEMO = 500_000
+    #: Words whose counts are kept, and how long they may be.
+    MEMO, LONGEST = 500_000, 64
 
     def __init__(self, pieces: Iterable[str]):
         self.child: list[dict[str, int]] = [{}]
@@ -96,7 +97,7 @@ class LongestMatch:
                 n = memo.get(word)
                 if n is None:
                     n = self.count(WORD_START + word)
-                    if len(memo) < self.MEMO:
+                    if len(memo) < self.MEMO and len(word) <= self.LONGEST:
                         memo[word] = n
                 words += 1
                 tokens += n or 1
