@@ -36,3 +36,19 @@ def test_same_rows_as_sql(spark, other, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs_without_sql(spark, name):
     assert QUERIES[name](spark, SF).columns
+
+
+def test_walks_read_whole_turns(spark, tmp_path):
+    filler = [f"x{i}" for i in range(30)]
+    turn = lambda word: " ".join([*filler[:20], word, *filler[21:]])
+    texts = ["plain", *map(turn, ["he", "the", "he", "th"])]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)] + [(2, i, "user", turn("the" if i == 0 else "then") + " of") for i in range(12)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    hits, words = queries._turns(spark, str(tmp_path))
+    assert words.count() == sum(len(r[3].split()) for r in rows)
+    assert words.select("video", "frame", "left", "top").distinct().count() == words.count()
+    assert sorted((r["video"], r["frame"], r["pos"]) for r in hits.collect()) == [(1, 3, 20), (2, 1, 20)]
+    back = QUERIES["backtrack_difflib"](spark, str(tmp_path)).collect()
+    assert [(r["video"], r["frame"], r["text"]) for r in back] == [(1, 2, "he")]
+    walked = {r["step"] for r in QUERIES["prompt_cascade"](spark, str(tmp_path)).where("video = 2").collect()}
+    assert walked == set(range(11))

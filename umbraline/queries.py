@@ -614,13 +614,16 @@ def prompt_flat_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Conversation turns as frames: the first words of a turn are its blocks, some of them hits."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video"), (F.col("turn") + 1).cast("int").alias("frame"), F.slice(F.split(F.lower("text"), r"\s+"), 1, 12).alias("ws"))
-    each = turns.select("video", "frame", F.posexplode("ws").alias("k", "text")).where("text <> ''")
-    place = [F.lit(0).alias("l"), "k", F.lit("WORD").alias("type"), "text", (50.0 + F.col("k")).alias("confidence"), (F.col("k") % 3 * 0.1).alias("left"), F.lit(0.1).alias("top"), F.lit(0.07).alias("w"), F.lit(0.05).alias("h")]
+    """Conversation turns as frames: all words of a turn are its blocks, in rows of twelve, and each ``the`` is a hit.
+
+    Rows are 0.04 high, or less where a turn has more rows than fit, so that no two words share a place.
+    """
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video"), (F.col("turn") + 1).cast("int").alias("frame"), F.split(F.lower("text"), r"\s+").alias("ws"))
+    each = turns.select("video", "frame", F.least(F.lit(0.04), 1 / F.ceil(F.size("ws") / 12)).alias("row"), F.posexplode("ws").alias("k", "text")).where("text <> ''")
+    place = [F.lit(0).alias("l"), "k", F.lit("WORD").alias("type"), "text", (50.0 + F.col("k") % 50).alias("confidence"), (F.col("k") % 12 * 0.08).alias("left"), (F.floor(F.col("k") / 12) * F.col("row")).alias("top"), F.lit(0.07).alias("w"), (F.col("row") * 0.9).alias("h")]
     words = each.select("video", "frame", *place)
     box = g.to_pixels(F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.lit(1600), F.lit(900))
-    hits = words.where("text = 'the' and frame % 2 = 1").select("video", "frame", F.col("k").alias("pos"), box.alias("b"), "text", F.lit(1.0).alias("score")).select("video", "frame", "pos", "b.*", "text", "score")
+    hits = words.where("text = 'the'").select("video", "frame", F.col("k").alias("pos"), box.alias("b"), "text", F.lit(1.0).alias("score")).select("video", "frame", "pos", "b.*", "text", "score")
     return hits, words
 
 
@@ -641,7 +644,7 @@ def prompt_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, words = _turns(spark, sf_dir)
     boxes = words.where(F.col("text").isin("the", "of", "and", "de", "que")).select("video", "frame", "text", t.text_instance(F.lit("L0"), F.col("text")).alias("instance")).distinct()
     seeds = link.transition_seeds(boxes, F.col("instance"))
-    return cascade.recovered(seeds, words, boxes, depth=6).select("video", "frame", "instance", "direction", "text", "step")
+    return cascade.recovered(seeds, words, boxes).select("video", "frame", "instance", "direction", "text", "step")
 
 
 @query("cascade_chains")
