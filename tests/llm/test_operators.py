@@ -193,6 +193,14 @@ def test_sharding(spark, documents, nothing):
     assert len(sums) == 8 and max(sums) - min(sums) < total / 8 * 0.02
 
 
+def test_a_heavy_group_is_offset_in_any_number_of_groups(spark):
+    sizes = [int(b) for b in np.random.default_rng(4).exponential(1000, 20_000) + 10]
+    for share in (0.01, 0.02):
+        parts = spark.createDataFrame([(str(i), b) for i, b in enumerate([*sizes, int(share * sum(sizes))])], "group string, bytes long")
+        sums = [r["s"] for r in sharding.balance(parts).join(parts, "group").groupBy("shard").agg({"bytes": "sum"}).toDF("shard", "s").collect()]
+        assert len(sums) == sharding.SHARDS and max(sums) < 1.01 * sum(sums) / sharding.SHARDS
+
+
 def test_differencing_keeps_every_part():
     parts = np.zeros((50, 4), np.int64)
     parts[:, 0] = np.random.default_rng(2).integers(1, 1000, 50)

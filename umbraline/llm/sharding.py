@@ -5,11 +5,11 @@ of its own: its bytes in one shard, nothing in the others.  Differencing repeate
 the two partial partitions with the largest spread and adds one to the other in opposite
 order, the fullest shards to the emptiest, until one is left.
 
-Groups are dealt into chunks of bounded size by a hash of their text; each chunk is
-differenced by itself.  What is left of a chunk is again a partial partition, of as many
-numbers as shards, and so chunks are differenced in the same way, ``FAN`` at a time, level
-by level, until one partition stands.  A row finds its shard through its group's place in
-the chunk and the chunk's places in the levels above.
+Up to ``CHUNK`` groups are differenced together, each as a part of its own.  Of more groups,
+the heavy ones stay parts of their own and the others are added up by a hash of their text
+into a bounded number of bundles, each in one place.  No more groups can be heavy than there
+are bundles, so one step of bounded size differences all parts, whatever the input, and a
+heavy group is offset by as much as it takes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, narrowed
 
 SHARDS = 40
-#: Groups of a chunk, about; chunks that are differenced together.
+#: Groups that are differenced singly, and bundles at least; bundles for each shard at least.
 CHUNK = 4_096
 FAN = 256
 #: Rows that are numbered together, about.
@@ -73,23 +73,17 @@ def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return to, np.asarray(sums[-1])
 
 
-def _chunked(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _differenced(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("group", kind="stable")
+        pdf = pdf.sort_values("part", kind="stable")
         parts = np.zeros((len(pdf), shards), np.int64)
         parts[:, 0] = pdf["bytes"]
-        to, sums = difference(parts)
-        return pd.DataFrame({"group": pdf["group"], "chunk": pdf["chunk"], "place": to[:, 0].astype(np.int32), "sums": [sums.tolist()] * len(pdf)})
+        to, _ = difference(parts)
+        return pd.DataFrame({"part": pdf["part"], "shard": to[:, 0].astype(np.int32)})
 
     return run
 
 
-def _levelled(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("node", kind="stable")
-    to, sums = difference(np.array(pdf["sums"].tolist(), np.int64))
-    return pd.DataFrame({"node": pdf["node"], "parent": pdf["parent"], "to": to.astype(np.int32).tolist(), "sums": [sums.tolist()] * len(pdf)})
-
-
 def group_of(text: Column) -> Column:
     """A 256-bit digest that stands for the text; null counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
@@ -97,19 +91,15 @@ def group_of(text: Column) -> Column:
 
 def balance(groups: DataFrame, shards: int = SHARDS, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``group, shard`` for the rows ``group, bytes``: near-equal bytes, by differencing."""
-    total = groups.count()
-    chunks = max(1, math.ceil(total / chunk))
-    dealt = groups.select("group", "bytes", F.pmod(F.xxhash64("group"), F.lit(chunks)).cast("int").alias("chunk"))
-    placed = cut(dealt.groupBy("chunk").applyInPandas(_chunked(shards), "group string, chunk int, place int, sums array<bigint>"))
-    level = placed.groupBy(F.col("chunk").alias("node")).agg(F.first("sums").alias("sums"))
-    where = placed.select("group", F.col("chunk").alias("node"), "place")
-    while chunks > 1:
-        parents = math.ceil(chunks / fan)
-        joined = cut(level.withColumn("parent", F.expr(f"cast(node div {fan} as int)")).groupBy("parent").applyInPandas(_levelled, "node int, parent int, to array<int>, sums array<bigint>"))
-        where = where.join(joined.select("node", "parent", "to"), "node").select("group", F.col("parent").alias("node"), F.element_at("to", F.col("place") + 1).alias("place"))
-        level = joined.groupBy(F.col("parent").alias("node")).agg(F.first("sums").alias("sums"))
-        chunks = parents
-    return where.select("group", F.col("place").alias("shard"))
+    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    part = F.col("group")
+    if n > chunk:
+        bundles = max(chunk, fan * shards)
+        part = F.when(F.col("bytes") > total / bundles, part).otherwise(F.concat(F.lit("bundle "), F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("string")))
+    dealt = groups.select("group", "bytes", part.alias("part"))
+    parts = dealt.groupBy("part").agg(F.sum("bytes").alias("bytes"))
+    placed = cut(parts.groupBy(F.lit("all")).applyInPandas(_differenced(shards), "part string, shard int"))
+    return dealt.join(F.broadcast(placed), "part").select("group", "shard")
 
 
 def numbered(rows: DataFrame, by: str, order: list[str], name: str, spread: int = 64) -> DataFrame:
