@@ -242,6 +242,15 @@ def test_terms_that_disclose(spark):
     assert not found[10] and not found[51]
 
 
+def test_terms_of_equal_and_far_surroundings_disclose(spark):
+    plain = "so it is and so it was for all of us on and on "
+    passage = plain * 3 + "for the Quillfeather at q@x.org " + plain * 3
+    rows = [(i, f"Zanthorp {plain * 10} {passage} alone{i}") for i in range(6)] + [(10 + i, plain * 2 + "alone") for i in range(30)] + [(50, "Quillfeather, once more"), (51, "once r@x.org solitary")]
+    found = {r["doc_id"]: r["added"] for r in private_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [x["value"] for x in found[0]] == ["Zanthorp", "Quillfeather"] and [x["value"] for x in found[50]] == ["Quillfeather"]
+    assert not found[10] and not found[51]
+
+
 def test_queries_return_the_stated_columns(spark):
     sf = "/root/testdata/sf0.001"
     want = {

@@ -8,9 +8,10 @@ which a term t beside it gives away PMI(e; t) = log2 P(e, t) / (P(e) P(t)).  If
 than ``GENERAL_BITS`` of IC(e) stay uncertain, the term discloses the entity and is
 generalised; if no more than ``REMOVE_BITS`` do, it is removed.
 
-Context is a window of ``REACH`` characters on either side of an entity, so what is
-counted grows with the number of entities; only terms that stand beside the same entity in
-``SUPPORT`` different windows are counted in the whole corpus.
+Context is the whole text of a document that holds an entity, without its entities.  Pairs
+of an entity and a term are counted in documents.  A pair of fewer than ``SUPPORT`` documents
+isn't left out; those it lacks are filled up with documents that hold the term, and the
+entity as often as the corpus does, so that one document alone discloses hardly anything.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = "term"
-REACH = 80
 SUPPORT = 3
 GENERAL_BITS = 1.0
 REMOVE_BITS = 0.15
@@ -103,60 +103,68 @@ def entities(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def _windows(text: Column, found: Column) -> Column:
-    """(entity, window, terms) of each entity: the whole words beside it, without itself."""
-    left = lambda x: F.regexp_replace(F.substring(text, F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))), F.when(x["start"] > REACH, r"^\p{L}+").otherwise(r"\A(?!\A)"), F.lit(""))
-    right = lambda x: F.regexp_replace(F.substring(text, x["end"] + 1, F.lit(REACH)), F.when(F.length(text) > x["end"] + REACH, r"\p{L}+$").otherwise(r"\A(?!\A)"), F.lit(""))
+def _words(text: Column) -> Column:
+    """The different terms of a text: whole runs of four or more letters, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}}){_WORD}"), F.lit(0)))
 
-    def window(x: Column) -> Column:
-        beside = F.lower(F.concat(left(x), F.lit(" | "), right(x)))
-        return let(beside, lambda b: F.struct(F.concat(x["kind"], F.lit(":"), F.lower(x["value"])).alias("entity"), F.xxhash64(b).alias("window"), F.array_distinct(F.regexp_extract_all(b, F.lit(_WORD), F.lit(0))).alias("terms")))
 
-    return F.transform(found, window)
+def _without(text: Column, found: Column) -> Column:
+    """The text with a bar in place of its entities."""
+    spans = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
 
+    def step(a: Column, x: Column) -> Column:
+        gap = F.when(x["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(" | "))).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), gap.alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
-def base_spans(documents: DataFrame, windows: bool = False) -> DataFrame:
-    """``doc_id, content, found`` for every row, and with ``windows`` the terms beside the entities."""
+
+def base_spans(documents: DataFrame, beside: bool = False) -> DataFrame:
+    """``doc_id, content, found`` for every row, and with ``beside`` the different entities and the terms beside them."""
     rows = narrowed(documents, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("content"), entities(F.col("text")).alias("found"))
-    if not windows:
+    if not beside:
         return rows.drop("text")
-    none = F.array().cast("array<struct<entity:string,window:bigint,terms:array<string>>>")
-    return rows.select("doc_id", "content", "found", F.when(F.size("found") > 0, _windows(F.col("text"), F.col("found"))).otherwise(none).alias("beside"))
+    some, none = F.size("found") > 0, F.array().cast("array<string>")
+    own = F.array_distinct(F.transform("found", lambda x: F.concat(x["kind"], F.lit(":"), F.lower(x["value"]))))
+    return rows.select("doc_id", "content", "found", own.alias("own"), F.when(some, _words(_without(F.col("text"), F.col("found")))).otherwise(none).alias("terms"))
 
 
 def _documents_with(documents: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
     """``doc_id, content, term`` for every document and each of the ``terms`` that it has."""
     rows = narrowed(documents, "doc_id", "text").where("text is not null")
-    words = rows.select("doc_id", F.xxhash64("text").alias("content"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})\p{L}{4,}"), F.lit(0)))).alias("term"))
+    words = rows.select("doc_id", F.xxhash64("text").alias("content"), F.explode(_words(F.col("text"))).alias("term"))
     return words.join(F.broadcast(terms) if few else terms, "term")
 
 
 def disclosing_terms(documents: DataFrame, based: DataFrame, support: int = SUPPORT, general_bits: float = GENERAL_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
     """``term, removed, bits``: terms that disclose an entity, and how uncertain they leave it at most.
 
-    ``based`` is ``base_spans(documents, windows=True)``.  Terms are whole runs of four or more
-    letters in lower case.  Equal windows (copies) support a pair once.
+    ``based`` is ``base_spans(documents, beside=True)``.
     """
-    beside = based.select("doc_id", "content", F.explode("beside").alias("b"))
-    pairs = beside.select("doc_id", "content", "b.entity", "b.window", F.explode("b.terms").alias("term"))
-    supported = pairs.select("entity", "term", "window").distinct().groupBy("entity", "term").count().where(F.col("count") >= support).drop("count")
-    together = pairs.join(supported, ["entity", "term"]).select("entity", "term", "doc_id", "content").groupBy("entity", "term", "doc_id", "content").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    c = F.col
+    n = F.lit(based.count())
+    holding = based.where(F.size("found") > 0).select("doc_id", "content", "own", "terms").dropDuplicates(["doc_id", "content"])
+    own = holding.select(F.explode("own").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    each = holding.select("own", F.explode("terms").alias("term"))
+    least = each.groupBy("term").agg(F.count("*").alias("n_beside"))
+    lacking = F.greatest(F.lit(0), support - c("n_both"))
+
+    def uncertain(n_term: Column) -> Column:
+        share = (c("n_both") + lacking * c("n_entity") / n) / (n_term + lacking)
+        return F.greatest(F.lit(0.0), -F.log2(share))
+
     # A term's documents are at least those where it stands beside any entity.  Where these
     # alone leave too much uncertain, counting it in the whole corpus can't change that.
-    least = pairs.select("term", "doc_id", "content").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    together = cut(together.join(least, "term").where(F.log2(F.col("n_beside") / F.col("n_both")) <= general_bits).drop("n_beside"))
+    counted = each.select(F.explode("own").alias("entity"), "term").groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(own, "entity").join(least, "term")
+    together = cut(counted.where(uncertain(c("n_beside")) <= general_bits).drop("n_beside"))
     candidates = cut(together.select("term").distinct())
     size = candidates.count()
     if size == 0:
         return candidates.selectExpr("term", "false removed", "cast(0 as double) bits")
     n_term = _documents_with(documents, candidates, size <= BROADCAST_TERMS).groupBy("term").agg(F.count("*").alias("n_term"))
-    own = beside.select("b.entity", "doc_id", "content").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n = F.lit(based.count())
-    counted = together.join(n_term, "term").join(own, "entity")
-    ic = F.log2(n / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
-    scored = counted.select("term", F.greatest(F.lit(0.0), ic - pmi).alias("bits"), ic.alias("ic")).where((F.col("bits") <= general_bits) & (F.col("ic") > general_bits))
+    ic = F.log2(n / c("n_entity"))
+    scored = together.join(n_term, "term").select("term", uncertain(c("n_term")).alias("bits"), ic.alias("ic")).where((c("bits") <= general_bits) & (c("ic") > general_bits))
     return scored.groupBy("term").agg((F.min("bits") <= remove_bits).alias("removed"), F.min("bits").alias("bits"))
 
 
@@ -168,7 +176,7 @@ def find(documents: DataFrame, support: int = SUPPORT, general_bits: float = GEN
     Null texts count as empty and have neither; repeated rows stay; columns but doc_id and
     text are not read; an empty table gives an empty one.
     """
-    based = cut(base_spans(documents, windows=True))
+    based = cut(base_spans(documents, beside=True))
     terms = cut(disclosing_terms(documents, based, support, general_bits, remove_bits))
     size = terms.count()
     kind = "array<struct<start:int,end:int,value:string,removed:boolean>>"
