@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from umbraline.llm import byte_bpe, decontaminate, private_data, quality_rules, queries, sharding, simhash, wordpiece
+from umbraline.llm import byte_bpe, decontaminate, html_text, private_data, quality_rules, queries, sharding, simhash, wordpiece
 
 from conftest import PASSAGE  # isort: skip
 
@@ -251,6 +251,15 @@ def test_terms_of_equal_and_far_surroundings_disclose(spark):
     assert not found[10] and not found[51]
 
 
+def test_pages_keep_the_whole_article():
+    first, second, menu = "The first part of it. " * 8, "And the second part. " * 12, "<nav><a>Home</a><a>News</a></nav>"
+    want = f"Heading\n\n{first.strip()}\n\n{second.strip()}"
+    article = f"<article><h1>Heading</h1><div>{first}</div><div>{second}</div></article>"
+    for page in (article, f"<form>{article}</form>", f"<div class='has-sidebar'>{article}</div>", f"<html><head><title>x</title><body>{article}"):
+        assert html_text.main_text(page.replace("<article>", menu + "<article>", 1)) == want
+    assert html_text.main_text(f"<body>{article}<div class='sidebar'>{first}</div></body>") == want
+
+
 def test_queries_return_the_stated_columns(spark):
     sf = "/root/testdata/sf0.001"
     want = {

@@ -5,8 +5,10 @@ block-level tags, each with the number of tags met in it and the path of open el
 Each line has a text-to-tag ratio; a Gaussian smooths the ratios along the page, so that
 a short paragraph inside a long article shares its neighbours' ratio; two clusters (a
 threshold between their centres) part content from the rest.  The content region is the
-lowest element that holds most of the content lines' characters.  Lines of the region
-stay, but for those inside elements that are never part of an article.
+lowest element that holds most of the content lines' characters, or the highest one above
+it up to an enclosing article, main or body that adds content lines.  Lines of the region
+stay, but for those inside elements that are never part of an article.  A form, or an
+element marked only by its attributes, that holds most of the page's text is part of it.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ class Node:
     tag: str
     parent: Node | None
     depth: int
-    outside: bool
+    marked: bool
     silent: bool
+    size: int = 0
+    outside: bool = False
 
 
 @dataclass(slots=True)
@@ -100,10 +104,21 @@ class Page(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
+        if tag == "body" or tag in BLOCKS and self.node.tag == "head":
+            self._close_head()
         node = self.node
-        out = node.outside or tag in OUTSIDE or bool(attrs and _marked(tag, attrs)) or tag == "header" and not self._within("article", "main")
+        out = tag in OUTSIDE or bool(attrs and _marked(tag, attrs)) or tag == "header" and not self._within("article", "main")
         self.node = Node(tag, node, node.depth + 1, out, node.silent or tag in SILENT)
 
+    def _close_head(self) -> None:
+        """Close an open head, and what is open in it."""
+        node = self.node
+        while node.parent is not None:
+            if node.tag == "head":
+                self.node = node.parent
+                return
+            node = node.parent
+
     def _within(self, *tags: str) -> bool:
         node = self.node
         while node is not None:
@@ -170,10 +185,29 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _part(lines: list[Line]) -> None:
+    """Say of every element with lines whether it is outside the article: it or one above it is
+    marked so, and that one isn't a wrapper (a form, or what only its name or class marks) that
+    holds most of the page's text."""
+    total = 0
+    for x in lines:
+        total += len(x.text)
+        node = x.node
+        while node is not None:
+            node.size += len(x.text)
+            node = node.parent
+    for x in lines:
+        node = x.node
+        while node is not None and not x.node.outside:
+            x.node.outside = node.marked and (2 * node.size <= total or node.tag in OUTSIDE and node.tag != "form")
+            node = node.parent
+
+
 def main_lines(lines: list[Line], sigma: float = 1.0) -> list[str]:
     """The blocks of the content region, in page order."""
     if not lines:
         return []
+    _part(lines)
     ratios = np.array([0.0 if x.node.outside else len(x.text) / max(1, x.tags) for x in lines])
     if not ratios.any():
         return []
@@ -196,6 +230,12 @@ def main_lines(lines: list[Line], sigma: float = 1.0) -> list[str]:
     region = max((n for k, n in nodes.items() if 2 * weight[k] > total), key=lambda n: n.depth)
     while region.parent is not None and region.tag not in ("article", "main", "div", "section", "body", "td"):
         region = region.parent
+    # Blocks beside it with content belong to it, up to the article, main or body around them.
+    above = region
+    while above.parent is not None and above.tag not in ("article", "main", "body"):
+        above = above.parent
+        if weight[id(above)] > weight[id(region)]:
+            region = above
     return [x.text for x in lines if not x.node.outside and _inside(x.node, region)]
 
 
