@@ -2,13 +2,21 @@
 
 The standard library's streaming parser turns a page into lines: runs of text between
 block-level tags, each with the number of tags met in it and the path of open elements.
-Each line has a text-to-tag ratio; a Gaussian smooths the ratios along the page, so that
-a short paragraph inside a long article shares its neighbours' ratio; two clusters (a
-threshold between their centres) part content from the rest.  The content region is the
-lowest element that holds most of the content lines' characters, or the highest one above
-it up to an enclosing article, main or body that adds content lines.  Lines of the region
-stay, but for those inside elements that are never part of an article.  A form, or an
-element marked only by its attributes, that holds most of the page's text is part of it.
+Each line has a text-to-tag ratio (text inside links doesn't count); a Gaussian smooths the
+ratios along the page, and two clusters of their logarithms (a threshold between the
+centres) part content from the rest.
+
+What elements are called only weighs on the ratio: an element whose class, id or state
+says that it is no part of an article divides the smoothed ratios of its lines by
+``1 / DOUBT``, once for each such element around them, so a page on which all content lies in
+such elements keeps it.  Elements that HTML itself sets apart (nav, footer, ...) weigh zero.
+
+The content region is the lowest element that holds two thirds of the content lines'
+characters, or the article around it.  In the region stay the lines whose own and smoothed
+ratios belong to the content cluster; lines of a kind (same parent, same tag) with one of
+these; lines between them that aren't made of links (in an article: from its first line to
+its last); and headings right before them.  Lines that weigh less than the region's content
+never stay but by their own ratio.
 """
 
 from __future__ import annotations
@@ -27,10 +35,17 @@ from .common import narrowed, slices
 # Element names of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video math".split())
-OUTSIDE = frozenset("nav footer aside form menu button select dialog".split())
+SILENT = frozenset("script style noscript template head title iframe object svg canvas audio video math textarea".split())
+APART = frozenset("nav footer aside menu button select dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Blocks that hold a run of text rather than other blocks: never a content region.
+TEXT_BLOCKS = HEADINGS | frozenset("p li td th dd dt pre blockquote figcaption summary address".split())
 #: Words in a class, id or role that mark what is no part of an article.
-OUTSIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|hidden|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: What a doubtful element leaves of its lines' ratios.
+DOUBT = 0.001
+#: Share of the content's characters that the region holds.
+REGION = 2 / 3
 #: Open elements that a new one of the same kind (or any block, for p) closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -40,17 +55,31 @@ class Node:
     tag: str
     parent: Node | None
     depth: int
-    marked: bool
+    weight: float
     silent: bool
-    size: int = 0
-    outside: bool = False
+    link: bool
 
 
 @dataclass(slots=True)
 class Line:
     node: Node
-    text: str
+    parts: list[tuple[float, bool, str]]  # weight, whether in a link, text
     tags: int
+    weight: float = 0.0  # the most of any part
+    size: int = 0  # characters of the parts of that weight
+    linked: int = 0  # those of them in links
+
+    def __post_init__(self):
+        self.weight = max(w for w, _, t in self.parts if t.strip())
+        for w, link, t in self.parts:
+            if w == self.weight:
+                n = len(" ".join(t.split()))
+                self.size += n
+                self.linked += n * link
+
+    def text(self, least: float) -> str:
+        """What is left without the inline elements that weigh less."""
+        return " ".join("".join(t for w, _, t in self.parts if w >= least).split())
 
 
 @dataclass
@@ -61,15 +90,14 @@ class Page(HTMLParser):
 
     def __post_init__(self):
         HTMLParser.__init__(self, convert_charrefs=True)
-        self.node = Node("", None, 0, False, False)
-        self.parts: list[str] = []
+        self.node = Node("", None, 0, 1.0, False, False)
+        self.parts: list[tuple[float, bool, str]] = []
         self.tags = 0
 
     def flush(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text and not self.node.silent:
-                self.lines.append(Line(self._block(), text, self.tags))
+            if any(t and not t.isspace() for _, _, t in self.parts):
+                self.lines.append(Line(self._block(), self.parts, self.tags))
             self.parts = []
         self.tags = 0
 
@@ -100,15 +128,18 @@ class Page(HTMLParser):
             if tag in CLOSES:
                 self._close(CLOSES[tag])
         if tag == "br":
-            self.parts.append("\n")
+            self._add("\n")
         self.tags += 1
         if tag in VOID:
             return
         if tag == "body" or tag in BLOCKS and self.node.tag == "head":
             self._close_head()
         node = self.node
-        out = tag in OUTSIDE or bool(attrs and _marked(tag, attrs)) or tag == "header" and not self._within("article", "main")
-        self.node = Node(tag, node, node.depth + 1, out, node.silent or tag in SILENT)
+        if tag in APART or tag == "header" and not self._within("article", "main"):
+            weight = 0.0
+        else:
+            weight = node.weight * DOUBT if tag == "form" or attrs and _doubtful(tag, attrs) else node.weight
+        self.node = Node(tag, node, node.depth + 1, weight, node.silent or tag in SILENT, node.link or tag == "a")
 
     def _close_head(self) -> None:
         """Close an open head, and what is open in it."""
@@ -144,9 +175,13 @@ class Page(HTMLParser):
         if node.parent is not None:
             self.node = node.parent
 
+    def _add(self, data: str) -> None:
+        node = self.node
+        self.parts.append((node.weight, node.link, data))
+
     def handle_data(self, data: str) -> None:
         if not self.node.silent:
-            self.parts.append(data)
+            self._add(data)
 
     def end(self) -> list[Line]:
         self.close()
@@ -154,12 +189,12 @@ class Page(HTMLParser):
         return self.lines
 
 
-def _marked(tag: str, attrs: list) -> bool:
+def _doubtful(tag: str, attrs: list) -> bool:
     """Whether its attributes say that an element is hidden or no part of an article."""
     for k, v in attrs:
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
             return True
-        if v and k in ("class", "id", "role", "aria-label") and tag not in ("html", "body", "article", "main") and OUTSIDE_WORDS.search(v):
+        if v and k in ("class", "id", "role", "aria-label") and tag not in ("html", "body", "article", "main") and DOUBTFUL.search(v):
             return True
     return False
 
@@ -185,58 +220,61 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _part(lines: list[Line]) -> None:
-    """Say of every element with lines whether it is outside the article: it or one above it is
-    marked so, and that one isn't a wrapper (a form, or what only its name or class marks) that
-    holds most of the page's text."""
-    total = 0
-    for x in lines:
-        total += len(x.text)
-        node = x.node
-        while node is not None:
-            node.size += len(x.text)
-            node = node.parent
-    for x in lines:
-        node = x.node
-        while node is not None and not x.node.outside:
-            x.node.outside = node.marked and (2 * node.size <= total or node.tag in OUTSIDE and node.tag != "form")
-            node = node.parent
+def content_lines(lines: list[Line], sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line, whether its smoothed ratio belongs to the content cluster, and its own too."""
+    own = np.array([(x.size - x.linked) / max(1, x.tags) for x in lines])
+    weight = np.array([x.weight for x in lines])
+    smooth = np.log1p(smoothed(np.where(weight > 0, own, 0.0), sigma) * weight)
+    top = threshold(smooth)
+    content = (smooth >= top) & (smooth > 0)
+    return content, content & (np.log1p(own * weight) >= top)
 
 
-def main_lines(lines: list[Line], sigma: float = 1.0) -> list[str]:
-    """The blocks of the content region, in page order."""
-    if not lines:
-        return []
-    _part(lines)
-    ratios = np.array([0.0 if x.node.outside else len(x.text) / max(1, x.tags) for x in lines])
-    if not ratios.any():
-        return []
-    smooth = smoothed(ratios, sigma)
-    content = (smooth >= threshold(smooth)) & (ratios > 0)
+def main_lines(lines: list[Line], sigma: float = 1.0, clusters: bool = True) -> list[str]:
+    """The blocks of the content region, in page order.
+
+    Without ``clusters`` every line with a weight is content; that is for comparison only.
+    """
+    if clusters:
+        content, strong = content_lines(lines, sigma) if lines else (np.zeros(0, bool),) * 2
+    else:
+        content = strong = np.array([x.weight > 0 for x in lines], bool)
     if not content.any():
-        content = ratios > 0
+        return []
     # The lowest element with most of the content: an article rather than its longest paragraph.
-    weight: dict[int, int] = {}
+    held: dict[int, int] = {}
     nodes: dict[int, Node] = {}
-    total = 0
+    weights: dict[float, int] = {}
     for x, keep in zip(lines, content, strict=True):
         if keep:
-            total += len(x.text)
-            node = x.node if x.node.tag not in ("p", "li", "td", "th", "dd", "dt", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption") else x.node.parent
+            weights[x.weight] = weights.get(x.weight, 0) + x.size
+            node = x.node
             while node is not None:
-                weight[id(node)] = weight.get(id(node), 0) + len(x.text)
+                held[id(node)] = held.get(id(node), 0) + x.size
                 nodes[id(node)] = node
                 node = node.parent
-    region = max((n for k, n in nodes.items() if 2 * weight[k] > total), key=lambda n: n.depth)
-    while region.parent is not None and region.tag not in ("article", "main", "div", "section", "body", "td"):
-        region = region.parent
-    # Blocks beside it with content belong to it, up to the article, main or body around them.
+    total, least = sum(weights.values()), max(weights, key=lambda w: (weights[w], w))
+    region = max((n for k, n in nodes.items() if held[k] >= REGION * total and (n.tag not in TEXT_BLOCKS or n.parent is None)), key=lambda n: n.depth)
     above = region
-    while above.parent is not None and above.tag not in ("article", "main", "body"):
+    while above is not None and above.tag != "article":
         above = above.parent
-        if weight[id(above)] > weight[id(region)]:
-            region = above
-    return [x.text for x in lines if not x.node.outside and _inside(x.node, region)]
+    region = above or region
+    inside = [_inside(x.node, region) for x in lines]
+    kind = [(id(x.node.parent if x.node.tag in TEXT_BLOCKS else x.node), x.node.tag) for x in lines]
+    sure = [i for i, x in enumerate(lines) if inside[i] and strong[i] and x.weight >= least] or [i for i in range(len(lines)) if inside[i] and content[i]]
+    kinds = {kind[i] for i in sure}
+    alike = [i for i, x in enumerate(lines) if inside[i] and x.weight >= least and kind[i] in kinds]
+    whole = [i for i in range(len(lines)) if inside[i] and region.tag == "article"]
+    first, last = min(alike + sure + whole), max(alike + sure + whole)
+    while first and lines[first - 1].node.tag in HEADINGS and lines[first - 1].weight >= least and (inside[first - 1] or lines[first - 1].node.parent is region.parent):
+        first -= 1
+        inside[first] = True
+    out = []
+    for i, x in enumerate(lines):
+        between = first <= i <= last and 2 * x.linked <= x.size
+        if inside[i] and (strong[i] or x.weight >= least and (between or kind[i] in kinds)) and (text := x.text(min(least, x.weight))):
+            out.append(text)
+    return out
 
 
 def _inside(node: Node | None, region: Node) -> bool:
@@ -259,7 +297,8 @@ def extract(pages: DataFrame, sigma: float = 1.0, html_column: str = "html", kee
     """The columns of ``keep``, ``text`` and ``n_chars`` (code points) for every page.
 
     Null, empty and text-free pages give an empty text; broken markup is read as far as
-    the parser goes; repeated rows stay; columns not named are not read.
+    the parser goes; repeated rows stay; columns not named are not read.  A page whose only
+    text stands in elements that HTML sets apart (nav, footer, ...) has none.
     """
     rows = narrowed(pages, *keep, html_column)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
