@@ -91,8 +91,9 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT))::DOUBLE AS bad FROM f GROUP BY source),
 m AS (SELECT avg(bad / n) AS m, var_samp(bad / n) AS v, avg(1.0::DOUBLE / n) AS chance FROM h),
 p AS (SELECT m, greatest(v - m * (1 - m) * chance, 0) AS b FROM m),
-k AS (SELECT m, coalesce(greatest(1, least(100, CASE WHEN b > 0 THEN m * (1 - m) / b - 1 ELSE 100 END)), 100) AS k FROM p),
-v AS (SELECT source, (bad + m * k) / (n + k) <= 0.6 AS ok FROM h, k)
+k AS (SELECT m, coalesce(greatest(1, least(100, CASE WHEN b > 0 THEN m * (1 - m) / b - 1 ELSE 100 END)), 100) AS k, greatest(0.5::DOUBLE, 4 * m / (1 - m + 4 * m)) AS top FROM p),
+r AS (SELECT source, n + k AS weight, (bad + m * k) / (n + k) AS rate, top FROM h, k),
+v AS (SELECT source, NOT rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (weight + 1)) > top AS ok FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
