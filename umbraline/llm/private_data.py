@@ -8,8 +8,11 @@ which a term t beside it gives away PMI(e; t) = log2 P(e, t) / (P(e) P(t)).  If
 than ``GENERAL_BITS`` of IC(e) stay uncertain, the term discloses the entity and is
 generalised; if no more than ``REMOVE_BITS`` do, it is removed.
 
-Context is the whole text of a document that holds an entity, without its entities.  Pairs
-of an entity and a term are counted in documents.  A pair of fewer than ``SUPPORT`` documents
+What is protected is each entity's value and its class: the domain of an e-mail address, the
+network of an IP address, the issuer of a card, the area of a phone number.  Nearly every
+value stands in one document, so it is mostly classes that terms can give away.  Context is
+the whole text of a document that holds an entity, without its entities.  Pairs
+of an entity or class and a term are counted in documents (repeated rows once).  A pair of fewer than ``SUPPORT`` documents
 isn't left out; those it lacks are filled up with documents that hold the term, and the
 entity as often as the corpus does, so that one document alone discloses hardly anything.
 """
@@ -33,12 +36,15 @@ PATTERNS = {
 }
 TERM = "term"
 SUPPORT = 3
-GENERAL_BITS = 1.0
+GENERAL_BITS = 0.75
 REMOVE_BITS = 0.15
 #: Disclosing terms up to this many are sent to all workers; more are joined by shuffling.
 BROADCAST_TERMS = 20_000
-#: Documents with such terms up to this many are sent to the texts; beyond, texts are shuffled.
-BROADCAST_DOCUMENTS = 50_000
+#: Documents with such terms are sent to the texts if they have up to this many terms in all
+#: (some 60 bytes each); beyond, texts are shuffled.
+BROADCAST_PAIRS = 200_000
+#: Matches whose places are added up together.
+CHUNK = 256
 _WORD = r"\p{L}{4,}"
 
 
@@ -78,17 +84,30 @@ def _may_have(kind: str, text: Column) -> Column:
 
 
 def _placed(text: Column, pattern: Column) -> Column:
-    """Matches with their places: what lies between them, and they, add up to the text."""
+    """Matches with their places: what lies between them, and they, add up to the text.
+
+    Places are added up in chunks of ``CHUNK`` matches, and those of the chunks then.
+    """
     kind = "array<struct<start:int,end:int,value:string>>"
     between = F.split(text, pattern, -1)
     zipped = F.arrays_zip(F.transform(between, lambda p: F.length(p)).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("value"))
+    size = lambda x: x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
         end = start + F.coalesce(F.length(x["value"]), F.lit(0))
         return F.struct(end.alias("at"), F.when(x["value"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+    def walked(chunk: Column, first: Column) -> Column:
+        return F.aggregate(chunk, F.struct(first.alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+
+    def joined(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + size(x)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        return let(starts, lambda at: F.flatten(F.transform(chunks, lambda c, j: walked(c, F.get(at, j)))))
+
+    chunked = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / CHUNK).cast("int")), lambda j: F.slice(z, j * CHUNK + 1, CHUNK))
+    return let(zipped, lambda z: F.when(F.size(z) <= CHUNK, walked(z, F.lit(0))).otherwise(let(chunked(z), joined)))
 
 
 def entities(text: Column) -> Column:
@@ -119,22 +138,30 @@ def _without(text: Column, found: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
+def _class_of(kind: Column, value: Column) -> Column:
+    """What an entity has in common with others: domain, network, issuer or area."""
+    digits = _digits(value)
+    return F.when(kind == "email", F.substring_index(F.lower(value), "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2)).when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+
+
 def base_spans(documents: DataFrame, beside: bool = False) -> DataFrame:
-    """``doc_id, content, found`` for every row, and with ``beside`` the different entities and the terms beside them."""
+    """``doc_id, content, found`` for every row, and with ``beside`` the different entities, their classes, and the terms beside them."""
     rows = narrowed(documents, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("content"), entities(F.col("text")).alias("found"))
     if not beside:
         return rows.drop("text")
     some, none = F.size("found") > 0, F.array().cast("array<string>")
-    own = F.array_distinct(F.transform("found", lambda x: F.concat(x["kind"], F.lit(":"), F.lower(x["value"]))))
+    values = F.transform("found", lambda x: F.concat(x["kind"], F.lit(":"), F.lower(x["value"])))
+    classes = F.transform("found", lambda x: F.concat(x["kind"], F.lit(" of "), _class_of(x["kind"], x["value"])))
+    own = F.array_distinct(F.concat(values, classes))
     return rows.select("doc_id", "content", "found", own.alias("own"), F.when(some, _words(_without(F.col("text"), F.col("found")))).otherwise(none).alias("terms"))
 
 
 def _documents_with(documents: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
-    """``doc_id, content, term`` for every document and each of the ``terms`` that it has."""
+    """``doc_id, content, term`` for every document and each of the ``terms`` that it has; repeated rows count once."""
     rows = narrowed(documents, "doc_id", "text").where("text is not null")
     words = rows.select("doc_id", F.xxhash64("text").alias("content"), F.explode(_words(F.col("text"))).alias("term"))
-    return words.join(F.broadcast(terms) if few else terms, "term")
+    return words.join(F.broadcast(terms) if few else terms, "term").dropDuplicates(["doc_id", "content", "term"])
 
 
 def disclosing_terms(documents: DataFrame, based: DataFrame, support: int = SUPPORT, general_bits: float = GENERAL_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
@@ -143,7 +170,7 @@ def disclosing_terms(documents: DataFrame, based: DataFrame, support: int = SUPP
     ``based`` is ``base_spans(documents, beside=True)``.
     """
     c = F.col
-    n = F.lit(based.count())
+    n = F.lit(based.select("doc_id", "content").distinct().count())
     holding = based.where(F.size("found") > 0).select("doc_id", "content", "own", "terms").dropDuplicates(["doc_id", "content"])
     own = holding.select(F.explode("own").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     each = holding.select("own", F.explode("terms").alias("term"))
@@ -184,12 +211,15 @@ def find(documents: DataFrame, support: int = SUPPORT, general_bits: float = GEN
         return based.select("doc_id", "content", "found", F.array().cast(kind).alias("added"))
     few = size <= BROADCAST_TERMS
     holding = cut(_documents_with(documents, terms, few).groupBy("doc_id", "content").agg(F.collect_set(F.struct("term", "removed")).alias("terms")).withColumnsRenamed({"doc_id": "_id", "content": "_of"}))
-    if holding.count() <= BROADCAST_DOCUMENTS:
+    if (holding.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_PAIRS:
         holding = F.broadcast(holding)
     rows = narrowed(documents, "doc_id", "text").where("text is not null").withColumn("content", F.xxhash64("text"))
     texts = rows.join(holding, (F.col("content") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_of").dropDuplicates(["doc_id", "content"])
-    spot = F.flatten(F.transform("terms", lambda t: F.transform(_placed(F.col("text"), F.concat(F.lit(r"(?iu)(?<!\p{L})"), t["term"], F.lit(r"(?!\p{L})"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), t["removed"].alias("removed")))))
-    added = texts.select(F.col("doc_id").alias("_id"), F.col("content").alias("_of"), F.array_sort(spot).alias("all"))
+    # All terms of a text are looked up in one pass.
+    any_of = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
+    gone = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], t["removed"])))
+    spot = let(gone, lambda m: F.transform(_placed(F.col("text"), any_of), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.coalesce(F.try_element_at(m, F.lower(x["value"])), F.lit(False)).alias("removed"))))
+    added = texts.select(F.col("doc_id").alias("_id"), F.col("content").alias("_of"), spot.alias("all"))
     joined = based.join(added, (F.col("content") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     free = F.filter("all", lambda x: ~F.exists("found", lambda f: (f["start"] < x["end"]) & (x["start"] < f["end"])))
     return joined.select("doc_id", "content", "found", F.coalesce(free, F.array().cast(kind)).alias("added"))
