@@ -5,6 +5,12 @@ learned weights of its own binned features and of those of the lines before and
 it.  Forward-backward gives each line's probability of being good; the probabilities,
 weighted by line length, make the document's score, which a small logistic model fitted
 on the same training rows turns into a probability of label 1.
+
+Only documents are labelled, so line labels are hidden when the chain is learned.  At first
+each line takes its document's label.  Then expectations alternate with gradient steps: a
+line's label is expected from the model and from what the document's label says about it
+(``EVIDENCE``: all lines of a good document are good; those of a bad one rather bad than
+not), and so are the changes of label along a text, from which transitions are learned.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chain import Adam, expectations, marginals
@@ -26,6 +32,8 @@ BINS = 8
 FEATURES = ("words", "letters a word", "upper case", "digits", "symbols", "exclamation", "bars", "other marks", "repeats next", "repeats near", "distinct", "seen line", "first letter", "last mark")
 #: A document is predicted good from this score on.
 GOOD = 0.3
+#: Log-odds that a document's label (0, 1) lends to the same label of each of its lines.
+EVIDENCE = (1.5, 6.0)
 
 _CLASS = np.zeros((256,), np.uint8)  # 0 letters and the rest, then one bit each
 for _bit, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>=@^~\\{}[]_", b"!", b"|", b".,;:?'\"()-/+")):
@@ -146,8 +154,8 @@ class LineField:
         return 1 / (1 + np.exp(-np.clip(self.sums(lines_of([t or "" for t in texts])) @ self.doc, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 11) -> LineField:
-    """Fit on labelled texts: each line of a text takes part with the text's label."""
+def train(texts: list[str], labels: list[int], rounds: int = 30, copied: int = 10, seed: int = 11) -> LineField:
+    """Fit on labelled texts: in the first ``copied`` rounds each line bears its text's label, later labels are expected."""
     field = LineField(np.zeros((3, len(FEATURES), BINS + 1, 2)), np.zeros((2, 2)), np.array([0.0, 1.0, 0.0]))
     if len(set(labels)) < 2:
         share = float(np.mean(labels)) if labels else 0.5
@@ -159,26 +167,31 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 11)
     text_first = np.concatenate([[0], np.cumsum(lines.per_text)])
     y_text = np.array(labels)
     rng, adam = np.random.default_rng(seed), Adam(0.05)
-    for _ in range(rounds):
+    for number in range(rounds):
         deal = rng.permutation(len(texts))
         for part in range(0, len(deal), 200):
-            own = deal[part : part + 200]
-            at = np.concatenate([np.arange(text_first[i], text_first[i + 1]) for i in own])
-            lengths, y = lines.per_text[own], np.repeat(y_text[own], lines.per_text[own])
-            p, pairs = expectations(field.emission(rows[:, at]), lengths, field.transition)
-            gap = -p
-            gap[np.arange(len(at)), y] += 1
+            part_of = deal[part : part + 200]
+            at = np.concatenate([np.arange(text_first[i], text_first[i + 1]) for i in part_of])
+            lengths, y = lines.per_text[part_of], np.repeat(y_text[part_of], lines.per_text[part_of])
+            emission = field.emission(rows[:, at])
+            p, pairs = expectations(emission, lengths, field.transition)
+            # What labels would be, given the document's: surely its own at first, then as evidence for them.
+            told = np.zeros_like(emission)
+            told[np.arange(len(at)), y] = np.take(EVIDENCE, y)
+            if number < copied:
+                own, seen = (told > 0).astype(float), np.zeros((2, 2))
+                np.add.at(seen, (y_text[part_of], y_text[part_of]), lengths - 1)
+            else:
+                own, seen = expectations(emission + told, lengths, field.transition)
+            gap = own - p
             gap /= np.repeat(np.sqrt(lengths), lengths)[:, None]  # long texts don't drown short ones
             gradient = np.zeros_like(field.weights)
             for k in range(3):
                 for f in range(len(FEATURES)):
                     gradient[k, f] = np.stack([np.bincount(rows[k, at, f], gap[:, j], BINS + 1) for j in range(2)], 1)
-            seen = np.zeros((2, 2))
-            for i, n in zip(own, lengths, strict=True):
-                seen[y_text[i], y_text[i]] += n - 1
             adam.n += 1
             adam.step("w", field.weights, gradient - 0.05 * field.weights)
-            adam.step("t", field.transition, (seen - pairs) / len(own) - 0.05 * field.transition)
+            adam.step("t", field.transition, (seen - pairs) / len(part_of) - 0.05 * field.transition)
     x = field.sums(lines)
     spread = np.maximum(x[:, 1:].std(0), 1e-9)
     z = np.concatenate([x[:, :1], (x[:, 1:] - x[:, 1:].mean(0)) / spread], 1)
@@ -191,23 +204,26 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, seed: int = 11)
     return field
 
 
-def sample(documents: DataFrame, labels: DataFrame, per_label: int = 1_500, longest: int = 30_000) -> tuple[list[str], list[int]]:
+def sample(documents: DataFrame, labels: DataFrame, per_label: int = 1_500, longest: int = 30_000, most_bytes: int = 48 << 20) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled texts to learn from, in a fixed order.
 
     Only labelled rows outside the held-out fifth with a text of up to ``longest``
-    characters count; about ``per_label`` rows of each label come to the driver.
+    characters count; about ``per_label`` rows of each label, and no more than ``most_bytes``
+    of text, come to the driver.  A document with contradicting labels counts as bad;
+    repeated rows count once.
     """
-    marked = narrowed(labels, "doc_id", "quality").where(~held_out() & F.col("quality").isin(0, 1)).dropDuplicates(["doc_id"])
+    marked = narrowed(labels, "doc_id", "quality").where(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = {r["quality"]: min(1.0, per_label / r["n"]) for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if not share:
         return [], []
     draw = (F.crc32(F.concat(F.lit("quality:"), F.col("doc_id").cast("string")).cast("binary")) / F.lit(2.0**32)).alias("draw")
     part = F.when(F.col("quality") == 0, share.get(0, 0.0)).otherwise(share.get(1, 0.0))
-    chosen = marked.select("doc_id", "quality", draw).where(F.col("draw") < part).limit(4 * per_label)
+    chosen = marked.select("doc_id", "quality", draw).where(F.col("draw") < part).orderBy("draw", "doc_id").limit(4 * per_label)
     texts = narrowed(documents, "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
     # The chosen ids are bounded by per_label, so they are sent to the texts rather than the texts moved.
-    got = texts.join(F.broadcast(chosen), "doc_id").limit(8 * per_label).collect()
-    got.sort(key=lambda r: (r["draw"], r["doc_id"], r["text"]))
+    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("draw", "doc_id", "text").limit(4 * per_label)
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy("draw", "doc_id", "text"))  # of rows bounded just now
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= most_bytes).collect()
     return [r["text"] for r in got], [r["quality"] for r in got]
 
 
