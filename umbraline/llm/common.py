@@ -53,6 +53,26 @@ def fresh(df: DataFrame, base: str) -> str:
     return base if base.lower() not in taken else f"{base}_{uuid.uuid4().hex[:8]}"
 
 
+#: Rows of one key from which it may be hot; hot keys hold a thousandth of all rows or more.
+HOT_ROWS = 50_000
+
+
+def joined_to_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` inner-joined to ``unique``, which has one row for each ``key`` and says in ``n`` how many rows bear it.
+
+    Keys with more than ``hot_rows`` rows and a thousandth of all ``total`` rows are no more
+    than a thousand, so their rows of ``unique`` are sent to the rows; other keys meet by
+    shuffling.  ``unique`` must be materialised (it is read up to three times); ``n`` is dropped.
+    """
+    least = max(hot_rows, total // 1000)
+    plain = unique.drop("n")
+    if total <= least or not unique.where(F.col("n") > least).limit(1).count():
+        return rows.join(plain, key)
+    hot = F.broadcast(unique.where(F.col("n") > least).drop("n"))
+    others = rows.join(F.broadcast(unique.where(F.col("n") > least).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(others.join(plain, key))
+
+
 def narrowed(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator reads, so extra or clashing ones never matter."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, narrowed
+from .common import cut, fresh, joined_to_unique, narrowed
 
 SHARDS = 40
 #: Groups that are differenced singly, and bundles at least; bundles for each shard at least.
@@ -90,16 +90,17 @@ def group_of(text: Column) -> Column:
 
 
 def balance(groups: DataFrame, shards: int = SHARDS, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """``group, shard`` for the rows ``group, bytes``: near-equal bytes, by differencing."""
+    """``group, shard`` (and ``n`` if it is there) for the rows ``group, bytes``: near-equal bytes, by differencing."""
     n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     part = F.col("group")
     if n > chunk:
         bundles = max(chunk, fan * shards)
         part = F.when(F.col("bytes") > total / bundles, part).otherwise(F.concat(F.lit("bundle "), F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("string")))
-    dealt = groups.select("group", "bytes", part.alias("part"))
+    own = [c for c in groups.columns if c in ("group", "n")]
+    dealt = groups.select(*own, "bytes", part.alias("part"))
     parts = dealt.groupBy("part").agg(F.sum("bytes").alias("bytes"))
     placed = cut(parts.groupBy(F.lit("all")).applyInPandas(_differenced(shards), "part string, shard int"))
-    return dealt.join(F.broadcast(placed), "part").select("group", "shard")
+    return dealt.join(F.broadcast(placed), "part").select(*own, "shard")
 
 
 def numbered(rows: DataFrame, by: str, order: list[str], name: str, spread: int = 64) -> DataFrame:
@@ -126,10 +127,11 @@ def shard(documents: DataFrame, shards: int = SHARDS, chunk: int = CHUNK, fan: i
     """
     text = F.coalesce("text", F.lit(""))
     rows = cut(narrowed(documents, "doc_id", "text").select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_of(F.col("text")).alias("group")))
-    groups = cut(rows.groupBy("group").agg(F.sum("size").alias("bytes")))
-    placed = rows.join(balance(groups, shards, chunk, fan), "group").drop("group")
+    total = rows.count()
+    groups = cut(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    placed = joined_to_unique(rows, balance(groups, shards, chunk, fan), "group", total).drop("group")
     # So many bins that none has many rows, even if one shard has nearly all of them.
-    out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot", max(64, math.ceil(rows.count() / BIN_ROWS)))
+    out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot", max(64, math.ceil(total / BIN_ROWS)))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -1,11 +1,13 @@
 """Near-duplicates by SimHash and tiled exact comparison.
 
 A fingerprint sets each bit that more than half of the text's shingle hashes set.  Equal
-fingerprints are one; the distinct ones are packed into tiles by the population counts
-of their four 16-bit quarters.  Two fingerprints within the radius have quarter counts
+fingerprints are one; the distinct ones are packed into tiles by their key, the population
+counts of their four 16-bit quarters.  Two fingerprints within the radius have quarter counts
 that differ by no more than the radius in sum, so only tiles that close are paired, and
-all others are skipped.  A pair of tiles is compared in full with exclusive-or and bit
-counts; what it hands on are links enough to keep its groups together, not all pairs.
+all others are skipped.  A key of many fingerprints is dealt into several tiles by hash, and
+its tile pairs form a grid, each of whose cells is a row of its own: no key meets in one
+task.  A pair of tiles is compared in full with exclusive-or and bit counts; what it hands
+on are links enough to keep its groups together, not all pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, narrowed, slices
+from .common import HOT_ROWS, cut, fresh, joined_to_unique, narrowed, slices
 from .components import components
 
 RADIUS = 3
-#: Fingerprints of a tile at most.
-TILE = 1024
+#: Fingerprints of a tile, about: tiles are dealt by hash.
+TILE = 2048
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
@@ -85,34 +87,6 @@ def _steps(radius: int) -> list[int]:
     return sorted(out)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted fingerprints to packed tiles of one key each."""
-    held, key, serial = [], None, 0
-
-    def packed():
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([serial], pa.int64()), pa.array([np.concatenate(held).astype("<u8").tobytes()], pa.binary())], names=["key", "tile", "fps"])
-
-    for batch in batches:
-        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        borders = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        for a, b in itertools.pairwise(borders.tolist()):
-            if a == b:
-                continue
-            if held and key != keys[a]:
-                yield packed()
-                held, serial = [], serial + 1
-            key = int(keys[a])
-            while a < b:
-                room = TILE - sum(map(len, held))
-                held.append(fps[a : min(b, a + room)])
-                a = min(b, a + room)
-                if sum(map(len, held)) == TILE:
-                    yield packed()
-                    held, serial = [], serial + 1
-    if held:
-        yield packed()
-
-
 def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
     """Links between two tiles, as few as keep every linked group together."""
     label = np.arange(len(a) if same else len(a) + len(b))
@@ -132,27 +106,41 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS) -> It
                 label[np.isin(label, found[other])] = label[i]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links ``u, v`` that connect every two fingerprints ``fp`` within the radius of each other."""
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links ``u, v`` that connect every two fingerprints ``fp`` within the radius of each other.
+
+    ``distinct`` must hold each fingerprint once.
+    """
+    c = F.col
     key = F.lit(0)
     for quarter in range(4):
         key = key * 64 + F.bit_count(F.shiftright("fp", 16 * quarter).bitwiseAND(F.lit(0xFFFF)))
     keyed = distinct.select(key.cast("int").alias("key"), "fp")
-    tiles = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_tiles, "key int, tile long, fps binary"))
-    steps = F.array(*[F.lit(s) for s in _steps(radius)])
-    left = tiles.select(F.col("key").alias("own"), F.col("tile").alias("own_tile"), F.col("fps").alias("own_fps"), F.explode(F.transform(steps, lambda s: F.col("key") + s)).alias("key"))
-    pairs = left.join(tiles, "key").where("own < key or own_tile <= tile")
+    # One row for each key that occurs; there are no more than 17 ** 4 keys, so they are sent everywhere.
+    sizes = cut(keyed.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
+    dealt = keyed.join(F.broadcast(sizes), "key").select("key", F.pmod(F.xxhash64("fp"), c("tiles")).cast("int").alias("tile"), "fp")
+    tiles = cut(dealt.groupBy("key", "tile").agg(F.collect_list("fp").alias("fps")))
+    # The grid: which tiles are compared, each pair once.
+    steps = F.explode(F.array(*[F.lit(s) for s in _steps(radius)]))
+    near = sizes.select("key", "tiles", steps.alias("step")).select("key", c("tiles").alias("own"), (c("key") + c("step")).alias("other")).join(F.broadcast(sizes.toDF("other", "theirs")), "other")
+    rows = near.select("key", "other", "theirs", F.explode(F.sequence(F.lit(0), c("own") - 1)).alias("tile"))
+    grid = rows.select("key", "tile", "other", F.explode(F.sequence(F.lit(0), c("theirs") - 1)).alias("other_tile")).where("key < other or tile <= other_tile")
+    one = tiles.select("key", "tile", c("fps").alias("own_fps"))
+    two = tiles.select(c("key").alias("other"), c("tile").alias("other_tile"), "fps")
+    pairs = grid.join(one, ["key", "tile"]).join(two, ["other", "other_tile"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
-            for one, two, same in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for x, y in linked(np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8"), same, radius):
+            same, (one, two) = batch.column(2).to_pylist(), (batch.column(k) for k in range(2))
+            for k in range(batch.num_rows):
+                a, b = (x[k].values.to_numpy().view(np.uint64) for x in (one, two))
+                for x, y in linked(a, b, same[k], radius):
                     u.append(x)
                     v.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (u, v)], names=["u", "v"])
 
-    return pairs.selectExpr("own_fps", "fps", "own = key and own_tile = tile as same").mapInArrow(compare, "u long, v long")
+    return pairs.selectExpr("own_fps", "fps", "key = other and tile = other_tile as same").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, width: int = 3) -> DataFrame:
@@ -164,11 +152,16 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, width: int = 3)
     Repeated rows stay; columns but doc_id and text are not read; an empty table gives none.
     """
     rows = cut(fingerprints(documents, width))
-    first = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    first = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = cut(components(links(first.select("fp"), radius)))
-    grouped = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(grouped.join(least, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "content", "fp", "component_id", "root")
+    grouped = cut(first.join(roots, first.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    # A group's distinct fingerprints meet only in a minimum and where they get it back.
+    sizes = cut(grouped.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    n_distinct, n_rows = grouped.count(), rows.count()
+    placed = joined_to_unique(grouped.withColumnRenamed("n", "n_fp"), sizes, "root", n_distinct).select("fp", "component_id", "root", F.col("n_fp").alias("n"))
+    if n_rows > HOT_ROWS:
+        placed = cut(placed)
+    return joined_to_unique(rows, placed, "fp", n_rows).select("doc_id", "content", "fp", "component_id", "root")
 
 
 def keep_one(documents: DataFrame, radius: int = RADIUS, width: int = 3) -> DataFrame:
