@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
-import brute
+from . import brute
 import numpy as np
 import public_tokenizers
 import pytest
@@ -11,7 +11,7 @@ import tiktoken
 
 from umbraline.llm import byte_bpe, decontaminate, html_text, private_data, quality_rules, queries, sharding, simhash, wordpiece
 
-from conftest import PASSAGE  # isort: skip
+from .conftest import PASSAGE
 
 
 def pairs(documents):

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-import brute
+from . import brute
 import corpus_pipeline
 import public_tokenizers
 
