@@ -97,6 +97,7 @@ class ByteBpe:
         self.bytes_of = [b""] * (max(table.values()) + 1)
         for token, text in spelled.items():  # the reversed table gives each id its bytes
             self.bytes_of[table[token]] = bytes(of_char[c] for c in text)
+        self.length_of = np.array([len(b) for b in self.bytes_of], np.int32)
         self.memo = _Memo(self._piece, self.MEMO)
         self.spaced = _Memo(self._spaced, self.MEMO)
 
@@ -127,19 +128,13 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
-    def encode_with_offsets(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, start, end) with offsets in the UTF-8 bytes of the text, end exclusive.
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        """Where each token ends in the UTF-8 bytes of the text; it begins where the one before ends.
 
         The library's tokens follow each other without gaps, also where one holds only a
         part of a character, so their places are sums of their lengths in bytes.
         """
-        out, at = [], 0
-        for piece in self.pieces.findall(text):
-            for token in self._tokens(piece):
-                end = at + len(self.bytes_of[token.id])
-                out.append((token.id, at, end))
-                at = end
-        return out
+        return np.cumsum(self.length_of[ids], dtype=np.int32)
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -168,7 +163,9 @@ def _path(name_or_path: str) -> str:
 
 
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column, ids array<int>`` for every row; a null text is an empty one.
+    """``id_column, ids array<int>, ends array<int>`` for every row; a null text is an empty one.
+
+    ``ends`` are offsets: where each token ends in the text's UTF-8 bytes (and the next begins).
 
     ``vocabulary`` is a file of ranks: a path, or a name among the installed public
     vocabularies, found anew on each executor.  Empty texts give no ids; repeated rows
@@ -182,9 +179,10 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, id_column: str =
         for batch in batches:
             for part in slices(batch, 1):
                 ids = [np.frombuffer(bpe.packed(t or ""), "<i4") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_column, "ids"])
+                ends = [bpe.ends(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=[id_column, "ids", "ends"])
 
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    return rows.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, ends array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
