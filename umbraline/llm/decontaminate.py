@@ -8,9 +8,14 @@ would lie; windows that would start before the text or end after it fall away, a
 words at that place are compared one by one.
 
 The documents are read twice: once to count the benchmark's shingles in the corpus, once
-to find the rarest ones.  Either pass looks shingles up in a bitmap of fixed size, so
-what is sent to the workers doesn't grow with the benchmark; the join that follows, on
-whole hashes, and the comparison of the words remove what only the bitmap lets through.
+to find the rarest ones.  Either pass looks shingles up in a bitmap of 16 bits for each
+shingle, but no more than ``BITMAP`` in all, so what is sent to the workers is bounded; the
+join that follows, on whole hashes, and the comparison of the words remove what only the
+bitmap lets through.
+
+Items of one or two words may occur everywhere.  Their places in a text are handed on as
+one array for each text, and hashes that hold a large part of all places are joined by
+sending their windows to the texts.
 """
 
 from __future__ import annotations
@@ -27,8 +32,12 @@ from .common import cut, fresh, narrowed, slices
 
 WINDOW = 10
 SHINGLE = 3
-#: Bits of the bitmap (a power of two).
-BITMAP = 1 << 23
+#: Bits of the bitmap at most (a power of two).
+BITMAP = 1 << 28
+#: Windows and item ids that are sent to all workers at most; more are joined by shuffling.
+BROADCAST = 50_000
+#: Bytes whose hashes are computed together.
+STEP = 1 << 20
 
 # Bytes of words, lower-cased: 0-9, a-z and all beyond ASCII; other bytes end a word.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -61,13 +70,24 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        """A polynomial of each word's bytes, scrambled: differences of one running sum."""
-        power, inverse = _powers(1 << int(len(self.bytes) - 1).bit_length())
-        power, inverse = power[: len(self.bytes)], inverse[: len(self.bytes)]
-        total = np.concatenate([[np.uint64(0)], np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power)])
-        h = (total[self.end] - total[self.begin]) * inverse[self.begin]
-        h ^= h >> np.uint64(32)
-        return h * np.uint64(0xD6E8FEB86659FD93)
+        """A polynomial of each word's bytes, scrambled: differences of running sums over ``STEP`` bytes or so."""
+        power, inverse = _powers(STEP)
+        out, i, n = np.empty(len(self.begin), np.uint64), 0, len(self.begin)
+        values = lambda a, z: (self.bytes[a:z].astype(np.uint64) + np.uint64(1)) * power[: z - a]
+        while i < n:
+            a = int(self.begin[i])
+            j = int(np.searchsorted(self.end, a + STEP, side="right"))
+            if j > i:
+                total = np.concatenate([[np.uint64(0)], np.cumsum(values(a, int(self.end[j - 1])))])
+                out[i:j] = (total[self.end[i:j] - a] - total[self.begin[i:j] - a]) * inverse[self.begin[i:j] - a]
+            else:  # one word of more bytes
+                j, z, h = i + 1, int(self.end[i]), 0
+                for at in range(a, z, STEP):
+                    h += int(values(at, min(z, at + STEP)).sum(dtype=np.uint64)) * pow(_ODD, at - a, 1 << 64)
+                out[i] = h % (1 << 64)
+            i = j
+        out ^= out >> np.uint64(32)
+        return out * np.uint64(0xD6E8FEB86659FD93)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of ``width`` words inside one text."""
@@ -89,8 +109,8 @@ class Words:
         return [self.word(k).decode("utf-8", "replace") for k in range(i, j)]
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITMAP.bit_length() + 1)).astype(np.int64)
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(65 - bits.bit_length())).astype(np.int64)
 
 
 def windows(benchmark: DataFrame) -> DataFrame:
@@ -125,13 +145,14 @@ def windows(benchmark: DataFrame) -> DataFrame:
 
 
 def _bitmap(hashes: DataFrame) -> tuple[bytes, list[int]]:
-    """Bits of the shingle hashes in ``hash`` and their widths in ``width``: at most BITMAP bits."""
+    """A bitmap of the shingle hashes in ``hash``, and which widths (in ``width``) they have."""
+    size = min(BITMAP, max(1 << 16, 1 << (16 * hashes.count()).bit_length()))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(BITMAP // 64, np.uint64)
+        own = np.zeros(size // 64, np.uint64)
         widths = 0
         for batch in batches:
-            slot = _slot(batch.column(0).to_numpy().view(np.uint64))
+            slot = _slot(batch.column(0).to_numpy().view(np.uint64), size)
             np.bitwise_or.at(own, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
             for w in set(batch.column(1).to_pylist()):
                 widths |= 1 << w
@@ -139,7 +160,7 @@ def _bitmap(hashes: DataFrame) -> tuple[bytes, list[int]]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(own[at].view(np.int64), widths), pa.int64())], names=["place", "bits"])
 
     got = hashes.select("hash", "width").mapInArrow(bits, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out, widths = np.zeros(BITMAP // 64, np.int64), 0
+    out, widths = np.zeros(size // 64, np.int64), 0
     for place, value in zip(got["place"], got["bits"], strict=True):
         if place < 0:
             widths = int(value)
@@ -151,7 +172,7 @@ def _bitmap(hashes: DataFrame) -> tuple[bytes, list[int]]:
 def _found(words: Words, bitmap: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for width in widths:
         at, h = words.shingles(width)
-        slot = _slot(h)
+        slot = _slot(h, 64 * len(bitmap))
         hit = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         yield width, at[hit], h[hit]
 
@@ -175,13 +196,28 @@ def shingle_counts(documents: DataFrame, shingles: DataFrame) -> DataFrame:
 
 
 def _candidates(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``doc_id, content, n_words, found`` for each document; found: (hash, pos, from, words around) of each prefix shingle."""
+    """``doc_id, content, n_words, found`` for each document.
+
+    ``found`` has (hash, at, from, words) for each place of a prefix shingle: ``words`` are those
+    around it, beginning with number ``from`` of the text.  A shingle of fewer than ``SHINGLE``
+    words is a whole window, so the places of equal ones share one entry, with just its words.
+    """
     bitmap, widths = _bitmap(prefixes)
     shared = documents.sparkSession.sparkContext.broadcast(bitmap)
     rows = narrowed(documents, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found_type = pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("words", pa.list_(pa.string()))]))
+    found_type = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.list_(pa.int32())), ("from", pa.int32()), ("words", pa.list_(pa.string()))]))
+
+    def short(words: Words, width: int, at: np.ndarray, h: np.ndarray, top: int) -> Iterator[dict]:
+        order = np.argsort(h, kind="stable")
+        borders = np.flatnonzero(np.diff(h[order].view(np.int64), prepend=~h[order[:1]].view(np.int64)))
+        for own in np.split(order, borders[1:]):
+            by_words: dict[tuple, list[int]] = {}
+            for i in at[own].tolist():
+                by_words.setdefault(tuple(words.word(i + k) for k in range(width)), []).append(i - top)
+            for spelled, places in by_words.items():
+                yield {"hash": int(h[own[0]].view(np.int64)), "at": places, "from": None, "words": [w.decode("utf-8", "replace") for w in spelled]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
@@ -190,15 +226,36 @@ def _candidates(documents: DataFrame, prefixes: DataFrame) -> DataFrame:
                 words = Words(part.column(1).to_pylist())
                 found: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for width, at, h in _found(words, bits, widths):
-                    texts = np.searchsorted(words.first, at, side="right") - 1
+                    borders = np.searchsorted(at, words.first)
                     reach = WINDOW - width
-                    for i, x, t in zip(at.tolist(), h.view(np.int64).tolist(), texts.tolist(), strict=True):
+                    for t in np.flatnonzero(np.diff(borders)).tolist():
+                        a, z = int(borders[t]), int(borders[t + 1])
                         top, end = int(words.first[t]), int(words.first[t + 1])
-                        a = max(top, i - reach)
-                        found[t].append({"hash": x, "pos": i - top, "start": a - top, "words": words.words(a, min(end, i + width + reach))})
+                        if width < SHINGLE:
+                            found[t].extend(short(words, width, at[a:z], h[a:z], top))
+                            continue
+                        for i, x in zip(at[a:z].tolist(), h[a:z].view(np.int64).tolist(), strict=True):
+                            left = max(top, i - reach)
+                            found[t].append({"hash": x, "at": [i - top], "from": left - top, "words": words.words(left, min(end, i + width + reach))})
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(words.first), pa.int64()), pa.array(found, found_type)], names=["doc_id", "content", "n_words", "found"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, content long, n_words long, found array<struct<hash: bigint, pos: int, start: int, words: array<string>>>")
+    return rows.mapInArrow(run, f"doc_id {kind}, content long, n_words long, found array<struct<hash: bigint, at: array<int>, from: int, words: array<string>>>")
+
+
+def _with_windows(places: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``places`` (with ``hash``) joined to the windows ``p_...`` of that prefix; sends windows to the places where their size allows it."""
+    named = prefixes.select("hash", *[F.col(c).alias(f"p_{c}") for c in prefixes.columns if c not in ("hash", "n")])
+    few = lambda rows: (rows.agg(F.sum(1 + F.size("items"))).first()[0] or 0) <= BROADCAST
+    if few(prefixes):
+        return places.join(F.broadcast(named), "hash")
+    # The frequent hashes (fewer than a thousand) alone, if their windows are few.
+    total = prefixes.select("hash", "n").distinct().agg(F.sum("n")).first()[0]
+    hot = prefixes.where(F.col("n") > total // 1000)
+    if not few(hot):
+        return places.join(named, "hash")
+    ids = F.broadcast(hot.select("hash").distinct())
+    often = places.join(F.broadcast(named.join(ids, "hash", "left_semi")), "hash")
+    return often.unionByName(places.join(ids, "hash", "left_anti").join(named, "hash"))
 
 
 def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -221,21 +278,27 @@ def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("words")
         .agg(F.first("items").alias("items"), F.first("width").alias("width"), F.first("all").alias("all"), F.count("*").alias("known"), F.min(F.struct("n", "s.hash", "s.offset")).alias("p"))
         .where("known = all")
-        .select("words", "items", "width", "p.hash", "p.offset")
+        .select("words", "items", "width", "p.hash", "p.offset", "p.n")
     )
     prefixes = cut(rarest)
     docs = cut(_candidates(documents, prefixes)).withColumn("row", F.monotonically_increasing_id())
-    at = docs.select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
-    begin, size = F.col("pos") - F.col("offset"), F.size("p.words")
-    fits = (begin >= 0) & (begin + size <= F.col("n_words"))
-    equal = F.slice(F.col("at.words"), begin - F.col("start") + 1, size) == F.col("p.words")
-    matched = at.alias("at").join(prefixes.alias("p"), "hash").where(fits).where(F.when(fits, equal)).select("row", begin.cast("long").alias("begin"), (begin + size).cast("long").alias("end"), "items")
+    c = F.col
+    places = docs.select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.hash", "f.at", "f.from", "f.words")
+    size = F.size("p_words")
+    # A short shingle is a window, and so are all its places; else the window may not fit into the text.
+    begin = F.element_at("at", 1) - c("p_offset")
+    fits = (begin >= 0) & (begin + size <= c("n_words"))
+    equal = F.slice("words", begin - c("from") + 1, size) == c("p_words")
+    joined = _with_windows(places, prefixes)
+    same = F.when(c("from").isNull(), c("words") == c("p_words")).when(fits, equal)
+    found = joined.where(same).select("row", "p_items", "p_offset", size.alias("size"), "at")
+    matched = found.select("row", "p_items", "size", F.explode("at").alias("pos"), "p_offset").select("row", (c("pos") - c("p_offset")).cast("long").alias("begin"), (c("pos") - c("p_offset") + c("size")).cast("long").alias("end"))
     covered = matched.groupBy("row", "begin").agg(F.max("end").alias("end"))
     # Words of the union of a text's hits, from left to right; never more spans than the text has words.
     union = covered.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
     zero = F.lit(0).cast("long")
     n_hit = F.aggregate("spans", F.struct(zero.alias("n"), zero.alias("to")), lambda a, s: F.struct((a["n"] + F.greatest(zero, s["end"] - F.greatest(a["to"], s["begin"]))).alias("n"), F.greatest(a["to"], s["end"]).alias("to")), lambda a: a["n"])
-    items = matched.select("row", F.explode_outer("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = found.select("row", F.explode_outer("p_items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     totals = union.select("row", n_hit.alias("n_hit")).join(items, "row")
     return docs.join(totals, "row", "left").select("doc_id", "content", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
