@@ -84,6 +84,53 @@ def test_quality_of_held_out_rows(spark):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) > 0.97
 
 
+def test_hidden_line_labels_and_transitions():
+    good = [f"The {a} {b} went on quietly, and so the {c} did." for a in ("cat", "house", "river") for b in ("there", "again", "today") for c in ("dog", "street", "sea")]
+    bad = [f"{a} {a} {a}!!! $$$ {b} NOW" for a in ("BUY", "WIN", "FREE") for b in ("CLICK", "CALL", "ORDER", "HURRY")]
+    rng = np.random.default_rng(2)
+    pick = lambda rows, n: [rows[i] for i in rng.integers(0, len(rows), n)]
+    texts, labels = [], []
+    for _ in range(60):
+        texts.append("\n".join(pick(good, 8)))
+        labels.append(1)
+        texts.append("\n".join(pick(good, 4) + pick(bad, 6)))  # a bad document has good lines, too
+        labels.append(0)
+    field = line_quality.train(texts, labels, rounds=100)
+    mixed = line_quality.lines_of(["\n".join(good[:5] + bad[:5])])
+    emission = field.emission(field.rows(mixed))
+    p = chain.marginals(emission, mixed.per_text, field.transition)[:, 1]
+    assert (p[:4] > 0.5).all() and (p[6:] < 0.5).all()
+    assert field.transition[0, 0] + field.transition[1, 1] > field.transition[0, 1] + field.transition[1, 0]
+    # A line that says nothing by itself takes after its neighbours, through the transitions alone.
+    blank = np.concatenate([emission[:2], np.zeros((1, 2)), emission[3:8], np.zeros((1, 2)), emission[9:]])
+    with_t, without = (chain.marginals(blank, mixed.per_text, t)[:, 1] for t in (field.transition, np.zeros((2, 2))))
+    assert with_t[2] > 0.55 and with_t[8] < 0.45 and abs(without[[2, 8]] - 0.5).max() < 1e-9
+
+
+def test_samples_do_not_depend_on_order(spark):
+    rows = [(i, f"text number {i}", "en") for i in range(200)] + [(7, "text number 7", "en")] * 3
+    labels = [(i, i % 2, 0) for i in range(200)] + [(8, 1, 0)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    a = line_quality.sample(docs.repartition(5), marks.repartition(3), per_label=20)
+    b = line_quality.sample(docs.orderBy("text").coalesce(1), marks.coalesce(1), per_label=20)
+    assert a == b and len(a[0]) == len(set(a[0])) and all(y == 0 for t, y in zip(*a, strict=True) if t == "text number 8")
+    assert sum(map(len, line_quality.sample(docs, marks, most_bytes=100)[0])) <= 100
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    field = language.train(["the house and the garden with the trees " * 5, "das haus und der garten mit den baeumen " * 5], ["en", "de"], rounds=20)
+    text = "the house and the trees " * 40 + "das haus " * 10
+    whole = field.predict([text, "das haus"])
+    monkeypatch.setattr(language, "PART", 100)
+    parts = field.predict([text, "das haus"])
+    assert [x[0] for x in parts] == [x[0] for x in whole] == ["en", "de"] and abs(parts[0][1] - whole[0][1]) < 0.05
+    model = line_quality.train(["a good line\nand more of it\n" * 3, "!!! $$$ BUY\n" * 5], [1, 0])
+    lines = "a good line\nand more of it\n" * 30 + "!!! $$$ BUY\n" * 3
+    before = model.score([lines, ""])
+    monkeypatch.setattr(line_quality, "PART", 120)
+    assert abs(model.score([lines, ""]) - before).max() < 0.1
+
+
 def test_quality_of_odd_rows(spark, documents, nothing):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(17)] + [(0, 0, 0), (None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     model = line_quality.fit(documents, labels)

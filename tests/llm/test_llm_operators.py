@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from umbraline.llm import byte_bpe, decontaminate, html_text, private_data, quality_rules, queries, sharding, simhash, wordpiece
+from umbraline.llm import byte_bpe, decontaminate, html_text, language, line_quality, private_data, quality_rules, queries, sharding, simhash, wordpiece
 
 from .conftest import PASSAGE
 
@@ -80,12 +80,13 @@ def test_byte_bpe_is_the_ranks_encoding(documents, nothing):
     assert byte_bpe.round_trip(nothing).count() == 0
 
 
-def test_byte_bpe_offsets_and_split_characters():
+def test_byte_bpe_offsets_and_split_characters(spark, documents):
     bpe = byte_bpe.loaded(public_tokenizers.path(byte_bpe.VOCABULARY))
+    texts = dict(pairs(documents))
+    for row in byte_bpe.encode(documents).collect():
+        raw, starts = (texts[row["doc_id"]] or "").encode(), [0, *row["ends"]]
+        assert [bpe.bytes_of[i] for i in row["ids"]] == [raw[a:b] for a, b in zip(starts, row["ends"], strict=False)] and starts[-1] == len(raw)
     text = "a漢字 😀 b  c\n\nd"
-    raw = text.encode()
-    for token, start, end in bpe.encode_with_offsets(text):
-        assert bpe.bytes_of[token] == raw[start:end]
     ids = bpe.encode(text)
     assert "".join(bpe.stream(iter(ids))) == text
     assert "�" in bpe.decode(bpe.encode("漢")[:1])
@@ -98,12 +99,44 @@ def test_quality_rules(documents, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
-def test_a_bad_host_takes_its_documents_along(spark):
+def test_shrinkage_decides_on_hosts(spark):
     good = " ".join(f"word{i}" for i in range(30))
-    rows = [(i, good, "good", ) for i in range(50)] + [(100 + i, "too short", "bad") for i in range(50)] + [(999, good, "bad"), (1000, good, None)]
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(kept[i] for i in range(50)) and not any(kept[100 + i] for i in range(50))
-    assert not kept[999] and kept[1000]
+    host = lambda name, n, bad: [(name, good if k >= bad else "too short") for k in range(n)]
+    # A large and a small host of the same rate, one that is half bad, and ordinary ones.
+    rows = host("large", 60, 54) + host("small", 4, 3) + host("tiny", 2, 1) + host("half", 40, 20) + host(None, 1, 0)
+    for k in range(30):
+        rows += host(f"h{k}", 20, k % 4)
+    table = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(table).collect()}
+    by_host = defaultdict(list)
+    for i, (s, t) in enumerate(rows):
+        if t == good:
+            by_host[s].append(kept[i])
+        else:
+            assert not kept[i]
+    assert not any(by_host["large"]) and all(all(v) for s, v in by_host.items() if s != "large")
+    # Plain arithmetic gives the same: moments, prior, posterior.
+    totals = defaultdict(lambda: [0, 0])
+    for s, t in rows:
+        totals[s][0] += 1
+        totals[s][1] += t != good
+    rates = [b / n for n, b in totals.values()]
+    m, v = np.mean(rates), np.var(rates, ddof=1)
+    between = max(v - m * (1 - m) * np.mean([1 / n for n, _ in totals.values()]), 0)
+    k = max(1, min(100, m * (1 - m) / between - 1 if between > 0 else 100))
+    limit = max(0.5, 4 * m / (1 - m + 4 * m))
+    for s, (n, b) in totals.items():
+        rate = (b + m * k) / (n + k)
+        assert (rate - 1.645 * np.sqrt(rate * (1 - rate) / (n + k + 1)) > limit) == (s == "large")
+    # Without the prior the small host of the same kind of rate would be rejected as well.
+    assert 3 / 4 > limit
+
+
+def test_windows_of_one_hash_are_compared_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: quality_rules.F.lit(7).cast("long") + 0 * quality_rules.F.length(c[0]))
+    texts = ["a b c d e f g h i j", "a b c d e x a b c d e", "a b c d e a b c d e a b c d e"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", quality_rules.repeated_words(quality_rules.words_of(quality_rules.F.col("text"))).alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == {i: brute.rules(t)[4] for i, t in enumerate(texts)}
 
 
 def test_decontamination(spark, documents, nothing):
@@ -123,6 +156,53 @@ def test_short_and_long_windows_are_joined(spark):
     assert decontaminate.hits(docs, bench).first()["n_hit"] == 11
 
 
+def test_frequent_short_items_and_many_windows(spark, documents, monkeypatch):
+    items = [(1, PASSAGE), (2, "the"), (3, "buy now"), (4, "now"), (5, "buy now"), (6, "spam now buy")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = pairs(documents) + [(900 + i, "the cat and the dog buy now the end " * (1 + 40 * i)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = multiset((d, *brute.benchmark_hits(t, items)) for d, t in rows)
+    for limit in (50_000, 8, 0):  # windows are sent to all, only those of frequent shingles, or none
+        monkeypatch.setattr(decontaminate, "BROADCAST", limit)
+        assert multiset((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.hits(docs, bench).collect()) == want
+
+
+def test_word_hashes_do_not_depend_on_the_step(monkeypatch):
+    text = "short words and " + "x" * 50 + " " + "y" * 33 + " É漢字 end"
+    whole = decontaminate.Words([text, None, "two", text]).hash
+    monkeypatch.setattr(decontaminate, "STEP", 16)
+    assert (decontaminate.Words([text, None, "two", text]).hash == whole).all() and (whole[:7] == whole[-7:]).all()
+
+
+def test_texts_of_many_megabytes(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(5_000)])
+    prose = [" ".join(vocabulary[rng.integers(0, 5_000, 12)]) for _ in range(60_000)]
+    long = "\n".join(prose)
+    passage = " ".join(prose[40_000].split()[:11])
+    rows = [(1, long, "en", "s"), (2, "x" * 3_000_000, "en", "s"), (3, long + " bob@x.org", "de", "t"), (4, "short one", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    hit = {r["doc_id"]: r for r in decontaminate.hits(docs, bench).collect()}
+    assert hit[1]["n_words"] == len(long.split()) and hit[1]["items"] == ["7"] and hit[1]["n_hit"] == hit[3]["n_hit"] >= 11 and hit[2]["n_words"] == 1
+    counts = {r["doc_id"]: r["n_words"] for r in quality_rules.rule_counts(docs).collect()}
+    assert counts[1] == len(long.split()) and counts[2] == 1
+    assert {r["doc_id"]: r["n_words"] for r in wordpiece.token_counts(docs).collect()} == {1: counts[1], 2: 1, 3: counts[1] + 1, 4: 2}
+    prints = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(docs).collect()}
+    assert len(set(prints.values())) >= 3
+    trip = {r["doc_id"]: r["decoded_sha256"] for r in byte_bpe.round_trip(docs).collect()}
+    assert all(trip[i] == hashlib.sha256(t.encode()).hexdigest() for i, t, *_ in rows)
+    assert {r["doc_id"]: [x["kind"] for x in r["found"]] for r in private_data.base_spans(docs).collect()} == {1: [], 2: [], 3: ["email"], 4: []}
+    assert {r["doc_id"]: r["size"] for r in sharding.shard(docs).collect()} == {i: len(t) + 16 for i, t, *_ in rows}
+    page = spark.createDataFrame([(1, "u", "<nav>menu</nav><article>" + "".join(f"<p>{p}</p>" for p in prose) + "</article>")], "page_id long, url string, html string")
+    assert html_text.extract(page).first()["text"] == "\n\n".join(prose)
+    field = language.train(["the house and the garden " * 5, "das haus und der garten " * 5], ["en", "de"], rounds=5)
+    got = {r["doc_id"]: r for r in language.identify(docs, field).collect()}
+    assert all(r["lang_pred"] in ("en", "de") and 0.5 <= r["score"] <= 1 for r in got.values())
+    model = line_quality.train(["good line here\nanother good line", "!!! BUY $$$"], [1, 0])
+    assert line_quality.rate(docs, model).where("score between 0 and 1").count() == 4
+
+
 def test_simhash_components(documents, nothing):
     rows = pairs(documents)
     prints = [brute.fingerprint(t) for _, t in rows]
@@ -163,6 +243,36 @@ def test_tiles_lose_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
 
 
+@pytest.mark.parametrize("tile", [1, 7])
+def test_keys_of_many_fingerprints_are_dealt_into_a_grid(spark, tile):
+    rng = np.random.default_rng(8)
+    centres = [int(x) for x in rng.integers(0, 2**64, 3, dtype=np.uint64)]
+    prints = sorted({c ^ (1 << a) ^ (1 << b) for c in centres for a in range(0, 64, 5) for b in range(0, 64, 7)})
+    frame = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "fp long")
+    from umbraline.llm.components import components
+
+    found = {r["node"]: r["root"] for r in components(simhash.links(frame, tile=tile), hot_rows=20).collect()}
+    want = brute.components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
+    groups = defaultdict(set)
+    for p, root in zip(prints, want, strict=True):
+        signed = int(np.uint64(p).view(np.int64))
+        groups[root].add(found.get(signed, signed))
+    assert all(len(v) == 1 for v in groups.values()) and len({next(iter(v)) for v in groups.values()}) == len(groups)
+
+
+def test_hubs_and_hot_keys_are_sent(spark):
+    from umbraline.llm.common import joined_to_unique
+    from umbraline.llm.components import components
+
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(1000, 1030)] + [(199, 1000), (5000, 5001)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long"), hot_rows=10).collect()}
+    assert got == {n: 5000 if n >= 5000 else 0 for e in edges for n in e}
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 500), (2, 3), (3, 1)) for i in range(n)], "k int, i int")
+    unique = spark.createDataFrame([(1, 10, 500), (2, 20, 3), (3, 30, 1)], "k int, x int, n long")
+    got = joined_to_unique(rows, unique, "k", 504, hot_rows=100)
+    assert got.columns == ["k", "i", "x"] and multiset(tuple(r) for r in got.collect()) == multiset((r["k"], r["i"], 10 * r["k"]) for r in rows.collect())
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_a_dense_tile_hands_on_few_links(same):
     rng = np.random.default_rng(1)
@@ -201,6 +311,18 @@ def test_a_heavy_group_is_offset_in_any_number_of_groups(spark):
         assert len(sums) == sharding.SHARDS and max(sums) < 1.01 * sum(sums) / sharding.SHARDS
 
 
+def test_equal_sizes_a_giant_group_and_a_hot_one(spark, monkeypatch):
+    import umbraline.llm.common as common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = [(i, f"text {i:04d}") for i in range(200)] + [(1000 + i, "copied many times") for i in range(300)] + [(2000, "giant " * 20_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
+    assert len(got) == len(rows) and len({r["shard"] for r in got if 1000 <= r["doc_id"] < 2000}) == 1
+    assert [r["shard"] for r in got].count(next(r["shard"] for r in got if r["doc_id"] == 2000)) == 1
+    for k in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+
+
 def test_differencing_keeps_every_part():
     parts = np.zeros((50, 4), np.int64)
     parts[:, 0] = np.random.default_rng(2).integers(1, 1000, 50)
@@ -260,9 +382,61 @@ def test_pages_keep_the_whole_article():
     assert html_text.main_text(f"<body>{article}<div class='sidebar'>{first}</div></body>") == want
 
 
+PROSE = "This is a paragraph of prose that goes on for a while, as paragraphs do in articles. " * 3
+MORE = "Another paragraph follows here and it also has quite a lot of words to read, honestly. " * 2
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>Text <span class="advert">Buy now</span> more</p>', ["Text more"]),
+        (f"<div><p>{PROSE}</p><textarea>typed</textarea><button>Go</button><p>{MORE}</p></div>", [PROSE, MORE]),
+        (f'<nav><a>x</a></nav><div id="related-work"><p>{PROSE}</p><p>{MORE}</p></div>', [PROSE, MORE]),
+        (f'<section class="search-results"><h2>T</h2><p>{PROSE}</p></section><footer>f</footer>', ["T", PROSE]),
+        (f"<div>Home / About / Contact</div><p>{PROSE}</p><p>{MORE}</p>", [PROSE, MORE]),
+        (f"<div><a>Home</a> / <a>About</a></div><h1>Title</h1><p>{PROSE}</p><p>Of.</p><p>{MORE}</p><div>c 2024</div>", ["Title", PROSE, "Of.", MORE]),
+        (f"<h1>T</h1><div><p>{PROSE}</p><p>{MORE}</p></div><div class='comments'>" + f"<p>{PROSE}</p>" * 2 + "</div>", ["T", PROSE, MORE]),
+        (f"<ul><li><a>a</a></li><li><a>b</a></li></ul><div><h1>T</h1><p>{PROSE}</p><ul><li>one</li><li>two</li></ul><p>{MORE}</p><p>end.</p></div>", ["T", PROSE, "one", "two", MORE, "end."]),
+        (f"<article><h1>T</h1><p>{PROSE}</p><div class='ad'>{MORE}</div><p>{MORE}</p></article>", ["T", PROSE, MORE]),
+        (f"<article><p>{PROSE}</p></article><p hidden>{MORE}</p>", [PROSE]),
+        (f"<h1>One</h1><div>{PROSE}</div><div>{MORE}</div>", ["One", PROSE, MORE]),
+    ],
+)
+def test_pages_without_helpful_names(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == "\n\n".join(x.strip() for x in want)
+
+
+def test_clusters_decide_on_bare_pages(spark):
+    """Pages whose elements are all plain ones: the article is found by the ratios, less often without the clusters."""
+    import re
+
+    rows = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    right = plain = 0
+    for page in rows:
+        bare = re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:nav|footer|article)\b", r"<\1div", page))
+        want = html_text.main_text(page)
+        parsed = html_text.Page()
+        parsed.feed(bare)
+        right += html_text.main_text(bare) == want
+        plain += "\n\n".join(html_text.main_lines(parsed.end(), clusters=False)) == want
+    assert right >= 0.95 * len(rows) and right >= plain
+    # A long menu beside paragraphs: only the clusters tell them apart.
+    menu = "".join(f"<div><i>Entry {k}</i></div>" for k in range(60))
+    page = f"<div>{menu}</div><div><p>{MORE}</p><p>{PROSE}</p></div>"
+    parsed = html_text.Page()
+    parsed.feed(page)
+    assert html_text.main_text(page) == f"{MORE.strip()}\n\n{PROSE.strip()}" != "\n\n".join(html_text.main_lines(parsed.end(), clusters=False))
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", f"<p>{PROSE}</p>", "t", 5), (1, "u", f"<p>{PROSE}</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract(rows).collect()] == [(1, "u", PROSE.strip(), len(PROSE.strip()))] * 2
+
+
 def test_queries_return_the_stated_columns(spark):
     sf = "/root/testdata/sf0.001"
     want = {
+        "op1_token_counts": ["doc_id", "n_words", "n_tokens", "n_unknown"],
         "op2_html_extraction": ["page_id", "url", "text", "n_chars"],
         "op3_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
         "op4_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],

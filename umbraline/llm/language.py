@@ -4,7 +4,8 @@ Every word is a step of the chain, labelled with a language.  Its score for a la
 sums learned weights of its character n-grams, its affixes and, for frequent words, its
 own lexicon entry; learned transitions say how often text switches.  Forward-backward
 gives each word's probabilities, so a text may change language half-way; the text's
-language is the one with most of the (length-weighted) probability.
+language is the one with most of the (length-weighted) probability.  A very long text is
+read in parts of up to ``PART`` characters, each a chain of its own, and their sums added up.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chain import Adam, expectations, marginals
-from .common import held_out, narrowed, slices, text_slices
+from .common import held_out, narrowed, slices, text_parts, text_slices
 
 BUCKETS = 1 << 15
+#: Characters of one chain at most.
+PART = 1 << 20
 UNKNOWN = "und"
 #: Multipliers of the n-gram hash (odd, from the fractional bits of square roots of primes).
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -107,18 +110,25 @@ class LanguageField:
         out = np.stack([np.add.reduceat(letters[:, j], w.first) for j in range(k)], 1).astype(float)
         return out + self.affixes[0][w.affixes[:, 0]] + self.affixes[1][w.affixes[:, 1]] + self.entries[self.entry(w.spelling)]
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        w = words_of([t or "" for t in texts])
+    def mass(self, texts: list[str]) -> np.ndarray:
+        """Letters that each text has in each language, by expectation: (texts, languages)."""
+        w = words_of(texts)
         p = marginals(self.emission(w), w.per_text[w.per_text > 0], self.transition) * w.lengths[:, None]
-        has = np.flatnonzero(w.per_text)
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        out, has = np.zeros((len(texts), len(self.languages))), np.flatnonzero(w.per_text)
         if len(has):
-            first = np.concatenate([[0], np.cumsum(w.per_text[has])[:-1]])
-            mass = np.add.reduceat(p, first, axis=0)
-            mass /= mass.sum(1, keepdims=True)
-            for i, row in zip(has, mass, strict=True):
-                best = int(row.argmax())
-                out[i] = (self.languages[best], float(min(1.0, row[best])))
+            out[has] = np.add.reduceat(p, np.concatenate([[0], np.cumsum(w.per_text[has])[:-1]]), axis=0)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        whole = [t or "" for t in texts]
+        mass = self.mass([t if len(t) <= PART else "" for t in whole])
+        for i, t in enumerate(whole):
+            if len(t) > PART:
+                mass[i] = sum(self.mass([part])[0] for part in text_parts(t, PART, " \n\t.,"))
+        out: list[tuple[str, float]] = []
+        for row in mass:
+            best, total = int(row.argmax()), row.sum()
+            out.append((self.languages[best], float(min(1.0, row[best] / total))) if total > 0 else (UNKNOWN, 0.0))
         return out
 
 
@@ -178,7 +188,8 @@ def sample(documents: DataFrame, per_language: int = 400, longest: int = 8_000)
     """A bounded sample of labelled texts to learn from, in a fixed order.
 
     Only rows outside the held-out fifth with a language and a text of 1 to ``longest``
-    characters count; about ``per_language`` rows of each language come to the driver.
+    characters count; about ``per_language`` rows of each language come to the driver, those
+    of the smallest draws.
     """
     rows = narrowed(documents, "doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, longest))
     share = {r["lang"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -188,8 +199,7 @@ def sample(documents: DataFrame, per_language: int = 400, longest: int = 8_000)
     chosen = F.lit(False)
     for lang, part in share.items():
         chosen = chosen | ((F.col("lang") == lang) & (F.col("draw") < part))
-    got = rows.select("text", "lang", "doc_id", draw).where(chosen).limit(2 * per_language * len(share)).collect()
-    got.sort(key=lambda r: (r["draw"], r["doc_id"], r["lang"], r["text"]))
+    got = rows.select("text", "lang", "doc_id", draw).where(chosen).orderBy("draw", "doc_id", "lang", "text").limit(2 * per_language * len(share)).collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 

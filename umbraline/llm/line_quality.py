@@ -11,6 +11,9 @@ each line takes its document's label.  Then expectations alternate with gradient
 line's label is expected from the model and from what the document's label says about it
 (``EVIDENCE``: all lines of a good document are good; those of a bad one rather bad than
 not), and so are the changes of label along a text, from which transitions are learned.
+
+A very long text is read in parts of whole lines of up to ``PART`` characters, each a chain
+of its own (a longer line is cut), and their sums added up.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chain import Adam, expectations, marginals
-from .common import held_out, narrowed, slices, text_slices
+from .common import held_out, narrowed, slices, text_parts, text_slices
 
 #: Bins of each feature; FEATURES names them in the order of the columns.
 BINS = 8
 FEATURES = ("words", "letters a word", "upper case", "digits", "symbols", "exclamation", "bars", "other marks", "repeats next", "repeats near", "distinct", "seen line", "first letter", "last mark")
 #: A document is predicted good from this score on.
 GOOD = 0.3
+#: Characters of one chain at most.
+PART = 1 << 20
 #: Log-odds that a document's label (0, 1) lends to the same label of each of its lines.
-EVIDENCE = (1.5, 6.0)
+EVIDENCE = (0.6, 6.0)
 
 _CLASS = np.zeros((256,), np.uint8)  # 0 letters and the rest, then one bit each
 for _bit, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>=@^~\\{}[]_", b"!", b"|", b".,;:?'\"()-/+")):
@@ -139,19 +144,27 @@ class LineField:
     def emission(self, rows: np.ndarray) -> np.ndarray:
         return sum(self.weights[p, f][rows[p, :, f]] for p in range(3) for f in range(rows.shape[2]))
 
-    def sums(self, lines: Lines) -> np.ndarray:
-        """Of each text: 1, the logit of its good share, and how many bytes are bad (log)."""
+    def weighed(self, lines: Lines) -> np.ndarray:
+        """Of each text: bytes in all, and those of good lines by expectation."""
         p = marginals(self.emission(self.rows(lines)), lines.per_text, self.transition)[:, 1]
         first = np.concatenate([[0], np.cumsum(lines.per_text)[:-1]])
-        total = np.add.reduceat(lines.weight, first)
-        good = np.add.reduceat(p * lines.weight, first)
+        return np.stack([np.add.reduceat(lines.weight, first), np.add.reduceat(p * lines.weight, first)], 1)
+
+    def sums(self, weighed: np.ndarray) -> np.ndarray:
+        """Of each text: 1, the logit of its good share, and how many bytes are bad (log)."""
+        total, good = weighed.T
         share = np.clip(good / total, 0.01, 0.99)
         return np.stack([np.ones(len(total)), np.log(share / (1 - share)), np.log1p(np.maximum(0, total - good))], 1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.sums(lines_of([t or "" for t in texts])) @ self.doc, -30, 30)))
+        whole = [t or "" for t in texts]
+        weighed = self.weighed(lines_of([t if len(t) <= PART else "" for t in whole]))
+        for i, t in enumerate(whole):
+            if len(t) > PART:
+                weighed[i] = sum(self.weighed(lines_of([part.removesuffix("\n")]))[0] for part in text_parts(t, PART, "\n"))
+        return 1 / (1 + np.exp(-np.clip(self.sums(weighed) @ self.doc, -30, 30)))
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 30, copied: int = 10, seed: int = 11) -> LineField:
@@ -192,7 +205,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 30, copied: int = 1
             adam.n += 1
             adam.step("w", field.weights, gradient - 0.05 * field.weights)
             adam.step("t", field.transition, (seen - pairs) / len(part_of) - 0.05 * field.transition)
-    x = field.sums(lines)
+    x = field.sums(field.weighed(lines))
     spread = np.maximum(x[:, 1:].std(0), 1e-9)
     z = np.concatenate([x[:, :1], (x[:, 1:] - x[:, 1:].mean(0)) / spread], 1)
     w = np.zeros(3)
