@@ -19,6 +19,8 @@ entity as often as the corpus does, so that one document alone discloses hardly
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ TERM = "term"
 SUPPORT = 3
 GENERAL_BITS = 0.75
 REMOVE_BITS = 0.15
-#: Disclosing terms up to this many are sent to all workers; more are joined by shuffling.
-BROADCAST_TERMS = 20_000
+#: Terms up to this many (some 60 bytes each) are sent to all workers; more are joined by shuffling.
+BROADCAST_TERMS = 100_000
 #: Documents with such terms are sent to the texts if they have up to this many terms in all
 #: (some 60 bytes each); beyond, texts are shuffled.
 BROADCAST_PAIRS = 200_000
@@ -157,42 +159,79 @@ def base_spans(documents: DataFrame, beside: bool = False) -> DataFrame:
     return rows.select("doc_id", "content", "found", own.alias("own"), F.when(some, _words(_without(F.col("text"), F.col("found")))).otherwise(none).alias("terms"))
 
 
+def _words_of_all(documents: DataFrame) -> DataFrame:
+    rows = narrowed(documents, "doc_id", "text").where("text is not null")
+    return rows.select("doc_id", F.xxhash64("text").alias("content"), F.explode(_words(F.col("text"))).alias("term"))
+
+
 def _documents_with(documents: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
     """``doc_id, content, term`` for every document and each of the ``terms`` that it has; repeated rows count once."""
-    rows = narrowed(documents, "doc_id", "text").where("text is not null")
-    words = rows.select("doc_id", F.xxhash64("text").alias("content"), F.explode(_words(F.col("text"))).alias("term"))
-    return words.join(F.broadcast(terms) if few else terms, "term").dropDuplicates(["doc_id", "content", "term"])
+    return _words_of_all(documents).join(F.broadcast(terms) if few else terms, "term").dropDuplicates(["doc_id", "content", "term"])
+
 
+def candidate_pairs(based: DataFrame, n: int, support: int = SUPPORT, general_bits: float = GENERAL_BITS) -> DataFrame:
+    """``entity, term, n_both, n_entity``: pairs that may disclose, as far as documents with entities can tell.
 
-def disclosing_terms(documents: DataFrame, based: DataFrame, support: int = SUPPORT, general_bits: float = GENERAL_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
+    A term stands in at least the documents where it stands beside any entity, and a pair in
+    no more than the entity does; where these alone leave too much uncertain, the pair is
+    left out before pairs are counted, which can't change the result.  Equal texts are
+    counted as one with their number.
+    """
+    c = F.col
+    # All the uncertainty there can be: of `both` documents with the pair among `term` with the term.
+    holding = cut(based.where(F.size("found") > 0).select("doc_id", "content", "own", "terms").dropDuplicates(["doc_id", "content"]).groupBy("content").agg(F.first("own").alias("own"), F.first("terms").alias("terms"), F.count("*").alias("weight")))
+    own = holding.select(F.explode("own").alias("entity"), "weight").groupBy("entity").agg(F.sum("weight").alias("n_entity"))
+    beside = holding.select(F.explode("terms").alias("term"), "weight").groupBy("term").agg(F.sum("weight").alias("n_beside"))
+    # No pair passes whose entity or term alone stands in so few documents that it couldn't.
+    common = own.agg(F.max("n_entity")).first()[0] or 0
+    fits = [k for k in range(1, support + 1) if _uncertain_of(k, k, common / max(n, 1), support) <= general_bits]
+    fewest = fits[0] if fits else support
+    entities = holding.select("content", F.explode("own").alias("entity")).join(own.where(c("n_entity") >= fewest), "entity").groupBy("content").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    each = holding.select("content", "weight", "terms").join(entities, "content").select("weight", "entities", F.explode("terms").alias("term"))
+    known = each.join(beside.where(c("n_beside") >= fewest), "term")
+    may = F.filter("entities", lambda e: uncertain(F.least(e["n_entity"], c("n_beside")), c("n_beside"), e["n_entity"] / F.lit(n), support) <= general_bits)
+    pairs = known.select("term", "weight", "n_beside", F.explode(may).alias("e")).groupBy("e.entity", "term").agg(F.sum("weight").alias("n_both"), F.first("n_beside").alias("n_beside"), F.first("e.n_entity").alias("n_entity"))
+    return pairs.where(uncertain(c("n_both"), c("n_beside"), c("n_entity") / F.lit(n), support) <= general_bits).drop("n_beside")
+
+
+def uncertain(both: Column, term: Column, rate: Column, support: int) -> Column:
+    """Bits of the entity that stay uncertain: of ``term`` documents ``both`` have it, filled up to ``support`` at its general rate."""
+    lacking = F.greatest(F.lit(0), support - both)
+    return F.greatest(F.lit(0.0), -F.log2((both + lacking * rate) / (term + lacking)))
+
+
+def _uncertain_of(both: int, term: int, rate: float, support: int) -> float:
+    lacking = max(0, support - both)
+    return max(0.0, -math.log2((both + lacking * rate) / (term + lacking)))
+
+
+def disclosing_terms(documents: DataFrame, based: DataFrame, support: int = SUPPORT, general_bits: float = GENERAL_BITS, remove_bits: float = REMOVE_BITS) -> tuple[DataFrame, DataFrame | None]:
     """``term, removed, bits``: terms that disclose an entity, and how uncertain they leave it at most.
 
-    ``based`` is ``base_spans(documents, beside=True)``.
+    ``based`` is ``base_spans(documents, beside=True)``.  The second table has ``doc_id, content,
+    term`` of the documents that hold them, if it was small enough to be gathered on the way.
     """
     c = F.col
-    n = F.lit(based.select("doc_id", "content").distinct().count())
-    holding = based.where(F.size("found") > 0).select("doc_id", "content", "own", "terms").dropDuplicates(["doc_id", "content"])
-    own = holding.select(F.explode("own").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    each = holding.select("own", F.explode("terms").alias("term"))
-    least = each.groupBy("term").agg(F.count("*").alias("n_beside"))
-    lacking = F.greatest(F.lit(0), support - c("n_both"))
-
-    def uncertain(n_term: Column) -> Column:
-        share = (c("n_both") + lacking * c("n_entity") / n) / (n_term + lacking)
-        return F.greatest(F.lit(0.0), -F.log2(share))
-
-    # A term's documents are at least those where it stands beside any entity.  Where these
-    # alone leave too much uncertain, counting it in the whole corpus can't change that.
-    counted = each.select(F.explode("own").alias("entity"), "term").groupBy("entity", "term").agg(F.count("*").alias("n_both")).join(own, "entity").join(least, "term")
-    together = cut(counted.where(uncertain(c("n_beside")) <= general_bits).drop("n_beside"))
+    n = based.select("doc_id", "content").distinct().count()
+    together = cut(candidate_pairs(based, n, support, general_bits))
     candidates = cut(together.select("term").distinct())
     size = candidates.count()
     if size == 0:
-        return candidates.selectExpr("term", "false removed", "cast(0 as double) bits")
-    n_term = _documents_with(documents, candidates, size <= BROADCAST_TERMS).groupBy("term").agg(F.count("*").alias("n_term"))
-    ic = F.log2(n / c("n_entity"))
-    scored = together.join(n_term, "term").select("term", uncertain(c("n_term")).alias("bits"), ic.alias("ic")).where((c("bits") <= general_bits) & (c("ic") > general_bits))
-    return scored.groupBy("term").agg((F.min("bits") <= remove_bits).alias("removed"), F.min("bits").alias("bits"))
+        return candidates.selectExpr("term", "false removed", "cast(0 as double) bits"), None
+    held = None
+    if size <= BROADCAST_TERMS:
+        held = cut(_documents_with(documents, candidates, True))
+        n_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
+    else:  # counted before they are joined: far fewer rows move
+        words = _words_of_all(documents)
+        again = narrowed(documents, "doc_id", "text").groupBy("doc_id", F.xxhash64("text").alias("content")).count().where("count > 1").select("doc_id", "content", (F.col("count") - 1).alias("extra"))
+        n_term = words.groupBy("term").agg(F.count("*").alias("n_rows")).join(candidates, "term")
+        extra = words.join(again, ["doc_id", "content"]).dropDuplicates(["doc_id", "content", "term"]).groupBy("term").agg(F.sum("extra").alias("extra"))
+        n_term = n_term.join(extra, "term", "left").select("term", (c("n_rows") - F.coalesce("extra", F.lit(0))).alias("n_term"))
+    rate = c("n_entity") / F.lit(n)
+    scored = together.join(n_term, "term").select("term", uncertain(c("n_both"), c("n_term"), rate, support).alias("bits"), (-F.log2(rate)).alias("ic")).where((c("bits") <= general_bits) & (c("ic") > general_bits))
+    terms = cut(scored.groupBy("term").agg((F.min("bits") <= remove_bits).alias("removed"), F.min("bits").alias("bits")))
+    return terms, held
 
 
 def find(documents: DataFrame, support: int = SUPPORT, general_bits: float = GENERAL_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
@@ -204,13 +243,14 @@ def find(documents: DataFrame, support: int = SUPPORT, general_bits: float = GEN
     text are not read; an empty table gives an empty one.
     """
     based = cut(base_spans(documents, beside=True))
-    terms = cut(disclosing_terms(documents, based, support, general_bits, remove_bits))
+    terms, held = disclosing_terms(documents, based, support, general_bits, remove_bits)
     size = terms.count()
     kind = "array<struct<start:int,end:int,value:string,removed:boolean>>"
     if size == 0:
         return based.select("doc_id", "content", "found", F.array().cast(kind).alias("added"))
     few = size <= BROADCAST_TERMS
-    holding = cut(_documents_with(documents, terms, few).groupBy("doc_id", "content").agg(F.collect_set(F.struct("term", "removed")).alias("terms")).withColumnsRenamed({"doc_id": "_id", "content": "_of"}))
+    held = _documents_with(documents, terms.select("term"), few) if held is None else held
+    holding = cut(held.join(F.broadcast(terms) if few else terms, "term").groupBy("doc_id", "content").agg(F.collect_set(F.struct("term", "removed")).alias("terms")).withColumnsRenamed({"doc_id": "_id", "content": "_of"}))
     if (holding.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_PAIRS:
         holding = F.broadcast(holding)
     rows = narrowed(documents, "doc_id", "text").where("text is not null").withColumn("content", F.xxhash64("text"))
