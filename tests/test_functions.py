@@ -47,10 +47,32 @@ def test_letters_go_on_after_z(spark):
     assert [r[0] for r in rows] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA"]
 
 
+def test_letters_of_any_number(spark):
+    def plain(n):
+        out = ""
+        while n >= 0:
+            out, n = chr(65 + n % 26) + out, n // 26 - 1
+        return out
+
+    numbers = [475_253, 475_254, 12_356_629, 12_356_630, 10**12, 2**62, 2**63 - 1, -1]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select(t.letters(F.col("n"))).collect()
+    assert [r[0] for r in rows] == [plain(n) for n in numbers]
+
+
+def test_formats_by_magnitude(spark):
+    usd = {0.0: "$0.00", 0.00000123: "$0.00000123", 0.00025: "$0.000250", 0.0123: "$0.0123", 1.0: "$1.00", 12.345678: "$12.35", float("nan"): "$?", float("inf"): "$?"}
+    rows = spark.createDataFrame([(v,) for v in usd], "v double").select(t.dollars(F.col("v"))).collect()
+    assert [r[0] for r in rows] == list(usd.values())
+    sizes = {0: "0 B", 1023: "1023 B", 1024: "1.0 KB", 1 << 20: "1.0 MB", 191_102_976: "182.3 MB"}
+    rows = spark.createDataFrame([(v,) for v in sizes], "v long").select(t.short_bytes(F.col("v"))).collect()
+    assert [r[0] for r in rows] == list(sizes.values())
+    assert one(spark, s=t.slug(F.lit("!!")))["s"] == "noquery"
+
+
 def test_small_text_functions(spark):
     row = one(spark, colour=t.hex_colour(F.lit(" #AbC ")), bare=t.hex_colour(F.lit("00ff7F")), bad=t.hex_colour(F.lit("#12345")), rgb=t.channels(F.lit("#0aff10")), usd=t.dollars(F.lit(0.0042)), tokens=t.short_count(F.lit(12345)), slug=t.slug(F.lit("  Hello, World! ")), safe=t.literal_is_safe(F.lit("find this")), unsafe=t.literal_is_safe(F.lit("is it?")), branch=t.branch_of(F.lit("L1:a:b")), whole=t.branch_of(F.lit(":x")), shared=t.shared_length(F.lit("Hello"), F.lit("yellow")), overlap=t.character_overlap(F.lit("abc"), F.lit("abd")))
     assert (row["colour"], row["bare"], row["bad"], tuple(row["rgb"])) == ("#aabbcc", "#00ff7f", None, (10, 255, 16))
-    assert (row["usd"], row["tokens"], row["slug"], row["safe"], row["unsafe"]) == ("$0.0042", "12.3k", "hello-world", True, False)
+    assert (row["usd"], row["tokens"], row["slug"], row["safe"], row["unsafe"]) == ("$0.004200", "12.3k", "hello-world", True, False)
     assert (row["branch"], row["whole"], row["shared"], round(row["overlap"], 6)) == ("L1", ":x", 4, 0.666667)
 
 
@@ -82,3 +104,49 @@ def test_sequence_matching():
     assert m.holds("the paymant", "payment") and not m.holds("abc", "") and m.holds("pay", "pay")
     assert m.part_score("pay", "payment due") == 1.0 and m.part_score("", "x") == 0.0
     assert m.best_part(["x", "pay", "ment"], "payment due") == (1, 1, 1.0)
+
+
+def test_windows_are_compared_as_defined():
+    import random
+
+    def plain(haystack, needle, least):
+        if needle in haystack:
+            return True
+        n = len(needle)
+        sizes = [n + d for d in t.WINDOW_STEPS if 3 <= n + d <= len(haystack)]
+        near = any(SequenceMatcher(None, needle, haystack[i : i + k]).ratio() >= least for k in sizes for i in range(len(haystack) - k + 1))
+        return near or len(haystack) <= n + 2 and SequenceMatcher(None, needle, haystack).ratio() >= least
+
+    rng = random.Random(3)
+    for _ in range(400):
+        needle, hay = ("".join(rng.choice("abcd ") for _ in range(rng.randint(1, n))) for n in (7, 25))
+        for least in (0.82, 0.6):
+            assert m.holds(hay, needle, least) == plain(hay, needle, least), (hay, needle)
+
+
+def test_tightest_runs_are_those_of_all_runs():
+    import random
+
+    def plain(words, query, least):
+        runs = [(i, j, " ".join(words[i : j + 1])) for i in range(len(words)) for j in range(i, len(words))]
+        held = [(len(x), i, j) for i, j, x in runs if query in x]
+        if held:
+            return min(held)[1:]
+        best = (0.0, None)
+        for i, j, x in runs:
+            score = SequenceMatcher(None, query, x).ratio() if x else 0
+            if score > best[0]:
+                best = (score, (i, j))
+        return best[1] if best[0] >= least else None
+
+    rng = random.Random(5)
+    for _ in range(400):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 9))]
+        query = " ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3)))
+        assert m.tightest_run(words, query) == plain(words, query, 0.82), (words, query)
+
+
+def test_thousandths_to_pixels(spark):
+    box = lambda *v: g.from_thousandths(F.array(*[F.lit(x) for x in v]), F.lit(1600), F.lit(900))
+    row = one(spark, mid=box(100, 200, 150, 300), all=box(0, 0, 1000, 1000), none=box(1000, 1000, 1000, 1000))
+    assert tuple(row["mid"]) == (318, 88, 164, 49) and tuple(row["all"]) == (0, 0, 1600, 900) and row["none"]["w"] >= 1 and row["none"]["h"] >= 1

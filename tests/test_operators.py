@@ -130,13 +130,16 @@ def test_exact_places_of_values(spark):
     row = metrics.latency(spark.createDataFrame([("g", v) for v in values], "g string, v double"), "g", "v").first()
     ordered = sorted(values)
     assert (row["n"], row["p50"], row["p95"], row["most"]) == (10, ordered[5], ordered[9], 9.0)
+    assert abs(row["mean"] - 4.6) < 1e-9 and abs(row["per_second"] - 10_000 / 46) < 1e-9
 
 
 def test_parts_are_carried_on(spark):
     place = lambda f, k, text, left: ("v", f, 0, k, "WORD", text, 90.0, left, 0.1, 0.05, 0.05)
     blocks = spark.createDataFrame([place(3, 0, "secret", 0.1), place(2, 0, "secre", 0.1), place(1, 0, "secr", 0.12), place(1, 1, "other", 0.1), place(1, 2, "secr", 0.9)], "video string, frame int, l int, k int, type string, text string, confidence double, left double, top double, w double, h double")
     hits = spark.createDataFrame([("v", 3, 0, 160, 90, 80, 45, "secret", 0.9)], BOX)
-    got = {(r["frame"], r["text"], r["round"]) for r in propagate.propagated(hits, blocks, "secret", -1).collect()}
+    rows = propagate.propagated(hits.withColumn("label", F.lit("C")), blocks, "secret", -1).collect()
+    assert {(r["label"], r["origin"]) for r in rows} == {("C", "backtrack")}
+    got = {(r["frame"], r["text"], r["round"]) for r in rows}
     assert got == {(2, "secre", 0), (1, "secr", 1)} or got == {(2, "secre", 0)}  # near enough parts correspond already
     assert propagate.propagated(hits, blocks, "secret", 1).count() == 0
 
@@ -158,15 +161,144 @@ def test_recovering_walks(spark):
     assert sorted(r["frame"] for r in cascade.recovered(seeds, blocks, boxes).collect()) == [2, 3]
 
 
-def test_boxes_shrink_to_clear_corners(spark):
+INK, PAPER = np.array([0.0, 0, 0]), np.array([255.0, 255, 255])
+
+
+@pytest.mark.parametrize(
+    ("text", "box", "most", "want"),
+    [
+        ((10, 0, 20, 20), (0, 0, 40, 20), 0.5, (10, 0, 20, 20, "no_violation")),  # white on both sides: up to the text
+        ((0, 0, 40, 20), (0, 0, 40, 20), 0.5, (0, 0, 40, 20, "no_violation")),  # corners on text: nothing moves
+        ((30, 0, 10, 20), (0, 0, 40, 20), 0.25, (10, 0, 30, 20, "cap_reached")),
+        ((0, 6, 40, 8), (0, 0, 40, 20), 0.5, (20, 0, 2, 20, "degenerate")),  # hollow: eaten from the left first
+        ((0, 0, 0, 0), (5, 5, 2, 9), 0.5, (5, 5, 2, 9, "too_small")),
+    ],
+)
+def test_boxes_shrink_to_their_text(text, box, most, want):
+    image = np.full((20, 40, 3), 255, float)
+    x, y, w, h = text
+    image[y : y + h, x : x + w] = 0
+    got = shrink.shrunk(image, box, INK, PAPER, 1, most)
+    if want[4] != "degenerate":
+        assert tuple(map(int, got[:4])) == want[:4]
+    assert got[4] == want[4]
+
+
+def test_boxes_without_colours_stay(spark):
     image = np.full((20, 30, 3), 255, np.uint8)
-    image[5:15, 8:12] = 0
-    row = [(bytearray(image.tobytes()), 30, 20, 9, 3, 15, 14, [0, 0, 0], [255, 255, 255]), (None, 30, 20, 1, 1, 5, 5, None, None)]
+    row = [(bytearray(image.tobytes()), 30, 20, 9, 3, 15, 14, [0, 0, 0], [5, 5, 5]), (None, 30, 20, 1, 1, 5, 5, None, None)]
     got = shrink.shrink(spark.createDataFrame(row, "pixels binary, width int, height int, x int, y int, w int, h int, ink array<int>, paper array<int>")).collect()
-    assert got[0]["reason"] in ("clear", "limit", "small") and got[0]["w"] <= 15 and got[1]["reason"] == "colours"
+    assert [(r["x"], r["y"], r["w"], r["h"], r["reason"]) for r in got] == [(9, 3, 15, 14, "colors_too_close"), (1, 1, 5, 5, "no_colors")]
     assert (shrink.filled(image, [(-5, -5, 10, 10)])[:5, :5] == 0).all()
 
 
+def test_labels_are_those_of_walking_frame_by_frame(spark):
+    rng = random.Random(7)
+    rows = []
+    for video in ("a", "b"):
+        for frame in range(1, 13):
+            if frame in (5, 9):
+                continue  # a frame without boxes breaks chains
+            for pos in range(rng.randint(1, 5)):
+                rows.append((video, frame, pos, rng.randrange(0, 300), rng.randrange(0, 100), 40, 20, rng.choice(["pay", "pays", "due now"]), rng.choice([None, None, "", "t1", "t2"])))
+    got = {(r["video"], r["frame"], r["pos"]): r["label"] for r in link.shown_labels(spark.createDataFrame(rows, "video string, frame int, pos int, x int, y int, w int, h int, text string, track string")).collect()}
+
+    def same(a, b):
+        return a == b or a in b or b in a or 1 - sum(map(int.__ne__, map(ord, a), map(ord, b))) / max(len(a), len(b)) >= 0.75
+
+    letters = [chr(65 + i) for i in range(26)] + [chr(65 + i) + chr(65 + j) for i in range(26) for j in range(26)]
+    want = {}
+    for video in ("a", "b"):
+        tracks, used, before = {}, 0, []
+        for frame in range(1, 13):
+            now, claimed = [], set()
+            for v, f, pos, x, y, w, h, text, track in rows:
+                if (v, f) != (video, frame):
+                    continue
+                cx, cy = (x + w / 2) / 1600, (y + h / 2) / 900
+                if track:
+                    if track not in tracks:
+                        tracks[track], used = letters[used], used + 1
+                    label = tracks[track]
+                else:
+                    near = [(np.hypot(p[0] - cx, p[1] - cy), i) for i, p in enumerate(before) if i not in claimed and np.hypot(p[0] - cx, p[1] - cy) <= 0.08 and same(p[2], text)]
+                    if near:
+                        claimed.add(min(near)[1])
+                        label = before[min(near)[1]][3]
+                    else:
+                        label, used = letters[used], used + 1
+                now.append((cx, cy, text, label))
+                want[video, frame, pos] = label
+            before = now
+    assert got == want
+
+
+def test_lines_are_narrowed_to_their_tightest_run(spark):
+    kind = "video string, frame int, l int, k int, type string, text string, confidence double, left double, top double, w double, h double"
+    line = lambda l, text: ("v", 1, l, -1, "LINE", text, 90.0, 0.0, 0.1 * l, 1.0, 0.1)
+    rows = [line(0, "please pay  NOW or never"), line(1, "please pya now thanks"), line(2, "pay now"), line(3, "nothing here")]
+    words = [("v", 1, r[2], k, "WORD", w, 90.0, 0.2 * k, 0.1 * r[2], 0.15, 0.1) for r in rows[:2] for k, w in enumerate(r[5].split())]
+    got = {r["l"]: (r["text"], r["box"]["x"], r["box"]["w"]) for r in detect.detect(spark.createDataFrame(rows, kind), "Pay now", words=spark.createDataFrame(words, kind)).collect()}
+    assert got[0] == ("pay NOW", 318, 564) and got[1] == ("pya now", 318, 564) and got[2] == ("pay now", 0, 1600) and 3 not in got
+    with pytest.raises(ValueError):
+        detect.filter_blocks(spark.createDataFrame(rows, kind), regions=True)
+
+
+def test_region_and_meaning_walks(spark):
+    place = lambda f, k, text, left: ("v", f, 0, k, "WORD", text, left, 0.1, 0.1, 0.1)
+    rows = [place(f, k, w, 0.2 * k) for f in (2, 3, 4) for k, w in enumerate(["bob", "b0b", "zzz"])]
+    blocks = spark.createDataFrame(rows, "video string, frame int, l int, k int, type string, text string, left double, top double, w double, h double")
+    boxes = spark.createDataFrame([("v", 1, "L0:top"), ("v", 1, "L1:abc")], "video string, frame int, instance string")
+    seeds = spark.createDataFrame([("v", "L0:top", "x", "forward", 2, "region"), ("v", "L1:abc", "bob", "forward", 2, "semantic")], "video string, instance string, text string, direction string, first_focus int, kind string")
+    regions = spark.createDataFrame([("v", 2, "L0:top", 0.0, 0.15, 0.5, 1.0)], "video string, frame int, instance string, top double, left double, bottom double, right double")
+    scores = spark.createDataFrame([("v", f, 0, k, "L1", 0.6 if f < 4 else 0.5) for f in (2, 3, 4) for k in range(3)], "video string, frame int, l int, k int, instance_branch string, confidence double")
+    got = sorted((r["instance"], r["frame"], r["text"]) for r in cascade.recovered(seeds, blocks, boxes, regions, scores).collect())
+    assert got == [("L0:top", 2, "b0b"), ("L0:top", 2, "zzz"), ("L1:abc", 2, "b0b"), ("L1:abc", 2, "bob"), ("L1:abc", 3, "b0b"), ("L1:abc", 3, "bob")]
+
+
+def test_only_the_first_agents_run(spark):
+    verdicts = spark.createDataFrame([("v", s, k, True, 1) for s in range(5) for k in range(3)], "video string, seed int, step int, visible boolean, changes int")
+    seeds = spark.createDataFrame([("v", s, "forward", 10 * s + 1, 1, 100) for s in range(5)], "video string, seed int, direction string, first_focus int, low int, high int")
+    assert {r["seed"]: r["steps"] for r in cascade.chains(seeds, verdicts, most=3).collect()} == {0: 3, 1: 3, 2: 3}
+    assert cascade.chains(seeds, verdicts, most=None).count() == 5
+
+
+def test_the_first_of_a_reply_counts(spark):
+    hits = spark.createDataFrame([("v", 2, 0, "ref"), ("v", 2, 1, "other"), ("v", 2, 2, "none")], "video string, frame int, pos int, text string")
+    replies = spark.createDataFrame([("v", 2, 0, 1, 3, 9, 9, 9, 9, "late"), ("v", 2, 0, 0, 3, 1, 2, 3, 4, " "), ("v", 2, 1, 0, 1, 5, 5, 5, 5, "said")], "video string, frame int, pos int, item int, at int, x int, y int, w int, h int, text string")
+    got = {r["from_pos"]: (r["frame"], r["x"], r["text"]) for r in cascade.replayed_partials(hits, replies).collect()}
+    assert got == {0: (3, 1, "ref"), 1: (1, 5, "said")}
+
+
+def test_merged_boxes_keep_the_leftmost_member(spark):
+    rows = [("v", 1, 0, 10, 0, 10, 10, "b", 0.5, "L1"), ("v", 1, 1, 0, 0, 10, 10, "a", 1.0, "L0"), ("v", 1, 2, 90, 0, 5, 10, "c", 1.0, "L2")]
+    got = {r["text"]: r["branch"] for r in merge.coalesced(spark.createDataFrame(rows, BOX + ", branch string")).collect()}
+    assert got == {"a b": "L0", "c": "L2"}
+
+
+def test_frames_without_a_region_count_whole(spark):
+    tree = predicate.branched(predicate.parse({"region": "top"}))
+    frames = spark.createDataFrame([("v", 1), ("v", 2)], "video string, frame int")
+    regions = spark.createDataFrame([("v", 1, "L0", "s", 0.0, 0.0, 0.5, 0.5)], "video string, frame int, branch string, sub_id string, top double, left double, bottom double, right double")
+    got = {r["frame"]: (r["bottom"], r["confidence"]) for r in prompt.localised(frames, tree, regions).collect()}
+    assert got == {1: (0.5, None), 2: (1.0, 0.05)}
+
+
+def test_totals_and_names(spark):
+    boxes = spark.createDataFrame([("v", "no_violation", 0, 0, 9, 9, 0, 0, 9, 9), ("v", "no_violation", 1, 0, 8, 9, 0, 0, 9, 9)], "video string, reason string, x int, y int, w int, h int, x0 int, y0 int, w0 int, h0 int")
+    assert tuple(metrics.shrink_totals(boxes).first()) == ("v", "no_violation", 2, 1)
+    assert tuple(metrics.gap_totals(spark.createDataFrame([("v", "move"), ("v", None)], "video string, reason string")).first()) == ("v", 2, 1)
+    names = {"a/b/clip.final.mov": "clip.final.redacted.mp4", "": "video.redacted.mp4", None: "video.redacted.mp4", ".hidden": ".hidden.redacted.mp4", "plain": "plain.redacted.mp4"}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(export.file_name(F.col("n")), export.suffix(F.col("n"))).collect()
+    assert [r[0] for r in rows] == list(names.values()) and [r[1] for r in rows] == [".mov", ".mp4", ".mp4", ".mp4", ".mp4"]
+    row = spark.range(1).select(records.compacted(F.lit("abcdef"), 4).alias("s"), records.compacted_array(F.array(*map(F.lit, "abc")), 2).alias("a"), records.frame_dump_name(F.lit("7"), F.lit("ocr"), F.lit("Pay Now!"), F.lit("f1.jpg")).alias("n")).first()
+    assert tuple(row) == ("abcd…[+2 chars]", ["a", "b", "…[+1 items]"], "7-ocr-pay-now-f1.jpg")
+    with pytest.raises(ValueError):
+        model.request(None, None, None, content_type="image/png")
+    with pytest.raises(ValueError):
+        model.request(None, None, None, content_hash="a", expected_hash="b")
+
+
 def test_condition_trees():
     a = predicate.parse({"and": [{"text": "pay"}, {"not": {"region": "top bar"}}]})
     b = predicate.parse({"children": [{"text": "pay", "kind": "text"}, {"child": {"kind": "region", "description": "top bar"}, "kind": "not"}], "kind": "and"})

@@ -41,3 +41,17 @@ def test_running_cost_over_batches(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.text(str(tmp_path / "out")).count() == 11
+
+
+def test_two_hashes_and_first_labels(spark, tmp_path):
+    rng = random.Random(9)
+    rows = sorted(((v, i, rng.getrandbits(4), rng.getrandbits(4)) for v in ("a", "b") for i in range(30)), key=lambda r: (r[1], r[0]))
+    schema = "video string, i int, p long, q long"
+    got = _all(stateful.deduplicated(_stream(spark, rows, tmp_path / "two", schema, 3), DedupParams(2, 1), hashes=("p", "q")), "two_rows", spark)
+    far = lambda a, b, k: F.bit_count(a[k].bitwiseXOR(b[k])) > 2
+    want = sequence.deduplicated(spark.createDataFrame(rows, schema), lambda a, b: far(a, b, "p") | far(a, b, "q"), DedupParams(2, 1))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    boxes = [("v", f, p, f"t{(f * 3 + p) % 30}") for f in range(20) for p in range(2)]
+    got = _all(stateful.first_labels(_stream(spark, boxes, tmp_path / "labels", "video string, frame int, pos int, track string", 3)), "label_rows", spark)
+    order = list(dict.fromkeys(b[3] for b in boxes))
+    assert {(r["frame"], r["pos"]): r["label"] for r in got.collect()} == {(f, p): stateful.letters(order.index(t)) for _, f, p, t in boxes}

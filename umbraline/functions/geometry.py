@@ -38,6 +38,14 @@ def thousandths(x: Column, y: Column, w: Column, h: Column, width: Column, heigh
     return F.array(half_up(y / height * 1000), half_up(x / width * 1000), half_up((y + h) / height * 1000), half_up((x + w) / width * 1000))
 
 
+def from_thousandths(box: Column, width: Column, height: Column, pad: int = PAD) -> Column:
+    """[ymin, xmin, ymax, xmax] in thousandths of the frame as padded whole pixels inside it, at least 1 by 1."""
+    left, top, right, bottom = (box[k] / 1000 * size for k, size in ((1, width), (0, height), (3, width), (2, height)))
+    x, y = F.greatest(F.lit(0), half_up(left) - pad), F.greatest(F.lit(0), half_up(top) - pad)
+    w, h = F.least(width - x, half_up(right - left) + 2 * pad), F.least(height - y, half_up(bottom - top) + 2 * pad)
+    return F.struct(x.alias("x"), y.alias("y"), F.greatest(F.lit(1), w).cast("int").alias("w"), F.greatest(F.lit(1), h).cast("int").alias("h"))
+
+
 def centre_distance(x1, y1, w1, h1, x2, y2, w2, h2, width, height) -> Column:
     """Distance of two centres in parts of the frame."""
     return F.hypot((x1 + w1 / 2 - x2 - w2 / 2) / width, (y1 + h1 / 2 - y2 - h2 / 2) / height)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructType
 
@@ -16,14 +19,27 @@ def ratio(a: str, b: str) -> float:
 
 
 def holds(haystack: str, needle: str, least: float = FUZZY) -> bool:
-    """Whether a text holds the needle, or a window of nearly its length that is like it."""
+    """Whether a text holds the needle, or a window of nearly its length that is like it.
+
+    A ratio is at most twice the number of characters in common over both lengths; that
+    number is kept up to date from window to window, and only windows that it lets through
+    are compared.
+    """
     if not needle or needle in haystack:
         return bool(needle)
-    n = len(needle)
-    sizes = [n + d for d in WINDOW_STEPS if 3 <= n + d <= len(haystack)]
-    if any(ratio(haystack[i : i + size], needle) >= least for size in sizes for i in range(len(haystack) - size + 1)):
-        return True
-    return len(haystack) <= n + 2 and ratio(haystack, needle) >= least
+    n, wanted = len(needle), Counter(needle)
+    for size in (n + d for d in WINDOW_STEPS if 3 <= n + d <= len(haystack)):
+        spare, common = Counter(wanted), 0
+        for end, c in enumerate(haystack):
+            if c in spare:
+                common += spare[c] > 0
+                spare[c] -= 1
+            if end >= size and (gone := haystack[end - size]) in spare:
+                common -= spare[gone] >= 0
+                spare[gone] += 1
+            if end + 1 >= size and 2 * common >= least * (n + size) and ratio(needle, haystack[end + 1 - size : end + 1]) >= least:
+                return True
+    return len(haystack) <= n + 2 and ratio(needle, haystack) >= least
 
 
 def alike(a: str, b: str) -> bool:
@@ -60,9 +76,55 @@ def texts_alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@pandas_udf(BooleanType())
-def text_holds(haystack: pd.Series, needle: pd.Series) -> pd.Series:
-    return pd.Series([holds(x or "", y or "") for x, y in zip(haystack, needle, strict=True)])
+def text_holds(haystack: Column, needle: str, least: float = FUZZY) -> Column:
+    """Whether a normalised text holds the needle or something like it; equal texts of a batch are compared once."""
+
+    @pandas_udf(BooleanType())
+    def compare(texts: pd.Series) -> pd.Series:
+        return texts.map({x: holds(x, needle, least) for x in texts.dropna().unique()})
+
+    return compare(haystack)
+
+
+def tightest_run(words: list[str], query: str, least: float = FUZZY) -> tuple[int, int] | None:
+    """(first, last) of the run of words that matches the query most tightly; None if none does.
+
+    The shortest run (by characters, then the first) that holds the query; if none holds it,
+    the run with the best ratio (the first), from ``least`` on.
+    """
+    ends = [0]
+    for w in words:
+        ends.append(ends[-1] + len(w) + 1)
+    size = lambda i, j: ends[j + 1] - ends[i] - 1
+    whole = " ".join(words)
+    held, at = [], whole.find(query)
+    while at >= 0:  # each place of the query and the words that it touches
+        i, j = bisect(ends, at) - 1, bisect(ends, at + len(query) - 1) - 1
+        held.append((size(i, j), i, j))
+        at = whole.find(query, at + 1)
+    if held:
+        return min(held)[1:]
+    best, found, most = 0.0, None, len(query) * (2 - least) / least + 1
+    for i in range(len(words)):
+        for j in range(i, len(words)):
+            if size(i, j) > most:
+                break
+            # A ratio is at most twice the shorter length over both.
+            if size(i, j) < 1 or 2 * min(size(i, j), len(query)) < max(best, least) * (size(i, j) + len(query)):
+                continue
+            score = ratio(query, whole[ends[i] : ends[j + 1] - 1])
+            if score > best:
+                best, found = score, (i, j)
+    return found if best >= least else None
+
+
+def tightest_runs(words: Column, query: str, least: float = FUZZY) -> Column:
+    @pandas_udf(StructType().add("first", IntegerType()).add("last", IntegerType()))
+    def run(lists: pd.Series) -> pd.DataFrame:
+        found = [tightest_run(list(w), query, least) or (None, None) if w is not None else (None, None) for w in lists]
+        return pd.DataFrame(found, columns=["first", "last"]).astype("Int32")
+
+    return run(words)
 
 
 @pandas_udf(DoubleType())

@@ -109,13 +109,17 @@ def character_overlap(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(F.size(F.array_intersect(chars(a), chars(b))) / F.greatest(F.length(a), F.length(b)))
 
 
-def letters(n: Column, places: int = 4) -> Column:
-    """0 is A, 25 is Z, 26 is AA; for numbers below 26 + 26**2 + ... over ``places`` letters."""
-    out, rest = F.lit(""), n.cast("long")
-    for _ in range(places):
-        out = F.when(rest >= 0, F.concat(F.char((rest % 26 + 65).cast("int")), out)).otherwise(out)
-        rest = F.when(rest >= 0, F.floor(rest / 26) - 1).otherwise(rest)
-    return out
+def letters(n: Column) -> Column:
+    """0 is A, 25 is Z, 26 is AA, 702 is AAA, and so on for any whole number; "" for negative ones."""
+    # Fourteen letters are enough for 64 bits; division of whole numbers stays exact.
+    start = F.struct(F.lit("").alias("out"), n.cast("long").alias("rest"))
+
+    def step(a: Column, _: Column) -> Column:
+        digit = F.pmod(a["rest"], F.lit(26).cast("long"))
+        more = F.struct(F.concat(F.char(digit + 65), a["out"]).alias("out"), (F.call_function("div", a["rest"] - digit, F.lit(26).cast("long")) - 1).alias("rest"))
+        return F.when(a["rest"] >= 0, more).otherwise(a)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["out"])
 
 
 def hex_colour(value: Column) -> Column:
@@ -149,8 +153,16 @@ def branch_of(instance: Column) -> Column:
 
 
 def dollars(usd: Column) -> Column:
-    """Four decimals below a cent, three below a dollar, else two."""
-    return F.when(usd == 0, "$0").when(usd < 0.01, F.format_string("$%.4f", usd)).when(usd < 1, F.format_string("$%.3f", usd)).otherwise(F.format_string("$%.2f", usd))
+    """Eight decimals below $0.0001, six below $0.01, four below $1, else two; "$?" for what is no finite number."""
+    value = usd.cast("double")
+    bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    places = F.when(value == 0, F.format_string("$%.2f", value)).when(value < 0.0001, F.format_string("$%.8f", value)).when(value < 0.01, F.format_string("$%.6f", value)).when(value < 1, F.format_string("$%.4f", value))
+    return F.when(bad, "$?").otherwise(places.otherwise(F.format_string("$%.2f", value)))
+
+
+def short_bytes(n: Column) -> Column:
+    """Bytes below 1,024, then KB and MB with one decimal."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / float(1 << 20)))
 
 
 def short_count(n: Column) -> Column:
@@ -165,5 +177,6 @@ def literal_is_safe(text: Column, longest: int = 48, most_words: int = 6) -> Col
 
 
 def slug(text: Column, longest: int = 40) -> Column:
-    """Lower case; runs of other characters become one hyphen; cut to ``longest``."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, longest)
+    """Lower case; runs of other characters become one hyphen; cut to ``longest``; ``noquery`` if nothing is left."""
+    cut = F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, longest)
+    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("noquery"))

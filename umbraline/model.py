@@ -71,6 +71,18 @@ def frame_range(first: int | None, last: int | None, n: int, clamp: str = "error
     return low, high
 
 
-def request(fps: float | None, dedup_threshold: int | None, max_gap: int | None) -> dict:
-    """Checked request values: rates of 0 or less mean none, counts are 0 at least."""
+MOST_BYTES = 500 << 20
+
+
+def request(fps: float | None, dedup_threshold: int | None, max_gap: int | None, content_type: str | None = None, size: int | None = None, content_hash: str | None = None, expected_hash: str | None = None) -> dict:
+    """Checked request values: rates of 0 or less mean none, counts are 0 at least.
+
+    What is no video, too large, or of another hash than expected is an error.
+    """
+    if content_type is not None and not content_type.startswith("video/"):
+        raise ValueError(f"no video: {content_type}")
+    if size is not None and size > MOST_BYTES:
+        raise ValueError(f"{size} bytes are more than {MOST_BYTES}")
+    if expected_hash is not None and content_hash is not None and expected_hash != content_hash:
+        raise ValueError("the content is not the one expected")
     return {"fps": fps if fps and fps > 0 else None, "dedup_threshold": max(0, dedup_threshold if dedup_threshold is not None else 2), "max_gap": max(0, max_gap if max_gap is not None else 1)}

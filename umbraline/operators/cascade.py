@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import text as t
 from ..session import cut
 
@@ -42,47 +43,98 @@ def _claim(seeds: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["video", "scope", "direction", "seed", "steps", "why"])
 
 
-def chains(seeds: DataFrame, verdicts: DataFrame, scope: str | None = None, quiet: int = 2, depth: int = 20) -> DataFrame:
+def chains(seeds: DataFrame, verdicts: DataFrame, scope: str | None = None, quiet: int = 2, depth: int = 20, most: int | None = 300) -> DataFrame:
     """How many steps each seed's chain takes, when a frame is walked once in each direction.
 
     ``seeds`` has ``video, seed, direction, first_focus, low, high``.  Seeds claim frames in
-    order; ``scope`` names a column whose values claim apart (such as the instance).  Only
-    seeds, not what they look at, meet in one place.
+    order; ``scope`` names a column whose values claim apart (such as the instance).  Of each
+    video the first ``most`` seeds run (None: all).  Seeds whose chains can't meet are told
+    apart by islands of the frames that they may reach, so what meets in one place is one
+    island's seeds, not a video's, and not what they look at.
     """
     ends = natural_ends(verdicts, quiet, depth)
+    if most is not None:
+        seeds = seeds.withColumn("_n", F.row_number().over(Window.partitionBy("video").orderBy("seed"))).where(F.col("_n") <= most).drop("_n")
     own = seeds.join(ends, ["video", "seed"]).withColumn("scope", F.col(scope).cast("string") if scope else F.lit(""))
     video = seeds.schema["video"].dataType.simpleString()
     cols = own.select("video", "scope", "direction", "seed", "first_focus", "low", "high", "steps", "why")
-    return cols.groupBy("video", "scope", "direction").applyInPandas(_claim, f"video {video}, scope string, direction string, seed int, steps int, why string")
+    forward = F.col("direction") == "forward"
+    near = F.when(forward, F.col("first_focus")).otherwise(F.col("first_focus") - F.col("steps") + 1)
+    far = F.when(forward, F.col("first_focus") + F.col("steps") - 1).otherwise(F.col("first_focus"))
+    order = Window.partitionBy("video", "scope", "direction").orderBy("_near", "seed")
+    reach = F.max("_far").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = cols.withColumn("_near", near).withColumn("_far", far).withColumn("_new", F.when(F.col("_near") <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order))
+    return islands.groupBy("video", "scope", "direction", "_island").applyInPandas(lambda pdf: _claim(pdf), f"video {video}, scope string, direction string, seed int, steps int, why string")
 
 
-def recovered(seeds: DataFrame, blocks: DataFrame, boxes: DataFrame, depth: int = 20, least: float = 0.2, most: int = 40) -> DataFrame:
-    """Boxes recovered by walking from each seed while its instance, or text like it, is there.
+#: Items looked at in a frame, by the kind of condition that an instance comes from.
+LOOKED_AT = {"text": 40, "region": 300, "semantic": 120}
 
-    ``seeds`` has ``video, instance, text, direction, first_focus``; ``boxes`` the boxes known
-    by ``video, frame, instance``.  A frame that has the instance is passed; on one that
-    hasn't, the first of up to ``most`` blocks that hold the first six characters of the text
-    and share enough of its characters is added; if there is none, the walk ends.
+
+def recovered(seeds: DataFrame, blocks: DataFrame, boxes: DataFrame, regions: DataFrame | None = None, scores: DataFrame | None = None, depth: int = 20, least: float = 0.2, least_score: float = 0.6) -> DataFrame:
+    """Boxes recovered by walking from each seed while its instance, or what is like it, is there.
+
+    ``seeds`` has ``video, instance, text, direction, first_focus`` and perhaps ``kind`` (text if
+    not); ``boxes`` the boxes known by ``video, frame, instance``; ``regions`` has ``video, frame,
+    instance, top, left, bottom, right``; ``scores`` has ``video, frame, l, k, instance_branch,
+    confidence``.  A frame that has the instance is passed.  On one that hasn't, blocks are
+    added: of a text, those that hold its first six characters; of a region, those inside the
+    region of that instance; of a meaning, those that score ``least_score`` for its branch; of
+    each the first of a frame as ``LOOKED_AT`` says.  Texts and meanings must also share enough
+    characters with the seed's text.  If nothing is added, the walk ends; so it does on a
+    frame that a walk of that instance in that direction has seen in an earlier round.
     """
     c = F.col
     step = F.when(c("direction") == "forward", 1).otherwise(-1)
-    level = cut(seeds.select("video", "instance", t.normalised(c("text")).alias("wanted"), "direction", c("first_focus").cast("int").alias("frame")).distinct())
+    kind = c("kind") if "kind" in seeds.columns else F.lit("text")
+    walk = ["video", "instance", "kind", "text", "wanted", "direction"]
+    level = cut(seeds.select("video", "instance", kind.alias("kind"), "text", t.normalised(c("text")).alias("wanted"), "direction", c("first_focus").cast("int").alias("frame")).distinct())
+    claimed = level.select("video", "instance", "direction", "frame").limit(0)
     known = boxes.select("video", "frame", "instance").distinct()
-    parts, added = [], None
+    place = ["l", "k", "type", c("text").alias("its"), "left", "top", "w", "h"]
+    by_frame = ["video", "frame", "instance", "direction", "wanted"]
+    first = lambda rows, n: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by_frame).orderBy("l", "k"))).where(F.col("_n") <= n).drop("_n")
+    alike = t.character_overlap(t.normalised(c("its")), c("wanted")) >= least
+    parts = []
     for n in range(depth):
+        level = level.join(claimed, ["video", "instance", "direction", "frame"], "left_anti")
         there = level.join(known, ["video", "frame", "instance"], "left_semi")
         absent = level.join(known, ["video", "frame", "instance"], "left_anti")
-        near = absent.join(blocks.select("video", "frame", "l", "k", "type", "text", "left", "top", "w", "h"), ["video", "frame"])
-        like = near.withColumn("norm", t.normalised(c("text"))).where(F.contains("norm", F.substring("wanted", 1, 6)) & (t.character_overlap(c("norm"), c("wanted")) >= least))
-        found = like.groupBy("video", "frame", "instance", "wanted", "direction").agg(F.min(F.struct("l", "k", "text", "left", "top", "w", "h")).alias("b"))
-        new = cut(found.select("video", "frame", "instance", "wanted", "direction", "b.text", "b.left", "b.top", "b.w", "b.h"))
-        parts.append(new.withColumn("step", F.lit(n)))
-        onward = there.select("video", "instance", "wanted", "direction", "frame").unionByName(new.select("video", "instance", "wanted", "direction", "frame"))
-        known = known.unionByName(new.select("video", "frame", "instance"))
+        near = absent.join(blocks.select("video", "frame", *place), ["video", "frame"])
+        head = t.normalised(F.substring("text", 1, 6))
+        found = first(near.where((c("kind") == "text") & F.contains(t.normalised(c("its")), head)), LOOKED_AT["text"]).where(alike)
+        if regions is not None:
+            own = regions.select("video", "frame", "instance", *[c(k).alias(f"r_{k}") for k in ("top", "left", "bottom", "right")])
+            inside = g.intersects(c("left"), c("top"), c("left") + c("w"), c("top") + c("h"), c("r_left"), c("r_top"), c("r_right"), c("r_bottom"))
+            found = found.unionByName(first(near.where("kind = 'region'").join(own, ["video", "frame", "instance"]).where(inside).select(*near.columns), LOOKED_AT["region"]))
+        if scores is not None:
+            good = scores.where(c("confidence") >= least_score).select("video", "frame", "l", "k", "instance_branch").distinct()
+            meant = near.where("kind = 'semantic'").withColumn("instance_branch", t.branch_of(c("instance"))).join(good, ["video", "frame", "l", "k", "instance_branch"], "left_semi")
+            found = found.unionByName(first(meant.select(*near.columns), LOOKED_AT["semantic"]).where(alike))
+        new = cut(found.select(*walk, "frame", "l", "k", "its", "left", "top", "w", "h"))
+        parts.append(new.select("video", "frame", "instance", "wanted", "direction", "l", "k", c("its").alias("text"), "left", "top", "w", "h", F.lit(n).alias("step")))
+        onward = there.select(*walk, "frame").unionByName(new.select(*walk, "frame").distinct())
+        claimed = claimed.unionByName(level.select("video", "instance", "direction", "frame"))
+        known = known.unionByName(new.select("video", "frame", "instance").distinct())
+        if n % 4 == 3:
+            claimed, known = cut(claimed), cut(known)
         level = cut(onward.withColumn("frame", (c("frame") + step).cast("int")).distinct())
         if not level.limit(1).count():
             break
     added = parts[0]
     for p in parts[1:]:
         added = added.unionByName(p)
-    return added
+    # Both directions may recover one block of a frame in one round.
+    return added.withColumn("_n", F.row_number().over(Window.partitionBy("video", "frame", "instance", "l", "k").orderBy("step", "direction"))).where("_n = 1").drop("_n", "l", "k")
+
+
+def replayed_partials(hits: DataFrame, replies: DataFrame) -> DataFrame:
+    """Boxes that a recorded comparison found on a neighbouring frame: the first of each reply.
+
+    ``replies`` has ``video, frame, pos`` of the hit asked about, ``item`` (its place in the
+    reply), ``at`` (the frame answered for), a box and ``text``; an empty text falls back to the hit's.
+    """
+    c = F.col
+    first = replies.groupBy("video", "frame", "pos").agg(F.min_by(F.struct("at", "x", "y", "w", "h", c("text").alias("said")), "item").alias("r"))
+    joined = hits.select("video", "frame", "pos", "text").join(first, ["video", "frame", "pos"])
+    return joined.select("video", c("frame").alias("from_frame"), c("pos").alias("from_pos"), c("r.at").alias("frame"), "r.x", "r.y", "r.w", "r.h", F.coalesce(F.nullif(F.trim("r.said"), F.lit("")), c("text")).alias("text"))

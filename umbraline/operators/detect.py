@@ -6,30 +6,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import matching as m
 from ..functions import text as t
 from ..model import DetectParams
+from ..session import cut
 
 
-def detect(blocks: DataFrame, query: str, params: DetectParams = DetectParams(), width: int = 1600, height: int = 900) -> DataFrame:
-    """Boxes of the blocks that hold the query, or something like it.
+#: Matching texts up to this many (of bounded length) are sent to the blocks.
+BROADCAST_TEXTS = 20_000
+LONGEST_SENT = 400
+
+
+def _matching(blocks: DataFrame, condition: Column) -> DataFrame:
+    """The blocks whose ``norm`` meets a condition that is costly: it is asked once for each distinct text."""
+    texts = cut(blocks.select("norm").distinct().where(condition))
+    size, longest = texts.agg(F.count("*"), F.coalesce(F.max(F.length("norm")), F.lit(0))).first()
+    return blocks.join(F.broadcast(texts) if size <= BROADCAST_TEXTS and longest <= LONGEST_SENT else texts, "norm")
+
+
+def detect(blocks: DataFrame, query: str, params: DetectParams = DetectParams(), width: int = 1600, height: int = 900, words: DataFrame | None = None, metric: str = "sequence") -> DataFrame:
+    """Boxes (``box``, ``score``) of the blocks that hold the query, or something like it.
 
     A query with a space is looked up in lines, one without in words.  Cheap conditions
-    (kind, confidence) come first and reach the scan.
+    (kind, confidence) come first and reach the scan.  ``metric`` is ``sequence`` (matching
+    blocks) or ``edit`` (edit distance, built in).  With ``words`` (``video, frame, l, k, text``
+    and places) a matching line is narrowed to its tightest run of words; where none matches,
+    the whole line stays.
     """
     wanted = " ".join(query.lower().split())
     kind = "LINE" if " " in wanted else "WORD"
-    chosen = blocks.where((F.col("type") == kind) & (F.col("confidence") >= params.min_confidence))
-    found = chosen.where(t.fuzzy_contains(t.normalised(F.col("text")), wanted, params.fuzzy))
+    chosen = blocks.where((F.col("type") == kind) & (F.col("confidence") >= params.min_confidence)).withColumn("norm", t.normalised(F.col("text"))).where("norm <> ''")
+    found = _matching(chosen, t.fuzzy_contains(F.col("norm"), wanted, params.fuzzy) if metric == "edit" else m.text_holds(F.col("norm"), wanted, params.fuzzy)).drop("norm")
+    if words is not None and kind == "LINE":
+        found = narrowed(found, words, wanted, params.fuzzy)
     box = g.to_pixels(F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.lit(width), F.lit(height), params.pad)
     return found.withColumn("box", box).withColumn("score", F.col("confidence") / 100.0)
 
 
-def filter_blocks(blocks: DataFrame, types: list[str] | None = None, least_confidence: float = 0.0, region: tuple[float, float, float, float] | None = None, holding: str | None = None, scores: DataFrame | None = None, least_score: float = 0.6, limit: int = 200) -> DataFrame:
+def narrowed(lines: DataFrame, words: DataFrame, wanted: str, least: float = t.FUZZY) -> DataFrame:
+    """``lines`` with text and place of their tightest run of words, where one matches and has a size."""
+    keys = ["video", "frame", "l"]
+    own = words.join(lines.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "text", "left", "top", "w", "h"))).alias("words"))
+    run = own.withColumn("run", m.tightest_runs(F.transform("words", lambda w: t.normalised(w["text"])), wanted, least))
+    span = run.where("run.first is not null").select(*keys, F.expr("slice(words, run.first + 1, run.last - run.first + 1)").alias("span"))
+    low = lambda k: F.array_min(F.transform("span", lambda w: w[k]))
+    high = lambda a, b: F.array_max(F.transform("span", lambda w: w[a] + w[b]))
+    tight = span.select(*keys, F.struct(F.trim(F.array_join(F.transform("span", lambda w: w["text"]), " ")).alias("text"), low("left").alias("left"), low("top").alias("top"), (high("left", "w") - low("left")).alias("w"), (high("top", "h") - low("top")).alias("h")).alias("tight")).where("tight.w > 0 and tight.h > 0")
+    joined = lines.join(tight, keys, "left")
+    pick = {c: F.coalesce(F.col(f"tight.{c}"), F.col(c)) for c in ("left", "top", "w", "h")}
+    pick["text"] = F.coalesce(F.nullif(F.col("tight.text"), F.lit("")), F.col("text"))
+    return joined.select(*[pick[c].alias(c) if c in pick else F.col(c) for c in lines.columns])
+
+
+def filter_blocks(blocks: DataFrame, types: list[str] | None = None, least_confidence: float = 0.0, region: tuple[float, float, float, float] | None = None, holding: str | None = None, scores: DataFrame | None = None, least_score: float = 0.6, limit: int = 200, regions: bool = False) -> DataFrame:
     """The first ``limit`` blocks of each frame that meet every condition given.
 
     ``region`` is (top, left, bottom, right) in parts of the frame; ``scores`` holds
     ``video, frame, ocr_index, confidence`` of a classifier, and blocks without one fail.
+    Where ``regions`` of interest are known, reading without any condition is refused.
     """
+    if regions and not types and least_confidence <= 0 and region is None and not holding and scores is None:
+        raise ValueError("regions are known: name a kind, a region, a text, a confidence or scores")
     rows = blocks
     if types:
         rows = rows.where(F.col("type").isin(*types))
@@ -62,9 +99,13 @@ def text_candidates(blocks: DataFrame, needle: str, fuzzy: float = t.FUZZY) -> D
     """Blocks for a text condition with ``prior``: 1 if either holds the other, else their similarity."""
     wanted = " ".join(needle.lower().split())
     rows = blocks.withColumn("norm", t.normalised(F.col("text"))).where("norm <> ''")
-    inside = F.contains("norm", F.lit(wanted)) | F.contains(F.lit(wanted), F.col("norm"))
-    prior = F.when(inside, 1.0).when(t.fuzzy_contains(F.col("norm"), wanted, fuzzy), F.greatest(F.lit(0.5), t.edit_similarity(F.col("norm"), F.lit(wanted))))
-    return rows.withColumn("prior", prior).where("prior is not null").drop("norm")
+    prior = text_prior(F.col("norm"), wanted, fuzzy)
+    return _matching(rows, prior.isNotNull()).withColumn("prior", prior).drop("norm")
+
+
+def text_prior(norm: Column, wanted: str, fuzzy: float = t.FUZZY) -> Column:
+    inside = F.contains(norm, F.lit(wanted)) | F.contains(F.lit(wanted), norm)
+    return F.when(inside, 1.0).when(t.fuzzy_contains(norm, wanted, fuzzy), F.greatest(F.lit(0.5), t.edit_similarity(norm, F.lit(wanted))))
 
 
 def relevance(blocks: DataFrame, query: str) -> Column:

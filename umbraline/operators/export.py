@@ -61,5 +61,13 @@ def filters(painted: DataFrame, style: ExportStyle = ExportStyle()) -> DataFrame
 
 
 def file_name(source: Column) -> Column:
-    """The source's name without its suffix, and what it has become."""
-    return F.concat(F.coalesce(F.nullif(F.regexp_replace(source, r"\.[A-Za-z0-9]{1,8}$", ""), F.lit("")), F.lit("video")), F.lit("-redacted.mp4"))
+    """The source's name (without folders and its last suffix), and what it has become."""
+    name = F.regexp_extract(F.coalesce(F.nullif(source, F.lit("")), F.lit("video")), r"([^/]*)/*$", 1)
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]+$", "")
+    return F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("video")), F.lit(".redacted.mp4"))
+
+
+def suffix(source: Column, other: str = ".mp4", longest: int = 8) -> Column:
+    """The name's last suffix in lower case, dot included, if it has one of up to ``longest`` characters."""
+    own = F.lower(F.regexp_extract(F.coalesce(source, F.lit("")), r"[^/](\.[^./]+)$", 1))
+    return F.when((own != "") & (F.length(own) <= longest), own).otherwise(F.lit(other))

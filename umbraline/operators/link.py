@@ -102,12 +102,11 @@ def validated(decisions: DataFrame, hits: DataFrame, params: LinkParams = LinkPa
     return scored.withColumn("rank", rank).select("video", "frame", "b_index", F.when(~lost, F.col("a_index")).alias("a_index"), F.coalesce(lost, F.lit(False)).alias("demoted"))
 
 
-def tracks(hits: DataFrame, links: DataFrame) -> DataFrame:
-    """``video, frame, pos, track``: links followed back to the first box of each chain.
+def roots(hits: DataFrame, links: DataFrame) -> DataFrame:
+    """``video, at, to``: links followed back from each box (frame, pos) to the first of its chain.
 
     Every round doubles how far back a box has looked, so rounds grow with the logarithm of
-    the longest chain and a long video is spread over all tasks.  Tracks of a video are
-    numbered t0, t1, ... by where they begin.
+    the longest chain and a long video is spread over all tasks.
     """
     node = lambda frame, pos: F.struct(frame.alias("frame"), pos.alias("pos"))
     back = links.where("a_index is not null").select("video", "frame", F.col("b_index").alias("pos"), node((F.col("frame") - 1).cast("int"), F.col("a_index").cast("int")).alias("to"))
@@ -118,7 +117,12 @@ def tracks(hits: DataFrame, links: DataFrame) -> DataFrame:
         new = cut(state.withColumnRenamed("to", "mid").join(far, ["video", "mid"]).select("video", "at", F.col("further").alias("to"), (F.col("further") != F.col("mid")).alias("moved")))
         state = new.drop("moved")
         if not new.where("moved").limit(1).count():
-            break
+            return state
+
+
+def tracks(hits: DataFrame, links: DataFrame) -> DataFrame:
+    """``video, frame, pos, track``: tracks of a video are numbered t0, t1, ... by where they begin."""
+    state = roots(hits, links)
     starts = state.select("video", "to").distinct()
     numbered = starts.withColumn("n", F.row_number().over(Window.partitionBy("video").orderBy("to")) - 1)
     return state.join(numbered, ["video", "to"]).select("video", "at.frame", "at.pos", F.concat(F.lit("t"), F.col("n").cast("string")).alias("track"), F.col("n").alias("track_no"))
@@ -129,6 +133,41 @@ def labelled(tracked: DataFrame) -> DataFrame:
     return tracked.withColumn("label", t.letters(F.col("track_no")))
 
 
+def nearest_links(boxes: DataFrame, width: int = 1600, height: int = 900, params: LinkParams = LinkParams()) -> DataFrame:
+    """``video, frame, b_index, a_index``: boxes without ``track`` and the nearest like them on the frame before.
+
+    Boxes of a frame choose in order, each the nearest (then the first) that no other has
+    chosen.  Which box is chosen depends on places and texts only, so all frames choose at once.
+    """
+    near = params.centre
+    fields = boxes.select("video", "frame", "pos", *RECT, "text")
+    new = boxes.where("coalesce(track, '') = ''").select("video", "frame", "pos", *RECT, "text")
+    apart = g.centre_distance(*_rects("a", "b"), F.lit(float(width)), F.lit(float(height)))
+    pairs = _side(fields, "a", 1).join(_side(new, "b", 0), ["video", "frame"]).withColumn("apart", apart).where((F.col("apart") <= near) & t.same_text(t.normalised(F.col("a_text")), t.normalised(F.col("b_text"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("b_pos").alias("b"), "apart", F.col("a_pos").alias("a"))))
+    start = F.array().cast("array<struct<b:int,apart:double,a:int>>")
+    open_ = lambda taken, x: ~F.exists(taken, lambda y: (y["b"] == x["b"]) | (y["a"] == x["a"]))
+    chosen = F.aggregate("ordered", start, lambda taken, x: F.when(open_(taken, x), F.array_append(taken, x)).otherwise(taken))
+    each = pairs.groupBy("video", "frame").agg(ordered.alias("ordered")).select("video", "frame", F.explode(chosen).alias("c"))
+    return each.select("video", "frame", F.col("c.b").alias("b_index"), F.col("c.a").alias("a_index"))
+
+
+def shown_labels(boxes: DataFrame, width: int = 1600, height: int = 900, params: LinkParams = LinkParams()) -> DataFrame:
+    """``video, frame, pos, label``: the letter that each box is shown with.
+
+    All boxes of a track have one letter.  A box without a track takes that of the nearest
+    box like it on the frame right before, or else a new one.  Letters follow the order in
+    which they are first needed, by frame and position.
+    """
+    c = F.col
+    state = roots(boxes, nearest_links(boxes, width, height, params))
+    own = boxes.select("video", F.struct("frame", "pos").alias("to"), F.nullif(c("track"), F.lit("")).alias("track"))
+    named = state.join(own, ["video", "to"]).select("video", "at", F.coalesce(F.concat(F.lit("track:"), c("track")), F.concat_ws(":", F.lit("box"), c("to.frame").cast("string"), c("to.pos").cast("string"))).alias("identity"))
+    first = named.groupBy("video", "identity").agg(F.min("at").alias("first"))
+    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("video").orderBy("first")) - 1)
+    return named.join(numbered, ["video", "identity"]).select("video", "at.frame", "at.pos", t.letters(c("n")).alias("label"))
+
+
 def inherited(added: DataFrame, tracked: DataFrame, params: LinkParams = LinkParams()) -> DataFrame:
     """``track`` for boxes added later: the best free track of the frames next to them, else a new one.
 

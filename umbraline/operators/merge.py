@@ -40,12 +40,15 @@ def coalesced(boxes: DataFrame, lines: DataFrame | None = None, least_iou: float
     """One box for each group: its members' outline, text from left to right, mean score.
 
     A group of several whose outline lies on a recognised line (``video, frame, l, text`` and
-    pixels) takes that line's box and text; the first of the best lines counts.
+    pixels) takes that line's box and text; the first of the best lines counts.  All other
+    columns are those of the leftmost member (then the topmost, then the first).
     """
+    carried = [c for c in boxes.columns if c not in ("video", "frame", "pos", "text", "score", *RECT)]
     joined = boxes.join(groups(boxes), ["video", "frame", "pos"])
     members = F.array_sort(F.collect_list(F.struct("x", "y", "pos", "text")))
     score = F.avg(F.when(F.isnan("score") | F.col("score").isNull(), 0.0).otherwise(F.col("score")))
-    merged = joined.groupBy("video", "frame", "grp").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"), F.array_join(F.transform(members, lambda m: m["text"]), " ").alias("text"), score.alias("score"), F.count("*").alias("members"))
+    merged = joined.groupBy("video", "frame", "grp").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"), F.array_join(F.transform(members, lambda m: m["text"]), " ").alias("text"), score.alias("score"), F.count("*").alias("members"), F.min_by(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carried]), F.struct("x", "y", "pos")).alias("of_first"))
+    merged = merged.select("video", "frame", "grp", *RECT, "text", "score", "members", *[F.col(f"of_first.`{c}`").alias(c) for c in carried])
     if lines is None:
         return merged.withColumn("snapped", F.lit(False))
     theirs = lines.select("video", "frame", F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.col("w").alias("w"), F.col("h").alias("h"), F.col("text").alias("text"), F.col("l").alias("l")).alias("line"))
@@ -53,7 +56,7 @@ def coalesced(boxes: DataFrame, lines: DataFrame | None = None, least_iou: float
     best = merged.where("members > 1").join(theirs, ["video", "frame"]).withColumn("near", near).where(F.col("near") >= least_iou).groupBy("video", "frame", "grp").agg(F.min(F.struct((-F.col("near")).alias("cost"), "line.l", "line")).alias("m"))
     out = merged.join(best, ["video", "frame", "grp"], "left")
     pick = lambda k: F.coalesce(F.col(f"m.line.{k}"), F.col(k)).alias(k)
-    return out.select("video", "frame", "grp", *[pick(k) for k in (*RECT, "text")], "score", "members", F.col("m").isNotNull().alias("snapped"))
+    return out.select("video", "frame", "grp", *[pick(k) for k in (*RECT, "text")], "score", "members", *[F.col(f"`{c}`") for c in carried], F.col("m").isNotNull().alias("snapped"))
 
 
 def edited(boxes: DataFrame, log: DataFrame) -> DataFrame:

@@ -24,15 +24,48 @@ def added_totals(added: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, median, 95th percentile and largest value: the values at exact places in order.
+    """Mean, median, 95th percentile, largest value (at exact places in order), and ``per_second``.
 
-    Places come from counts of equal values, so no group's values are gathered.
+    Places come from counts of equal values, so no group's values are gathered.  Values are
+    milliseconds of one worker; ``per_second`` is how many fit into a second of their sum (0
+    if that is 0).
     """
     counts = rows.groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
     order = Window.partitionBy(group).orderBy("v")
     upto = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(group)))
     at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("all") * p), F.col("v")))
-    return upto.groupBy(group).agg(F.max("all").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("most"))
+    total = F.sum(F.col("v") * F.col("n"))
+    rate = F.when(total > 0, F.max("all") * 1000.0 / total).otherwise(0.0)
+    return upto.groupBy(group).agg(F.max("all").alias("n"), (total / F.max("all")).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("most"), rate.alias("per_second"))
+
+
+def chain_totals(steps: DataFrame) -> DataFrame:
+    """``agents, steps, added, removed`` of each video, from ``video, seed, step, added, removed``."""
+    return steps.groupBy("video").agg(F.count_distinct("seed").alias("agents"), F.count("*").alias("steps"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+
+
+def shrink_totals(boxes: DataFrame) -> DataFrame:
+    """``inspected, changed`` of each video and reason, from boxes before (``x0, y0, w0, h0``) and after trimming."""
+    changed = F.lit(False)
+    for k in "xywh":
+        changed = changed | (F.col(k) != F.col(f"{k}0"))
+    return boxes.groupBy("video", "reason").agg(F.count("*").alias("inspected"), F.count_if(changed).alias("changed"))
+
+
+def gap_totals(asked: DataFrame) -> DataFrame:
+    """``probes, inserted`` of each video, from gaps asked (``video, reason``; no reason: smooth)."""
+    return asked.groupBy("video").agg(F.count("*").alias("probes"), F.count("reason").alias("inserted"))
+
+
+def touched_frames(rows: DataFrame) -> DataFrame:
+    """``video, frames``: the distinct frames of each video's rows, in order."""
+    return rows.groupBy("video").agg(F.array_sort(F.collect_set("frame")).alias("frames"))
+
+
+def kept_counts(frames: DataFrame, kept: DataFrame) -> DataFrame:
+    """``raw_count, kept_count, last_index`` of each video: rows before and after near-duplicate removal, and the last kept place."""
+    raw = frames.groupBy("video").agg(F.count("*").alias("raw_count"))
+    return raw.join(kept.groupBy("video").agg(F.count("*").alias("kept_count"), F.max("i").alias("last_index")), "video")
 
 
 def usage_totals(calls: DataFrame, *group: str) -> DataFrame:

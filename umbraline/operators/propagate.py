@@ -8,6 +8,8 @@ frame they are taken in order, so the result is that of walking frame by frame.
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,16 +98,20 @@ def _accept(found: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(kept, columns=["video", "frame", "from_pos", *NAMES])
 
 
-def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int = -1, width: int = 1600, height: int = 900, centre: float = 0.08, rounds: int = 1000, metric: str = "sequence") -> DataFrame:
-    """Boxes added by walking in ``direction``: ``video, frame, from_pos, box, round``.
+def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int = -1, width: int = 1600, height: int = 900, centre: float = 0.08, metric: str = "sequence") -> DataFrame:
+    """Boxes added by walking in ``direction``: ``video, frame, from_pos, box, label, origin, round``.
 
     ``hits`` has ``video, frame, pos`` and a box, ``blocks`` the recognised lines and words.
-    A frame is walked to only if it has blocks; a hit that finds nothing is left out of later rounds.
+    A frame is walked to only if it has blocks; a hit that finds nothing is left out of later
+    rounds, and the walk ends when no hit has found anything.  What is found bears the ``label``
+    (if hits have one) of the hit that found it, and ``origin`` says which way it was walked to.
     """
     video = hits.schema["video"].dataType.simpleString()
-    known = cut(hits.select("video", "frame", "pos", *NAMES))
+    label = F.col("label") if "label" in hits.columns else F.lit(None).cast("string").alias("label")
+    origin = "backtrack" if direction < 0 else "forward"
+    known = cut(hits.select("video", "frame", "pos", *NAMES, label))
     frontier, size, out = known, known.count(), None
-    for n in range(rounds):
+    for n in itertools.count():
         there = known.select("video", F.col("frame").alias("frame"), *[F.col(k).alias(f"a_{k}") for k in NAMES])
         here = frontier.select("video", (F.col("frame") + direction).cast("int").alias("frame"), "pos", *[F.col(k).alias(f"b_{k}") for k in NAMES])
         rect = lambda p: [F.col(f"{p}_{k}") for k in "xywh"]
@@ -118,18 +124,21 @@ def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int =
         grouped = found.join(boxes, ["video", "frame"], "left")
         added = grouped.groupBy("video", "frame").applyInPandas(_accept, f"video {video}, frame int, from_pos int, {BOX}")
         numbered = added.join(boxes.select("video", "frame", "last"), ["video", "frame"], "left").selectExpr("video", "frame", "from_pos", *NAMES, "cast(coalesce(last, -1) + 1 + from_pos as int) pos")
-        new = cut(numbered.withColumn("round", F.lit(n)))
+        names = frontier.select("video", (F.col("frame") + direction).cast("int").alias("frame"), F.col("pos").alias("from_pos"), "label")
+        new = cut(numbered.join(names, ["video", "frame", "from_pos"], "left").withColumn("origin", F.lit(origin)).withColumn("round", F.lit(n)))
         size = new.count()
         if not size:
             break
         out = new if out is None else out.unionAll(new)
-        frontier = new.select("video", "frame", "pos", *NAMES)
+        frontier = new.select("video", "frame", "pos", *NAMES, "label")
         known = known.unionAll(frontier)
         if n % 8 == 7:
             known = cut(known)
+        if n % 32 == 31:
+            out = cut(out)
     if out is None:
         out = new
-    return out.select("video", "frame", "from_pos", *NAMES, "round")
+    return out.select("video", "frame", "from_pos", *NAMES, "label", "origin", "round")
 
 
 __all__ = ["partials", "propagated"]

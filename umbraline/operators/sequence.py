@@ -74,6 +74,20 @@ def deltas(frames: DataFrame, value: str) -> DataFrame:
     return frames.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy("video").orderBy("frame")))
 
 
+def last_rows(rows: DataFrame, key: str, order: str, most: int = 30) -> DataFrame:
+    """The last ``most`` rows of each key, by ``order``."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= most).drop("_n")
+
+
+def known_labels(boxes: DataFrame) -> DataFrame:
+    """``video, frame, known``: the labels seen on earlier frames, in order of first appearance."""
+    first = boxes.where("label is not null").groupBy("video", "label").agg(F.min(F.struct("frame", "pos")).alias("first"))
+    frames = boxes.select("video", "frame").distinct()
+    # A label is handed to each later frame of its video: as many rows as the lists have entries.
+    told = frames.join(first, "video").where(F.col("first.frame") < F.col("frame")).groupBy("video", "frame").agg(F.array_sort(F.collect_list(F.struct("first", "label"))).alias("ordered"))
+    return frames.join(told, ["video", "frame"], "left").select("video", "frame", F.coalesce(F.transform("ordered", lambda x: x["label"]), F.array().cast("array<string>")).alias("known"))
+
+
 def quiet_stops(verdicts: DataFrame, quiet: int = 2, group: tuple[str, ...] = ("video",)) -> DataFrame:
     """The first ``step`` of each group that ends ``quiet`` steps in a row without change."""
     order = Window.partitionBy(*group).orderBy("step")

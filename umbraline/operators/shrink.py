@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,42 +12,48 @@ from pyspark.sql.functions import pandas_udf
 #: Squared distance of text and background colours below which nothing can be told apart.
 LEAST_CONTRAST = 192
 SMALLEST = 2
+# Why trimming ended (or never began).
+NO_COLOURS, TOO_CLOSE, TOO_SMALL, DEGENERATE, CAPPED, CLEAR = "no_colors", "colors_too_close", "too_small", "degenerate", "cap_reached", "no_violation"
 
 
-def _average(image: np.ndarray, x: int, y: int, radius: int) -> np.ndarray:
-    return image[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1].reshape(-1, 3).mean(0)
+def _paper(image: np.ndarray, px: int, py: int, radius: int, ink: np.ndarray, paper: np.ndarray) -> bool:
+    """Whether the rounded mean colour around a pixel is nearer to the background than to the text."""
+    high, wide = image.shape[:2]
+    rows, columns = (slice(*(np.clip([p - radius, p + radius], 0, n - 1) + [0, 1])) for p, n in ((py, high), (px, wide)))
+    colour = np.floor(image[rows, columns].reshape(-1, 3).mean(0) + 0.5)
+    return ((colour - paper) ** 2).sum() < ((colour - ink) ** 2).sum()
 
 
 def shrunk(image: np.ndarray, box: tuple[int, int, int, int], ink: np.ndarray, paper: np.ndarray, radius: int = 1, most: float = 0.5) -> tuple[int, int, int, int, str]:
     """The box after trimming, and why trimming ended.
 
-    A side is trimmed by a pixel while either of its corners looks more like ink than paper;
-    sides take turns in the order left, right, top, bottom, and lose ``most`` of the box at most.
+    A side moves in by a pixel while both of its corners are background, so it stops at the
+    text; sides are tried in the order left, right, top, bottom, after each step anew, and each
+    loses ``most`` of the box's width or height at most.
     """
     x, y, w, h = box
-    if float(((ink - paper) ** 2).sum()) < LEAST_CONTRAST:
-        return x, y, w, h, "contrast"
-    limit = {"left": int(w * most), "right": int(w * most), "top": int(h * most), "bottom": int(h * most)}
-    trimmed = dict.fromkeys(limit, 0)
-
-    def inked(px: int, py: int) -> bool:
-        px, py = min(max(px, 0), image.shape[1] - 1), min(max(py, 0), image.shape[0] - 1)
-        colour = _average(image, px, py, radius)
-        return float(((colour - ink) ** 2).sum()) <= float(((colour - paper) ** 2).sum())
-
+    if ((ink - paper) ** 2).sum() < LEAST_CONTRAST:
+        return (*box, TOO_CLOSE)
+    if min(w, h) <= SMALLEST:
+        return (*box, TOO_SMALL)
+    wide, tall = int(np.floor(w * most)), int(np.floor(h * most))
+    left, top, right, bottom = x, y, x + w - 1, y + h - 1
+    edges, reason = (x, right, y, bottom), CLEAR
+    paper_at = lru_cache(maxsize=None)(lambda px, py: _paper(image, px, py, radius, ink, paper))
     while True:
-        l, t, r, b = x + trimmed["left"], y + trimmed["top"], x + w - 1 - trimmed["right"], y + h - 1 - trimmed["bottom"]
-        if r - l + 1 <= SMALLEST or b - t + 1 <= SMALLEST:
-            return l, t, r - l + 1, b - t + 1, "small"
-        corner = {(px, py): inked(px, py) for px in (l, r) for py in (t, b)}
-        sides = {"left": corner[l, t] or corner[l, b], "right": corner[r, t] or corner[r, b], "top": corner[l, t] or corner[r, t], "bottom": corner[l, b] or corner[r, b]}
-        bad = [s for s in ("left", "right", "top", "bottom") if sides[s]]
-        if not bad:
-            return l, t, r - l + 1, b - t + 1, "clear"
-        free = [s for s in bad if trimmed[s] < limit[s]]
-        if not free:
-            return l, t, r - l + 1, b - t + 1, "limit"
-        trimmed[free[0]] += 1
+        if right - left < SMALLEST or bottom - top < SMALLEST:
+            reason = DEGENERATE
+            break
+        tl, tr, bl, br = (paper_at(px, py) for py in (top, bottom) for px in (left, right))
+        room = (wide - (left - edges[0]), wide - (edges[1] - right), tall - (top - edges[2]), tall - (edges[3] - bottom))
+        loose = (tl and bl, tr and br, tl and tr, bl and br)
+        side = next((k for k in range(4) if loose[k] and room[k] > 0), None)
+        if side is None:
+            reason = CAPPED if any(loose) else CLEAR
+            break
+        left, right, top, bottom = left + (side == 0), right - (side == 1), top + (side == 2), bottom - (side == 3)
+    new = (left, top, right - left + 1, bottom - top + 1)
+    return (*new, reason if new != tuple(box) else CLEAR)
 
 
 def shrink(boxes: DataFrame, radius: int = 1, most: float = 0.5) -> DataFrame:
@@ -59,8 +67,8 @@ def shrink(boxes: DataFrame, radius: int = 1, most: float = 0.5) -> DataFrame:
     def trim(pixels: pd.Series, width: pd.Series, height: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, ink: pd.Series, paper: pd.Series) -> pd.DataFrame:
         out = []
         for p, pw, ph, *box, a, b in zip(pixels, width, height, x, y, w, h, ink, paper, strict=True):
-            if p is None or a is None or b is None or min(box[2:]) <= 0:
-                out.append((*box, "colours"))
+            if p is None or a is None or b is None or None in list(a) + list(b):
+                out.append((*box, NO_COLOURS))
                 continue
             image = np.frombuffer(p, np.uint8).reshape(int(ph), int(pw), 3).astype(float)
             out.append(shrunk(image, tuple(map(int, box)), np.asarray(a, float), np.asarray(b, float), radius, most))

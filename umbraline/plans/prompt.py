@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import detect
+from ..operators import detect, merge
 from .predicate import Leaf, Node, leaves
 
 KEYS = ["video", "frame", "l", "k"]
@@ -36,14 +36,27 @@ def of_leaf(leaf: Leaf, blocks: DataFrame, regions: DataFrame | None = None, sco
     return blocks.where(F.lit(False)).select(*KEYS, *PLACE, branch.alias("branch"), F.lit("").alias("instance"), F.lit(0.0).alias("score"))
 
 
+def of_text_leaves(texts: list[Leaf], blocks: DataFrame) -> DataFrame:
+    """What :func:`of_leaf` gives for several text leaves, in one pass: each distinct text is asked once for all."""
+    rows = blocks.withColumn("norm", t.normalised(F.col("text"))).where("norm <> ''")
+    priors = [F.struct(F.lit(x.branch).alias("branch"), detect.text_prior(F.col("norm"), " ".join(x.text.lower().split()), x.fuzzy or t.FUZZY).alias("score")) for x in texts]
+    held = F.filter(F.array(*priors), lambda p: p["score"].isNotNull())
+    found = detect._matching(rows, reduce(lambda a, b: a | b, [p["score"].isNotNull() for p in priors]))
+    each = found.select(*KEYS, *PLACE, F.explode(held).alias("p"))
+    return each.select(*KEYS, *PLACE, "p.branch", t.text_instance(F.col("p.branch"), F.col("text")).alias("instance"), "p.score")
+
+
 def curated(tree: Leaf | Node, blocks: DataFrame, regions: DataFrame | None = None, scores: DataFrame | None = None, mode: str = "flat") -> DataFrame:
     """Boxes for the whole tree.
 
     ``mode="flat"`` unites what the leaves select, whatever stands between them.
     ``mode="boolean"`` (an extension) keeps blocks for which the tree is true.
     """
-    parts = [of_leaf(leaf, blocks, regions, scores) for leaf in leaves(tree)]
-    found = reduce(DataFrame.unionByName, parts)
+    texts = [x for x in leaves(tree) if x.kind == "text"]
+    parts = [of_leaf(leaf, blocks, regions, scores) for leaf in leaves(tree) if leaf.kind != "text"]
+    if texts:
+        parts.insert(0, of_text_leaves(texts, blocks))
+    found = reduce(DataFrame.unionByName, parts) if parts else of_leaf(Leaf("none"), blocks)
     if mode == "flat":
         return found
     held = found.groupBy(*KEYS).agg(F.collect_set("branch").alias("branches"))
@@ -60,6 +73,25 @@ def curated(tree: Leaf | Node, blocks: DataFrame, regions: DataFrame | None = No
     return every.where(true(tree)).drop("branches")
 
 
+def localised(frames: DataFrame, tree: Leaf | Node, regions: DataFrame) -> DataFrame:
+    """``regions``, and the whole frame (confidence 0.05) for each frame and region leaf without any."""
+    branches = [x.branch for x in leaves(tree) if x.kind == "region"]
+    wanted = frames.select("video", "frame").distinct().select("video", "frame", F.explode(F.array(*[F.lit(b) for b in branches]) if branches else F.array().cast("array<string>")).alias("branch"))
+    lacking = wanted.join(regions.select("video", "frame", "branch").distinct(), ["video", "frame", "branch"], "left_anti")
+    whole = {"sub_id": F.lit("0"), "top": F.lit(0.0), "left": F.lit(0.0), "bottom": F.lit(1.0), "right": F.lit(1.0), "confidence": F.lit(0.05)}
+    return regions.unionByName(lacking.select("*", *[v.alias(k) for k, v in whole.items()]), allowMissingColumns=True)
+
+
+def curated_boxes(tree: Leaf | Node, blocks: DataFrame, regions: DataFrame | None = None, scores: DataFrame | None = None, width: int = 1600, height: int = 900) -> DataFrame:
+    """Boxes for the whole tree in pixels, with fragments on one line merged (see ``merge.coalesced``)."""
+    found = curated(tree, blocks, regions, scores)
+    place = g.to_pixels(F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.lit(width), F.lit(height))
+    number = F.row_number().over(Window.partitionBy("video", "frame").orderBy("branch", "l", "k", "instance")) - 1
+    boxes = found.withColumn("p", place).withColumn("pos", number).select("video", "frame", "pos", "p.*", "text", "score", "branch", "instance")
+    lines = blocks.where("type = 'LINE'").withColumn("p", place).select("video", "frame", "l", "p.*", "text")
+    return merge.coalesced(boxes, lines)
+
+
 def fast_path(tree: Leaf | Node) -> str | None:
     """The phrase to look up as it stands if that is all that the tree asks for, else None."""
     only = list(leaves(tree))

@@ -71,7 +71,7 @@ _S = f"seq AS ({SEQ_SQL})"
 
 
 def _detected(spark: SparkSession, sf_dir: str, text: str, rows: DataFrame) -> DataFrame:
-    found = detect.detect(rows, text)
+    found = detect.detect(rows, text, metric="edit")
     return found.select("video", "frame", "l", "k", "text", "box.*", "score")
 
 
@@ -94,10 +94,10 @@ def detect_line_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ocr_filter_region",
     f"""WITH {_B}, f AS (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY l, k) AS r FROM b
 WHERE type IN ('WORD') AND confidence >= 60 AND "left" < 0.5 AND 0.1 < "left" + w AND top < 0.6 AND 0.2 < top + h AND contains({_NORM.format("text")}, 'th'))
-SELECT video, frame, l, k, text, confidence FROM f WHERE r <= 20""",
+SELECT video, frame, l, k, text, confidence FROM f WHERE r <= 200""",
 )
 def ocr_filter_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.filter_blocks(adapters.blocks(spark, sf_dir), ["WORD"], 60.0, (0.2, 0.1, 0.6, 0.5), "th", limit=20)
+    found = detect.filter_blocks(adapters.blocks(spark, sf_dir), ["WORD"], 60.0, (0.2, 0.1, 0.6, 0.5), "th")
     return found.select("video", "frame", "l", "k", "text", "confidence")
 
 
@@ -127,18 +127,18 @@ def text_leaf_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "relevance_rank",
-    f"""WITH {_B}, s AS (SELECT *, lower(text) AS low FROM b WHERE confidence >= 90),
+    f"""WITH {_B}, s AS (SELECT *, lower(text) AS low FROM b),
 v AS (SELECT *, greatest(CASE WHEN contains(low, 'licensed') THEN 8 ELSE 0 END, CASE WHEN contains(low, 'token') THEN 5 ELSE 0 END,
   {_shared("low", "licensed token")}) AS score FROM s),
 r AS (SELECT *, score >= 2 AS relevant, row_number() OVER (PARTITION BY video, frame ORDER BY score >= 2 DESC, CASE WHEN score >= 2 THEN score END DESC NULLS LAST, CASE WHEN score >= 2 THEN type <> 'LINE' END NULLS FIRST, CASE WHEN score >= 2 THEN confidence END DESC NULLS LAST, l, k) AS place,
-  least(10, sum(CAST(score >= 2 AS INT)) OVER (PARTITION BY video, frame)) AS n FROM v),
+  least(60, sum(CAST(score >= 2 AS INT)) OVER (PARTITION BY video, frame)) AS n FROM v),
 c AS (SELECT *, relevant AND place <= n AS chosen FROM r WHERE relevant AND place <= n OR type = 'LINE'),
 k AS (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY CASE WHEN chosen THEN 0 ELSE 1 END, CASE WHEN chosen THEN place END NULLS FIRST, l, k) AS rank FROM c)
-SELECT video, frame, l, k, type, chosen, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10""",
+SELECT video, frame, l, k, type, chosen, CAST(score AS INT) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 120""",
 )
 def relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.blocks(spark, sf_dir).where("confidence >= 90")
-    return detect.ranked(rows, "licensed token", most=10, most_relevant=60).select("video", "frame", "l", "k", "type", "chosen", F.col("score").cast("int").alias("score"), "rank")
+    rows = adapters.blocks(spark, sf_dir)
+    return detect.ranked(rows, "licensed token").select("video", "frame", "l", "k", "type", "chosen", F.col("score").cast("int").alias("score"), "rank")
 
 
 @query(
@@ -377,7 +377,20 @@ def letter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.labelled(_tracked(spark, sf_dir)).select("video", "frame", "pos", "label")
 
 
-@query("inherit_tracks")
+@query(
+    "inherit_tracks",
+    f"""WITH RECURSIVE {_H}, known AS (SELECT *, 't:' || text AS track FROM hit WHERE event_id % 5 <> 0), new AS (SELECT * FROM hit WHERE event_id % 5 = 0),
+side AS (SELECT video, frame + 1 AS frame, 0 AS side, x, y, w, h, text, track FROM known UNION ALL SELECT video, frame - 1, 1, x, y, w, h, text, track FROM known),
+sc AS (SELECT b.video, b.frame, b.pos, a.track, a.side, 0.7::DOUBLE * {_iou("a.", "b.")} + 0.3::DOUBLE * {_tier("a.text", "b.text")} AS score FROM new b JOIN side a ON a.video = b.video AND a.frame = b.frame),
+free AS (SELECT * FROM sc WHERE score >= 0.15 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.video = sc.video AND k.frame = sc.frame AND k.track = sc.track)),
+best AS (SELECT video, frame, pos, track, min(row(-score, side)) AS s FROM free GROUP BY video, frame, pos, track),
+ord AS (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY pos, s, track) AS n FROM best),
+walk AS (SELECT video, frame, n, pos, track, [pos] AS ps, [track] AS ts, TRUE AS taken FROM ord WHERE n = 1
+UNION ALL SELECT o.video, o.frame, o.n, o.pos, o.track, CASE WHEN list_contains(w.ps, o.pos) OR list_contains(w.ts, o.track) THEN w.ps ELSE list_append(w.ps, o.pos) END,
+  CASE WHEN list_contains(w.ps, o.pos) OR list_contains(w.ts, o.track) THEN w.ts ELSE list_append(w.ts, o.track) END, NOT (list_contains(w.ps, o.pos) OR list_contains(w.ts, o.track))
+  FROM walk w JOIN ord o ON o.video = w.video AND o.frame = w.frame AND o.n = w.n + 1)
+SELECT new.video, new.frame, new.pos, coalesce(k.track, 'f:' || new.frame || ':' || new.pos) AS track FROM new LEFT JOIN walk k ON k.taken AND k.video = new.video AND k.frame = new.frame AND k.pos = new.pos""",
+)
 def inherit_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = adapters.hits(spark, sf_dir)
     known = hits.where("event_id % 5 <> 0").withColumn("track", F.concat(F.lit("t:"), "text"))
@@ -497,10 +510,11 @@ def export_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "latency_summary",
     """WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-SELECT event_type, max(n) AS n, min(CASE WHEN i = floor(n * 0.5) THEN value END) AS p50, min(CASE WHEN i = floor(n * 0.95) THEN value END) AS p95, max(value) AS most FROM v GROUP BY event_type""",
+SELECT event_type, max(n) AS n, round(avg(value), 6) AS mean, round(1000.0::DOUBLE / avg(value), 6) AS per_second, min(CASE WHEN i = floor(n * 0.5) THEN value END) AS p50, min(CASE WHEN i = floor(n * 0.95) THEN value END) AS p95, max(value) AS most FROM v GROUP BY event_type""",
 )
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.latency(table(spark, sf_dir, "events"), "event_type", "value")
+    found = metrics.latency(table(spark, sf_dir, "events"), "event_type", "value")
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "per_second")})
 
 
 _PRICE = "price AS (SELECT * FROM (VALUES ('small', 0.5::DOUBLE, 3.0::DOUBLE, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE), ('medium', 0.25, 1.5, NULL, NULL, NULL), ('large', 2.0, 12.0, 200000, 4.0, 18.0)) AS t(model, input, output, threshold, over_input, over_output))"
@@ -601,14 +615,14 @@ _TREE = predicate.branched(predicate.parse({"and": [{"text": "licensed"}, {"not"
 
 @query(
     "prompt_flat_curate",
-    f"""WITH {_B}, w AS (SELECT *, {_NORM.format("text")} AS norm FROM b WHERE type = 'WORD' AND confidence >= 80)
+    f"""WITH {_B}, w AS (SELECT *, {_NORM.format("text")} AS norm FROM b WHERE type = 'WORD')
 SELECT video, frame, l, k, 'L0' AS branch, 'L0:' || norm AS instance FROM w WHERE norm <> '' AND (contains(norm, 'licensed') OR contains('licensed', norm) OR {_fuzzy("norm", "licensed")})
-UNION ALL SELECT video, frame, l, k, 'L1', 'L1:top' FROM w WHERE frame % 10 = 0 AND "left" < 0.3 AND 0 < "left" + w AND top < 0.1 AND 0 < top + h
+UNION ALL SELECT video, frame, l, k, 'L1', 'L1:top' FROM w WHERE "left" < 0.3 AND 0 < "left" + w AND top < 0.1 AND 0 < top + h
 UNION ALL SELECT video, frame, l, k, 'L2', 'L2:' || substring(sha256('secret:' || norm), 1, 12) FROM w WHERE contains(text, '@')""",
 )
 def prompt_flat_curate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = adapters.words(spark, sf_dir).where("confidence >= 80")
-    regions = words.where("frame % 10 = 0").select("video", "frame").distinct().selectExpr("video", "frame", "'L1' branch", "'top' sub_id", "0.0D top", "0.0D `left`", "0.1D bottom", "0.3D `right`")
+    words = adapters.words(spark, sf_dir)
+    regions = words.select("video", "frame").distinct().selectExpr("video", "frame", "'L1' branch", "'top' sub_id", "0.0D top", "0.0D `left`", "0.1D bottom", "0.3D `right`")
     scores = words.where(F.contains("text", F.lit("@"))).select("video", "frame", "l", "k", F.lit("secrets").alias("description"), F.lit(0.9).alias("confidence"))
     return prompt.curated(_TREE, words, regions, scores).select("video", "frame", "l", "k", "branch", "instance")
 
@@ -647,7 +661,19 @@ def prompt_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.recovered(seeds, words, boxes).select("video", "frame", "instance", "direction", "text", "step")
 
 
-@query("cascade_chains")
+@query(
+    "cascade_chains",
+    f"""WITH RECURSIVE {_S}, v AS (SELECT video, CAST(i // 8 AS INT) AS seed, i % 8 AS step, hash % 7 <> 0 AS visible, hash % 3 AS changes FROM seq),
+c AS (SELECT *, visible AND changes = 0 AS calm, sum(CASE WHEN visible AND changes = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY video, seed ORDER BY step) AS block FROM v),
+k AS (SELECT *, sum(CAST(calm AS INT)) OVER (PARTITION BY video, seed, block ORDER BY step) AS streak FROM c),
+e AS (SELECT video, seed, coalesce(min(CASE WHEN NOT visible OR streak >= 2 THEN step END), max(step)) + 1 AS steps, coalesce(arg_min(CASE WHEN NOT visible THEN 'gone' WHEN streak >= 2 THEN 'quiet' END, step) FILTER (NOT visible OR streak >= 2), 'end') AS why FROM k GROUP BY video, seed),
+s AS (SELECT *, seed % 2 = 0 AS fwd, seed * 3 + 1 AS focus, row_number() OVER (PARTITION BY video, seed % 2 ORDER BY seed) AS n FROM e WHERE seed < 300),
+walk AS (SELECT video, fwd, CAST(0 AS BIGINT) AS n, CAST(NULL AS INT) AS seed, CAST([] AS INT[]) AS claimed, CAST(0 AS BIGINT) AS taken, '' AS why FROM (SELECT DISTINCT video, fwd FROM s)
+UNION ALL SELECT s.video, s.fwd, s.n, s.seed, list_concat(w.claimed, CAST(list_transform(range(0, t.taken), lambda q: s.focus + CASE WHEN s.fwd THEN q ELSE -q END) AS INT[])), t.taken, CASE WHEN t.taken = s.steps THEN s.why ELSE 'claimed' END
+  FROM walk w JOIN s ON s.video = w.video AND s.fwd = w.fwd AND s.n = w.n + 1,
+  LATERAL (SELECT CAST(coalesce(list_min(list_filter(range(0, s.steps), lambda q: list_contains(w.claimed, CAST(s.focus + CASE WHEN s.fwd THEN q ELSE -q END AS INT)) OR s.focus + CASE WHEN s.fwd THEN q ELSE -q END NOT BETWEEN 1 AND 30)), s.steps) AS BIGINT) AS taken) t)
+SELECT video, '' AS scope, CASE WHEN fwd THEN 'forward' ELSE 'back' END AS direction, seed, CAST(taken AS INT) AS steps, why FROM walk WHERE n > 0""",
+)
 def cascade_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.sequence(spark, sf_dir)
     verdicts = rows.select("video", F.expr("cast(i div 8 as int)").alias("seed"), (F.col("i") % 8).alias("step"), F.expr("hash % 7 <> 0").alias("visible"), F.expr("cast(hash % 3 as int)").alias("changes"))
@@ -666,39 +692,143 @@ def backtrack_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pass_summary",
-    f"""WITH {_H}, f AS (SELECT video, frame, count(*) AS n, string_agg(text, ', ' ORDER BY pos) AS texts FROM hit GROUP BY video, frame),
-l AS (SELECT *, n - lag(n) OVER (PARTITION BY video ORDER BY frame) AS d FROM f)
-SELECT video, string_agg('#' || frame || ': ' || n || CASE WHEN d > 0 THEN ' (+' || d || ')' WHEN d < 0 THEN ' (' || d || ')' ELSE '' END || ' ' || texts, chr(10) ORDER BY frame) AS summary FROM l GROUP BY video""",
+    f"""WITH {_H}, f AS (SELECT video, frame, count(*) AS n, list(text ORDER BY pos) AS t FROM hit GROUP BY video, frame),
+l AS (SELECT *, n - lag(n) OVER (PARTITION BY video ORDER BY frame) AS d FROM f),
+s AS (SELECT video, frame, trim('#' || frame || ': ' || n || ' hits' || CASE WHEN n > 1 THEN ' · ' || n || ' ocr candidates' ELSE '' END || ' ' ||
+ CASE WHEN d IS NULL THEN '[start]' WHEN d > 0 THEN '[+' || d || ' vs prev]' WHEN d < 0 THEN '[' || d || ' vs prev]' ELSE '' END || ' ' ||
+ array_to_string(list_transform(t[1:3], lambda x: '"' || substring(x, 1, 40) || '"'), ', ') || CASE WHEN n > 3 THEN ' (+' || (n - 3) || ' more)' ELSE '' END) AS line FROM l)
+SELECT video, string_agg(line, chr(10) ORDER BY frame) AS summary FROM s GROUP BY video""",
 )
 def pass_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.pass_summary(adapters.hits(spark, sf_dir))
+    hits = adapters.hits(spark, sf_dir)
+    recognised = hits.groupBy("video", "frame").agg(F.count("*").alias("n")).selectExpr("video", "frame", "if(n > 1, n, 0) n_ocr")
+    return render.pass_summary(hits, recognised)
+
+
+_SHOWN = "CASE event_type WHEN 'view' THEN 'ocr' WHEN 'click' THEN 'nav-add' WHEN 'error' THEN 'gap-fill' WHEN 'signup' THEN 'fix' END"
 
 
 @query(
     "overlay",
-    f"""WITH {_H}, c AS (SELECT *, CASE text WHEN 'view' THEN '#3b82f6' WHEN 'click' THEN '#22c55e' WHEN 'error' THEN '#f97316' ELSE '#ef4444' END AS colour FROM hit)
-SELECT video, frame, '<svg xmlns="http://www.w3.org/2000/svg" width="1600" height="900">' || string_agg('<rect x="' || x || '" y="' || y || '" width="' || w || '" height="' || h || '" fill="none" stroke="' || colour || '"/><text x="' || x || '" y="' || CASE WHEN y >= 14 THEN y - 3 ELSE y + 14 END || '" fill="' || colour || '">' || text || '</text>', '' ORDER BY pos) || '</svg>' AS svg FROM c GROUP BY video, frame""",
+    f"""WITH {_H}, c AS (SELECT *, CASE text WHEN 'view' THEN '#2563eb' WHEN 'click' THEN '#f59e0b' WHEN 'error' THEN '#10b981' ELSE '#dc2626' END AS colour, CASE WHEN text = 'signup' THEN '' ELSE ' a&amp;' || text END AS label FROM hit),
+p AS (SELECT video, frame, pos, '<rect x="' || x || '" y="' || y || '" width="' || w || '" height="' || h || '" fill="none" stroke="' || colour || '" stroke-width="2" />'
+ || '<rect x="' || (x + 1) || '" y="' || (y + 1) || '" width="' || greatest(1, w - 2) || '" height="' || greatest(1, h - 2) || '" fill="none" stroke="#000000" stroke-opacity="0.5" stroke-width="1" />'
+ || '<text x="' || (x + 2) || '" y="' || CASE WHEN y > 15 THEN y - 4 ELSE y + 13 END || '" font-family="sans-serif" font-size="11" font-weight="bold" fill="' || colour || '" stroke="#000000" stroke-width="0.5" paint-order="stroke">#' || pos || label || '</text>' AS shape FROM c)
+SELECT video, frame, '<svg xmlns="http://www.w3.org/2000/svg" width="1600" height="900" viewBox="0 0 1600 900">' || string_agg(shape, '' ORDER BY pos) || '</svg>' AS svg FROM p GROUP BY video, frame""",
 )
 def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.overlay(adapters.hits(spark, sf_dir).withColumn("origin", F.expr(_ORIGIN.replace("event_type", "text"))), 1600, 900)
+    boxes = adapters.hits(spark, sf_dir).withColumn("origin", F.expr(_SHOWN.replace("event_type", "text"))).withColumn("label", F.when(F.col("text") == "signup", "").otherwise(F.concat(F.lit("a&"), "text")))
+    return render.overlay(boxes, 1600, 900)
 
 
 @query(
     "kept_counts",
-    f"""WITH {_S} SELECT video, count(*) AS raw_count, max(i) + 1 AS last_index FROM seq GROUP BY video""",
+    f"""WITH RECURSIVE {_S}, kept AS (SELECT video, i, hash FROM seq WHERE i = 0
+UNION ALL SELECT n.video, n.i, n.hash FROM kept k JOIN seq n ON n.video = k.video AND n.i = (SELECT min(s.i) FROM seq s WHERE s.video = k.video AND s.i > k.i AND (bit_count(xor(s.hash, k.hash)) > 5 OR s.i - k.i >= 3)))
+SELECT r.video, raw_count, kept_count, last_index FROM (SELECT video, count(*) AS raw_count FROM seq GROUP BY video) r JOIN (SELECT video, count(*) AS kept_count, max(i) AS last_index FROM kept GROUP BY video) k ON r.video = k.video""",
 )
 def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.sequence(spark, sf_dir).groupBy("video").agg(F.count("*").alias("raw_count"), (F.max("i") + 1).alias("last_index"))
+    return metrics.kept_counts(adapters.sequence(spark, sf_dir), sequential_dedup(spark, sf_dir))
 
 
 @query(
     "scene_notes",
-    f"""WITH {_B}, {_ANCHOR}, e AS (SELECT video, key, arg_min(text, frame) AS text, count(DISTINCT frame) AS n FROM anchors GROUP BY video, key),
-r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY n DESC, text) AS place FROM e),
-t AS (SELECT video, string_agg('"' || text || '" on ' || n, '; ' ORDER BY place) AS top FROM r WHERE place <= 12 GROUP BY video),
-c AS (SELECT video, count(DISTINCT frame) AS f FROM anchors GROUP BY video)
-SELECT c.video, least(f, 20) || ' frames with anchors: ' || coalesce(top, '') AS notes FROM c LEFT JOIN t USING (video)""",
+    f"""WITH {_B}, {_ANCHOR}, f AS (SELECT DISTINCT video, frame FROM b),
+h AS (SELECT video, 'Sampled frames: ' || string_agg(CAST(frame AS VARCHAR), ', ' ORDER BY frame) || ' (1-indexed deduplicated frame indices).' AS head FROM f GROUP BY video),
+e AS (SELECT video, key, arg_min(text, frame) AS text, count(DISTINCT frame) AS n FROM anchors GROUP BY video, key),
+r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY n DESC, text) AS rank FROM e),
+t AS (SELECT video, 'Top visible anchors: ' || string_agg(text, ', ' ORDER BY rank) AS top FROM r WHERE rank <= 20 GROUP BY video),
+l AS (SELECT video, frame, 'Frame ' || frame || ' anchors: ' || string_agg(text, ', ' ORDER BY place) AS line FROM anchors WHERE place <= 12 GROUP BY video, frame),
+a AS (SELECT video, string_agg(line, chr(10) ORDER BY frame) AS lines FROM l GROUP BY video)
+SELECT h.video, concat_ws(chr(10), head, top, lines) AS notes FROM h LEFT JOIN t ON t.video = h.video LEFT JOIN a ON a.video = h.video""",
 )
 def scene_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.anchors(adapters.blocks(spark, sf_dir))
-    return render.scene_notes(found, detect.global_anchors(found))
+    blocks = adapters.blocks(spark, sf_dir)
+    found = detect.anchors(blocks)
+    return render.scene_notes(blocks.select("video", "frame"), found, detect.global_anchors(found))
+
+
+@query(
+    "formats",
+    """WITH v AS (SELECT event_id, value, CAST(event_id * event_id * event_id AS BIGINT) AS n, CAST(floor(value * 1000) AS BIGINT) % 9000000 AS k, value / CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END AS usd FROM events)
+SELECT event_id, CASE WHEN usd = 0 THEN '$0.00' WHEN usd < 0.0001 THEN printf('$%.8f', usd) WHEN usd < 0.01 THEN printf('$%.6f', usd) WHEN usd < 1 THEN printf('$%.4f', usd) ELSE printf('$%.2f', usd) END AS usd,
+ CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS bytes FROM v""",
+)
+def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cost = F.col("value") / F.expr("CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END")
+    cube = F.col("event_id") * F.col("event_id") * F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", t.dollars(cost).alias("usd"), t.short_bytes(cube).alias("bytes"))
+
+
+# What the engine can't say in SQL -------------------------------------------------------
+
+
+@query("detect_word_difflib")
+def detect_word_difflib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.detect(adapters.words(spark, sf_dir), "Thering").select("video", "frame", "l", "k", "text", "box.*", "score")
+
+
+@query("detect_line_tight")
+def detect_line_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detect(adapters.lines(spark, sf_dir), "under  CC", words=adapters.words(spark, sf_dir))
+    return found.select("video", "frame", "l", "text", "box.*", "score")
+
+
+@query("shown_labels")
+def shown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = adapters.hits(spark, sf_dir).withColumn("track", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("t:"), "text")))
+    return link.shown_labels(boxes).select("video", "frame", "pos", "label")
+
+
+@query("prompt_boxes")
+def prompt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = adapters.blocks(spark, sf_dir)
+    regions = prompt.localised(blocks.where("l = 0"), _TREE, blocks.where("l = 0 and k = 0").selectExpr("video", "frame", "'L1' branch", "'top' sub_id", "0.0D top", "0.0D `left`", "0.02D bottom", "0.1D `right`"))
+    scores = blocks.where(F.contains("text", F.lit("@")) & (F.col("type") == "WORD")).select("video", "frame", "l", "k", F.lit("secrets").alias("description"), F.lit(0.9).alias("confidence"))
+    return prompt.curated_boxes(_TREE, blocks, regions, scores).select("video", "frame", "grp", "x", "y", "w", "h", "text", F.round("score", 9).alias("score"), "members", "branch", "instance", "snapped")
+
+
+@query("box_shrink")
+def box_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's box on a small picture made from it: dark text on white, with a margin of a few pixels on some sides."""
+    from .operators import shrink
+
+    rows = adapters.hits(spark, sf_dir).select("event_id", *[(F.col("event_id") % n).cast("int").alias(k) for k, n in (("left", 5), ("right", 7), ("top", 2), ("bottom", 3))])
+    wide, tall = 40, 20
+    dark = lambda px, py: (px >= F.col("left")) & (px < wide - F.col("right")) & (py >= F.col("top")) & (py < tall - F.col("bottom"))
+    pixel = lambda i: F.when(dark(i % wide, F.floor(i / wide)), "000000").otherwise("FFFFFF")
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(wide * tall - 1)), pixel), ""))
+    colour = lambda v: F.array(*[F.lit(v)] * 3)
+    boxes = rows.select("event_id", pixels.alias("pixels"), F.lit(wide).alias("width"), F.lit(tall).alias("height"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(wide).alias("w"), F.lit(tall).alias("h"), colour(0).alias("ink"), colour(255).alias("paper"))
+    return shrink.shrink(boxes).select("event_id", "x", "y", "w", "h", "reason")
+
+
+@query(
+    "touched_frames",
+    f"WITH {_H} SELECT video, array_to_string(list_sort(list(DISTINCT frame)), ',') AS frames FROM hit GROUP BY video",
+)
+def touched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.touched_frames(adapters.hits(spark, sf_dir)).select("video", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"))
+
+
+@query("last_events", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 30")
+def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.last_rows(table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id")
+
+
+@query(
+    "known_labels",
+    f"""WITH {_H}, f AS (SELECT video, text AS label, min(frame * 1000 + pos) AS first, min(frame) AS ff FROM hit GROUP BY video, text)
+SELECT h.video, h.frame, coalesce(string_agg(label, ',' ORDER BY first), '') AS known FROM (SELECT DISTINCT video, frame FROM hit) h LEFT JOIN f ON f.video = h.video AND f.ff < h.frame GROUP BY h.video, h.frame""",
+)
+def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.known_labels(adapters.hits(spark, sf_dir).withColumn("label", F.col("text"))).select("video", "frame", F.array_join("known", ",").alias("known"))
+
+
+@query(
+    "run_totals",
+    f"WITH {_S} SELECT video, count(DISTINCT i // 8) AS agents, count(*) AS steps, CAST(sum(hash % 3) AS BIGINT) AS added, CAST(sum(hash % 2) AS BIGINT) AS removed FROM seq GROUP BY video",
+)
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = adapters.sequence(spark, sf_dir).selectExpr("video", "i div 8 as seed", "i % 8 as step", "hash % 3 as added", "hash % 2 as removed")
+    return metrics.chain_totals(steps)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import slug
+
 BLOCKS_JSON = "array<struct<BlockType:string,Id:string,Text:string,Confidence:double,Geometry:struct<BoundingBox:struct<Left:double,Top:double,Width:double,Height:double>>,Relationships:array<struct<Type:string,Ids:array<string>>>>>"
 
 
@@ -25,11 +27,19 @@ def append_run_log(events: DataFrame, path: str) -> None:
 
 def compacted(value: Column, longest: int = 4000) -> Column:
     """A string cut to ``longest`` characters, with how many are left out."""
-    return F.when(F.length(value) > longest, F.concat(F.substring(value, 1, longest), F.lit("...+"), (F.length(value) - longest).cast("string"))).otherwise(value)
+    return F.when(F.length(value) > longest, F.concat(F.substring(value, 1, longest), F.lit("…[+"), (F.length(value) - longest).cast("string"), F.lit(" chars]"))).otherwise(value)
+
+
+def compacted_array(value: Column, most: int = 64, longest: int = 4000) -> Column:
+    """The first ``most`` strings of an array, each compacted, and how many are left out."""
+    kept = F.transform(F.slice(value, 1, most), lambda x: compacted(x, longest))
+    more = F.array(F.concat(F.lit("…[+"), (F.size(value) - most).cast("string"), F.lit(" items]")))
+    return F.when(F.size(value) > most, F.concat(kept, more)).otherwise(kept)
 
 
-def compacted_array(value: Column, most: int = 64) -> Column:
-    return F.slice(value, 1, most)
+def frame_dump_name(ts: Column, kind: Column, query: Column, what: Column) -> Column:
+    """Name of a dumped frame: time stamp, kind, slug of the query and suffix, joined by hyphens."""
+    return F.concat_ws("-", ts, kind, slug(query), what)
 
 
 def raw_items(results: DataFrame) -> DataFrame:

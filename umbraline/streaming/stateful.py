@@ -7,6 +7,7 @@ next; inside a micro-batch they are put in order.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,22 +18,53 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..model import DedupParams
 
 
-def deduplicated(frames: DataFrame, params: DedupParams = DedupParams(), key: str = "video") -> DataFrame:
-    """``video, i, hash`` of the frames kept of a stream of ``video, i, hash`` (64-bit)."""
+def deduplicated(frames: DataFrame, params: DedupParams = DedupParams(), key: str = "video", hashes: tuple[str, ...] = ("hash",)) -> DataFrame:
+    """``video, i`` and the hashes of the frames kept of a stream of such rows (64-bit hashes).
+
+    A frame is kept if any of its hashes differs by more than the threshold from that of the
+    frame kept before, or if that is too far back.
+    """
     kind = frames.schema[key].dataType.simpleString()
+    fields = ", ".join(f"`{h}` long" for h in hashes)
 
     def walk(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
         rows = pd.concat(list(parts)).sort_values("i")
         kept = []
-        for i, h in zip(rows["i"].tolist(), rows["hash"].tolist(), strict=True):
-            if last is None or ((h ^ last[1]) & (2**64 - 1)).bit_count() > params.threshold or i - last[0] >= params.reach:
-                last = (i, h)
-                kept.append((keys[0], i, h))
+        for row in zip(rows["i"].tolist(), *[rows[h].tolist() for h in hashes], strict=True):
+            far = last is None or any(((x ^ y) & (2**64 - 1)).bit_count() > params.threshold for x, y in zip(row[1:], last[1:], strict=True))
+            if far or row[0] - last[0] >= params.reach:
+                last = row
+                kept.append((keys[0], *row))
         state.update(last)
-        yield pd.DataFrame(kept, columns=[key, "i", "hash"])
+        yield pd.DataFrame(kept, columns=[key, "i", *hashes])
+
+    return frames.select(key, "i", *hashes).groupBy(key).applyInPandasWithState(walk, f"`{key}` {kind}, i int, {fields}", f"i int, {fields}", "append", GroupStateTimeout.NoTimeout)
+
+
+def letters(n: int) -> str:
+    """0 is A, 25 is Z, 26 is AA."""
+    out = ""
+    while n >= 0:
+        out, n = chr(65 + n % 26) + out, n // 26 - 1
+    return out
+
+
+def first_labels(boxes: DataFrame, key: str = "video") -> DataFrame:
+    """``video, frame, pos, track, label`` of a stream of tracked boxes: a letter for each track, in order of first appearance.
+
+    The state of a video is its tracks with their letters' numbers, as one JSON text.
+    """
+    kind = boxes.schema[key].dataType.simpleString()
+
+    def name(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(parts)).sort_values(["frame", "pos"])
+        labels = [letters(known.setdefault(track, len(known))) for track in rows["track"]]
+        state.update((json.dumps(known),))
+        yield pd.DataFrame({key: keys[0], "frame": rows["frame"], "pos": rows["pos"], "track": rows["track"], "label": labels})
 
-    return frames.select(key, "i", "hash").groupBy(key).applyInPandasWithState(walk, f"`{key}` {kind}, i int, hash long", "i int, hash long", "append", GroupStateTimeout.NoTimeout)
+    return boxes.select(key, "frame", "pos", "track").where("track <> ''").groupBy(key).applyInPandasWithState(name, f"`{key}` {kind}, frame int, pos int, track string, label string", "known string", "append", GroupStateTimeout.NoTimeout)
 
 
 def running_cost(calls: DataFrame, key: str = "run") -> DataFrame:
