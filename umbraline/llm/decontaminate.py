@@ -8,7 +8,7 @@ would lie; windows that would start before the text or end after it fall away, a
 words at that place are compared one by one.
 
 The documents are read twice: once to count the benchmark's shingles in the corpus, once
-to find the rarest ones.  Either pass looks shingles up in a bitmap of 16 bits for each
+to find the rarest ones.  Either pass looks shingles up in a bitmap of 512 bits for each
 shingle, but no more than ``BITMAP`` in all, so what is sent to the workers is bounded; the
 join that follows, on whole hashes, and the comparison of the words remove what only the
 bitmap lets through.
@@ -146,7 +146,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
 
 def _bitmap(hashes: DataFrame) -> tuple[bytes, list[int]]:
     """A bitmap of the shingle hashes in ``hash``, and which widths (in ``width``) they have."""
-    size = min(BITMAP, max(1 << 16, 1 << (16 * hashes.count()).bit_length()))
+    size = min(BITMAP, max(1 << 16, 1 << (512 * hashes.count()).bit_length()))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(size // 64, np.uint64)
