@@ -750,12 +750,12 @@ def scene_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "formats",
-    """WITH v AS (SELECT event_id, value, CAST(event_id * event_id * event_id AS BIGINT) AS n, sqrt(value) / CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END AS usd FROM events)
+    """WITH v AS (SELECT event_id, value, CAST(event_id * event_id * event_id AS BIGINT) AS n, ln(value + 2) / CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END AS usd FROM events)
 SELECT event_id, CASE WHEN usd = 0 THEN '$0.00' WHEN usd < 0.0001 THEN printf('$%.8f', usd) WHEN usd < 0.01 THEN printf('$%.6f', usd) WHEN usd < 1 THEN printf('$%.4f', usd) ELSE printf('$%.2f', usd) END AS usd,
  CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS bytes FROM v""",
 )
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cost = F.sqrt("value") / F.expr("CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END")
+    cost = F.ln(F.col("value") + 2) / F.expr("CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END")
     cube = F.col("event_id") * F.col("event_id") * F.col("event_id")
     return table(spark, sf_dir, "events").select("event_id", t.dollars(cost).alias("usd"), t.short_bytes(cube).alias("bytes"))
 
