@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as g
 from .functions import text as t
 from .model import DedupParams, ExportStyle
-from .operators import cascade, detect, export, gaps, link, merge, metrics, propagate, render, sequence
+from .operators import cascade, detect, export, gaps, link, merge, metrics, propagate, render, sequence, shrink
 from .plans import predicate, prompt
 from .registry import query
 from .session import table
@@ -369,9 +369,12 @@ def stitch_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tracked(spark, sf_dir).select("video", "frame", "pos", "track")
 
 
+_LETTERS = "CASE WHEN n < 26 THEN chr(65 + n) WHEN n < 702 THEN chr(64 + CAST(floor(n / 26) AS INT)) || chr(65 + n % 26) ELSE chr(64 + CAST(floor((n - 26) / 676) AS INT)) || chr(65 + CAST(floor(n / 26) - 1 AS INT) % 26) || chr(65 + n % 26) END"
+
+
 @query(
     "letter_labels",
-    f"""WITH RECURSIVE {_H}, {_CAND}, {_GREEDY}, {_TRACK} SELECT video, frame, pos, CASE WHEN n < 26 THEN chr(65 + n) WHEN n < 702 THEN chr(64 + CAST(floor(n / 26) AS INT)) || chr(65 + n % 26) ELSE chr(64 + CAST(floor((n - 26) / 676) AS INT)) || chr(65 + CAST(floor(n / 26) - 1 AS INT) % 26) || chr(65 + n % 26) END AS label FROM track""",
+    f"""WITH RECURSIVE {_H}, {_CAND}, {_GREEDY}, {_TRACK} SELECT video, frame, pos, {_LETTERS} AS label FROM track""",
 )
 def letter_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.labelled(_tracked(spark, sf_dir)).select("video", "frame", "pos", "label")
@@ -774,7 +777,16 @@ def detect_line_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("video", "frame", "l", "text", "box.*", "score")
 
 
-@query("shown_labels")
+@query(
+    "shown_labels",
+    f"""WITH RECURSIVE {_H}, own AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 't:' || text END AS track FROM hit),
+near AS (SELECT b.video, b.frame, b.pos AS b, a.pos AS a, {_dist("a.", "b.")} AS score FROM own b JOIN own a ON a.video = b.video AND a.frame = b.frame - 1 WHERE b.track IS NULL AND {_SAME(_NORM.format("a.text"), _NORM.format("b.text"))}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY b, score, a) AS n FROM near WHERE score <= 0.08),
+{_GREEDY}, {_TRACK},
+named AS (SELECT c.video, c.frame, c.pos, coalesce('track:' || o.track, 'box:' || rf || ':' || rp) AS identity FROM chain c JOIN own o ON o.video = c.video AND o.frame = c.rf AND o.pos = c.rp),
+starts AS (SELECT video, identity, CAST(row_number() OVER (PARTITION BY video ORDER BY min(struct_pack(frame := frame, pos := pos))) AS INT) - 1 AS n FROM named GROUP BY video, identity)
+SELECT video, frame, pos, {_LETTERS} AS label FROM named JOIN starts USING (video, identity)""",
+)
 def shown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = adapters.hits(spark, sf_dir).withColumn("track", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("t:"), "text")))
     return link.shown_labels(boxes).select("video", "frame", "pos", "label")
@@ -788,11 +800,28 @@ def prompt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompt.curated_boxes(_TREE, blocks, regions, scores).select("video", "frame", "grp", "x", "y", "w", "h", "text", F.round("score", 9).alias("score"), "members", "branch", "instance", "snapped")
 
 
-@query("box_shrink")
+def _light(x: str, y: str) -> str:
+    """Whether the mean of the pixels around one is nearer to white, on the pictures of ``box_shrink``."""
+    x0, x1, y0, y1 = f"greatest({x} - 1, 0)", f"least({x} + 1, 39)", f"greatest({y} - 1, 0)", f"least({y} + 1, 19)"
+    dark = f"greatest(0, least({x1}, 39 - mr) - greatest({x0}, ml) + 1) * greatest(0, least({y1}, 19 - mb) - greatest({y0}, mt) + 1)"
+    area = f"(({x1} - {x0} + 1) * ({y1} - {y0} + 1))"
+    return f"(floor(255.0::DOUBLE * ({area} - {dark}) / {area} + 0.5::DOUBLE) >= 128)"
+
+
+@query(
+    "box_shrink",
+    f"""WITH RECURSIVE {_H}, m AS (SELECT event_id, CAST(event_id % 5 AS INT) AS ml, CAST(event_id % 7 AS INT) AS mr, CAST(event_id % 2 AS INT) AS mt, CAST(event_id % 3 AS INT) AS mb FROM hit),
+walk AS (SELECT DISTINCT ml, mr, mt, mb, 0 AS l, 0 AS t, 39 AS r, 19 AS b, 0 AS n FROM m
+UNION ALL SELECT ml, mr, mt, mb, l + CAST(side = 0 AS INT), t + CAST(side = 2 AS INT), r - CAST(side = 1 AS INT), b - CAST(side = 3 AS INT), n + 1 FROM (
+  SELECT *, CASE WHEN r - l < {shrink.SMALLEST} OR b - t < {shrink.SMALLEST} THEN -1 WHEN tl AND bl AND l < 20 THEN 0 WHEN tr AND br AND r > 19 THEN 1 WHEN tl AND tr AND t < 10 THEN 2 WHEN bl AND br AND b > 9 THEN 3 ELSE -1 END AS side
+  FROM (SELECT *, {_light("l", "t")} AS tl, {_light("r", "t")} AS tr, {_light("l", "b")} AS bl, {_light("r", "b")} AS br FROM walk)) WHERE side >= 0),
+ends AS (SELECT ml, mr, mt, mb, max(n) AS n FROM walk GROUP BY ml, mr, mt, mb),
+done AS (SELECT *, {_light("l", "t")} AS tl, {_light("r", "t")} AS tr, {_light("l", "b")} AS bl, {_light("r", "b")} AS br FROM walk JOIN ends USING (ml, mr, mt, mb, n))
+SELECT event_id, l AS x, t AS y, r - l + 1 AS w, b - t + 1 AS h, CASE WHEN n = 0 THEN 'no_violation' WHEN r - l < {shrink.SMALLEST} OR b - t < {shrink.SMALLEST} THEN 'degenerate' WHEN tl AND bl OR tr AND br OR tl AND tr OR bl AND br THEN 'cap_reached' ELSE 'no_violation' END AS reason
+FROM m JOIN done USING (ml, mr, mt, mb)""",
+)
 def box_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event's box on a small picture made from it: dark text on white, with a margin of a few pixels on some sides."""
-    from .operators import shrink
-
     rows = adapters.hits(spark, sf_dir).select("event_id", *[(F.col("event_id") % n).cast("int").alias(k) for k, n in (("left", 5), ("right", 7), ("top", 2), ("bottom", 3))])
     wide, tall = 40, 20
     dark = lambda px, py: (px >= F.col("left")) & (px < wide - F.col("right")) & (py >= F.col("top")) & (py < tall - F.col("bottom"))
