@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, language, line_quality, private_data, quality_rules, sharding, simhash, wordpiece
+from . import byte_bpe, decontaminate, html_text, language, line_quality, neighbours, private_data, quality_rules, sharding, simhash, vector_codes, whitening, wordpiece
 from .common import held_out, table
 
 
@@ -56,6 +56,19 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(private_data.written(F.col("found")).cast("binary"), 256).alias("base_sha256"), private_data.written(private_data.all_spans()).alias("spans"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _is(kind: str):
     return lambda x: x["kind"] == kind
 
@@ -71,6 +84,9 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_private_data": op10_private_data,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_whitening": op13_whitening,
 }
 
 _OP4 = r"""
@@ -115,4 +131,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLE = {"op4_quality_rules": _OP4, "op6_decontamination": _OP6}
+_OP11 = r"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256::DOUBLE * x) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (SELECT vec_id, p, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS v FROM kept, (SELECT unnest(range(0, 16)) AS p)),
+cell AS (SELECT p, v, count(*) AS n FROM part GROUP BY p, v),
+b0 AS (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) AS INT) - 1 AS e, v AS c FROM part WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+a1 AS (SELECT p, v, n, arg_min(e, row(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e)) AS e FROM cell JOIN b0 USING (p) GROUP BY p, v, n),
+m1 AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, CAST(floor(CAST(sum(n * v[i]) AS DOUBLE) / sum(n)) AS BIGINT) AS m FROM (SELECT p, e, n, v, unnest(range(1, len(v) + 1)) AS i FROM a1) GROUP BY p, e, i) GROUP BY p, e),
+b1 AS (SELECT p, e, coalesce(m1.c, b0.c) AS c FROM b0 LEFT JOIN m1 USING (p, e)),
+a2 AS (SELECT p, v, n, arg_min(e, row(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e)) AS e FROM cell JOIN b1 USING (p) GROUP BY p, v, n),
+m2 AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, CAST(floor(CAST(sum(n * v[i]) AS DOUBLE) / sum(n)) AS BIGINT) AS m FROM (SELECT p, e, n, v, unnest(range(1, len(v) + 1)) AS i FROM a2) GROUP BY p, e, i) GROUP BY p, e),
+b2 AS (SELECT p, e, coalesce(m2.c, b1.c) AS c FROM b1 LEFT JOIN m2 USING (p, e)),
+a3 AS (SELECT p, v, min(row(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e)) AS best FROM cell JOIN b2 USING (p) GROUP BY p, v),
+coded AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM part JOIN a3 USING (p, v) GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS d FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256 FROM kept JOIN coded USING (vec_id), digest
+"""
+
+ORACLE = {"op11_vector_codes": _OP11, "op4_quality_rules": _OP4, "op6_decontamination": _OP6}
