@@ -69,6 +69,18 @@ def test_formats_by_magnitude(spark):
     assert one(spark, s=t.slug(F.lit("!!")))["s"] == "noquery"
 
 
+def test_numbers_round_by_their_exact_binary_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [1.005, 1.015, 2.675, 0.125, 0.375, 1e-9, 5e-9, 4.9e-9, 1.5e-8, 123456789.125, 0.00015, 0.99995, 1234567.005, 1.0e15, 3.3e17, 1e-300, 0.1 + 0.2, 0.0, -2.5, -1.005, 7.0]
+    for places in (1, 2, 4, 6, 8):
+        got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(t.fixed(F.col("v"), places)).collect()]
+        want = [("-" if v < 0 else "") + f"{abs(Decimal(v)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP):f}" if abs(v) < 2**50 else f"{v:.{places}f}" for v in values]
+        assert got == want
+    row = one(spark, usd=t.dollars(F.lit(1.005)), up=t.dollars(F.lit(2.125)), kb=t.short_bytes(F.lit(1075).cast("long")), k=t.short_count(F.lit(1250).cast("long")))
+    assert tuple(row) == ("$1.00", "$2.13", "1.0 KB", "1.3k")
+
+
 def test_small_text_functions(spark):
     row = one(spark, colour=t.hex_colour(F.lit(" #AbC ")), bare=t.hex_colour(F.lit("00ff7F")), bad=t.hex_colour(F.lit("#12345")), rgb=t.channels(F.lit("#0aff10")), usd=t.dollars(F.lit(0.0042)), tokens=t.short_count(F.lit(12345)), slug=t.slug(F.lit("  Hello, World! ")), safe=t.literal_is_safe(F.lit("find this")), unsafe=t.literal_is_safe(F.lit("is it?")), branch=t.branch_of(F.lit("L1:a:b")), whole=t.branch_of(F.lit(":x")), shared=t.shared_length(F.lit("Hello"), F.lit("yellow")), overlap=t.character_overlap(F.lit("abc"), F.lit("abd")))
     assert (row["colour"], row["bare"], row["bad"], tuple(row["rgb"])) == ("#aabbcc", "#00ff7f", None, (10, 255, 16))

@@ -46,6 +46,23 @@ def alike(a: str, b: str) -> bool:
     return bool(a and b) and (a == b or a in b or b in a or holds(a, b) or holds(b, a))
 
 
+def edit_similarity(a: str, b: str) -> float:
+    """1 less the edit distance over the longer length."""
+    if a == b or not a or not b:
+        return float(a == b)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return 1.0 - row[-1] / max(len(a), len(b))
+
+
+def same_by_edits(a: str, b: str, least: float = 0.75) -> bool:
+    """What ``text.same_text`` says of two normalised texts."""
+    return a == b or bool(a and b) and (a in b or b in a or edit_similarity(a, b) >= least)
+
+
 def part_score(part: str, query: str) -> float:
     """1 if the query holds the part, else the best likeness of a window of nearly its length."""
     if not part or not query:

@@ -152,22 +152,49 @@ def branch_of(instance: Column) -> Column:
     return F.when(at > 1, F.substring(instance, F.lit(1), at - 1)).otherwise(instance)
 
 
+def fixed(x: Column, places: Column | int) -> Column:
+    """A finite double with so many decimals: the nearest to its exact binary value, of two as near the one farther from 0.
+
+    1.005 is a little less than it looks and gives 1.00.  What follows the point is taken apart
+    into a whole number and a power of two, which decimals of 38 digits multiply and divide
+    exactly.  At most 9 decimals; from 2 to the 53rd on nothing follows the point.
+    """
+    places = places if isinstance(places, Column) else F.lit(places)
+    size = F.abs(x)
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    # A fraction times 2 ** k is whole for k = 54 - exponent; one more or less than the exponent doesn't matter.
+    rest = size - F.floor(size)
+    taken = F.struct(F.floor(size).alias("whole"), rest.alias("rest"), F.least(F.lit(104), 54 - F.floor(F.log2(rest)).cast("int")).alias("k"), places.alias("places"), F.element_at(F.array(*[F.lit(10**n).cast("long") for n in range(10)]), places + 1).alias("scale"))
+
+    def rounded(t: Column) -> Column:
+        half = F.least(t["k"], F.lit(50))
+        bits = (t["rest"] * power(half) * power(t["k"] - half)).cast("long").cast("decimal(20,0)")
+        unit = power(half).cast("decimal(19,0)") * power(t["k"] - half).cast("decimal(19,0)")
+        n = F.when(t["rest"] == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", bits * (2 * t["scale"]).cast("decimal(11,0)") + unit, unit * F.lit(2).cast("decimal(1,0)")))
+        return F.struct(t["whole"].alias("whole"), n.alias("n"), t["scale"].alias("scale"), t["places"].alias("places"))
+
+    digits = lambda r: F.lpad((r["n"] % r["scale"]).cast("string"), r["places"], F.lit("0"))
+    written = lambda r: F.concat((r["whole"] + F.call_function("div", r["n"], r["scale"])).cast("string"), F.lit("."), digits(r))
+    large = F.concat(F.format_string("%.0f", size), F.lit("."), F.repeat(F.lit("0"), places))
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.when(size >= float(1 << 53), large).otherwise(let(let(taken, rounded), written)))
+
+
 def dollars(usd: Column) -> Column:
-    """Eight decimals below $0.0001, six below $0.01, four below $1, else two; "$?" for what is no finite number."""
+    """Eight decimals below $0.0001, six below $0.01, four below $1, else two, as ``fixed`` rounds; "$?" for what is no finite number."""
     value = usd.cast("double")
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    places = F.when(value == 0, F.format_string("$%.2f", value)).when(value < 0.0001, F.format_string("$%.8f", value)).when(value < 0.01, F.format_string("$%.6f", value)).when(value < 1, F.format_string("$%.4f", value))
-    return F.when(bad, "$?").otherwise(places.otherwise(F.format_string("$%.2f", value)))
+    places = F.when(value == 0, 2).when(value < 0.0001, 8).when(value < 0.01, 6).when(value < 1, 4).otherwise(2)
+    return F.when(bad, "$?").otherwise(F.concat(F.lit("$"), fixed(value, places)))
 
 
 def short_bytes(n: Column) -> Column:
     """Bytes below 1,024, then KB and MB with one decimal."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / float(1 << 20)))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(fixed(n / 1024.0, 1), F.lit(" KB"))).otherwise(F.concat(fixed(n / float(1 << 20), 1), F.lit(" MB")))
 
 
 def short_count(n: Column) -> Column:
     """Plain below a thousand, then thousands with one decimal (k), then millions with two (M)."""
-    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.format_string("%.1fk", n / 1000.0)).otherwise(F.format_string("%.2fM", n / 1e6))
+    return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.concat(fixed(n / 1000.0, 1), F.lit("k"))).otherwise(F.concat(fixed(n / 1e6, 2), F.lit("M")))
 
 
 def literal_is_safe(text: Column, longest: int = 48, most_words: int = 6) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..session import cut
+from .sequence import running
 
 
 def natural_ends(verdicts: DataFrame, quiet: int = 2, depth: int = 20) -> DataFrame:
@@ -28,43 +31,62 @@ def natural_ends(verdicts: DataFrame, quiet: int = 2, depth: int = 20) -> DataFr
     return ends.select("video", "seed", (F.coalesce("at.step", "last") + 1).alias("steps"), F.coalesce("at.stop", F.when(F.col("last") + 1 >= depth, "depth").otherwise("end")).alias("why"))
 
 
-def _claim(seeds: pd.DataFrame) -> pd.DataFrame:
-    claimed: set[int] = set()
-    out = []
-    for s in seeds.sort_values("seed").itertuples():
-        taken = 0
-        for k in range(s.steps):
-            frame = s.first_focus + (k if s.direction == "forward" else -k)
-            if frame in claimed or frame < s.low or frame > s.high:
-                break
-            claimed.add(frame)
-            taken += 1
-        out.append((s.video, s.scope, s.direction, s.seed, taken, s.why if taken == s.steps else "claimed"))
-    return pd.DataFrame(out, columns=["video", "scope", "direction", "seed", "steps", "why"])
+def _claim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Steps that each seed takes, for rows that come island by island and, in each, in order of the seeds."""
+    island, claimed = None, set()
+    for batch in batches:
+        out = []
+        for s in batch.itertuples(index=False):
+            if island != (own := (s.video, s.scope, s.direction, s.island)):
+                island, claimed = own, set()
+            taken, why = 0, s.why
+            for k in range(s.steps):
+                frame = s.first_focus + (k if s.direction == "forward" else -k)
+                if frame < s.low or frame > s.high:
+                    why = "range"
+                    break
+                if frame in claimed:
+                    why = "claimed"
+                    break
+                claimed.add(frame)
+                taken += 1
+            out.append((s.video, s.scope, s.direction, s.seed, taken, why))
+        yield pd.DataFrame(out, columns=["video", "scope", "direction", "seed", "steps", "why"])
 
 
 def chains(seeds: DataFrame, verdicts: DataFrame, scope: str | None = None, quiet: int = 2, depth: int = 20, most: int | None = 300) -> DataFrame:
     """How many steps each seed's chain takes, when a frame is walked once in each direction.
 
     ``seeds`` has ``video, seed, direction, first_focus, low, high``.  Seeds claim frames in
-    order; ``scope`` names a column whose values claim apart (such as the instance).  Of each
-    video the first ``most`` seeds run (None: all).  Seeds whose chains can't meet are told
-    apart by islands of the frames that they may reach, so what meets in one place is one
-    island's seeds, not a video's, and not what they look at.
+    order; ``scope`` names a column whose values claim apart (such as the instance).  Seeds whose
+    chains can't meet are told apart by islands of the frames that they may reach, so what meets
+    in one place is one island's seeds, not a video's, and not what they look at.  A chain that
+    leaves its ``low`` to ``high`` ends with ``range``, one that meets another with ``claimed``.
+
+    Each frame looked at is an inspection, and a video has ``most`` of them (None: any number).
+    What earlier seeds claim doesn't depend on later ones, so chains are claimed without the
+    limit first and their steps added up in order of the seeds: the chain that the limit falls
+    into is cut short (``max_agents_global``, also where it could not have gone on for want of a
+    free frame), and no later seed runs.
     """
     ends = natural_ends(verdicts, quiet, depth)
-    if most is not None:
-        seeds = seeds.withColumn("_n", F.row_number().over(Window.partitionBy("video").orderBy("seed"))).where(F.col("_n") <= most).drop("_n")
     own = seeds.join(ends, ["video", "seed"]).withColumn("scope", F.col(scope).cast("string") if scope else F.lit(""))
     video = seeds.schema["video"].dataType.simpleString()
     cols = own.select("video", "scope", "direction", "seed", "first_focus", "low", "high", "steps", "why")
     forward = F.col("direction") == "forward"
     near = F.when(forward, F.col("first_focus")).otherwise(F.col("first_focus") - F.col("steps") + 1)
     far = F.when(forward, F.col("first_focus") + F.col("steps") - 1).otherwise(F.col("first_focus"))
-    order = Window.partitionBy("video", "scope", "direction").orderBy("_near", "seed")
-    reach = F.max("_far").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = cols.withColumn("_near", near).withColumn("_far", far).withColumn("_new", F.when(F.col("_near") <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(order))
-    return islands.groupBy("video", "scope", "direction", "_island").applyInPandas(lambda pdf: _claim(pdf), f"video {video}, scope string, direction string, seed int, steps int, why string")
+    by, order = ["video", "scope", "direction"], ["_near", "seed"]
+    reached = running(cols.withColumn("_near", near).withColumn("_far", far), by, "_near", order, F.col("_far"), "max", before=True)
+    islands = running(reached.withColumn("_new", F.when(F.col("_near") <= F.col("running"), 0).otherwise(1)).drop("running"), by, "_near", order, F.col("_new")).withColumnRenamed("running", "island")
+    placed = islands.repartition(*by, "island").sortWithinPartitions(*by, "island", "seed").drop("_near", "_far", "_new")
+    claimed = placed.mapInPandas(_claim, f"video {video}, scope string, direction string, seed int, steps int, why string")
+    if most is None:
+        return claimed
+    after, before = F.col("running"), F.col("running") - F.col("steps")
+    spent = (after > most) | ((after == most) & F.col("why").isin("claimed", "range", "end"))
+    counted = running(cut(claimed), ["video"], "seed", ["seed"], F.col("steps").cast("long")).where(before < most)
+    return counted.select(*by, "seed", F.least(F.col("steps"), most - before).cast("int").alias("steps"), F.when(spent, "max_agents_global").otherwise(F.col("why")).alias("why"))
 
 
 #: Items looked at in a frame, by the kind of condition that an instance comes from.

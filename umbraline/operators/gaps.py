@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..model import GapParams
 from ..session import cut
+from .sequence import running
 
 
 def track_change(pairs: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -67,6 +68,26 @@ def bisected(gaps: DataFrame, fires: Callable[[DataFrame], DataFrame], params: G
     return out
 
 
+def budgeted(found: DataFrame, kept: DataFrame, share: float) -> DataFrame:
+    """Bisected gaps with ``outcome``: ``inserted``, or ``budget`` where no insert was left.
+
+    ``found`` is what ``bisected`` gives, ``kept`` has ``video, n`` (frames kept).  Gaps are
+    taken depth first, in order of the video: a gap before its halves, the left half before the
+    right, so that is by ``lo`` and, of those, from the widest.  The first floor(n * share) are
+    inserted (all, from a share of 1 on); of the others only those are asked for whose parent
+    was inserted, or that have none.
+    """
+    c = F.col
+    ranked = running(found, ["video"], "lo", ["lo", F.desc("hi")], F.lit(1)).join(kept.select("video", "n"), "video", "left")
+    room = F.floor(F.coalesce(c("n"), F.lit(0)) * share)
+    marked = cut(ranked.withColumn("outcome", F.when(F.lit(share >= 1) | (c("running") <= room), "inserted").otherwise("budget")).drop("running", "n"))
+    inserted = marked.where("outcome = 'inserted'")
+    halves = inserted.select("video", "lo", c("mid").alias("hi")).unionAll(inserted.select("video", c("mid").alias("lo"), "hi"))
+    refused = marked.where("outcome = 'budget'")
+    asked = refused.where("depth = 0").unionByName(refused.where("depth > 0").join(halves, ["video", "lo", "hi"], "left_semi").select(*refused.columns))
+    return inserted.unionByName(asked)
+
+
 def neighbours(frames: DataFrame) -> DataFrame:
     """``video, a, b``: consecutive frames of each video."""
     order = Window.partitionBy("video").orderBy("frame")

@@ -71,17 +71,49 @@ def candidates(hits: DataFrame, width: int = 1600, height: int = 900, params: Li
     return pairs.withColumn("score", score).where(F.col("score") >= params.least)
 
 
-def greedy_links(pairs: DataFrame) -> DataFrame:
+#: Pairs of one frame up to which they are matched in one place.
+FOLD = 256
+
+
+def one_to_one(pairs: DataFrame, left: str, right: str, order: list[Column], fold: int = FOLD) -> DataFrame:
+    """The pairs (``video, frame, left, right``) chosen one after the other in ``order``, each left and each right at most once.
+
+    A pair that comes first for both its sides is chosen whatever else is: no other pair of
+    either can come before it.  All such pairs of all frames are taken in one round, and those
+    that share a side with them go; this gives what taking them one by one gives.  Rounds are
+    for frames of more than ``fold`` pairs; what is left of a frame after that is walked in one
+    place.  ``order`` must lead with what tells pairs apart, and be without ties.
+    """
+    frame, rank = ["video", "frame"], F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)])
+    rest = cut(pairs.select(*frame, F.col(left).alias("l"), F.col(right).alias("r"), rank.alias("rank")))
+    done = None
+    while True:
+        large = cut(rest.groupBy(*frame).count().where(F.col("count") > fold).select(*frame))
+        some = large.limit(1).count() > 0
+        small = rest.join(large, frame, "left_anti") if some else rest
+        kinds = dict(rest.dtypes)
+        start = F.array().cast(f"array<struct<rank:{kinds['rank']},l:{kinds['l']},r:{kinds['r']}>>")
+        free = lambda taken, p: ~F.exists(taken, lambda x: (x["l"] == p["l"]) | (x["r"] == p["r"]))
+        chosen = F.aggregate("all", start, lambda taken, p: F.when(free(taken, p), F.array_append(taken, p)).otherwise(taken))
+        folded = small.groupBy(*frame).agg(F.array_sort(F.collect_list(F.struct("rank", "l", "r"))).alias("all")).select(*frame, F.explode(chosen).alias("p")).select(*frame, "p.l", "p.r", "p.rank")
+        done = folded if done is None else done.unionByName(folded)
+        if not some:
+            return done.select(*frame, F.col("l").alias(left), F.col("r").alias(right), "rank")
+        big = rest.join(large, frame, "left_semi")
+        of_left = big.groupBy(*frame, "l").agg(F.min("rank").alias("rank"))
+        of_right = big.groupBy(*frame, "r").agg(F.min("rank").alias("rank"))
+        taken = cut(of_left.join(of_right, [*frame, "rank"]).select(*frame, "l", "r", "rank"))
+        done = done.unionByName(taken)
+        rest = cut(big.join(taken.select(*frame, "l"), [*frame, "l"], "left_anti").join(taken.select(*frame, "r"), [*frame, "r"], "left_anti"))
+
+
+def greedy_links(pairs: DataFrame, fold: int = FOLD) -> DataFrame:
     """``video, frame, b_index, a_index, score``: best pairs first, each box at most once.
 
-    Only the pairs of two neighbouring frames meet in one place.  Ties go to the first b, then the first a.
+    Ties go to the first b, then the first a.
     """
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("b_pos").alias("b"), F.col("a_pos").alias("a"))))
-    start = F.array().cast("array<struct<cost:double,b:int,a:int>>")
-    free = lambda taken, c: ~F.exists(taken, lambda x: (x["a"] == c["a"]) | (x["b"] == c["b"]))
-    chosen = F.aggregate("ordered", start, lambda taken, c: F.when(free(taken, c), F.array_append(taken, c)).otherwise(taken))
-    each = pairs.groupBy("video", "frame").agg(ordered.alias("ordered")).select("video", "frame", F.explode(chosen).alias("c"))
-    return each.select("video", "frame", F.col("c.b").alias("b_index"), F.col("c.a").alias("a_index"), (-F.col("c.cost")).alias("score"))
+    found = one_to_one(pairs, "b_pos", "a_pos", [-F.col("score"), F.col("b_pos"), F.col("a_pos")], fold)
+    return found.select("video", "frame", F.col("b_pos").alias("b_index"), F.col("a_pos").alias("a_index"), (-F.col("rank.o0")).alias("score"))
 
 
 def validated(decisions: DataFrame, hits: DataFrame, params: LinkParams = LinkParams()) -> DataFrame:
@@ -102,6 +134,26 @@ def validated(decisions: DataFrame, hits: DataFrame, params: LinkParams = LinkPa
     return scored.withColumn("rank", rank).select("video", "frame", "b_index", F.when(~lost, F.col("a_index")).alias("a_index"), F.coalesce(lost, F.lit(False)).alias("demoted"))
 
 
+def linked(hits: DataFrame, decisions: DataFrame, params: LinkParams = LinkParams()) -> DataFrame:
+    """The whole link step: ``video, frame, b_index, a_index, how`` for every box.
+
+    A box whose frame has no frame with boxes right before it is ``new``.  Frames with decisions
+    (``video, frame, pos, b_index, a_index``) take these, made whole (``decided``); a frame that
+    nobody decided on, as when a call failed, is linked by places and texts (``fallback``).
+    """
+    hits = cut(hits.select("video", "frame", "pos", *RECT, "text"))
+    frames = hits.select("video", "frame").distinct()
+    both = cut(frames.join(frames.select("video", (F.col("frame") + 1).cast("int").alias("frame")), ["video", "frame"], "left_semi"))
+    asked = both.join(decisions.select("video", "frame").distinct(), ["video", "frame"], "left_semi")
+    unasked = both.join(asked, ["video", "frame"], "left_anti")
+    by_call = validated(decisions.join(asked, ["video", "frame"], "left_semi"), hits, params).join(asked, ["video", "frame"], "left_semi")
+    pairs = candidates(hits, params=params).join(unasked, ["video", "frame"], "left_semi")
+    by_place = hits.join(unasked, ["video", "frame"], "left_semi").select("video", "frame", F.col("pos").alias("b_index")).join(greedy_links(pairs), ["video", "frame", "b_index"], "left")
+    first = hits.join(both, ["video", "frame"], "left_anti").select("video", "frame", F.col("pos").alias("b_index"), F.lit(None).cast("int").alias("a_index"), F.lit("new").alias("how"))
+    told = lambda rows, how: rows.select("video", "frame", "b_index", "a_index", F.lit(how).alias("how"))
+    return first.unionByName(told(by_call, "decided")).unionByName(told(by_place, "fallback"))
+
+
 def roots(hits: DataFrame, links: DataFrame) -> DataFrame:
     """``video, at, to``: links followed back from each box (frame, pos) to the first of its chain.
 
@@ -144,12 +196,8 @@ def nearest_links(boxes: DataFrame, width: int = 1600, height: int = 900, params
     new = boxes.where("coalesce(track, '') = ''").select("video", "frame", "pos", *RECT, "text")
     apart = g.centre_distance(*_rects("a", "b"), F.lit(float(width)), F.lit(float(height)))
     pairs = _side(fields, "a", 1).join(_side(new, "b", 0), ["video", "frame"]).withColumn("apart", apart).where((F.col("apart") <= near) & t.same_text(t.normalised(F.col("a_text")), t.normalised(F.col("b_text"))))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("b_pos").alias("b"), "apart", F.col("a_pos").alias("a"))))
-    start = F.array().cast("array<struct<b:int,apart:double,a:int>>")
-    open_ = lambda taken, x: ~F.exists(taken, lambda y: (y["b"] == x["b"]) | (y["a"] == x["a"]))
-    chosen = F.aggregate("ordered", start, lambda taken, x: F.when(open_(taken, x), F.array_append(taken, x)).otherwise(taken))
-    each = pairs.groupBy("video", "frame").agg(ordered.alias("ordered")).select("video", "frame", F.explode(chosen).alias("c"))
-    return each.select("video", "frame", F.col("c.b").alias("b_index"), F.col("c.a").alias("a_index"))
+    found = one_to_one(pairs, "b_pos", "a_pos", [F.col("b_pos"), F.col("apart"), F.col("a_pos")])
+    return found.select("video", "frame", F.col("b_pos").alias("b_index"), F.col("a_pos").alias("a_index"))
 
 
 def shown_labels(boxes: DataFrame, width: int = 1600, height: int = 900, params: LinkParams = LinkParams()) -> DataFrame:
@@ -181,11 +229,8 @@ def inherited(added: DataFrame, tracked: DataFrame, params: LinkParams = LinkPar
     score = F.lit(params.iou_weight) * g.iou(*_rects("a", "b")) + F.lit(params.text_weight) * t.tiered_similarity(t.normalised(F.col("a_text")), t.normalised(F.col("b_text")))
     pairs = new.join(sides, ["video", "frame"]).withColumn("score", score).where(F.col("score") >= params.inherit_least).join(taken, ["video", "frame", "a_track"], "left_anti")
     best = pairs.groupBy("video", "frame", "b_pos", "a_track").agg(F.min(F.struct((-F.col("score")).alias("cost"), "side")).alias("s"))
-    ordered = F.array_sort(F.collect_list(F.struct("b_pos", "s.cost", "s.side", F.col("a_track").alias("track"))))
-    start = F.array().cast("array<struct<b_pos:int,cost:double,side:int,track:string>>")
-    open_ = lambda taken, c: ~F.exists(taken, lambda x: (x["b_pos"] == c["b_pos"]) | (x["track"] == c["track"]))
-    chosen = F.aggregate("ordered", start, lambda taken, c: F.when(open_(taken, c), F.array_append(taken, c)).otherwise(taken))
-    given = best.groupBy("video", "frame").agg(ordered.alias("ordered")).select("video", "frame", F.explode(chosen).alias("c")).select("video", "frame", F.col("c.b_pos").alias("pos"), F.col("c.track").alias("track"))
+    found = one_to_one(best.select("video", "frame", "b_pos", "a_track", "s.*"), "b_pos", "a_track", [F.col(k) for k in ("b_pos", "cost", "side", "a_track")])
+    given = found.select("video", "frame", F.col("b_pos").alias("pos"), F.col("a_track").alias("track"))
     return added.join(given, ["video", "frame", "pos"], "left").withColumn("track", F.coalesce("track", F.concat(F.lit("f:"), F.col("frame").cast("string"), F.lit(":"), F.col("pos").cast("string"))))
 
 

@@ -40,8 +40,12 @@ def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def chain_totals(steps: DataFrame) -> DataFrame:
-    """``agents, steps, added, removed`` of each video, from ``video, seed, step, added, removed``."""
-    return steps.groupBy("video").agg(F.count_distinct("seed").alias("agents"), F.count("*").alias("steps"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    """``transitions, agents, steps, added, removed`` of each video, from inspections.
+
+    ``steps`` has a row for each inspected frame: ``video, seed, model_steps, added, removed``.
+    Each inspection is an agent; ``steps`` adds up the calls that its model took.
+    """
+    return steps.groupBy("video").agg(F.count_distinct("seed").alias("transitions"), F.count("*").alias("agents"), F.sum("model_steps").alias("steps"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
 
 
 def shrink_totals(boxes: DataFrame) -> DataFrame:
@@ -69,13 +73,18 @@ def kept_counts(frames: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def usage_totals(calls: DataFrame, *group: str) -> DataFrame:
-    return calls.groupBy(*group).agg(F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"), F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"), F.count("*").alias("calls"))
+    """Tokens of four kinds and calls of each group; counts that are missing (null, or no such column) are 0.
+
+    Reasoning and cached tokens are parts of output and input; they are counted, not billed again.
+    """
+    total = lambda kind: F.sum(F.coalesce(F.col(kind), F.lit(0)) if kind in calls.columns else F.lit(0)).alias(kind)
+    return calls.groupBy(*group).agg(*[total(f"{k}_tokens") for k in ("input", "output", "reasoning", "cached")], F.count("*").alias("calls"))
 
 
 def costs(totals: DataFrame, price: DataFrame) -> DataFrame:
     """Cost of usage totals: the higher rates if the mean input of a call is above the model's limit; unknown models cost nothing."""
     c = F.col
-    joined = totals.join(F.broadcast(price), "model", "left")
+    joined = totals.join(price, "model", "left")
     over = F.coalesce(c("threshold").isNotNull() & (c("calls") > 0) & (c("input_tokens") / c("calls") > c("threshold")), F.lit(False))
     usd = lambda tokens, low, high: F.coalesce(c(tokens) / 1e6 * F.when(over, c(high)).otherwise(c(low)), F.lit(0.0))
     return joined.select(*totals.columns, F.when(over, "over").otherwise("standard").alias("tier"), usd("input_tokens", "input", "over_input").alias("input_usd"), usd("output_tokens", "output", "over_output").alias("output_usd"))
@@ -83,7 +92,7 @@ def costs(totals: DataFrame, price: DataFrame) -> DataFrame:
 
 def running_cost(calls: DataFrame, price: DataFrame) -> DataFrame:
     """``micro_usd`` of each call, and of all calls of its run so far, in order of ``seq``."""
-    joined = calls.join(F.broadcast(price), "model", "left")
+    joined = calls.join(price, "model", "left")
     micro = F.coalesce(F.floor(F.col("input_tokens") * F.col("input") + F.col("output_tokens") * F.col("output")), F.lit(0)).cast("long")
     order = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return joined.select("run", "seq", micro.alias("micro_usd")).withColumn("running_micro_usd", F.sum("micro_usd").over(order))

@@ -12,16 +12,61 @@ from ..session import cut
 CHUNK = 1024
 
 
-def deduplicated(frames: DataFrame, changed, params: DedupParams = DedupParams(), chunk: int = CHUNK) -> DataFrame:
+#: Chunks (or groups of chunks) that are linked in one place.
+FAN = 256
+
+
+def running(rows: DataFrame, by: list[str], place: str, order: list, value: Column, how: str = "sum", before: bool = False, width: int = 4096) -> DataFrame:
+    """``rows`` with ``running``: the sum or largest ``value`` of the rows up to each one (or ``before`` it) in ``order``.
+
+    ``place`` is a number that leads the order.  Each key is cut into bins of ``width`` places,
+    which scan their own rows; what the bins before hold comes from one row for each of them,
+    so a hot key's rows never meet in one task.  Null where there is nothing yet.
+    """
+    agg = {"sum": F.sum, "max": F.max}[how]
+    binned = rows.withColumn("_bin", F.floor(F.col(place) / width)).withColumn("_value", value)
+    ahead = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = binned.groupBy(*by, "_bin").agg(agg("_value").alias("_all")).withColumn("_ahead", agg("_all").over(ahead)).drop("_all")
+    own = agg("_value").over(Window.partitionBy(*by, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+    zero = F.lit(0)
+    both = F.greatest("_own", "_ahead") if how == "max" else F.when(F.col("_own").isNotNull() | F.col("_ahead").isNotNull(), F.coalesce("_own", zero) + F.coalesce("_ahead", zero))
+    return binned.withColumn("_own", own).join(bins, [*by, "_bin"]).withColumn("running", both).drop("_bin", "_value", "_own", "_ahead")
+
+
+def _entries(maps: DataFrame, reach: int, fan: int) -> DataFrame:
+    """``video, chunk, entry``: where each chunk is entered, from ``exits``, the next entry for each entry.
+
+    Groups of ``fan`` chunks are composed to one map each, their entries are found in the same
+    way, and each group hands its own entry on to its chunks.
+    """
+    c = F.col
+    onward = lambda exits, at: F.greatest(F.lit(0), exits[at])
+    most = maps.agg(F.max("chunk")).first()[0] or 0
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "exits"))).alias("all")
+    if most < fan:
+        groups = maps.groupBy("video").agg(ordered).withColumn("entry", F.lit(0))
+    else:
+        part = maps.groupBy("video", F.expr(f"chunk div {fan}").cast("int").alias("group")).agg(ordered)
+        lanes = F.array(*[F.lit(e) for e in range(reach)])
+        whole = F.aggregate("all", lanes, lambda lane, m: F.transform(lane, lambda at: onward(m["exits"], at)))
+        upper = _entries(cut(part.select("video", c("group").alias("chunk"), whole.alias("exits"))), reach, fan)
+        groups = part.join(upper.withColumnRenamed("chunk", "group"), ["video", "group"])
+    start = F.struct(c("entry").alias("entry"), F.array().cast("array<struct<chunk:int,entry:int>>").alias("out"))
+    walked = F.aggregate("all", start, lambda a, m: F.struct(onward(m["exits"], a["entry"]).alias("entry"), F.array_append(a["out"], F.struct(m["chunk"].alias("chunk"), a["entry"].alias("entry"))).alias("out")), lambda a: a["out"])
+    return groups.select("video", F.explode(walked).alias("e")).select("video", "e.chunk", "e.entry")
+
+
+def deduplicated(frames: DataFrame, changed, params: DedupParams = DedupParams(), chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """The rows kept of each sequence: the first, and each that differs from the one kept before.
 
     ``frames`` has ``video`` and ``i`` (0, 1, 2, ... in each video); ``changed(a, b)`` says from
     the rows' structs whether b differs from a.  After ``reach`` rows one is kept anyway.
 
     Which row follows a kept one thus depends on the next few rows only.  Sequences are cut
-    into chunks; each is walked from every place it can be entered at, the chunks of a video
-    are linked from entry to exit, and each chunk keeps the rows of its true entry.  A long
-    video is many tasks, and only one short array for each chunk meets in one place.
+    into chunks; each is walked from every place it can be entered at, which maps entries to
+    exits; maps are composed by groups of ``fan`` chunks, level by level, and each chunk keeps
+    the rows of its true entry.  A long video is many tasks, and only ``fan`` short maps meet in
+    one place.
     """
     reach = params.reach
     carried = [c for c in frames.columns if c not in ("video", "i")]
@@ -40,10 +85,7 @@ def deduplicated(frames: DataFrame, changed, params: DedupParams = DedupParams()
     lanes = F.array(*[F.lit(e) for e in range(reach)])
     exits = F.aggregate("steps", lanes, lambda lane, s: F.transform(lane, lambda at: F.when(at == s["i"], s["i"] + s["step"]).otherwise(at)))
     chunks = cut(walked.withColumn("exits", F.transform(exits, lambda at: at - chunk)))
-    linked = chunks.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("chunk", "exits"))).alias("all"))
-    start = F.struct(F.lit(0).alias("entry"), F.array().cast("array<struct<chunk:int,entry:int>>").alias("out"))
-    entries = F.aggregate("all", start, lambda a, c: F.struct(F.greatest(F.lit(0), c["exits"][a["entry"]]).alias("entry"), F.array_append(a["out"], F.struct(c["chunk"].alias("chunk"), a["entry"].alias("entry"))).alias("out")), lambda a: a["out"])
-    entered = linked.select("video", F.explode(entries).alias("e")).select("video", "e.chunk", "e.entry")
+    entered = _entries(chunks.select("video", "chunk", "exits"), reach, fan)
     walk = F.aggregate("steps", F.struct(F.col("entry").alias("at"), F.array().cast("array<int>").alias("kept")), lambda a, s: F.when(a["at"] == s["i"], F.struct((s["i"] + s["step"]).alias("at"), F.array_append(a["kept"], s["i"]).alias("kept"))).otherwise(a), lambda a: a["kept"])
     kept = chunks.join(entered, ["video", "chunk"]).select("video", F.explode(walk).alias("at"), "chunk").select("video", (F.col("chunk") * chunk + F.col("at")).alias("i"))
     return frames.join(kept, ["video", "i"], "left_semi")
@@ -79,13 +121,23 @@ def last_rows(rows: DataFrame, key: str, order: str, most: int = 30) -> DataFram
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= most).drop("_n")
 
 
-def known_labels(boxes: DataFrame) -> DataFrame:
-    """``video, frame, known``: the labels seen on earlier frames, in order of first appearance."""
+def label_changes(boxes: DataFrame) -> DataFrame:
+    """``video, frame, pos, label``: each label of a video where it is first seen; no row for a label on any later frame."""
     first = boxes.where("label is not null").groupBy("video", "label").agg(F.min(F.struct("frame", "pos")).alias("first"))
-    frames = boxes.select("video", "frame").distinct()
-    # A label is handed to each later frame of its video: as many rows as the lists have entries.
-    told = frames.join(first, "video").where(F.col("first.frame") < F.col("frame")).groupBy("video", "frame").agg(F.array_sort(F.collect_list(F.struct("first", "label"))).alias("ordered"))
-    return frames.join(told, ["video", "frame"], "left").select("video", "frame", F.coalesce(F.transform("ordered", lambda x: x["label"]), F.array().cast("array<string>")).alias("known"))
+    return first.select("video", "first.frame", "first.pos", "label")
+
+
+def known_at(changes: DataFrame, frames: DataFrame) -> DataFrame:
+    """``video, frame, known``: the labels seen before each of some ``frames``, in order of first appearance."""
+    asked = frames.select("video", "frame").distinct()
+    earlier = changes.select("video", F.struct("frame", "pos").alias("first"), "label")
+    told = asked.join(earlier, "video").where(F.col("first.frame") < F.col("frame")).groupBy("video", "frame").agg(F.array_sort(F.collect_list(F.struct("first", "label"))).alias("ordered"))
+    return asked.join(told, ["video", "frame"], "left").select("video", "frame", F.coalesce(F.transform("ordered", lambda x: x["label"]), F.array().cast("array<string>")).alias("known"))
+
+
+def known_labels(boxes: DataFrame) -> DataFrame:
+    """``known_at`` for every frame that has boxes: as many entries as frames times labels; ``label_changes`` says the same in as many rows as labels."""
+    return known_at(label_changes(boxes), boxes)
 
 
 def quiet_stops(verdicts: DataFrame, quiet: int = 2, group: tuple[str, ...] = ("video",)) -> DataFrame:

@@ -168,10 +168,10 @@ def anchors_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.anchors(adapters.blocks(spark, sf_dir))
 
 
-@query("global_anchors", f"WITH {_B}, {_ANCHOR} SELECT video, key, arg_min(text, frame) AS text, array_to_string(list_sort(list(DISTINCT frame)), ',') AS seen_on FROM anchors GROUP BY video, key HAVING count(DISTINCT frame) >= 2")
+@query("global_anchors", f"WITH {_B}, {_ANCHOR} SELECT video, key, arg_min(text, frame) AS text, array_to_string(list_sort(list(DISTINCT frame)), ',') AS seen_on FROM anchors GROUP BY video, key")
 def global_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.global_anchors(detect.anchors(adapters.blocks(spark, sf_dir)))
-    return found.where(F.size("seen_on") >= 2).select("video", "key", "text", F.array_join(F.transform("seen_on", lambda x: x.cast("string")), ",").alias("seen_on"))
+    return found.select("video", "key", "text", F.array_join(F.transform("seen_on", lambda x: x.cast("string")), ",").alias("seen_on"))
 
 
 @query(
@@ -354,6 +354,22 @@ def validate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.validated(first.unionAll(later), hits)
 
 
+@query(
+    "link_step",
+    f"""WITH RECURSIVE {_H}, {_CAND}, {_GREEDY}, d AS (SELECT video, frame, pos AS b_index, event_id AS seq, CAST(event_id % 4 AS INT) AS a_index FROM hit WHERE frame % 3 <> 0 AND event_id % 11 <> 0),
+f AS (SELECT h.video, h.frame, count(p.frame) > 0 AS follows, bool_or(d.frame IS NOT NULL) AS decided FROM (SELECT DISTINCT video, frame FROM hit) h LEFT JOIN (SELECT DISTINCT video, frame FROM hit) p ON p.video = h.video AND p.frame = h.frame - 1 LEFT JOIN (SELECT DISTINCT video, frame FROM d) d ON d.video = h.video AND d.frame = h.frame GROUP BY h.video, h.frame),
+p AS (SELECT b.video, b.frame, b.pos AS b_index, CASE WHEN a.x IS NOT NULL THEN d.a_index END AS a_index, CASE WHEN a.x IS NOT NULL THEN 0.7::DOUBLE * {_iou("a.", "b.")} + 0.3::DOUBLE * CASE WHEN a.text = b.text THEN 1 ELSE 0 END END AS score
+  FROM hit b LEFT JOIN d ON d.video = b.video AND d.frame = b.frame AND d.b_index = b.pos LEFT JOIN hit a ON a.video = b.video AND a.frame = b.frame - 1 AND a.pos = d.a_index),
+r AS (SELECT *, row_number() OVER (PARTITION BY video, frame, a_index ORDER BY score DESC NULLS LAST, b_index) AS n FROM p)
+SELECT h.video, h.frame, h.pos AS b_index, CASE WHEN NOT f.follows THEN NULL WHEN f.decided THEN CASE WHEN r.n = 1 THEN r.a_index END ELSE CAST(k.a AS INT) END AS a_index, CASE WHEN NOT f.follows THEN 'new' WHEN f.decided THEN 'decided' ELSE 'fallback' END AS how
+FROM hit h JOIN f USING (video, frame) JOIN r ON r.video = h.video AND r.frame = h.frame AND r.b_index = h.pos LEFT JOIN links k ON k.video = h.video AND k.frame = h.frame AND k.b = h.pos""",
+)
+def link_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = adapters.hits(spark, sf_dir)
+    decisions = hits.where("frame % 3 <> 0 AND event_id % 11 <> 0").select("video", "frame", F.col("pos").alias("b_index"), F.col("event_id").alias("pos"), (F.col("event_id") % 4).cast("int").alias("a_index"))
+    return link.linked(hits, decisions)
+
+
 _TRACK = """chain AS (SELECT h.video, h.frame, h.pos, h.frame AS rf, h.pos AS rp FROM hit h WHERE NOT EXISTS (SELECT 1 FROM links k WHERE k.video = h.video AND k.frame = h.frame AND k.b = h.pos)
 UNION ALL SELECT k.video, k.frame, k.b, c.rf, c.rp FROM chain c JOIN links k ON k.video = c.video AND k.frame = c.frame + 1 AND k.a = c.pos),
 track AS (SELECT video, frame, pos, CAST(dense_rank() OVER (PARTITION BY video ORDER BY rf, rp) AS INT) - 1 AS n FROM chain)"""
@@ -475,9 +491,27 @@ UNION ALL SELECT video, CASE WHEN half = 0 THEN lo ELSE CAST(floor((lo + hi) / 2
 SELECT video, lo, hi, CAST(floor((lo + hi) / 2) AS INT) AS mid, depth FROM ask WHERE depth < 5 AND hi - lo > 1 AND (lo * 31 + hi * 17 + video) % 5 < 3""",
 )
 def gap_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bisected(spark, sf_dir).drop("reason")
+
+
+def _bisected(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = gaps.neighbours(adapters.hits(spark, sf_dir).select("video", "frame").distinct()).select("video", (F.col("a") * 7).alias("lo"), (F.col("b") * 7).alias("hi"))
     fires = lambda rows: rows.withColumn("reason", F.when((F.col("lo") * 31 + F.col("hi") * 17 + F.col("video")) % 5 < 3, "move"))
-    return gaps.bisected(pairs, fires).drop("reason")
+    return gaps.bisected(pairs, fires)
+
+
+@query(
+    "gap_budget",
+    f"""WITH RECURSIVE {_H}, {_PAIR}, kept AS (SELECT video, count(DISTINCT frame) AS n FROM hit GROUP BY video),
+ask AS (SELECT video, a * 7 AS lo, b * 7 AS hi, 0 AS depth, CAST(NULL AS INT) AS plo, CAST(NULL AS INT) AS phi FROM gap
+UNION ALL SELECT video, CASE WHEN half = 0 THEN lo ELSE CAST(floor((lo + hi) / 2) AS INT) END, CASE WHEN half = 0 THEN CAST(floor((lo + hi) / 2) AS INT) ELSE hi END, depth + 1, lo, hi FROM ask, (SELECT unnest([0, 1]) AS half) WHERE depth < 5 AND hi - lo > 1 AND (lo * 31 + hi * 17 + video) % 5 < 3),
+fired AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY lo, hi DESC) <= floor(n * 0.3::DOUBLE) AS fits FROM ask JOIN kept USING (video) WHERE depth < 5 AND hi - lo > 1 AND (lo * 31 + hi * 17 + video) % 5 < 3)
+SELECT f.video, f.lo, f.hi, CAST(floor((f.lo + f.hi) / 2) AS INT) AS mid, f.depth, CASE WHEN f.fits THEN 'inserted' ELSE 'budget' END AS outcome
+FROM fired f LEFT JOIN fired p ON p.video = f.video AND p.lo = f.plo AND p.hi = f.phi WHERE f.fits OR f.plo IS NULL OR p.fits""",
+)
+def gap_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = adapters.hits(spark, sf_dir).groupBy("video").agg(F.count_distinct("frame").alias("n"))
+    return gaps.budgeted(_bisected(spark, sf_dir), kept, 0.3).drop("reason")
 
 
 # Export --------------------------------------------------------------------------------
@@ -525,9 +559,9 @@ _PRICE = "price AS (SELECT * FROM (VALUES ('small', 0.5::DOUBLE, 3.0::DOUBLE, NU
 
 @query(
     "usage_cost",
-    f"""WITH {_PRICE}, u AS ({USAGE_SQL}), s AS (SELECT run, model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) AS calls FROM u GROUP BY run, model),
+    f"""WITH {_PRICE}, u AS ({USAGE_SQL}), s AS (SELECT run, model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(coalesce(sum(reasoning_tokens), 0) AS BIGINT) AS reasoning_tokens, CAST(coalesce(sum(cached_tokens), 0) AS BIGINT) AS cached_tokens, count(*) AS calls FROM u GROUP BY run, model),
 o AS (SELECT s.*, price.* EXCLUDE (model), coalesce(threshold IS NOT NULL AND input_tokens::DOUBLE / calls > threshold, FALSE) AS over FROM s LEFT JOIN price USING (model))
-SELECT run, model, input_tokens, output_tokens, calls, CASE WHEN over THEN 'over' ELSE 'standard' END AS tier, coalesce(input_tokens / 1e6::DOUBLE * CASE WHEN over THEN over_input ELSE input END, 0) AS input_usd, coalesce(output_tokens / 1e6::DOUBLE * CASE WHEN over THEN over_output ELSE output END, 0) AS output_usd FROM o""",
+SELECT run, model, input_tokens, output_tokens, reasoning_tokens, cached_tokens, calls, CASE WHEN over THEN 'over' ELSE 'standard' END AS tier, coalesce(input_tokens / 1e6::DOUBLE * CASE WHEN over THEN over_input ELSE input END, 0) AS input_usd, coalesce(output_tokens / 1e6::DOUBLE * CASE WHEN over THEN over_output ELSE output END, 0) AS output_usd FROM o""",
 )
 def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = metrics.usage_totals(adapters.usage(spark, sf_dir), "run", "model")
@@ -664,24 +698,43 @@ def prompt_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.recovered(seeds, words, boxes).select("video", "frame", "instance", "direction", "text", "step")
 
 
-@query(
-    "cascade_chains",
-    f"""WITH RECURSIVE {_S}, v AS (SELECT video, CAST(i // 8 AS INT) AS seed, i % 8 AS step, hash % 7 <> 0 AS visible, hash % 3 AS changes FROM seq),
+_CHAIN = f"""{_S}, v AS (SELECT video, CAST(i // 8 AS INT) AS seed, i % 8 AS step, hash % 7 <> 0 AS visible, hash % 3 AS changes FROM seq),
 c AS (SELECT *, visible AND changes = 0 AS calm, sum(CASE WHEN visible AND changes = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY video, seed ORDER BY step) AS block FROM v),
 k AS (SELECT *, sum(CAST(calm AS INT)) OVER (PARTITION BY video, seed, block ORDER BY step) AS streak FROM c),
 e AS (SELECT video, seed, coalesce(min(CASE WHEN NOT visible OR streak >= 2 THEN step END), max(step)) + 1 AS steps, coalesce(arg_min(CASE WHEN NOT visible THEN 'gone' WHEN streak >= 2 THEN 'quiet' END, step) FILTER (NOT visible OR streak >= 2), 'end') AS why FROM k GROUP BY video, seed),
-s AS (SELECT *, seed % 2 = 0 AS fwd, seed * 3 + 1 AS focus, row_number() OVER (PARTITION BY video, seed % 2 ORDER BY seed) AS n FROM e WHERE seed < 300),
+s AS (SELECT *, seed % 2 = 0 AS fwd, seed * 3 + 1 AS focus, row_number() OVER (PARTITION BY video, seed % 2 ORDER BY seed) AS n FROM e),
 walk AS (SELECT video, fwd, CAST(0 AS BIGINT) AS n, CAST(NULL AS INT) AS seed, CAST([] AS INT[]) AS claimed, CAST(0 AS BIGINT) AS taken, '' AS why FROM (SELECT DISTINCT video, fwd FROM s)
-UNION ALL SELECT s.video, s.fwd, s.n, s.seed, list_concat(w.claimed, CAST(list_transform(range(0, t.taken), lambda q: s.focus + CASE WHEN s.fwd THEN q ELSE -q END) AS INT[])), t.taken, CASE WHEN t.taken = s.steps THEN s.why ELSE 'claimed' END
+UNION ALL SELECT s.video, s.fwd, s.n, s.seed, list_concat(w.claimed, CAST(list_transform(range(0, t.taken), lambda q: s.focus + CASE WHEN s.fwd THEN q ELSE -q END) AS INT[])), t.taken, CASE WHEN t.taken = s.steps THEN s.why WHEN s.focus + CASE WHEN s.fwd THEN t.taken ELSE -t.taken END NOT BETWEEN 1 AND 30 THEN 'range' ELSE 'claimed' END
   FROM walk w JOIN s ON s.video = w.video AND s.fwd = w.fwd AND s.n = w.n + 1,
-  LATERAL (SELECT CAST(coalesce(list_min(list_filter(range(0, s.steps), lambda q: list_contains(w.claimed, CAST(s.focus + CASE WHEN s.fwd THEN q ELSE -q END AS INT)) OR s.focus + CASE WHEN s.fwd THEN q ELSE -q END NOT BETWEEN 1 AND 30)), s.steps) AS BIGINT) AS taken) t)
-SELECT video, '' AS scope, CASE WHEN fwd THEN 'forward' ELSE 'back' END AS direction, seed, CAST(taken AS INT) AS steps, why FROM walk WHERE n > 0""",
+  LATERAL (SELECT CAST(coalesce(list_min(list_filter(range(0, s.steps), lambda q: list_contains(w.claimed, CAST(s.focus + CASE WHEN s.fwd THEN q ELSE -q END AS INT)) OR s.focus + CASE WHEN s.fwd THEN q ELSE -q END NOT BETWEEN 1 AND 30)), s.steps) AS BIGINT) AS taken) t),
+summed AS (SELECT *, CAST(sum(taken) OVER (PARTITION BY video ORDER BY seed) AS BIGINT) - taken AS before FROM walk WHERE n > 0)"""
+
+
+@query(
+    "cascade_chains",
+    f"""WITH RECURSIVE {_CHAIN}
+SELECT video, '' AS scope, CASE WHEN fwd THEN 'forward' ELSE 'back' END AS direction, seed, CAST(least(taken, 300 - before) AS INT) AS steps,
+  CASE WHEN before + taken > 300 OR before + taken = 300 AND why IN ('claimed', 'range', 'end') THEN 'max_agents_global' ELSE why END AS why FROM summed WHERE before < 300""",
 )
 def cascade_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.chains(*_chained(spark, sf_dir))
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = adapters.sequence(spark, sf_dir)
     verdicts = rows.select("video", F.expr("cast(i div 8 as int)").alias("seed"), (F.col("i") % 8).alias("step"), F.expr("hash % 7 <> 0").alias("visible"), F.expr("cast(hash % 3 as int)").alias("changes"))
     seeds = verdicts.select("video", "seed").distinct().select("video", "seed", F.when(F.col("seed") % 2 == 0, "forward").otherwise("back").alias("direction"), (F.col("seed") * 3 + 1).alias("first_focus"), F.lit(1).alias("low"), F.lit(30).alias("high"))
-    return cascade.chains(seeds, verdicts)
+    return seeds, verdicts
+
+
+@query(
+    "cascade_budget",
+    f"""WITH RECURSIVE {_CHAIN}
+SELECT video, seed, CAST(least(taken, 9 - before) AS INT) AS steps,
+  CASE WHEN before + taken > 9 OR before + taken = 9 AND why IN ('claimed', 'range', 'end') THEN 'max_agents_global' ELSE why END AS why FROM summed WHERE before < 9""",
+)
+def cascade_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.chains(*_chained(spark, sf_dir), most=9).select("video", "seed", "steps", "why")
 
 
 @query("backtrack_edit")
@@ -751,16 +804,23 @@ def scene_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.scene_notes(blocks.select("video", "frame"), found, detect.global_anchors(found))
 
 
+def _fixed(x: str, places: int) -> str:
+    """The exact binary value rounded; of two decimals as near, the larger (``printf`` takes the even one)."""
+    odd = f"{x} * {2 ** (places + 1)}"
+    return f"CASE WHEN {odd} = floor({odd}) AND CAST(floor({odd}) AS HUGEINT) % 2 = 1 THEN printf('%.{places}f', {x} + {10.0 ** -(places + 2)!r}::DOUBLE) ELSE printf('%.{places}f', {x}) END"
+
+
 @query(
     "formats",
-    """WITH v AS (SELECT event_id, value, CAST(event_id * event_id * event_id AS BIGINT) AS n, ln(value + 2) / CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END AS usd FROM events)
-SELECT event_id, CASE WHEN usd = 0 THEN '$0.00' WHEN usd < 0.0001 THEN printf('$%.8f', usd) WHEN usd < 0.01 THEN printf('$%.6f', usd) WHEN usd < 1 THEN printf('$%.4f', usd) ELSE printf('$%.2f', usd) END AS usd,
- CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS bytes FROM v""",
+    f"""WITH v AS (SELECT event_id, value, CAST(event_id * event_id * event_id AS BIGINT) AS n, value / CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END AS usd FROM events)
+SELECT event_id, '$' || CASE WHEN usd = 0 THEN '0.00' WHEN usd < 0.0001 THEN {_fixed("usd", 8)} WHEN usd < 0.01 THEN {_fixed("usd", 6)} WHEN usd < 1 THEN {_fixed("usd", 4)} ELSE {_fixed("usd", 2)} END AS usd,
+ CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN {_fixed("(n / 1024.0::DOUBLE)", 1)} || ' KB' ELSE {_fixed("(n / 1048576.0::DOUBLE)", 1)} || ' MB' END AS bytes,
+ CASE WHEN n < 1000 THEN n || '' WHEN n < 1000000 THEN {_fixed("(n / 1000.0::DOUBLE)", 1)} || 'k' ELSE {_fixed("(n / 1000000.0::DOUBLE)", 2)} || 'M' END AS tokens FROM v""",
 )
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cost = F.ln(F.col("value") + 2) / F.expr("CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END")
+    cost = F.col("value") / F.expr("CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END")
     cube = F.col("event_id") * F.col("event_id") * F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", t.dollars(cost).alias("usd"), t.short_bytes(cube).alias("bytes"))
+    return table(spark, sf_dir, "events").select("event_id", t.dollars(cost).alias("usd"), t.short_bytes(cube).alias("bytes"), t.short_count(cube).alias("tokens"))
 
 
 # What the engine can't say in SQL -------------------------------------------------------
@@ -854,10 +914,19 @@ def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.known_labels(adapters.hits(spark, sf_dir).withColumn("label", F.col("text"))).select("video", "frame", F.array_join("known", ",").alias("known"))
 
 
+@query(
+    "label_changes",
+    f"""WITH {_H}, f AS (SELECT video, text AS label, min(frame * 100000 + pos) AS first FROM hit GROUP BY video, text)
+SELECT video, CAST(first // 100000 AS INT) AS frame, CAST(first % 100000 AS INT) AS pos, label FROM f""",
+)
+def label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.label_changes(adapters.hits(spark, sf_dir).withColumn("label", F.col("text")))
+
+
 @query(
     "run_totals",
-    f"WITH {_S} SELECT video, count(DISTINCT i // 8) AS agents, count(*) AS steps, CAST(sum(hash % 3) AS BIGINT) AS added, CAST(sum(hash % 2) AS BIGINT) AS removed FROM seq GROUP BY video",
+    f"WITH {_S} SELECT video, count(DISTINCT i // 8) AS transitions, count(*) AS agents, CAST(sum(1 + hash % 4) AS BIGINT) AS steps, CAST(sum(hash % 3) AS BIGINT) AS added, CAST(sum(hash % 2) AS BIGINT) AS removed FROM seq GROUP BY video",
 )
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = adapters.sequence(spark, sf_dir).selectExpr("video", "i div 8 as seed", "i % 8 as step", "hash % 3 as added", "hash % 2 as removed")
+    steps = adapters.sequence(spark, sf_dir).selectExpr("video", "i div 8 as seed", "i % 8 as step", "1 + hash % 4 as model_steps", "hash % 3 as added", "hash % 2 as removed")
     return metrics.chain_totals(steps)

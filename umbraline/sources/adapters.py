@@ -80,7 +80,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 USAGE_SQL = """
 SELECT CAST(user_id AS BIGINT) AS run, event_id AS seq, event_type AS phase,
        CASE event_type WHEN 'click' THEN 'large' WHEN 'view' THEN 'small' WHEN 'purchase' THEN 'medium' ELSE 'unknown' END AS model,
-       CAST(floor(value * 10000) AS BIGINT) AS input_tokens, CAST(floor(value * 10) AS BIGINT) AS output_tokens
+       CAST(floor(value * 10000) AS BIGINT) AS input_tokens, CAST(floor(value * 10) AS BIGINT) AS output_tokens,
+       CASE WHEN event_id % 3 > 0 THEN CAST(floor(value * 4) AS BIGINT) END AS reasoning_tokens, CASE WHEN event_id % 5 > 0 THEN CAST(floor(value * 700) AS BIGINT) END AS cached_tokens
 FROM events"""
 
 
