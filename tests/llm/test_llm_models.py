@@ -123,12 +123,21 @@ def test_long_texts_are_read_in_parts(monkeypatch):
     whole = field.predict([text, "das haus"])
     monkeypatch.setattr(language, "PART", 100)
     parts = field.predict([text, "das haus"])
-    assert [x[0] for x in parts] == [x[0] for x in whole] == ["en", "de"] and abs(parts[0][1] - whole[0][1]) < 0.05
+    assert [x[0] for x in parts] == [x[0] for x in whole] == ["en", "de"] and abs(parts[0][1] - whole[0][1]) < 1e-12
+    odd = ["x" * 350 + " the house", "İstanbul ΑΣ.Σ das haus " * 30, ", . " * 100, "word" + "\n" * 300 + "garten", ("the house " * 9 + "das haus ") * 12]
+    for most in (1, 7, 64, 10_000):
+        monkeypatch.setattr(language, "PART", most)
+        now = field.predict(odd)
+        monkeypatch.setattr(language, "PART", 1 << 20)
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-12 for a, b in zip(now, field.predict(odd), strict=True))
     model = line_quality.train(["a good line\nand more of it\n" * 3, "!!! $$$ BUY\n" * 5], [1, 0])
     lines = "a good line\nand more of it\n" * 30 + "!!! $$$ BUY\n" * 3
-    before = model.score([lines, ""])
-    monkeypatch.setattr(line_quality, "PART", 120)
-    assert abs(model.score([lines, ""]) - before).max() < 0.1
+    texts = [lines, "", "a good line\n" * 40, "\n" * 150, "one line only " * 30, lines + "\n\n" + lines]
+    before = model.score(texts)
+    for most, run in ((120, 1 << 15), (1, 1), (30, 7), (90, 2)):
+        monkeypatch.setattr(line_quality, "PART", most)
+        monkeypatch.setattr(line_quality, "RUN", run)
+        assert abs(model.score(texts) - before).max() < 1e-12
 
 
 def test_quality_of_odd_rows(spark, documents, nothing):

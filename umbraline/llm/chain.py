@@ -9,6 +9,8 @@ the blocks are filled in, again for all blocks together.  The result is exact.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
 BLOCK = 32
@@ -18,11 +20,13 @@ def _norm(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(x.sum(-1, keepdims=True), 1e-300)
 
 
-def messages(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def messages(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward and backward messages, and the emission factors, for each step.
 
     emission (n, k) and transition (k, k) are log-potentials; lengths are those of the
-    sequences, all at least 1.  Both messages are normalised at each step.
+    sequences, all at least 1.  Both messages are normalised at each step.  A single sequence
+    may be a piece of a longer one: ``before`` is the forward message of the step before it, and
+    ``after`` the backward message of its last step.
     """
     n, k = emission.shape
     factor = np.exp(emission - emission.max(1, keepdims=True))
@@ -41,7 +45,8 @@ def messages(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
     e[real] = factor[place[real]]
     # Products of the step matrices of each block; the first step of a sequence has no transition.
     product = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-    product[rank > 0] = product[rank > 0] @ t
+    linked = rank > 0 if before is None else np.ones(total, bool)
+    product[linked] = product[linked] @ t
     product *= e[:, 0][:, None, :]
     for i in range(1, BLOCK):
         on = np.flatnonzero(real[:, i])
@@ -51,6 +56,10 @@ def messages(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
         product[on] = step / step.sum((1, 2), keepdims=True)
     # Messages at the borders of the blocks, rank by rank.
     into, back = np.ones((total, k)), np.ones((total, k))
+    if before is not None:
+        into[0] = before
+    if after is not None:
+        back[-1] = after
     order = np.argsort(rank, kind="stable")
     bounds = np.searchsorted(rank[order], np.arange(int(blocks.max(initial=0)) + 1))
     last = rank == np.repeat(blocks, blocks) - 1
@@ -63,7 +72,7 @@ def messages(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
         back[own - 1] = _norm((product[own] @ back[own][:, :, None])[:, :, 0])
     # Inside the blocks.
     alpha, beta = np.empty((total, BLOCK, k)), np.ones((total, BLOCK, k))
-    a = np.where((rank > 0)[:, None], into @ t, into) * e[:, 0]
+    a = np.where(linked[:, None], into @ t, into) * e[:, 0]
     alpha[:, 0] = a = _norm(a)
     for i in range(1, BLOCK):
         a = np.where(real[:, i][:, None], _norm((a @ t) * e[:, i]), a)
@@ -83,6 +92,27 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray)
     return _norm(alpha * beta)
 
 
+def marginals_in_pieces(piece: Callable[[int], np.ndarray], n: int, transition: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """``marginals`` of one sequence whose emissions come in ``n`` pieces, from the last piece to the first.
+
+    ``piece(j)`` gives the emissions of the j-th (perhaps of no steps), and is asked twice.  Messages
+    at the borders are handed on, so the result is that of the whole sequence, and no more than
+    one piece is held at once.
+    """
+    t = np.exp(transition - transition.max())
+    before: list[np.ndarray | None] = [None]
+    for j in range(n):
+        emission = piece(j)
+        before.append(messages(emission, [len(emission)], transition, before[-1])[0][-1] if len(emission) else before[-1])
+    after = None
+    for j in range(n - 1, -1, -1):
+        emission = piece(j)
+        if len(emission):
+            alpha, beta, factor = messages(emission, [len(emission)], transition, before[j], after)
+            yield j, _norm(alpha * beta)
+            after = _norm((factor[0] * beta[0]) @ t.T)
+
+
 def expectations(emission: np.ndarray, lengths: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Label marginals of all steps, and expected transition counts over all sequences."""
     alpha, beta, factor = messages(emission, lengths, transition)

@@ -101,17 +101,6 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start)
 
 
-def text_parts(text: str, most: int, breaks: str) -> Iterator[str]:
-    """The text in parts of up to ``most`` characters that end with one of ``breaks`` where they can."""
-    start = 0
-    while len(text) - start > most:
-        end = max(text.rfind(c, start, start + most) for c in breaks) + 1
-        end = end if end > start else start + most
-        yield text[start:end]
-        start = end
-    yield text[start:]
-
-
 def text_slices(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of up to ``most`` characters in all, or of one longer text."""
     start, held = 0, 0

@@ -4,8 +4,9 @@ Every word is a step of the chain, labelled with a language.  Its score for a la
 sums learned weights of its character n-grams, its affixes and, for frequent words, its
 own lexicon entry; learned transitions say how often text switches.  Forward-backward
 gives each word's probabilities, so a text may change language half-way; the text's
-language is the one with most of the (length-weighted) probability.  A very long text is
-read in parts of up to ``PART`` characters, each a chain of its own, and their sums added up.
+language is the one with most of the (length-weighted) probability.  A text
+of more than ``PART`` characters is read in pieces, between which the chain's messages are handed
+on: it is one chain, and its length changes nothing but what is held at once.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chain import Adam, expectations, marginals
-from .common import held_out, narrowed, slices, text_parts, text_slices
+from .chain import Adam, expectations, marginals, marginals_in_pieces
+from .common import held_out, narrowed, slices, text_slices
 
 BUCKETS = 1 << 15
-#: Characters of one chain at most.
+#: Characters of a text that are read at once, about.
 PART = 1 << 20
 UNKNOWN = "und"
 #: Multipliers of the n-gram hash (odd, from the fractional bits of square roots of primes).
@@ -119,12 +120,26 @@ class LanguageField:
             out[has] = np.add.reduceat(p, np.concatenate([[0], np.cumsum(w.per_text[has])[:-1]]), axis=0)
         return out
 
+    def long_mass(self, text: str) -> np.ndarray:
+        """``mass`` of one text, in pieces that end with no letter inside a word."""
+        low, ends = text.lower(), [0]
+        while ends[-1] < len(low):
+            end = ends[-1] + PART
+            while end < len(low) and low[end].isalpha():
+                end += 1
+            ends.append(min(end, len(low)))
+        words = lambda j: words_of([low[ends[j] : ends[j + 1]]])
+        out = np.zeros(len(self.languages))
+        for j, p in marginals_in_pieces(lambda j: self.emission(words(j)), len(ends) - 1, self.transition):
+            out += (p * words(j).lengths[:, None]).sum(0)
+        return out
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         whole = [t or "" for t in texts]
         mass = self.mass([t if len(t) <= PART else "" for t in whole])
         for i, t in enumerate(whole):
             if len(t) > PART:
-                mass[i] = sum(self.mass([part])[0] for part in text_parts(t, PART, " \n\t.,"))
+                mass[i] = self.long_mass(t)
         out: list[tuple[str, float]] = []
         for row in mass:
             best, total = int(row.argmax()), row.sum()

@@ -12,8 +12,9 @@ line's label is expected from the model and from what the document's label says
 (``EVIDENCE``: all lines of a good document are good; those of a bad one rather bad than
 not), and so are the changes of label along a text, from which transitions are learned.
 
-A very long text is read in parts of whole lines of up to ``PART`` characters, each a chain
-of its own (a longer line is cut), and their sums added up.
+A text of more than ``PART`` characters is read some whole lines at a time, and the chain's
+messages are handed on between runs of lines: it is one chain, and its length changes
+nothing but what is held at once.
 """
 
 from __future__ import annotations
@@ -27,16 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chain import Adam, expectations, marginals
-from .common import held_out, narrowed, slices, text_parts, text_slices
+from .chain import Adam, expectations, marginals, marginals_in_pieces
+from .common import held_out, narrowed, slices, text_slices
 
 #: Bins of each feature; FEATURES names them in the order of the columns.
 BINS = 8
 FEATURES = ("words", "letters a word", "upper case", "digits", "symbols", "exclamation", "bars", "other marks", "repeats next", "repeats near", "distinct", "seen line", "first letter", "last mark")
 #: A document is predicted good from this score on.
 GOOD = 0.3
-#: Characters of one chain at most.
-PART = 1 << 20
+#: Characters of a text that are read at once, about (whole lines), and lines whose marginals are.
+PART, RUN = 1 << 20, 1 << 15
 #: Log-odds that a document's label (0, 1) lends to the same label of each of its lines.
 EVIDENCE = (0.6, 6.0)
 
@@ -58,8 +59,12 @@ def _spread(ratio: np.ndarray, top: float) -> np.ndarray:
     return np.where(ratio <= 0, 0, 1 + np.minimum(BINS - 2, (ratio / top * (BINS - 1)).astype(int)))
 
 
-def lines_of(texts: list[str]) -> Lines:
-    r"""Features of the \n-separated lines; an empty text has one empty line."""
+def lines_of(texts: list[str], earlier: set[tuple[int, int]] | None = None) -> Lines:
+    r"""Features of the \n-separated lines; an empty text has one empty line.
+
+    ``earlier`` holds lines (by content and size) of the text that a single piece goes on, and gets
+    those of the piece.
+    """
     raw = [t.encode("utf-8", "replace") for t in texts]
     b = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     ends = np.flatnonzero(b == 10)
@@ -100,6 +105,10 @@ def lines_of(texts: list[str]) -> Lines:
     ranked = np.lexsort((np.arange(n), size, content, text_of))
     seen = np.zeros(n, bool)
     seen[ranked[1:]] = (content[ranked][1:] == content[ranked][:-1]) & (text_of[ranked][1:] == text_of[ranked][:-1]) & (size[ranked][1:] == size[ranked][:-1]) & (words[ranked][1:] > 0)
+    if earlier is not None:
+        own = list(zip(content.tolist(), size.tolist(), strict=True))
+        seen |= np.fromiter((x in earlier for x in own), bool, n) & (words > 0)
+        earlier.update(x for x, w in zip(own, words.tolist(), strict=True) if w)
     some, any_word = np.maximum(visible, 1), np.maximum(words, 1)
     first = np.where(words > 0, cls[np.minimum(starts, len(b) - 1)], 0)
     last = np.where(size > 0, cls[np.maximum(ends - 1, 0)], 0)
@@ -150,6 +159,22 @@ class LineField:
         first = np.concatenate([[0], np.cumsum(lines.per_text)[:-1]])
         return np.stack([np.add.reduceat(lines.weight, first), np.add.reduceat(p * lines.weight, first)], 1)
 
+    def long_weighed(self, text: str) -> np.ndarray:
+        """``weighed`` of one text: features by pieces of whole lines, marginals by runs of lines."""
+        earlier, parts, start = set(), [], 0
+        while start <= len(text):
+            end = text.find("\n", start + PART)
+            end = len(text) if end < 0 else end
+            parts.append(lines_of([text[start:end]], earlier))
+            start = end + 1
+        bins, weight = (np.concatenate([getattr(p, name) for p in parts]) for name in ("bins", "weight"))
+        outside = np.full((1, bins.shape[1]), BINS, np.int8)
+        around = np.concatenate([outside, bins, outside])
+        runs = [(a, min(a + RUN, len(bins))) for a in range(0, len(bins), RUN)]
+        emission = lambda j: self.emission(np.stack([around[runs[j][0] + k : runs[j][1] + k] for k in (1, 0, 2)]))
+        good = sum(float(p[:, 1] @ weight[slice(*runs[j])]) for j, p in marginals_in_pieces(emission, len(runs), self.transition))
+        return np.array([weight.sum(), good])
+
     def sums(self, weighed: np.ndarray) -> np.ndarray:
         """Of each text: 1, the logit of its good share, and how many bytes are bad (log)."""
         total, good = weighed.T
@@ -163,7 +188,7 @@ class LineField:
         weighed = self.weighed(lines_of([t if len(t) <= PART else "" for t in whole]))
         for i, t in enumerate(whole):
             if len(t) > PART:
-                weighed[i] = sum(self.weighed(lines_of([part.removesuffix("\n")]))[0] for part in text_parts(t, PART, "\n"))
+                weighed[i] = self.long_weighed(t)
         return 1 / (1 + np.exp(-np.clip(self.sums(weighed) @ self.doc, -30, 30)))
 
 

@@ -11,20 +11,22 @@ generalised; if no more than ``REMOVE_BITS`` do, it is removed.
 What is protected is each entity's value and its class: the domain of an e-mail address, the
 network of an IP address, the issuer of a card, the area of a phone number.  Nearly every
 value stands in one document, so it is mostly classes that terms can give away.  Context is
-the whole text of a document that holds an entity, without its entities.  Pairs
-of an entity or class and a term are counted in documents (repeated rows once).  A pair of fewer than ``SUPPORT`` documents
-isn't left out; those it lacks are filled up with documents that hold the term, and the
-entity as often as the corpus does, so that one document alone discloses hardly anything.
+the whole text of a document that holds an entity, without its entities.
+
+Occurrences are counted in voices, not in documents: equal and near-equal texts say the same
+thing once.  Of documents that hold entities those whose terms overlap by ``SAME`` or more are
+one voice (found by bands of min-hashes and verified), and the one with the smallest digest
+speaks for it; all other documents with the same set of terms are one.  A pair that fewer than
+``SUPPORT`` voices hold is no evidence, whatever its ratio.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, let, narrowed
+from .common import cut, fresh, joined_to_unique, let, narrowed
+from .components import components
 
 # Kinds in order, and their patterns.  A match never starts inside the run of
 # characters that it could have started with, unless the match before ended there (\G);
@@ -40,11 +42,10 @@ TERM = "term"
 SUPPORT = 3
 GENERAL_BITS = 0.75
 REMOVE_BITS = 0.15
-#: Terms up to this many (some 60 bytes each) are sent to all workers; more are joined by shuffling.
-BROADCAST_TERMS = 100_000
-#: Documents with such terms are sent to the texts if they have up to this many terms in all
-#: (some 60 bytes each); beyond, texts are shuffled.
-BROADCAST_PAIRS = 200_000
+#: Share of terms that two documents of one voice have in common; bands and min-hashes of each that find them.
+SAME, BANDS, ROWS = 0.8, 8, 4
+#: Bytes of terms, and of documents with their terms, that are sent to all workers; more are joined by shuffling.
+BROADCAST_BYTES = 8 << 20
 #: Matches whose places are added up together.
 CHUNK = 256
 _WORD = r"\p{L}{4,}"
@@ -159,79 +160,82 @@ def base_spans(documents: DataFrame, beside: bool = False) -> DataFrame:
     return rows.select("doc_id", "content", "found", own.alias("own"), F.when(some, _words(_without(F.col("text"), F.col("found")))).otherwise(none).alias("terms"))
 
 
-def _words_of_all(documents: DataFrame) -> DataFrame:
-    rows = narrowed(documents, "doc_id", "text").where("text is not null")
-    return rows.select("doc_id", F.xxhash64("text").alias("content"), F.explode(_words(F.col("text"))).alias("term"))
+def voices(based: DataFrame) -> DataFrame:
+    """``content, voice`` of every different text that holds entities; a voice is the smallest ``content`` of its near copies."""
+    c = F.col
+    texts = cut(based.where(F.size("found") > 0).groupBy("content").agg(F.first("terms").alias("terms")))
+    lowest = lambda seed: F.array_min(F.transform("terms", lambda t: F.xxhash64(t, F.lit(seed))))
+    bands = F.array(*[F.xxhash64(F.lit(b), *[lowest(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+    banded = cut(texts.where(F.size("terms") > 0).select("content", F.explode(bands).alias("band")))
+    total = banded.count()
+    # Each text is compared with the smallest of every band that it is in.
+    firsts = cut(banded.groupBy("band").agg(F.min("content").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    links = cut(joined_to_unique(banded, firsts, "band", total).where("content <> first").select("content", "first").distinct())
+    of_first = cut(links.groupBy("first").agg(F.count("*").alias("n")).join(texts.select(c("content").alias("first"), c("terms").alias("theirs")), "first"))
+    both = joined_to_unique(links.join(texts, "content"), of_first, "first", links.count())
+    common = F.size(F.array_intersect("terms", "theirs"))
+    near = both.where(common >= SAME * (F.size("terms") + F.size("theirs") - common)).select(c("content").alias("u"), c("first").alias("v"))
+    roots = components(near).select(c("node").alias("content"), c("root").alias("voice"))
+    return cut(texts.select("content").join(roots, "content", "left").select("content", F.coalesce("voice", "content").alias("voice")))
+
+
+def _few(rows: DataFrame, size: Column) -> bool:
+    """Whether so many bytes may be sent to all workers."""
+    return (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def _documents_with(documents: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
-    """``doc_id, content, term`` for every document and each of the ``terms`` that it has; repeated rows count once."""
-    return _words_of_all(documents).join(F.broadcast(terms) if few else terms, "term").dropDuplicates(["doc_id", "content", "term"])
+    """``doc_id, content, words, term`` for every document and each of the ``terms`` that it has; ``words`` is a digest of all its terms."""
+    rows = narrowed(documents, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("content"), _words(F.col("text")).alias("all"))
+    words = rows.select("doc_id", "content", F.xxhash64(F.array_sort("all")).alias("words"), F.explode("all").alias("term"))
+    return words.join(F.broadcast(terms) if few else terms, "term").dropDuplicates(["doc_id", "content", "term"])
+
+
+def uncertain(both: Column, term: Column) -> Column:
+    """Bits of the entity that stay uncertain where the term is: ``both`` of its ``term`` voices have the entity."""
+    return F.greatest(F.lit(0.0), -F.log2(both / term))
 
 
-def candidate_pairs(based: DataFrame, n: int, support: int = SUPPORT, general_bits: float = GENERAL_BITS) -> DataFrame:
+def candidate_pairs(based: DataFrame, voice: DataFrame, support: int = SUPPORT, general_bits: float = GENERAL_BITS) -> DataFrame:
     """``entity, term, n_both, n_entity``: pairs that may disclose, as far as documents with entities can tell.
 
-    A term stands in at least the documents where it stands beside any entity, and a pair in
-    no more than the entity does; where these alone leave too much uncertain, the pair is
-    left out before pairs are counted, which can't change the result.  Equal texts are
-    counted as one with their number.
+    A term stands in at least the voices where it stands beside any entity, and a pair in no
+    more than the entity does; where these alone are too few or leave too much uncertain, the
+    pair is left out before pairs are counted, which can't change the result.
     """
     c = F.col
-    # All the uncertainty there can be: of `both` documents with the pair among `term` with the term.
-    holding = cut(based.where(F.size("found") > 0).select("doc_id", "content", "own", "terms").dropDuplicates(["doc_id", "content"]).groupBy("content").agg(F.first("own").alias("own"), F.first("terms").alias("terms"), F.count("*").alias("weight")))
-    own = holding.select(F.explode("own").alias("entity"), "weight").groupBy("entity").agg(F.sum("weight").alias("n_entity"))
-    beside = holding.select(F.explode("terms").alias("term"), "weight").groupBy("term").agg(F.sum("weight").alias("n_beside"))
-    # No pair passes whose entity or term alone stands in so few documents that it couldn't.
-    common = own.agg(F.max("n_entity")).first()[0] or 0
-    fits = [k for k in range(1, support + 1) if _uncertain_of(k, k, common / max(n, 1), support) <= general_bits]
-    fewest = fits[0] if fits else support
-    entities = holding.select("content", F.explode("own").alias("entity")).join(own.where(c("n_entity") >= fewest), "entity").groupBy("content").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
-    each = holding.select("content", "weight", "terms").join(entities, "content").select("weight", "entities", F.explode("terms").alias("term"))
-    known = each.join(beside.where(c("n_beside") >= fewest), "term")
-    may = F.filter("entities", lambda e: uncertain(F.least(e["n_entity"], c("n_beside")), c("n_beside"), e["n_entity"] / F.lit(n), support) <= general_bits)
-    pairs = known.select("term", "weight", "n_beside", F.explode(may).alias("e")).groupBy("e.entity", "term").agg(F.sum("weight").alias("n_both"), F.first("n_beside").alias("n_beside"), F.first("e.n_entity").alias("n_entity"))
-    return pairs.where(uncertain(c("n_both"), c("n_beside"), c("n_entity") / F.lit(n), support) <= general_bits).drop("n_beside")
-
-
-def uncertain(both: Column, term: Column, rate: Column, support: int) -> Column:
-    """Bits of the entity that stay uncertain: of ``term`` documents ``both`` have it, filled up to ``support`` at its general rate."""
-    lacking = F.greatest(F.lit(0), support - both)
-    return F.greatest(F.lit(0.0), -F.log2((both + lacking * rate) / (term + lacking)))
-
-
-def _uncertain_of(both: int, term: int, rate: float, support: int) -> float:
-    lacking = max(0, support - both)
-    return max(0.0, -math.log2((both + lacking * rate) / (term + lacking)))
-
-
-def disclosing_terms(documents: DataFrame, based: DataFrame, support: int = SUPPORT, general_bits: float = GENERAL_BITS, remove_bits: float = REMOVE_BITS) -> tuple[DataFrame, DataFrame | None]:
+    speaking = voice.where("content = voice").select("content")
+    holding = cut(based.where(F.size("found") > 0).groupBy("content").agg(F.first("own").alias("own"), F.first("terms").alias("terms")).join(speaking, "content"))
+    own = holding.select(F.explode("own").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    beside = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
+    entities = holding.select("content", F.explode("own").alias("entity")).join(own.where(c("n_entity") >= support), "entity").groupBy("content").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    each = holding.select("content", "terms").join(entities, "content").select("entities", F.explode("terms").alias("term"))
+    known = each.join(beside.where(c("n_beside") >= support), "term")
+    may = F.filter("entities", lambda e: uncertain(F.least(e["n_entity"], c("n_beside")), c("n_beside")) <= general_bits)
+    pairs = known.select("term", "n_beside", F.explode(may).alias("e")).groupBy("e.entity", "term").agg(F.count("*").alias("n_both"), F.first("n_beside").alias("n_beside"), F.first("e.n_entity").alias("n_entity"))
+    return pairs.where((c("n_both") >= support) & (uncertain(c("n_both"), c("n_beside")) <= general_bits)).drop("n_beside")
+
+
+def disclosing_terms(documents: DataFrame, based: DataFrame, support: int = SUPPORT, general_bits: float = GENERAL_BITS, remove_bits: float = REMOVE_BITS) -> tuple[DataFrame, DataFrame]:
     """``term, removed, bits``: terms that disclose an entity, and how uncertain they leave it at most.
 
     ``based`` is ``base_spans(documents, beside=True)``.  The second table has ``doc_id, content,
-    term`` of the documents that hold them, if it was small enough to be gathered on the way.
+    term`` of the documents that hold candidates for such terms.
     """
     c = F.col
-    n = based.select("doc_id", "content").distinct().count()
-    together = cut(candidate_pairs(based, n, support, general_bits))
+    voice = voices(based)
+    together = cut(candidate_pairs(based, voice, support, general_bits))
     candidates = cut(together.select("term").distinct())
-    size = candidates.count()
-    if size == 0:
-        return candidates.selectExpr("term", "false removed", "cast(0 as double) bits"), None
-    held = None
-    if size <= BROADCAST_TERMS:
-        held = cut(_documents_with(documents, candidates, True))
-        n_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    else:  # counted before they are joined: far fewer rows move
-        words = _words_of_all(documents)
-        again = narrowed(documents, "doc_id", "text").groupBy("doc_id", F.xxhash64("text").alias("content")).count().where("count > 1").select("doc_id", "content", (F.col("count") - 1).alias("extra"))
-        n_term = words.groupBy("term").agg(F.count("*").alias("n_rows")).join(candidates, "term")
-        extra = words.join(again, ["doc_id", "content"]).dropDuplicates(["doc_id", "content", "term"]).groupBy("term").agg(F.sum("extra").alias("extra"))
-        n_term = n_term.join(extra, "term", "left").select("term", (c("n_rows") - F.coalesce("extra", F.lit(0))).alias("n_term"))
-    rate = c("n_entity") / F.lit(n)
-    scored = together.join(n_term, "term").select("term", uncertain(c("n_both"), c("n_term"), rate, support).alias("bits"), (-F.log2(rate)).alias("ic")).where((c("bits") <= general_bits) & (c("ic") > general_bits))
+    if not candidates.limit(1).count():
+        none = candidates.selectExpr("term", "false removed", "cast(0 as double) bits")
+        return none, narrowed(documents, "doc_id").where(F.lit(False)).selectExpr("doc_id", "cast(0 as long) content", "'' term")
+    n = based.select("content").distinct().count()
+    held = cut(_documents_with(documents, candidates, _few(candidates, F.octet_length("term") + 40)))
+    said = held.join(voice, "content", "left").select("term", F.coalesce("voice", "words").alias("voice")).distinct()
+    n_term = said.groupBy("term").agg(F.count("*").alias("n_term"))
+    scored = together.join(n_term, "term").select("term", uncertain(c("n_both"), c("n_term")).alias("bits"), (-F.log2(c("n_entity") / F.lit(n))).alias("ic")).where((c("bits") <= general_bits) & (c("ic") > general_bits))
     terms = cut(scored.groupBy("term").agg((F.min("bits") <= remove_bits).alias("removed"), F.min("bits").alias("bits")))
-    return terms, held
+    return terms, held.select("doc_id", "content", "term")
 
 
 def find(documents: DataFrame, support: int = SUPPORT, general_bits: float = GENERAL_BITS, remove_bits: float = REMOVE_BITS) -> DataFrame:
@@ -244,14 +248,12 @@ def find(documents: DataFrame, support: int = SUPPORT, general_bits: float = GEN
     """
     based = cut(base_spans(documents, beside=True))
     terms, held = disclosing_terms(documents, based, support, general_bits, remove_bits)
-    size = terms.count()
     kind = "array<struct<start:int,end:int,value:string,removed:boolean>>"
-    if size == 0:
+    if not terms.limit(1).count():
         return based.select("doc_id", "content", "found", F.array().cast(kind).alias("added"))
-    few = size <= BROADCAST_TERMS
-    held = _documents_with(documents, terms.select("term"), few) if held is None else held
+    few = _few(terms, F.octet_length("term") + 40)
     holding = cut(held.join(F.broadcast(terms) if few else terms, "term").groupBy("doc_id", "content").agg(F.collect_set(F.struct("term", "removed")).alias("terms")).withColumnsRenamed({"doc_id": "_id", "content": "_of"}))
-    if (holding.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_PAIRS:
+    if _few(holding, F.aggregate("terms", F.lit(60), lambda a, t: a + F.octet_length(t["term"]) + 40)):
         holding = F.broadcast(holding)
     rows = narrowed(documents, "doc_id", "text").where("text is not null").withColumn("content", F.xxhash64("text"))
     texts = rows.join(holding, (F.col("content") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_of").dropDuplicates(["doc_id", "content"])

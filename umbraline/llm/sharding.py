@@ -5,11 +5,11 @@ of its own: its bytes in one shard, nothing in the others.  Differencing repeate
 the two partial partitions with the largest spread and adds one to the other in opposite
 order, the fullest shards to the emptiest, until one is left.
 
-Up to ``CHUNK`` groups are differenced together, each as a part of its own.  Of more groups,
-the heavy ones stay parts of their own and the others are added up by a hash of their text
-into a bounded number of bundles, each in one place.  No more groups can be heavy than there
-are bundles, so one step of bounded size differences all parts, whatever the input, and a
-heavy group is offset by as much as it takes.
+Heavy groups are parts of their own; the others are added up by a hash of their text into a
+fixed number of bundles, each in one place.  A group is heavy if it has more than a bundle's
+share of all bytes, so no more groups can be heavy than there are bundles: one step of bounded
+size differences all parts, by the same rule for every input, and a heavy group is offset by as
+much as it takes.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, joined_to_unique, narrowed
 
 SHARDS = 40
-#: Groups that are differenced singly, and bundles at least; bundles for each shard at least.
-CHUNK = 4_096
+#: Bundles for each shard.
 FAN = 256
 #: Rows that are numbered together, about.
 BIN_ROWS = 50_000
@@ -89,13 +88,10 @@ def group_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def balance(groups: DataFrame, shards: int = SHARDS, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+def balance(groups: DataFrame, shards: int = SHARDS, fan: int = FAN) -> DataFrame:
     """``group, shard`` (and ``n`` if it is there) for the rows ``group, bytes``: near-equal bytes, by differencing."""
-    n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    part = F.col("group")
-    if n > chunk:
-        bundles = max(chunk, fan * shards)
-        part = F.when(F.col("bytes") > total / bundles, part).otherwise(F.concat(F.lit("bundle "), F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("string")))
+    total, bundles = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], fan * shards
+    part = F.when(F.col("bytes") > total / bundles, F.col("group")).otherwise(F.concat(F.lit("bundle "), F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("string")))
     own = [c for c in groups.columns if c in ("group", "n")]
     dealt = groups.select(*own, "bytes", part.alias("part"))
     parts = dealt.groupBy("part").agg(F.sum("bytes").alias("bytes"))
@@ -117,7 +113,7 @@ def numbered(rows: DataFrame, by: str, order: list[str], name: str, spread: int
     return binned.withColumn(name, own).join(before, [by, bin_]).withColumn(name, (F.col(name) + F.col("start")).cast("long")).drop(bin_, "start")
 
 
-def shard(documents: DataFrame, shards: int = SHARDS, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+def shard(documents: DataFrame, shards: int = SHARDS, fan: int = FAN) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row.
 
     ``size`` is the text's UTF-8 bytes and ``OVERHEAD``; equal texts (null counts as empty)
@@ -129,7 +125,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, chunk: int = CHUNK, fan: i
     rows = cut(narrowed(documents, "doc_id", "text").select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_of(F.col("text")).alias("group")))
     total = rows.count()
     groups = cut(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
-    placed = joined_to_unique(rows, balance(groups, shards, chunk, fan), "group", total).drop("group")
+    placed = joined_to_unique(rows, balance(groups, shards, fan), "group", total).drop("group")
     # So many bins that none has many rows, even if one shard has nearly all of them.
     out = numbered(placed, "shard", ["doc_id", "text_crc32", "size"], "slot", max(64, math.ceil(total / BIN_ROWS)))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
