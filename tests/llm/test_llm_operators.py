@@ -474,6 +474,17 @@ def test_added_spans_equal_brute_force(spark):
         assert [(x["start"], x["end"], x["removed"]) for x in r["added"]] == free
 
 
+def test_articles_keep_links_and_words_and_their_title(spark):
+    text = "The first part of a longer story that goes on. " * 8
+    page = f"<body><nav><a>Home</a></nav><article><h1>T</h1><p>{text}</p><ul><li><a href=x>Source one</a></li><li><a href=y>Source two</a></li></ul><p>{text}</p><h2>Sources</h2><ul><li><a>Last source</a></li></ul></article></body>"
+    assert html_text.main_text(page).split("\n\n") == ["T", text.strip(), "Source one", "Source two", text.strip(), "Sources", "Last source"]
+    page = f"<article><h1>T</h1><p>The <span class='share'>market share</span> of it. {text}</p><div><span class='share'>Share this</span></div><p>A <span hidden>secret</span> one {text}</p></article>"
+    assert html_text.main_text(page).split("\n\n") == ["T", f"The market share of it. {text}".strip(), f"A one {text}".strip()]
+    page = f"<body><div><a>Home</a> <a>News</a></div><div><h1>Heading</h1><p>By Ann</p></div><div><p>{text}</p><p>{text}</p></div><div>foot</div></body>"
+    assert html_text.main_text(page).split("\n\n") == ["Heading", "By Ann", text.strip(), text.strip()]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_pages_keep_the_whole_article():
     first, second, menu = "The first part of it. " * 8, "And the second part. " * 12, "<nav><a>Home</a><a>News</a></nav>"
     want = f"Heading\n\n{first.strip()}\n\n{second.strip()}"

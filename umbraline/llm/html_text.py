@@ -46,6 +46,8 @@ DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comm
 DOUBT = 0.001
 #: Share of the content's characters that the region holds.
 REGION = 2 / 3
+#: Lines at most of an element of its own with the title.
+TITLE_LINES = 4
 #: Open elements that a new one of the same kind (or any block, for p) closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -58,6 +60,7 @@ class Node:
     weight: float
     silent: bool
     link: bool
+    soft: bool = False  # inline in an article and doubted for a class word only
 
 
 @dataclass(slots=True)
@@ -65,11 +68,14 @@ class Line:
     node: Node
     parts: list[tuple[float, bool, str]]  # weight, whether in a link, text
     tags: int
+    plain: bool = True  # whether any of it stands outside soft elements
     weight: float = 0.0  # the most of any part
     size: int = 0  # characters of the parts of that weight
     linked: int = 0  # those of them in links
 
     def __post_init__(self):
+        if not self.plain:
+            self.parts = [(w * DOUBT, link, t) for w, link, t in self.parts]
         self.weight = max(w for w, _, t in self.parts if t.strip())
         for w, link, t in self.parts:
             if w == self.weight:
@@ -92,14 +98,14 @@ class Page(HTMLParser):
         HTMLParser.__init__(self, convert_charrefs=True)
         self.node = Node("", None, 0, 1.0, False, False)
         self.parts: list[tuple[float, bool, str]] = []
-        self.tags = 0
+        self.tags, self.plain = 0, False
 
     def flush(self) -> None:
         if self.parts:
             if any(t and not t.isspace() for _, _, t in self.parts):
-                self.lines.append(Line(self._block(), self.parts, self.tags))
+                self.lines.append(Line(self._block(), self.parts, self.tags, self.plain))
             self.parts = []
-        self.tags = 0
+        self.tags, self.plain = 0, False
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # nobody asks for line numbers
@@ -134,12 +140,16 @@ class Page(HTMLParser):
             return
         if tag == "body" or tag in BLOCKS and self.node.tag == "head":
             self._close_head()
-        node = self.node
+        node, soft = self.node, self.node.soft
         if tag in APART or tag == "header" and not self._within("article", "main"):
             weight = 0.0
         else:
-            weight = node.weight * DOUBT if tag == "form" or attrs and _doubtful(tag, attrs) else node.weight
-        self.node = Node(tag, node, node.depth + 1, weight, node.silent or tag in SILENT, node.link or tag == "a")
+            doubt = 2 if tag == "form" else _doubtful(tag, attrs) if attrs else 0
+            # A word in a class says little of a part of an article's sentence.
+            if doubt == 1 and tag not in BLOCKS and self._within("article"):
+                doubt, soft = 0, True
+            weight = node.weight * DOUBT if doubt else node.weight
+        self.node = Node(tag, node, node.depth + 1, weight, node.silent or tag in SILENT, node.link or tag == "a", soft)
 
     def _close_head(self) -> None:
         """Close an open head, and what is open in it."""
@@ -178,6 +188,7 @@ class Page(HTMLParser):
     def _add(self, data: str) -> None:
         node = self.node
         self.parts.append((node.weight, node.link, data))
+        self.plain = self.plain or not node.soft and not data.isspace()
 
     def handle_data(self, data: str) -> None:
         if not self.node.silent:
@@ -189,14 +200,15 @@ class Page(HTMLParser):
         return self.lines
 
 
-def _doubtful(tag: str, attrs: list) -> bool:
-    """Whether its attributes say that an element is hidden or no part of an article."""
+def _doubtful(tag: str, attrs: list) -> int:
+    """2 if its attributes say that an element is hidden, 1 if a name says that it is no part of an article, else 0."""
+    named = 0
     for k, v in attrs:
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
-            return True
+            return 2
         if v and k in ("class", "id", "role", "aria-label") and tag not in ("html", "body", "article", "main") and DOUBTFUL.search(v):
-            return True
-    return False
+            named = 1
+    return named
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -269,14 +281,30 @@ def main_lines(lines: list[Line], sigma: float = 1.0, clusters: bool = True) ->
     while first and lines[first - 1].node.tag in HEADINGS and lines[first - 1].weight >= least and (inside[first - 1] or lines[first - 1].node.parent is region.parent):
         first -= 1
         inside[first] = True
+    # A few lines with a heading right before a region that is no article: title and byline in an element of their own.
+    own = _beside(lines[first - 1].node, region) if first and region.tag != "article" else None
+    head = []
+    while own is not None and len(head) < first and _beside(lines[first - 1 - len(head)].node, region) is own:
+        head.append(first - 1 - len(head))
+    if 0 < len(head) <= TITLE_LINES and any(lines[i].node.tag in HEADINGS for i in head) and all(lines[i].weight >= least and 2 * lines[i].linked <= lines[i].size for i in head):
+        first = head[-1]
+        for i in head:
+            inside[i] = True
     out = []
     for i, x in enumerate(lines):
-        between = first <= i <= last and 2 * x.linked <= x.size
+        between = first <= i <= last and (region.tag == "article" or 2 * x.linked <= x.size)
         if inside[i] and (strong[i] or x.weight >= least and (between or kind[i] in kinds)) and (text := x.text(min(least, x.weight))):
             out.append(text)
     return out
 
 
+def _beside(node: Node | None, region: Node) -> Node | None:
+    """The sibling of the region that holds a node; None if none does."""
+    while node is not None and node.parent is not region.parent:
+        node = node.parent
+    return None if node is region else node
+
+
 def _inside(node: Node | None, region: Node) -> bool:
     while node is not None:
         if node is region:
