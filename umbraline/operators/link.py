@@ -9,6 +9,7 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..model import LinkParams
 from ..session import cut
+from .spatial import near_pairs
 
 RECT = ("x", "y", "w", "h")
 
@@ -29,13 +30,19 @@ def corresponds(a: str, b: str, width: int, height: int, params: LinkParams = Li
     return near & t.same_text(t.normalised(F.col(f"{a}_text")), t.normalised(F.col(f"{b}_text")))
 
 
+def _near(a: DataFrame, b: DataFrame, width: int, height: int, centre: float) -> DataFrame:
+    """Pairs whose centres may be ``centre`` apart, in parts of the frame."""
+    reach = centre * width, centre * height
+    return near_pairs(a, b, reach, cell=tuple(2 * r for r in reach), points=True)
+
+
 def uncorresponded(hits: DataFrame, direction: int = -1, width: int = 1600, height: int = 900) -> DataFrame:
     """Hits of frames whose neighbour (-1 before, 1 after) exists but has nothing like them there."""
     neighbours = hits.select("video", (F.col("frame") - direction).cast("int").alias("frame")).distinct()
     own = hits.join(neighbours, ["video", "frame"], "left_semi")
     left = own.select("video", "frame", *[F.col(f"`{c}`").alias(f"b_{c}") for c in own.columns if c not in ("video", "frame")])
-    right = _side(hits, "a", -direction).withColumnRenamed("video", "av").withColumnRenamed("frame", "af")
-    lost = left.join(right, (F.col("video") == F.col("av")) & (F.col("frame") == F.col("af")) & corresponds("a", "b", width, height), "left_anti")
+    met = _near(_side(hits, "a", -direction), left.select("video", "frame", *[f"b_{c}" for c in ("pos", *RECT, "text")]), width, height, LinkParams().centre).where(corresponds("a", "b", width, height))
+    lost = left.join(met.select("video", "frame", "b_pos").distinct(), ["video", "frame", "b_pos"], "left_anti")
     return lost.select("video", "frame", *[F.col(f"b_{c}").alias(c) for c in own.columns if c not in ("video", "frame")])
 
 
@@ -195,7 +202,7 @@ def nearest_links(boxes: DataFrame, width: int = 1600, height: int = 900, params
     fields = boxes.select("video", "frame", "pos", *RECT, "text")
     new = boxes.where("coalesce(track, '') = ''").select("video", "frame", "pos", *RECT, "text")
     apart = g.centre_distance(*_rects("a", "b"), F.lit(float(width)), F.lit(float(height)))
-    pairs = _side(fields, "a", 1).join(_side(new, "b", 0), ["video", "frame"]).withColumn("apart", apart).where((F.col("apart") <= near) & t.same_text(t.normalised(F.col("a_text")), t.normalised(F.col("b_text"))))
+    pairs = _near(_side(fields, "a", 1), _side(new, "b", 0), width, height, near).withColumn("apart", apart).where((F.col("apart") <= near) & t.same_text(t.normalised(F.col("a_text")), t.normalised(F.col("b_text"))))
     found = one_to_one(pairs, "b_pos", "a_pos", [F.col("b_pos"), F.col("apart"), F.col("a_pos")])
     return found.select("video", "frame", F.col("b_pos").alias("b_index"), F.col("a_pos").alias("a_index"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..session import cut
+from .spatial import near_pairs
 
 RECT = ("x", "y", "w", "h")
 
@@ -23,7 +24,8 @@ def groups(boxes: DataFrame) -> DataFrame:
     right = fields.select("video", "frame", *[F.col(c).alias(f"b_{c}") for c in ("pos", *RECT)])
     c = F.col
     meets = (c("a_pos") != c("b_pos")) & g.same_line(c("a_y"), c("a_h"), c("b_y"), c("b_h")) & g.touching(c("a_x"), c("a_w"), c("a_h"), c("b_x"), c("b_w"), c("b_h"))
-    edges = cut(left.join(right, ["video", "frame"]).where(meets).select("video", "frame", c("a_pos").alias("pos"), c("b_pos").alias("other")))
+    # Boxes that touch are no farther apart than the lower one is high, and overlap in height.
+    edges = cut(near_pairs(left, right, (c("a_h"), 0.0)).where(meets).select("video", "frame", c("a_pos").alias("pos"), c("b_pos").alias("other")))
     state = cut(fields.select("video", "frame", "pos", c("pos").alias("grp")))
     while True:
         theirs = state.select("video", "frame", c("pos").alias("other"), c("grp").alias("heard"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import geometry as g
 from .functions import text as t
 from .model import DedupParams, ExportStyle
-from .operators import cascade, detect, export, gaps, link, merge, metrics, propagate, render, sequence, shrink
+from .operators import cascade, detect, export, gaps, link, merge, metrics, propagate, render, sequence, shrink, tools
 from .plans import predicate, prompt
 from .registry import query
 from .session import table
@@ -743,6 +743,47 @@ def backtrack_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagate.propagated(hits, words, "the", -1, metric="edit")
 
 
+_TOOL = """call AS (SELECT video, frame, pos AS seq, CASE WHEN event_id % 11 = 0 THEN 'finish' WHEN event_id % 7 = 1 THEN 'drop' WHEN event_id % 7 < 4 THEN 'add' ELSE 'keep' END AS tool, CAST(event_id % 5 AS INT) AS ocr_index, text, x, y, w, h, event_id FROM hit),
+fin AS (SELECT video, frame, min(seq) AS e FROM call WHERE tool = 'finish' GROUP BY video, frame),
+counted AS (SELECT call.* FROM call LEFT JOIN fin USING (video, frame) WHERE e IS NULL OR seq <= e),
+item AS (SELECT video, frame, pos AS ocr_index, text AS its, x AS ix, y AS iy, w AS iw, h AS ih, CAST(event_id % 100 AS DOUBLE) AS confidence FROM hit)"""
+
+
+def _recorded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    hits = adapters.hits(spark, sf_dir)
+    box = g.thousandths(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(1600.0), F.lit(900.0)).alias("box")
+    tool = F.expr("CASE WHEN event_id % 11 = 0 THEN 'finish' WHEN event_id % 7 = 1 THEN 'drop' WHEN event_id % 7 < 4 THEN 'add' ELSE 'keep' END").alias("tool")
+    text = [F.lit(None).cast("string").alias(c) for c in ("category", "text_color", "background_color")]
+    calls = hits.select("video", "frame", F.col("pos").alias("seq"), tool, (F.col("event_id") % 5).cast("int").alias("ocr_index"), "text", box, F.lit("L0").alias("branch"), F.concat(F.lit("L0:"), "text").alias("instance"), *text, F.concat(F.lit("done "), F.col("event_id").cast("string")).alias("summary"), F.expr("event_id % 2 = 0").alias("any_more"), F.expr("CASE WHEN event_id % 3 > 0 THEN event_id % 3 = 1 END").alias("still_visible"))
+    items = hits.select("video", "frame", F.col("pos").alias("ocr_index"), box, "text", (F.col("event_id") % 100).cast("double").alias("confidence"))
+    return calls, items
+
+
+@query(
+    "tool_boxes",
+    f"""WITH {_H}, {_TOOL}, b AS (SELECT c.video, c.frame, seq, its AS text, ix AS x, iy AS y, iw AS w, ih AS h, least(1.0::DOUBLE, confidence / 100) AS score, CAST(NULL AS VARCHAR) AS origin, 'L0:' || text AS instance FROM counted c JOIN item USING (video, frame, ocr_index) WHERE tool = 'keep'
+UNION ALL SELECT video, frame, seq, text, x, y, w, h, 1.0::DOUBLE, 'fix', 'L0:' || text FROM counted WHERE tool = 'add'),
+k AS (SELECT *, floor(x / 1600.0::DOUBLE * 1000 + 0.5) / 1000 * 1600 AS l, floor(y / 900.0::DOUBLE * 1000 + 0.5) / 1000 * 900 AS t, floor((x + w) / 1600.0::DOUBLE * 1000 + 0.5) / 1000 * 1600 AS r, floor((y + h) / 900.0::DOUBLE * 1000 + 0.5) / 1000 * 900 AS o FROM b),
+p AS (SELECT *, greatest(0, CAST(floor(l + 0.5) AS INT) - 2) AS px, greatest(0, CAST(floor(t + 0.5) AS INT) - 2) AS py FROM k)
+SELECT video, frame, seq, px AS x, py AS y, greatest(1, least(1600 - px, CAST(floor(r - l + 0.5) AS INT) + 4)) AS w, greatest(1, least(900 - py, CAST(floor(o - t + 0.5) AS INT) + 4)) AS h, text, score, origin, instance FROM p""",
+)
+def tool_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.boxes(*_recorded(spark, sf_dir)).select("video", "frame", "seq", "x", "y", "w", "h", "text", "score", "origin", "instance")
+
+
+@query(
+    "tool_outcomes",
+    f"""WITH {_H}, {_TOOL}, d AS (SELECT video, frame, ocr_index, min(seq) AS s FROM counted WHERE tool = 'drop' GROUP BY video, frame, ocr_index),
+dl AS (SELECT video, frame, string_agg(ocr_index, ',' ORDER BY s) AS dropped FROM d GROUP BY video, frame)
+SELECT c.video, c.frame, count(*) FILTER (tool = 'keep' AND its IS NOT NULL) AS kept, count(*) FILTER (tool = 'add') AS added, count(*) FILTER (tool = 'keep' AND its IS NULL) AS failed, coalesce(any_value(dropped), '') AS dropped,
+  max('done ' || event_id) FILTER (tool = 'finish') AS summary, coalesce(bool_or(event_id % 2 = 0) FILTER (tool = 'finish'), FALSE) AS any_more, bool_or(CASE WHEN event_id % 3 > 0 THEN event_id % 3 = 1 END) FILTER (tool = 'finish') AS still_visible
+FROM counted c LEFT JOIN item ON item.video = c.video AND item.frame = c.frame AND item.ocr_index = c.ocr_index AND c.tool = 'keep' LEFT JOIN dl ON dl.video = c.video AND dl.frame = c.frame GROUP BY c.video, c.frame""",
+)
+def tool_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tools.outcomes(*_recorded(spark, sf_dir))
+    return found.withColumn("dropped", F.array_join(F.transform("dropped", lambda x: x.cast("string")), ","))
+
+
 # Texts for readers ---------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import slug
+from ..functions.text import let, slug
 
 BLOCKS_JSON = "array<struct<BlockType:string,Id:string,Text:string,Confidence:double,Geometry:struct<BoundingBox:struct<Left:double,Top:double,Width:double,Height:double>>,Relationships:array<struct<Type:string,Ids:array<string>>>>>"
 
@@ -37,6 +37,34 @@ def compacted_array(value: Column, most: int = 64, longest: int = 4000) -> Colum
     return F.when(F.size(value) > most, F.concat(kept, more)).otherwise(kept)
 
 
+def compacted_json(value: Column, longest: int = 4000, most: int = 64, deepest: int = 6, depth: int = 0) -> Column:
+    """JSON text of a VARIANT of any shape: long strings and arrays cut, what lies too deep replaced.
+
+    A string longer than ``longest`` says how many characters are left out, an array of more than
+    ``most`` items how many items; an object or array below level ``deepest`` becomes
+    ``[truncated-depth]``.  Other values stay; keys come in the order that a VARIANT keeps them in.
+    """
+    quoted = lambda s: let(F.to_json(F.array(s)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+    entry = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+
+    def of(v: Column, kind: Column) -> Column:
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        plain = F.when(kind == "STRING", quoted(compacted(F.try_variant_get(v, "$", "string"), longest))).otherwise(F.coalesce(F.to_json(v), F.lit("null")))
+        if depth > deepest:
+            return F.when(nested, F.lit('"[truncated-depth]"')).otherwise(plain)
+        items = F.try_variant_get(v, "$", "array<variant>")
+        pairs = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+        # Items and pairs alike, so that each level stands in the expression once.
+        entries = F.when(kind.startswith("OBJECT"), F.transform(pairs, lambda e: entry(e["key"], e["value"]))).otherwise(F.transform(F.slice(items, 1, most), lambda x: entry(F.lit(None).cast("string"), x)))
+        inner = F.transform(entries, lambda e: F.concat(F.when(e["k"].isNotNull(), F.concat(quoted(e["k"]), F.lit(":"))).otherwise(""), compacted_json(e["v"], longest, most, deepest, depth + 1)))
+        left = F.size(items) - most
+        more = F.when(left > 0, F.array(quoted(F.concat(F.lit("…[+"), left.cast("string"), F.lit(" items]"))))).otherwise(F.array().cast("array<string>"))
+        written = let(inner, lambda z: F.when(kind.startswith("OBJECT"), F.concat(F.lit("{"), F.array_join(z, ","), F.lit("}"))).otherwise(F.concat(F.lit("["), F.array_join(F.concat(z, more), ","), F.lit("]"))))
+        return F.when(nested, written).otherwise(plain)
+
+    return let(F.struct(value.alias("v"), F.schema_of_variant(value).alias("kind")), lambda x: of(x["v"], x["kind"]))
+
+
 def frame_dump_name(ts: Column, kind: Column, query: Column, what: Column) -> Column:
     """Name of a dumped frame: time stamp, kind, slug of the query and suffix, joined by hyphens."""
     return F.concat_ws("-", ts, kind, slug(query), what)
