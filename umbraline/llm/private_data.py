@@ -164,9 +164,9 @@ def voices(based: DataFrame) -> DataFrame:
     """``content, voice`` of every different text that holds entities; a voice is the smallest ``content`` of its near copies."""
     c = F.col
     texts = cut(based.where(F.size("found") > 0).groupBy("content").agg(F.first("terms").alias("terms")))
-    lowest = lambda seed: F.array_min(F.transform("terms", lambda t: F.xxhash64(t, F.lit(seed))))
-    bands = F.array(*[F.xxhash64(F.lit(b), *[lowest(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
-    banded = cut(texts.where(F.size("terms") > 0).select("content", F.explode(bands).alias("band")))
+    lowest = [F.min(F.xxhash64("term", F.lit(seed))).alias(f"h{seed}") for seed in range(BANDS * ROWS)]
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    banded = cut(texts.select("content", F.explode("terms").alias("term")).groupBy("content").agg(*lowest).select("content", F.explode(bands).alias("band")))
     total = banded.count()
     # Each text is compared with the smallest of every band that it is in.
     firsts = cut(banded.groupBy("band").agg(F.min("content").alias("first"), F.count("*").alias("n")).where("n > 1"))
@@ -187,7 +187,7 @@ def _few(rows: DataFrame, size: Column) -> bool:
 def _documents_with(documents: DataFrame, terms: DataFrame, few: bool) -> DataFrame:
     """``doc_id, content, words, term`` for every document and each of the ``terms`` that it has; ``words`` is a digest of all its terms."""
     rows = narrowed(documents, "doc_id", "text").where("text is not null").select("doc_id", F.xxhash64("text").alias("content"), _words(F.col("text")).alias("all"))
-    words = rows.select("doc_id", "content", F.xxhash64(F.array_sort("all")).alias("words"), F.explode("all").alias("term"))
+    words = rows.select("doc_id", "content", F.xxhash64(F.sort_array("all")).alias("words"), F.explode("all").alias("term"))
     return words.join(F.broadcast(terms) if few else terms, "term").dropDuplicates(["doc_id", "content", "term"])
 
 
