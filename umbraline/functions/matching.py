@@ -93,16 +93,6 @@ def texts_alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([alike(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-def text_holds(haystack: Column, needle: str, least: float = FUZZY) -> Column:
-    """Whether a normalised text holds the needle or something like it; equal texts of a batch are compared once."""
-
-    @pandas_udf(BooleanType())
-    def compare(texts: pd.Series) -> pd.Series:
-        return texts.map({x: holds(x, needle, least) for x in texts.dropna().unique()})
-
-    return compare(haystack)
-
-
 def tightest_run(words: list[str], query: str, least: float = FUZZY) -> tuple[int, int] | None:
     """(first, last) of the run of words that matches the query most tightly; None if none does.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import matching as m
+from ..functions import search as s
 from ..functions import text as t
 from ..model import DetectParams
 from ..session import cut
@@ -17,11 +20,24 @@ BROADCAST_TEXTS = 20_000
 LONGEST_SENT = 400
 
 
+def _joined(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """``blocks`` with what ``texts``, a written table, says of theirs."""
+    size, longest = texts.agg(F.count("*"), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
+    return blocks.join(F.broadcast(texts) if size <= BROADCAST_TEXTS and longest <= LONGEST_SENT else texts, "text")
+
+
+def _asked(blocks: DataFrame, found: Column) -> DataFrame:
+    """``text, found`` of the blocks: a costly expression over the normalised text (``norm``), asked once for each distinct text.
+
+    It hangs on an aggregate, or else the optimiser would ask it of every block before they are grouped.
+    """
+    texts = blocks.groupBy("text").agg(F.max(F.length("text")).alias("size")).withColumn("norm", t.normalised(F.col("text")))
+    return texts.select("text", F.when((F.col("size") > 0) & (F.col("norm") != ""), found).alias("found"))
+
+
 def _matching(blocks: DataFrame, condition: Column) -> DataFrame:
-    """The blocks whose ``norm`` meets a condition that is costly: it is asked once for each distinct text."""
-    texts = cut(blocks.select("norm").distinct().where(condition))
-    size, longest = texts.agg(F.count("*"), F.coalesce(F.max(F.length("norm")), F.lit(0))).first()
-    return blocks.join(F.broadcast(texts) if size <= BROADCAST_TEXTS and longest <= LONGEST_SENT else texts, "norm")
+    """The blocks whose normalised text (``norm``) isn't empty and meets a costly condition."""
+    return _joined(blocks, cut(_asked(blocks, condition).where("found").select("text"))).withColumn("norm", t.normalised(F.col("text")))
 
 
 def detect(blocks: DataFrame, query: str, params: DetectParams = DetectParams(), width: int = 1600, height: int = 900, words: DataFrame | None = None, metric: str = "sequence") -> DataFrame:
@@ -35,14 +51,31 @@ def detect(blocks: DataFrame, query: str, params: DetectParams = DetectParams(),
     """
     wanted = " ".join(query.lower().split())
     kind = "LINE" if " " in wanted else "WORD"
-    chosen = blocks.where((F.col("type") == kind) & (F.col("confidence") >= params.min_confidence)).withColumn("norm", t.normalised(F.col("text"))).where("norm <> ''")
-    found = _matching(chosen, t.fuzzy_contains(F.col("norm"), wanted, params.fuzzy) if metric == "edit" else m.text_holds(F.col("norm"), wanted, params.fuzzy)).drop("norm")
+    chosen = blocks.where((F.col("type") == kind) & (F.col("confidence") >= params.min_confidence))
+    found = _matching(chosen, t.fuzzy_contains(F.col("norm"), wanted, params.fuzzy) if metric == "edit" else s.text_holds(F.col("norm"), wanted, params.fuzzy)).drop("norm")
     if words is not None and kind == "LINE":
         found = narrowed(found, words, wanted, params.fuzzy)
     box = g.to_pixels(F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.lit(width), F.lit(height), params.pad)
     return found.withColumn("box", box).withColumn("score", F.col("confidence") / 100.0)
 
 
+def detect_each(blocks: DataFrame, queries: list[str], params: DetectParams = DetectParams(), metric: str = "sequence") -> DataFrame:
+    """``blocks`` with ``query``: a row for each normalised query that the block holds, or something like it.
+
+    What :func:`detect` finds for one query, for any number of them in one pass: distinct texts
+    are read once by an index over all queries of their kind.
+    """
+    wanted = sorted({" ".join(q.lower().split()) for q in queries} - {""})
+    parts = [blocks.where(F.lit(False)).withColumn("query", F.lit(""))]
+    for kind in ("LINE", "WORD"):
+        own = [q for q in wanted if (" " in q) == (kind == "LINE")]
+        if own:
+            chosen = blocks.where((F.col("type") == kind) & (F.col("confidence") >= params.min_confidence))
+            texts = cut(_asked(chosen, s.needles_held(F.col("norm"), own, params.fuzzy, metric)).select("text", F.explode("found").alias("query")))
+            parts.append(_joined(chosen, texts).select(*[f"`{c}`" for c in blocks.columns], "query"))
+    return reduce(DataFrame.unionByName, parts[1:] or parts)
+
+
 def narrowed(lines: DataFrame, words: DataFrame, wanted: str, least: float = t.FUZZY) -> DataFrame:
     """``lines`` with text and place of their tightest run of words, where one matches and has a size."""
     keys = ["video", "frame", "l"]
@@ -98,9 +131,8 @@ def needles_in(blocks: DataFrame, needles: list[str]) -> DataFrame:
 def text_candidates(blocks: DataFrame, needle: str, fuzzy: float = t.FUZZY) -> DataFrame:
     """Blocks for a text condition with ``prior``: 1 if either holds the other, else their similarity."""
     wanted = " ".join(needle.lower().split())
-    rows = blocks.withColumn("norm", t.normalised(F.col("text"))).where("norm <> ''")
     prior = text_prior(F.col("norm"), wanted, fuzzy)
-    return _matching(rows, prior.isNotNull()).withColumn("prior", prior).drop("norm")
+    return _matching(blocks, prior.isNotNull()).withColumn("prior", prior).drop("norm")
 
 
 def text_prior(norm: Column, wanted: str, fuzzy: float = t.FUZZY) -> Column:

@@ -38,10 +38,9 @@ def of_leaf(leaf: Leaf, blocks: DataFrame, regions: DataFrame | None = None, sco
 
 def of_text_leaves(texts: list[Leaf], blocks: DataFrame) -> DataFrame:
     """What :func:`of_leaf` gives for several text leaves, in one pass: each distinct text is asked once for all."""
-    rows = blocks.withColumn("norm", t.normalised(F.col("text"))).where("norm <> ''")
     priors = [F.struct(F.lit(x.branch).alias("branch"), detect.text_prior(F.col("norm"), " ".join(x.text.lower().split()), x.fuzzy or t.FUZZY).alias("score")) for x in texts]
     held = F.filter(F.array(*priors), lambda p: p["score"].isNotNull())
-    found = detect._matching(rows, reduce(lambda a, b: a | b, [p["score"].isNotNull() for p in priors]))
+    found = detect._matching(blocks, reduce(lambda a, b: a | b, [p["score"].isNotNull() for p in priors]))
     each = found.select(*KEYS, *PLACE, F.explode(held).alias("p"))
     return each.select(*KEYS, *PLACE, "p.branch", t.text_instance(F.col("p.branch"), F.col("text")).alias("instance"), "p.score")
 

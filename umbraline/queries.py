@@ -872,6 +872,15 @@ def detect_word_difflib(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(adapters.words(spark, sf_dir), "Thering").select("video", "frame", "l", "k", "text", "box.*", "score")
 
 
+@query("detect_each")
+def detect_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest word of every benchmark item, looked for in all words of documents in one pass."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), r"[\s.,]+")).alias("word"))
+    longest = words.groupBy("item_id").agg(F.min_by("word", F.struct(-F.length("word"), "word")).alias("word"))
+    queries = [r["word"] for r in longest.where("word <> ''").select("word").distinct().collect()]
+    return detect.detect_each(adapters.words(spark, sf_dir), queries).select("video", "frame", "l", "k", "text", "query")
+
+
 @query("detect_line_tight")
 def detect_line_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.detect(adapters.lines(spark, sf_dir), "under  CC", words=adapters.words(spark, sf_dir))
