@@ -184,6 +184,21 @@ def test_boxes_shrink_to_their_text(text, box, most, want):
     assert got[4] == want[4]
 
 
+@pytest.mark.parametrize("radius", [0, 1, 3])
+def test_sums_give_the_mean_around_each_pixel(radius):
+    rng = np.random.default_rng(radius)
+    for _ in range(30):
+        high, wide = rng.integers(1, 12, 2)
+        image = rng.integers(0, 256, (high, wide, 3)).astype(np.uint8)
+        x, y, w, h = (*rng.integers(-6, 12, 2).tolist(), *rng.integers(1, 20, 2).tolist())
+        ink, paper = rng.integers(0, 256, (2, 3)).astype(float)
+        nearer = shrink._papers(image, (x, y, w, h), radius, ink, paper)
+        for px, py in [(x + i, y + j) for i in range(w) for j in range(h)]:
+            rows, columns = (slice(*(np.clip([p - radius, p + radius], 0, n - 1) + [0, 1])) for p, n in ((py, high), (px, wide)))
+            mean = np.floor(image[rows, columns].reshape(-1, 3).astype(float).mean(0) + 0.5)
+            assert nearer(px, py) == (((mean - paper) ** 2).sum() < ((mean - ink) ** 2).sum())
+
+
 def test_boxes_without_colours_stay(spark):
     image = np.full((20, 30, 3), 255, np.uint8)
     row = [(bytearray(image.tobytes()), 30, 20, 9, 3, 15, 14, [0, 0, 0], [5, 5, 5]), (None, 30, 20, 1, 1, 5, 5, None, None)]
