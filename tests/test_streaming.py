@@ -20,7 +20,7 @@ def _all(query_frame, name, spark):
     query = query_frame.writeStream.format("memory").queryName(name).outputMode("append").start()
     query.processAllAvailable()
     query.stop()
-    return spark.table(name)
+    return query_frame.sparkSession.table(name)
 
 
 def test_stream_keeps_what_the_batch_keeps(spark, tmp_path):
@@ -52,6 +52,52 @@ def test_two_hashes_and_first_labels(spark, tmp_path):
     want = sequence.deduplicated(spark.createDataFrame(rows, schema), lambda a, b: far(a, b, "p") | far(a, b, "q"), DedupParams(2, 1))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     boxes = [("v", f, p, f"t{(f * 3 + p) % 30}") for f in range(20) for p in range(2)]
-    got = _all(stateful.first_labels(_stream(spark, boxes, tmp_path / "labels", "video string, frame int, pos int, track string", 3)), "label_rows", spark)
+    got = _all(stateful.first_labels(_stream(stateful.with_map_state(spark), boxes, tmp_path / "labels", "video string, frame int, pos int, track string", 3)), "label_rows", spark)
     order = list(dict.fromkeys(b[3] for b in boxes))
     assert {(r["frame"], r["pos"]): r["label"] for r in got.collect()} == {(f, p): stateful.letters(order.index(t)) for _, f, p, t in boxes}
+
+
+EVENTS = "video string, type string, frame int, tracks array<string>"
+
+
+def _labels(spark, batches, path, name):
+    session = stateful.with_map_state(spark)
+    for k, rows in enumerate(batches):
+        session.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{path}/{k}")
+    read = session.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(path))
+    return sorted((r["video"], r["frame"], r["pos"], r["track"], r["label"]) for r in _all(stateful.labels_in_order(read), name, spark).collect())
+
+
+def _in_order(frames):
+    """What labelling the frames one after the other gives."""
+    out, known = [], {}
+    for video, frame, tracks in sorted(frames):
+        names = known.setdefault(video, {})
+        for pos, track in enumerate(tracks):
+            if track:
+                out.append((video, frame, pos, track, stateful.letters(names.setdefault(track, len(names)))))
+    return out
+
+
+def test_labels_of_frames_that_come_out_of_order(spark, tmp_path):
+    rng = random.Random(31)
+    # Frame 7 of "b" never comes; "a" ends; both bear null, empty and repeated tracks.
+    frames = [(v, f, [rng.choice(["", None, *(f"t{n}" for n in range(40))]) for _ in range(rng.randrange(4))]) for v in "ab" for f in range(3, 23) if (v, f) != ("b", 7)]
+    events = [(v, "frame", f, t) for v, f, t in frames]
+    rng.shuffle(events)
+    events.insert(9, ("a", "start", 3, None))
+    events.insert(30, ("b", "start", 3, None))
+    batches = [events[k : k + 11] for k in range(0, len(events), 11)]
+    batches.append([events[0], ("a", "frame", 1, ["early"]), ("a", "done", None, None), ("b", "done", None, None)])
+    batches.append([("a", "frame", 99, ["late"]), ("b", "frame", 7, ["late"])])
+    assert _labels(spark, batches, tmp_path / "ordered", "ordered_rows") == _in_order(frames)
+
+
+def test_error_drops_what_waits_and_an_open_video_keeps_it(spark, tmp_path):
+    batches = [
+        [("a", "start", 1, None), ("a", "frame", 1, ["x"]), ("a", "frame", 3, ["z"]), ("b", "start", 1, None), ("b", "frame", 2, ["q"]), ("c", "frame", 1, ["m"])],
+        [("a", "frame", 2, ["y", "x"]), ("a", "frame", 5, ["w"]), ("a", "error", None, None), ("b", "frame", 1, ["p"]), ("c", "other", 1, None)],
+        [("a", "frame", 4, ["u"]), ("b", "frame", 4, ["r"])],
+    ]
+    got = _labels(spark, batches, tmp_path / "failed", "failed_rows")
+    assert got == [("a", 1, 0, "x", "A"), ("a", 2, 0, "y", "B"), ("a", 2, 1, "x", "A"), ("a", 3, 0, "z", "C"), ("b", 1, 0, "p", "A"), ("b", 2, 0, "q", "B")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ from .model import DedupParams, ExportStyle
 from .operators import cascade, detect, export, gaps, link, merge, metrics, propagate, render, sequence, shrink, tools
 from .plans import predicate, prompt
 from .registry import query
-from .session import table
+from .session import shared_folder, table
 from .sources import adapters
 from .sources.adapters import BLOCK_SQL, HIT_SQL, SEQ_SQL, USAGE_SQL
+from .streaming import stateful
 
 # SQL for pieces that several oracles need.
 _NORM = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
@@ -980,3 +983,29 @@ def label_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = adapters.sequence(spark, sf_dir).selectExpr("video", "i div 8 as seed", "i % 8 as step", "1 + hash % 4 as model_steps", "hash % 3 as added", "hash % 2 as removed")
     return metrics.chain_totals(steps)
+
+
+@query(
+    "stream_labels",
+    f"""WITH {_H}, t AS (SELECT video, frame, pos, text || '/' || event_id % 9 AS track FROM hit), f AS (SELECT video, track, min(row(frame, pos)) AS first FROM t GROUP BY video, track),
+n AS (SELECT video, track, row_number() OVER (PARTITION BY video ORDER BY first) - 1 AS n FROM f)
+SELECT t.video, frame, pos, t.track, CASE WHEN n < 26 THEN chr(65 + CAST(n AS INT)) ELSE chr(64 + CAST(n // 26 AS INT)) || chr(65 + CAST(n % 26 AS INT)) END AS label FROM t JOIN n ON n.video = t.video AND n.track = t.track""",
+)
+def stream_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a run as a stream: half of the frames, the starts, the other half; then, in a run of its own, the ends."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    boxes = adapters.hits(spark, sf_dir).select("video", "frame", F.struct("pos", F.concat_ws("/", "text", (F.col("event_id") % 9).cast("string")).alias("track")).alias("box"))
+    frames = boxes.groupBy("video", "frame").agg(F.array_sort(F.collect_list("box")).alias("boxes")).select("video", F.lit("frame").alias("type"), "frame", F.col("boxes.track").alias("tracks"))
+    ends = boxes.groupBy("video").agg(F.min("frame").alias("frame"))
+    none = F.lit(None).cast("array<string>").alias("tracks")
+    starts, dones = (ends.select("video", F.lit(kind).alias("type"), "frame", none) for kind in ("start", "done"))
+    early = F.pmod(F.xxhash64("video", "frame"), F.lit(2)) == 0
+    session = stateful.with_map_state(spark)
+    # The ends are read by a second run, which goes on from the state of the first.
+    for parts in ((frames.where(early), starts, frames.where(~early)), (dones,)):
+        for part in parts:
+            part.write.mode("append").parquet(f"{folder}/events")
+        events = session.readStream.schema(frames.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/events")
+        out = stateful.labels_in_order(events).writeStream.format("parquet").option("path", f"{folder}/labels")
+        out.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("video bigint, frame int, pos int, track string, label string").parquet(f"{folder}/labels")

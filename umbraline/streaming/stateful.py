@@ -1,19 +1,23 @@
-"""Near-duplicate removal, running cost and first labels over streams.
+"""Near-duplicate removal, running cost and labels over streams.
 
-Each keeps one small state for a key (the row last kept, a sum, a count), so state grows
-with the number of keys only.  Rows of a key must come in order from one micro-batch to the
-next; inside a micro-batch they are put in order.
+``deduplicated`` and ``running_cost`` keep one small state for a key (the row last kept, a sum),
+and their rows must come in order from one micro-batch to the next; inside a micro-batch they
+are put in order.  The labels of a video are a map with an entry for each track, of which a
+micro-batch reads and writes only what it needs; ``labels_in_order`` also takes frames that come
+out of order, and keeps those that must wait for others.
+
+Maps as state need the state store in the session that ``with_map_state`` gives.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..model import DedupParams
 
@@ -50,21 +54,118 @@ def letters(n: int) -> str:
     return out
 
 
+def with_map_state(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark``, of the same application, whose streams may keep maps as state."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return session
+
+
+class _Letters(StatefulProcessor):
+    """A number for each track of a video, in order of first appearance: a map entry each, and their count."""
+
+    def __init__(self, key: str) -> None:
+        self.row = Row(key, "frame", "pos", "track", "label")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n int")
+        self.numbers = handle.getMapState("numbers", "track string", "n int")
+
+    def named(self, tracks: list[str], known: dict[str, int], used: int) -> int:
+        """Put the numbers of ``tracks`` into ``known``; how many are used then."""
+        for track in tracks:
+            if track not in known:
+                if self.numbers.containsKey((track,)):
+                    known[track] = self.numbers.getValue((track,))[0]
+                else:
+                    known[track], used = used, used + 1
+                    self.numbers.updateValue((track,), (known[track],))
+        return used
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        before = self.count.get()[0] if self.count.exists() else 0
+        used, known = before, {}
+        for frame, pos, track in sorted((r["frame"], r["pos"], r["track"]) for r in rows):
+            used = self.named([track], known, used)
+            yield self.row(key[0], frame, pos, track, letters(known[track]))
+        if used > before:
+            self.count.update((used,))
+
+    def close(self) -> None:
+        pass
+
+
+class _LettersInOrder(_Letters):
+    """The same for whole frames in any order, each of which waits for all frames before it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.place = handle.getValueState("place", "next int, closed boolean")
+        self.waiting = handle.getMapState("waiting", "frame int", "tracks array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        due, closed = tuple(self.place.get()) if self.place.exists() else (None, False)
+        if closed:
+            return
+        before = used = self.count.get()[0] if self.count.exists() else 0
+        known, end = {}, None
+        for row in rows:
+            if row["type"] == "frame":
+                if (due is None or row["frame"] >= due) and not self.waiting.containsKey((row["frame"],)):
+                    self.waiting.updateValue((row["frame"],), (list(row["tracks"] or []),))
+            elif row["type"] == "start":
+                due = row["frame"] if due is None else due
+            elif row["type"] in ("done", "error"):
+                end = "error" if "error" in (end, row["type"]) else "done"
+            while due is not None and self.waiting.containsKey((due,)):
+                used = yield from self._frame(key, due, known, used)
+                due += 1
+        if end == "done":
+            for (frame,) in sorted(tuple(k) for k in self.waiting.keys()):
+                used = yield from self._frame(key, frame, known, used)
+        if end is not None:
+            # A closed video needs nothing but the fact that it is closed.
+            self.waiting.clear()
+            self.numbers.clear()
+            self.count.clear()
+        elif used > before:
+            self.count.update((used,))
+        self.place.update((due, end is not None))
+
+    def _frame(self, key: tuple, frame: int, known: dict[str, int], used: int) -> Iterator[Row]:
+        tracks = self.waiting.getValue((frame,))[0]
+        self.waiting.removeKey((frame,))
+        shown = [(pos, track) for pos, track in enumerate(tracks) if track]
+        used = self.named([track for _, track in shown], known, used)
+        for pos, track in shown:
+            yield self.row(key[0], frame, pos, track, letters(known[track]))
+        return used
+
+
 def first_labels(boxes: DataFrame, key: str = "video") -> DataFrame:
     """``video, frame, pos, track, label`` of a stream of tracked boxes: a letter for each track, in order of first appearance.
 
-    The state of a video is its tracks with their letters' numbers, as one JSON text.
+    Frames come in order from one micro-batch to the next.  Boxes without a track are left out.
     """
     kind = boxes.schema[key].dataType.simpleString()
+    tracked = boxes.select(key, "frame", "pos", "track").where("track <> ''")
+    return tracked.groupBy(key).transformWithState(_Letters(key), f"`{key}` {kind}, frame int, pos int, track string, label string", "Append", "None")
 
-    def name(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(parts)).sort_values(["frame", "pos"])
-        labels = [letters(known.setdefault(track, len(known))) for track in rows["track"]]
-        state.update((json.dumps(known),))
-        yield pd.DataFrame({key: keys[0], "frame": rows["frame"], "pos": rows["pos"], "track": rows["track"], "label": labels})
 
-    return boxes.select(key, "frame", "pos", "track").where("track <> ''").groupBy(key).applyInPandasWithState(name, f"`{key}` {kind}, frame int, pos int, track string, label string", "known string", "append", GroupStateTimeout.NoTimeout)
+def labels_in_order(events: DataFrame, key: str = "video") -> DataFrame:
+    """``video, frame, pos, track, label`` of a stream of events ``video, type, frame, tracks``.
+
+    A ``frame`` event is one frame with the tracks of its boxes, by position; frames come in any
+    order.  A ``start`` event says which frame is the first.  From there each frame is given out as
+    soon as all before it are, and so gets the letters that it would get in order; until
+    then it waits as state.  ``done`` gives out what still waits, across frames that are missing,
+    and ``error`` drops it (what was given out before stays); both close the video, and
+    are obeyed after the frames of their own micro-batch.  Repeated frames, frames before the
+    first one and events of a closed video change nothing.  Boxes without a track get no row.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    read = events.select(key, "type", F.col("frame").cast("int").alias("frame"), "tracks").where("type in ('start', 'done', 'error') or (type = 'frame' and frame is not null)")
+    return read.groupBy(key).transformWithState(_LettersInOrder(key), f"`{key}` {kind}, frame int, pos int, track string, label string", "Append", "None")
 
 
 def running_cost(calls: DataFrame, key: str = "run") -> DataFrame:
