@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Context, Decimal
+
 import duckdb
 import pytest
 
@@ -52,3 +54,18 @@ def test_walks_read_whole_turns(spark, tmp_path):
     assert [(r["video"], r["frame"], r["text"]) for r in back] == [(1, 2, "he")]
     walked = {r["step"] for r in QUERIES["prompt_cascade"](spark, str(tmp_path)).where("video = 2").collect()}
     assert walked == set(range(11))
+
+
+def test_cubes_beyond_64_bits_are_written_out(spark, tmp_path):
+    ids = [9, 10, 99, 100, 101, 1023, 2_097_151, 2_097_152, 5_999_999, 36_000_000, 200_000_001]
+    spark.createDataFrame([(i, 1.0) for i in ids], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: (r["bytes"], r["tokens"]) for r in QUERIES["formats"](spark, str(tmp_path)).collect()}
+
+    def of(x, places):  # the exact value of the double, halves up
+        return str(Decimal(x).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP, Context(prec=60)))
+
+    for i in ids:
+        n = i**3
+        size = f"{n} B" if n < 1024 else of(n / 1024, 1) + " KB" if n < 1 << 20 else of(n / 2**20, 1) + " MB"
+        count = str(n) if n < 1000 else of(n / 1e3, 1) + "k" if n < 1_000_000 else of(n / 1e6, 2) + "M"
+        assert got[i] == (size, count)

@@ -175,7 +175,8 @@ def fixed(x: Column, places: Column | int) -> Column:
 
     digits = lambda r: F.lpad((r["n"] % r["scale"]).cast("string"), r["places"], F.lit("0"))
     written = lambda r: F.concat((r["whole"] + F.call_function("div", r["n"], r["scale"])).cast("string"), F.lit("."), digits(r))
-    large = F.concat(F.format_string("%.0f", size), F.lit("."), F.repeat(F.lit("0"), places))
+    # Formatting writes zeros after the shortest digits that tell a double apart; as a long all digits are right.
+    large = F.concat(F.when(size < float(1 << 63), size.cast("long").cast("string")).otherwise(F.format_string("%.0f", size)), F.lit("."), F.repeat(F.lit("0"), places))
     return F.concat(F.when(x < 0, "-").otherwise(""), F.when(size >= float(1 << 53), large).otherwise(let(let(taken, rounded), written)))
 
 

@@ -863,7 +863,9 @@ SELECT event_id, '$' || CASE WHEN usd = 0 THEN '0.00' WHEN usd < 0.0001 THEN {_f
 )
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = F.col("value") / F.expr("CASE event_id % 4 WHEN 0 THEN 1e8 WHEN 1 THEN 1e4 WHEN 2 THEN 1e2 ELSE 1 END")
-    cube = F.col("event_id") * F.col("event_id") * F.col("event_id")
+    # A cube of a 64-bit id can be beyond 64 bits: 38 digits hold those of ids below 4.6e12.
+    wide = F.col("event_id").cast("decimal(19,0)")
+    cube = (wide * wide).cast("decimal(38,0)") * wide
     return table(spark, sf_dir, "events").select("event_id", t.dollars(cost).alias("usd"), t.short_bytes(cube).alias("bytes"), t.short_count(cube).alias("tokens"))
 
 
