@@ -106,3 +106,23 @@ def test_a_walk_over_five_thousand_frames(spark, monkeypatch):
 def test_edits_in_python_are_those_of_columns():
     assert m.edit_similarity("kitten", "sitting") == pytest.approx(1 - 3 / 7) and m.edit_similarity("", "a") == 0 and m.edit_similarity("", "") == 1
     assert m.same_by_edits("payment", "paymant") and not m.same_by_edits("", "a") and m.same_by_edits("pay", "payment")
+
+
+def test_segments_stay_whole_when_joins_change_at_run_time(spark):
+    rng = random.Random(8)
+    words, hits = {}, []
+    for video in range(600):
+        for frame in range(3):
+            words[f"v{video}", frame] = [(0, k, rng.choice(["the", "th", "thee", "xyzzy"]), 50.0 + k, 0.08 * k, 0.1, 0.07, 0.03) for k in range(4)]
+        hits.append((f"v{video}", 0, 0, 0, 88, 116, 31, "the", 1.0))
+    blocks = [(*at, l, k, "WORD", t, c, *place) for at, own in words.items() for l, k, t, c, *place in own]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "100k", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = rows(propagate.propagated(spark.createDataFrame(hits, HIT), spark.createDataFrame(blocks, BLOCK), "the", 1))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == walked(hits, words, "the", 1) and len(got) > 100

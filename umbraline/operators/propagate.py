@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import matching as m
 from ..functions import text as t
-from ..session import cut
+from ..session import cut, joined, sent
 
 #: Frames of a segment that is walked in one go.
 FRAMES = 256
@@ -52,15 +52,17 @@ def part_boxes(blocks: DataFrame, query: str, width: int, height: int, least: fl
     """
     c = F.col
     plain = " ".join(query.lower().split())
-    near = blocks.withColumn("norm", t.normalised(c("text"))).where(F.length("norm") >= shortest)
+    # A text's score is asked once for each distinct one, and few texts are like a part: nothing else of the blocks is moved.
+    texts = blocks.groupBy("text").agg(F.max(F.length("text")).alias("_size")).where("_size > 0").select("text", t.normalised(c("text")).alias("norm")).where(F.length("norm") >= shortest)
     # A long line that isn't part of the query can still hold a part: its words are looked at below.
     part = edit_part_score(c("norm"), plain) if metric == "edit" else m.part_scores(c("norm"), c("q"))
-    scored = near.withColumn("q", F.lit(plain)).withColumn("part", part).where(c("part") >= least)
+    scored = joined(blocks, cut(texts.withColumn("q", F.lit(plain)).withColumn("part", part).where(c("part") >= least)))
     whole = F.lit(None).cast("struct<first:int,last:int,score:double>")
     if metric == "edit":
         run = scored.withColumn("own", F.lit(None).cast("array<struct<k:int,text:string,left:double,top:double,w:double,h:double>>")).withColumn("run", whole)
     else:
-        words = blocks.where("type = 'WORD'").groupBy("video", "frame", "l").agg(F.array_sort(F.collect_list(F.struct("k", "text", "left", "top", "w", "h"))).alias("own"))
+        on_line = cut(scored.where("type = 'LINE'").select("video", "frame", "l").distinct())
+        words = blocks.where("type = 'WORD'").join(sent(on_line), ["video", "frame", "l"], "left_semi").groupBy("video", "frame", "l").agg(F.array_sort(F.collect_list(F.struct("k", "text", "left", "top", "w", "h"))).alias("own"))
         lined = scored.where("type = 'LINE'").join(words, ["video", "frame", "l"], "left").unionByName(scored.where("type <> 'LINE' or type is null"), allowMissingColumns=True)
         run = lined.withColumn("run", m.best_parts(F.transform("own", lambda w: t.normalised(w["text"])), c("q")))
     span = F.when(c("run.first").isNotNull(), F.slice("own", c("run.first") + 1, c("run.last") - c("run.first") + 1))
@@ -213,8 +215,8 @@ def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int =
     known = cut(hits.select("video", "frame", "pos", *NAMES, t.normalised(c("text")).alias("norm"), label))
     ends = known.groupBy("video").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
     ahead = c("frame") < c("last") if direction < 0 else c("frame") > c("first")
-    reachable = blocks.join(ends, "video").where(ahead).drop("first", "last")
-    scored = part_boxes(reachable, query, width, height, metric=metric)
+    # Blocks that are like no part go first: the rest are few, and only they are told apart by video.
+    scored = part_boxes(blocks, query, width, height, metric=metric).join(ends, "video").where(ahead).drop("first", "last")
     box = [c("x"), c("y"), c("w"), c("h")]
     empty = {name: F.lit(None).cast(kind) for name, kind in (f.split() for f in ROW.split(", "))}
 
@@ -229,16 +231,17 @@ def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int =
     parts = rows(scored, PART, c("frame"), norm=t.normalised(c("text")), text=c("text"), **{k: c(f"b.{k}") for k in "xywh"}, **{k: c(k) for k in ("left", "top", "right", "bottom", "part", "conf", "l", "k")})
     held = cut(own.unionByName(first).unionByName(parts))
     walk, schema, keys = _walked(direction, (float(width), float(height)), centre, metric, frames), f"video {video}, {OUT}", ["video", "segment"]
-    step = lambda df: cut(df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(walk, schema))
-    # Only segments where something arrives can find anything.
-    found = step(held.join(first.select(*keys).distinct(), keys, "left_semi"))
+    # Rows must come from a written table: after a join on the same keys the planner leaves the shuffle and
+    # the sort out, and if that join is then changed into another kind at run time, segments come in pieces.
+    step = lambda written: cut(written.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(walk, schema))
+    found = step(held)
     told = _leaving(found, direction, frames)
     heard = told.limit(0)
     while True:
         changed = cut(told.exceptAll(heard).unionByName(heard.exceptAll(told)).select(*keys).distinct())
         if not changed.limit(1).count():
             break
-        anew = step(held.unionByName(rows(told, ARRIVAL, c("frame"), pos=c("pos"), norm=c("norm"), label=c("label"), round=c("round"), **placed)).join(changed, keys, "left_semi"))
+        anew = step(cut(held.unionByName(rows(told, ARRIVAL, c("frame"), pos=c("pos"), norm=c("norm"), label=c("label"), round=c("round"), **placed)).join(changed, keys, "left_semi")))
         found = cut(found.join(changed, keys, "left_anti").select(*found.columns).unionByName(anew))
         heard, told = told, _leaving(found, direction, frames)
     origin = F.lit("backtrack" if direction < 0 else "forward").alias("origin")

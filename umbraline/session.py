@@ -5,6 +5,12 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Texts (of bounded length) and keys up to so many are sent to what they are joined with.
+BROADCAST_TEXTS = 20_000
+LONGEST_SENT = 400
+BROADCAST_KEYS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and forget how it was made."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def joined(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """``blocks`` with what ``texts``, a written table, says of theirs."""
+    size, longest = texts.agg(F.count("*"), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
+    return blocks.join(F.broadcast(texts) if size <= BROADCAST_TEXTS and longest <= LONGEST_SENT else texts, "text")
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """A written table of short keys, marked to be sent if it is small: what is joined with it then stays where it is."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
