@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -109,47 +110,71 @@ def recovered(seeds: DataFrame, blocks: DataFrame, boxes: DataFrame, regions: Da
     c = F.col
     step = F.when(c("direction") == "forward", 1).otherwise(-1)
     kind = c("kind") if "kind" in seeds.columns else F.lit("text")
-    walk = ["video", "instance", "kind", "text", "wanted", "direction"]
+    key = ["video", "instance", "kind", "text", "wanted"]
+    walk, at = [*key, "direction"], ["video", "frame", "instance"]
     level = cut(seeds.select("video", "instance", kind.alias("kind"), "text", t.normalised(c("text")).alias("wanted"), "direction", c("first_focus").cast("int").alias("frame")).distinct())
-    claimed = level.select("video", "instance", "direction", "frame").limit(0)
-    known = boxes.select("video", "frame", "instance").distinct()
-    place = ["l", "k", "type", c("text").alias("its"), "left", "top", "w", "h"]
-    by_frame = ["video", "frame", "instance", "direction", "wanted"]
-    first = lambda rows, n: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by_frame).orderBy("l", "k"))).where(F.col("_n") <= n).drop("_n")
-    alike = t.character_overlap(t.normalised(c("its")), c("wanted")) >= least
+    claimed = level.select(*at, "direction").limit(0)
+    known = cut(boxes.select(*at).distinct())
+    found = cut(_addable(level, blocks, known, regions, scores, depth, least, least_score))
+    addable = cut(found.select(*key, "frame").distinct())
     parts = []
     for n in range(depth):
-        level = level.join(claimed, ["video", "instance", "direction", "frame"], "left_anti")
-        there = level.join(known, ["video", "frame", "instance"], "left_semi")
-        absent = level.join(known, ["video", "frame", "instance"], "left_anti")
-        near = absent.join(blocks.select("video", "frame", *place), ["video", "frame"])
-        head = t.normalised(F.substring("text", 1, 6))
-        found = first(near.where((c("kind") == "text") & F.contains(t.normalised(c("its")), head)), LOOKED_AT["text"]).where(alike)
-        if regions is not None:
-            own = regions.select("video", "frame", "instance", *[c(k).alias(f"r_{k}") for k in ("top", "left", "bottom", "right")])
-            inside = g.intersects(c("left"), c("top"), c("left") + c("w"), c("top") + c("h"), c("r_left"), c("r_top"), c("r_right"), c("r_bottom"))
-            found = found.unionByName(first(near.where("kind = 'region'").join(own, ["video", "frame", "instance"]).where(inside).select(*near.columns), LOOKED_AT["region"]))
-        if scores is not None:
-            good = scores.where(c("confidence") >= least_score).select("video", "frame", "l", "k", "instance_branch").distinct()
-            meant = near.where("kind = 'semantic'").withColumn("instance_branch", t.branch_of(c("instance"))).join(good, ["video", "frame", "l", "k", "instance_branch"], "left_semi")
-            found = found.unionByName(first(meant.select(*near.columns), LOOKED_AT["semantic"]).where(alike))
-        new = cut(found.select(*walk, "frame", "l", "k", "its", "left", "top", "w", "h"))
-        parts.append(new.select("video", "frame", "instance", "wanted", "direction", "l", "k", c("its").alias("text"), "left", "top", "w", "h", F.lit(n).alias("step")))
-        onward = there.select(*walk, "frame").unionByName(new.select(*walk, "frame").distinct())
-        claimed = claimed.unionByName(level.select("video", "instance", "direction", "frame"))
-        known = known.unionByName(new.select("video", "frame", "instance").distinct())
+        level = level.join(claimed, [*at, "direction"], "left_anti")
+        there = level.join(known, at, "left_semi")
+        new = cut(level.join(known, at, "left_anti").join(addable, [*key, "frame"], "left_semi"))
+        parts.append(new.withColumn("step", F.lit(n)))
+        claimed = claimed.unionByName(level.select(*claimed.columns))
+        onward = there.select(*walk, "frame").unionByName(new.select(*walk, "frame"))
+        known = known.unionByName(new.select(*at).distinct())
         if n % 4 == 3:
             claimed, known = cut(claimed), cut(known)
         level = cut(onward.withColumn("frame", (c("frame") + step).cast("int")).distinct())
         if not level.limit(1).count():
             break
-    added = parts[0]
-    for p in parts[1:]:
-        added = added.unionByName(p)
+    added = reduce(DataFrame.unionByName, parts).join(found, [*key, "frame"]).select(*at, "wanted", "direction", "l", "k", c("its").alias("text"), "left", "top", "w", "h", "step")
     # Both directions may recover one block of a frame in one round.
     return added.withColumn("_n", F.row_number().over(Window.partitionBy("video", "frame", "instance", "l", "k").orderBy("step", "direction"))).where("_n = 1").drop("_n", "l", "k")
 
 
+#: Beginnings of texts up to which blocks are sifted by them before they are moved.
+HEADS = 64
+
+
+def _addable(seeds: DataFrame, blocks: DataFrame, known: DataFrame, regions: DataFrame | None, scores: DataFrame | None, depth: int, least: float, least_score: float) -> DataFrame:
+    """What each walk would add on every frame in its reach that hasn't its instance: ``video, instance, kind, text, wanted, frame`` and blocks.
+
+    It doesn't depend on the round or the direction, so blocks are read once for all rounds.
+    """
+    c = F.col
+    key = ["video", "instance", "kind", "text", "wanted"]
+    onward = c("direction") == "forward"
+    reach = [F.min(F.when(onward, c("frame")).otherwise(c("frame") - depth + 1)).alias("low"), F.max(F.when(onward, c("frame") + depth - 1).otherwise(c("frame"))).alias("high")]
+    wants = cut(seeds.groupBy(*key).agg(*reach).withColumn("head", t.normalised(F.substring("text", 1, 6))))
+    place = ["l", "k", c("text").alias("its"), "left", "top", "w", "h"]
+    out = [*key, "frame", "l", "k", "its", "left", "top", "w", "h"]
+    shown = blocks.select("video", "frame", *place)
+    inside = c("frame").between(c("low"), c("high"))
+    first = lambda rows, n: rows.withColumn("_n", F.row_number().over(Window.partitionBy("video", "frame", "instance", "kind", "text", "wanted").orderBy("l", "k"))).where(F.col("_n") <= n).drop("_n")
+    alike = t.character_overlap(t.normalised(c("its")), c("wanted")) >= least
+    absent = lambda rows: rows.where(inside).join(known, ["video", "frame", "instance"], "left_anti")
+    norm = t.normalised(c("its"))
+    heads = [r["head"] for r in wants.where("kind = 'text' and head is not null").select("head").distinct().limit(HEADS + 1).collect()]
+    holding = shown.where(reduce(lambda a, b: a | b, [F.contains(norm, F.lit(h)) for h in heads], F.lit(False))) if len(heads) <= HEADS else shown
+    near = absent(holding.join(wants.where("kind = 'text'"), "video").where(F.contains(norm, c("head"))))
+    found = first(near, LOOKED_AT["text"]).where(alike).select(*out)
+    if regions is not None:
+        own = regions.select("video", "frame", "instance", *[c(k).alias(f"r_{k}") for k in ("top", "left", "bottom", "right")])
+        there = absent(own.join(wants.where("kind = 'region'"), ["video", "instance"])).join(shown, ["video", "frame"])
+        meets = g.intersects(c("left"), c("top"), c("left") + c("w"), c("top") + c("h"), c("r_left"), c("r_top"), c("r_right"), c("r_bottom"))
+        found = found.unionByName(first(there.where(meets), LOOKED_AT["region"]).select(*out))
+    if scores is not None:
+        good = scores.where(c("confidence") >= least_score).select("video", "frame", "l", "k", "instance_branch").distinct()
+        meant = wants.where("kind = 'semantic'").withColumn("instance_branch", t.branch_of(c("instance")))
+        there = absent(shown.join(good, ["video", "frame", "l", "k"]).join(meant, ["video", "instance_branch"]))
+        found = found.unionByName(first(there, LOOKED_AT["semantic"]).where(alike).select(*out))
+    return found
+
+
 def replayed_partials(hits: DataFrame, replies: DataFrame) -> DataFrame:
     """Boxes that a recorded comparison found on a neighbouring frame: the first of each reply.
 
