@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from umbraline.functions import matching, search
+from umbraline.functions import matching, search, text
 from umbraline.functions.text import WINDOW_STEPS
 from umbraline.model import DetectParams
 from umbraline.operators import detect
@@ -60,3 +61,20 @@ def test_one_pass_finds_what_one_pass_for_each_query_finds(spark):
         assert got == want and len({q for *_, q in got}) >= 4
     assert detect.detect_each(blocks, [" "]).columns == [*blocks.columns, "query"]
     assert detect.detect_each(blocks.where(F.lit(False)), queries).count() == 0
+
+
+def test_one_edit_patterns_find_what_every_window_finds():
+    rng = random.Random(1)
+    asked = 0
+    for _ in range(4000):
+        needle, least = "".join(rng.choice("ab. ") for _ in range(rng.randint(4, 10))), rng.choice([0.82, 0.9, 0.85, 1.0])
+        pattern = text._one_edit(needle, least)
+        if pattern is None:
+            continue
+        typed = list(needle)
+        for _ in range(rng.randint(0, 2)):
+            typed[(at := rng.randint(0, len(typed))) : at + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+        own = "".join(rng.choice("ab. \n") for _ in range(3)) + "".join(typed) + "a"
+        assert (needle in own or bool(pattern and re.search(pattern, own))) == every_window(own, needle, least, "edit")
+        asked += 1
+    assert asked > 2000 and text._one_edit("a needle too long for one", 0.82) is None

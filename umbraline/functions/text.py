@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -62,6 +63,9 @@ def fuzzy_contains(haystack: Column, needle: str, least: float = FUZZY) -> Colum
     pieces = [needle[a:b] for a, b in itertools.pairwise(borders)]
     # With as many edits as characters any window may do.
     may = (lambda part: F.lit(True)) if edits >= n else lambda part: reduce(lambda x, y: x | y, [F.contains(part, F.lit(p)) for p in pieces])
+    one_edit = _one_edit(needle, least)
+    if one_edit is not None:
+        return F.contains(haystack, wanted) | haystack.rlike(one_edit) if one_edit else F.contains(haystack, wanted)
     overlap = n + 1
 
     def in_part(part: Column) -> Column:
@@ -76,19 +80,53 @@ def fuzzy_contains(haystack: Column, needle: str, least: float = FUZZY) -> Colum
     return F.contains(haystack, wanted) | whole | F.when(may(haystack), F.exists(parts, in_part)).otherwise(False)
 
 
+def cheap(needle: str, least: float = FUZZY) -> bool:
+    """Whether ``fuzzy_contains`` is a pattern, which costs about as much as reading the text."""
+    return not needle or _one_edit(needle, least) is not None
+
+
+def _one_edit(needle: str, least: float) -> str | None:
+    """A pattern of what is one edit away from the needle, if likeness allows no more than that ("" if not even that); else None."""
+    n = len(needle)
+    allowed = {size: max((d for d in range(abs(n - size), max(n, size) + 1) if 1.0 - d / max(n, size) >= least), default=-1) for size in range(n + 3)}
+    if n < 4 or any(d > 1 for d in allowed.values()) or any(d >= 0 and abs(n - size) > 1 for size, d in allowed.items()):
+        return None
+    ways = []
+    for i, c in enumerate(needle):
+        ways += [(i, "." + needle[i + 1 :])] if allowed[n] == 1 else []
+        ways += [(i, needle[i + 1 :])] if allowed[n - 1] == 1 and (i == 0 or needle[i - 1] != c) else []
+        ways += [(i, "." + needle[i:])] if allowed[n + 1] == 1 and i else []
+    # Written as a tree, so that a place is left at the first character that doesn't fit.
+    quoted = lambda x: "".join("." if k == 0 and x[0] == "." and dot else re.escape(c) for k, c in enumerate(x))
+    pattern = ""
+    for i in reversed(range(n)):
+        own = []
+        for at, rest in ways:
+            if at == i:
+                dot = rest.startswith(".") and len(rest) in (n - i, n - i + 1)
+                own.append(quoted(rest))
+        pattern = "(?:" + "|".join([*own, *([re.escape(needle[i]) + pattern] if pattern else [])]) + ")" if own or pattern else ""
+    return "(?s)" + pattern if pattern else ""
+
+
 def _any_window(haystack: Column, wanted: Column, size: int, least: float) -> Column:
     return F.exists(F.sequence(F.lit(1), F.length(haystack) - size + 1), lambda i: edit_similarity(F.substring(haystack, i, F.lit(size)), wanted) >= least)
 
 
 def shared_with(text: Column, phrase: str) -> Column:
     """Length of the longest run of characters that the text shares with a short phrase."""
-    low, other = F.lower(text), phrase.lower()
-    out = None
-    for size in range(len(other), 0, -1):
-        runs = sorted({other[i : i + size] for i in range(len(other) - size + 1)})
-        held = reduce(lambda x, y: x | y, [F.contains(low, F.lit(r)) for r in runs])
-        out = F.when(held, size) if out is None else out.when(held, size)
-    return F.lit(0) if out is None else out.otherwise(0)
+    other = phrase.lower()
+
+    # Who shares a run shares all shorter ones, and most texts share none but short ones: ask for these first.
+    def longest(low: Column) -> Column:
+        out = None
+        for size in range(1, len(other) + 1):
+            runs = sorted({other[i : i + size] for i in range(len(other) - size + 1)})
+            lacks = (F.length(low) < size) | ~reduce(lambda x, y: x | y, [F.contains(low, F.lit(r)) for r in runs])
+            out = F.when(lacks, size - 1) if out is None else out.when(lacks, size - 1)
+        return F.lit(0) if out is None else out.otherwise(len(other))
+
+    return F.coalesce(let(F.lower(text), longest), F.lit(0))
 
 
 def shared_length(a: Column, b: Column) -> Column:

@@ -12,32 +12,30 @@ from ..functions import matching as m
 from ..functions import search as s
 from ..functions import text as t
 from ..model import DetectParams
-from ..session import cut
+from ..session import BROADCAST_TEXTS, LONGEST_SENT, cut, joined, sent
 
-
-#: Matching texts up to this many (of bounded length) are sent to the blocks.
-BROADCAST_TEXTS = 20_000
-LONGEST_SENT = 400
-
-
-def _joined(blocks: DataFrame, texts: DataFrame) -> DataFrame:
-    """``blocks`` with what ``texts``, a written table, says of theirs."""
-    size, longest = texts.agg(F.count("*"), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    return blocks.join(F.broadcast(texts) if size <= BROADCAST_TEXTS and longest <= LONGEST_SENT else texts, "text")
+#: Blocks from which a text may count as frequent, and how many of the most frequent ones are sent to their blocks.
+FREQUENT = 10_000
+MOST_FREQUENT = 1_000
 
 
 def _asked(blocks: DataFrame, found: Column) -> DataFrame:
-    """``text, found`` of the blocks: a costly expression over the normalised text (``norm``), asked once for each distinct text.
+    """``text, n, found`` of the blocks: a costly expression over the normalised text (``norm``), asked once for each distinct text.
 
     It hangs on an aggregate, or else the optimiser would ask it of every block before they are grouped.
     """
-    texts = blocks.groupBy("text").agg(F.max(F.length("text")).alias("size")).withColumn("norm", t.normalised(F.col("text")))
-    return texts.select("text", F.when((F.col("size") > 0) & (F.col("norm") != ""), found).alias("found"))
+    texts = blocks.groupBy("text").agg(F.max(F.length("text")).alias("size"), F.count("*").alias("n")).withColumn("norm", t.normalised(F.col("text")))
+    return texts.select("text", "n", F.when((F.col("size") > 0) & (F.col("norm") != ""), found).alias("found"))
 
 
-def _matching(blocks: DataFrame, condition: Column) -> DataFrame:
-    """The blocks whose normalised text (``norm``) isn't empty and meets a costly condition."""
-    return _joined(blocks, cut(_asked(blocks, condition).where("found").select("text"))).withColumn("norm", t.normalised(F.col("text")))
+def _matching(blocks: DataFrame, condition: Column, cheap: bool = False) -> DataFrame:
+    """The blocks whose normalised text (``norm``) isn't empty and meets a condition.
+
+    A cheap one is asked of every block where it lies; a costly one once for each distinct text, which moves them.
+    """
+    if cheap:
+        return blocks.where(F.length("text") > 0).withColumn("norm", t.normalised(F.col("text"))).where((F.col("norm") != "") & condition)
+    return joined(blocks, cut(_asked(blocks, condition).where("found").select("text"))).withColumn("norm", t.normalised(F.col("text")))
 
 
 def detect(blocks: DataFrame, query: str, params: DetectParams = DetectParams(), width: int = 1600, height: int = 900, words: DataFrame | None = None, metric: str = "sequence") -> DataFrame:
@@ -52,7 +50,11 @@ def detect(blocks: DataFrame, query: str, params: DetectParams = DetectParams(),
     wanted = " ".join(query.lower().split())
     kind = "LINE" if " " in wanted else "WORD"
     chosen = blocks.where((F.col("type") == kind) & (F.col("confidence") >= params.min_confidence))
-    found = _matching(chosen, t.fuzzy_contains(F.col("norm"), wanted, params.fuzzy) if metric == "edit" else s.text_holds(F.col("norm"), wanted, params.fuzzy)).drop("norm")
+    if metric == "edit":
+        found = _matching(chosen, t.fuzzy_contains(F.col("norm"), wanted, params.fuzzy), t.cheap(wanted, params.fuzzy)).drop("norm")
+    else:
+        # Only texts with a piece of the query go to Python, and equal ones of a batch are compared once.
+        found = _matching(chosen, s.may_hold(F.col("norm"), wanted, params.fuzzy) & s.text_holds(F.col("norm"), wanted, params.fuzzy), cheap=True).drop("norm")
     if words is not None and kind == "LINE":
         found = narrowed(found, words, wanted, params.fuzzy)
     box = g.to_pixels(F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.lit(width), F.lit(height), params.pad)
@@ -71,15 +73,25 @@ def detect_each(blocks: DataFrame, queries: list[str], params: DetectParams = De
         own = [q for q in wanted if (" " in q) == (kind == "LINE")]
         if own:
             chosen = blocks.where((F.col("type") == kind) & (F.col("confidence") >= params.min_confidence))
-            texts = cut(_asked(chosen, s.needles_held(F.col("norm"), own, params.fuzzy, metric)).select("text", F.explode("found").alias("query")))
-            parts.append(_joined(chosen, texts).select(*[f"`{c}`" for c in blocks.columns], "query"))
+            asked = cut(_asked(chosen, s.needles_held(F.col("norm"), own, params.fuzzy, metric)).where((F.size("found") > 0) | (F.col("n") >= FREQUENT)))
+            texts = asked.where(F.size("found") > 0).select("text", "found")
+            each = [f"`{c}`" for c in blocks.columns]
+            if asked.limit(BROADCAST_TEXTS + 1).count() > BROADCAST_TEXTS:
+                # All blocks of a text meet in one place, so frequent texts are sent to theirs instead.
+                often = cut(asked.where((F.col("n") >= FREQUENT) & (F.length("text") <= LONGEST_SENT)).orderBy(F.col("n").desc(), "text").limit(MOST_FREQUENT).select("text", "found"))
+                parts.append(chosen.join(F.broadcast(often.where(F.size("found") > 0)), "text").select(*each, F.explode("found").alias("query")))
+                chosen, texts = (df.join(F.broadcast(often.select("text")), "text", "left_anti") for df in (chosen, texts))
+                parts.append(chosen.join(texts, "text").select(*each, F.explode("found").alias("query")))
+            else:
+                parts.append(joined(chosen, texts).select(*each, F.explode("found").alias("query")))
     return reduce(DataFrame.unionByName, parts[1:] or parts)
 
 
 def narrowed(lines: DataFrame, words: DataFrame, wanted: str, least: float = t.FUZZY) -> DataFrame:
     """``lines`` with text and place of their tightest run of words, where one matches and has a size."""
     keys = ["video", "frame", "l"]
-    own = words.join(lines.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "text", "left", "top", "w", "h"))).alias("words"))
+    lines = cut(lines)  # few, as against the words
+    own = words.join(sent(cut(lines.select(*keys).distinct())), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "text", "left", "top", "w", "h"))).alias("words"))
     run = own.withColumn("run", m.tightest_runs(F.transform("words", lambda w: t.normalised(w["text"])), wanted, least))
     span = run.where("run.first is not null").select(*keys, F.expr("slice(words, run.first + 1, run.last - run.first + 1)").alias("span"))
     low = lambda k: F.array_min(F.transform("span", lambda w: w[k]))
@@ -132,7 +144,7 @@ def text_candidates(blocks: DataFrame, needle: str, fuzzy: float = t.FUZZY) -> D
     """Blocks for a text condition with ``prior``: 1 if either holds the other, else their similarity."""
     wanted = " ".join(needle.lower().split())
     prior = text_prior(F.col("norm"), wanted, fuzzy)
-    return _matching(blocks, prior.isNotNull()).withColumn("prior", prior).drop("norm")
+    return _matching(blocks, prior.isNotNull(), t.cheap(wanted, fuzzy)).withColumn("prior", prior).drop("norm")
 
 
 def text_prior(norm: Column, wanted: str, fuzzy: float = t.FUZZY) -> Column:
@@ -153,11 +165,13 @@ def ranked(blocks: DataFrame, query: str, most: int = 120, most_relevant: int =
     scored = blocks.withColumn("score", relevance(blocks, query))
     frame = Window.partitionBy("video", "frame")
     by = frame.orderBy(F.col("relevant").desc(), F.when(F.col("relevant"), F.col("score")).desc(), F.when(F.col("relevant"), F.col("type") != "LINE"), F.when(F.col("relevant"), F.col("confidence")).desc(), "l", "k")
-    ranked_rows = scored.withColumn("relevant", F.col("score") >= 2).withColumn("place", F.row_number().over(by)).withColumn("n_relevant", F.least(F.lit(min(most, most_relevant)), F.sum(F.col("relevant").cast("int")).over(frame)))
-    kept = ranked_rows.where(F.col("relevant") & (F.col("place") <= F.col("n_relevant")) | (F.col("type") == "LINE"))
-    chosen = F.col("relevant") & (F.col("place") <= F.col("n_relevant"))
+    # Words that aren't relevant are never given out, and relevant blocks come before all others: they go before anything is moved.
+    own = scored.withColumn("relevant", F.col("score") >= 2).where(F.col("relevant") | (F.col("type") == "LINE"))
+    chosen = F.col("relevant") & (F.col("place") <= min(most, most_relevant))
+    kept = own.withColumn("place", F.row_number().over(by)).withColumn("chosen", chosen).where(F.col("chosen") | (F.col("type") == "LINE"))
+    chosen = F.col("chosen")
     again = frame.orderBy(F.when(chosen, 0).otherwise(1), F.when(chosen, F.col("place")), "l", "k")
-    return kept.withColumn("chosen", chosen).withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= most).drop("place", "n_relevant", "relevant")
+    return kept.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= most).drop("place", "relevant")
 
 
 def tightest_spans(lines: DataFrame, words: DataFrame, query: str) -> DataFrame:

@@ -939,9 +939,9 @@ def box_shrink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event's box on a small picture made from it: dark text on white, with a margin of a few pixels on some sides."""
     rows = adapters.hits(spark, sf_dir).select("event_id", *[(F.col("event_id") % n).cast("int").alias(k) for k, n in (("left", 5), ("right", 7), ("top", 2), ("bottom", 3))])
     wide, tall = 40, 20
-    dark = lambda px, py: (px >= F.col("left")) & (px < wide - F.col("right")) & (py >= F.col("top")) & (py < tall - F.col("bottom"))
-    pixel = lambda i: F.when(dark(i % wide, F.floor(i / wide)), "000000").otherwise("FFFFFF")
-    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(wide * tall - 1)), pixel), ""))
+    white, black = (lambda n: F.repeat(F.lit("FFFFFF"), n)), (lambda n: F.repeat(F.lit("000000"), n))
+    line = F.concat(white(F.col("left")), black(wide - F.col("left") - F.col("right")), white(F.col("right")))
+    pixels = F.unhex(F.concat(F.repeat(white(F.lit(wide)), F.col("top")), F.repeat(line, tall - F.col("top") - F.col("bottom")), F.repeat(white(F.lit(wide)), F.col("bottom"))))
     colour = lambda v: F.array(*[F.lit(v)] * 3)
     boxes = rows.select("event_id", pixels.alias("pixels"), F.lit(wide).alias("width"), F.lit(tall).alias("height"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(wide).alias("w"), F.lit(tall).alias("h"), colour(0).alias("ink"), colour(255).alias("paper"))
     return shrink.shrink(boxes).select("event_id", "x", "y", "w", "h", "reason")
