@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import detect, merge
+from ..session import cut, met
 from .predicate import Leaf, Node, leaves
 
 KEYS = ["video", "frame", "l", "k"]
 PLACE = ["type", "text", "confidence", "left", "top", "w", "h"]
+#: Rectangles, the most frequent ones, that blocks are compared with before they are moved to the regions of their frames.
+COMMON = 16
 
 
 def of_leaf(leaf: Leaf, blocks: DataFrame, regions: DataFrame | None = None, scores: DataFrame | None = None, least: float = 0.6) -> DataFrame:
@@ -28,19 +31,37 @@ def of_leaf(leaf: Leaf, blocks: DataFrame, regions: DataFrame | None = None, sco
         return found.select(*KEYS, *PLACE, branch.alias("branch"), t.text_instance(branch, F.col("text")).alias("instance"), F.col("prior").alias("score"))
     if leaf.kind == "region" and regions is not None:
         own = regions.where(F.col("branch") == leaf.branch).select("video", "frame", "sub_id", *[F.col(c).alias(f"r_{c}") for c in ("top", "left", "bottom", "right")])
-        inside = g.intersects(F.col("left"), F.col("top"), F.col("left") + F.col("w"), F.col("top") + F.col("h"), F.col("r_left"), F.col("r_top"), F.col("r_right"), F.col("r_bottom"))
-        return blocks.join(own, ["video", "frame"]).where(inside).select(*KEYS, *PLACE, branch.alias("branch"), t.region_instance(branch, F.col("sub_id")).alias("instance"), F.lit(1.0).alias("score"))
+        return inside(blocks, own).select(*KEYS, *PLACE, branch.alias("branch"), t.region_instance(branch, F.col("sub_id")).alias("instance"), F.lit(1.0).alias("score"))
     if leaf.kind == "semantic" and scores is not None:
         own = scores.where((F.col("description") == leaf.text) & (F.col("confidence") >= least)).select(*KEYS, F.col("confidence").alias("score"))
-        return blocks.join(own, KEYS).select(*KEYS, *PLACE, branch.alias("branch"), t.semantic_instance(branch, F.lit(leaf.category or "other"), F.col("text")).alias("instance"), "score")
+        return met(blocks, cut(own), KEYS).select(*KEYS, *PLACE, branch.alias("branch"), t.semantic_instance(branch, F.lit(leaf.category or "other"), F.col("text")).alias("instance"), "score")
     return blocks.where(F.lit(False)).select(*KEYS, *PLACE, branch.alias("branch"), F.lit("").alias("instance"), F.lit(0.0).alias("score"))
 
 
+def inside(blocks: DataFrame, own: DataFrame) -> DataFrame:
+    """Blocks with each region of their frame (``video, frame, r_top, r_left, r_bottom, r_right``) that they share an area with.
+
+    Only blocks that meet one of the rectangles that most regions have, and those on frames with
+    another rectangle, are moved to the regions.
+    """
+    sides = ["r_top", "r_left", "r_bottom", "r_right"]
+    own = cut(own.dropna(subset=sides))
+    meets = lambda top, left, bottom, right: g.intersects(F.col("left"), F.col("top"), F.col("left") + F.col("w"), F.col("top") + F.col("h"), left, top, right, bottom)
+    counted = own.groupBy(*sides).count().orderBy(F.col("count").desc(), *sides).limit(COMMON + 1).collect()
+    often = [[F.lit(r[s]) for s in sides] for r in counted[:COMMON]]
+    either = lambda conditions: reduce(lambda a, b: a | b, conditions, F.lit(False))
+    is_often = either([reduce(lambda a, b: a & b, [F.col(s) == v for s, v in zip(sides, r, strict=True)]) for r in often])
+    found = blocks.where(either([meets(*r) for r in often])).join(own.where(is_often), ["video", "frame"])
+    if len(counted) > COMMON:
+        found = found.unionByName(met(blocks, own.where(~is_often), ["video", "frame"]))
+    return found.where(meets(*[F.col(s) for s in sides]))
+
+
 def of_text_leaves(texts: list[Leaf], blocks: DataFrame) -> DataFrame:
-    """What :func:`of_leaf` gives for several text leaves, in one pass: each distinct text is asked once for all."""
+    """What :func:`of_leaf` gives for several text leaves, in one pass: each distinct text is asked once for all, or every block where it lies if all are cheap."""
     priors = [F.struct(F.lit(x.branch).alias("branch"), detect.text_prior(F.col("norm"), " ".join(x.text.lower().split()), x.fuzzy or t.FUZZY).alias("score")) for x in texts]
     held = F.filter(F.array(*priors), lambda p: p["score"].isNotNull())
-    found = detect._matching(blocks, reduce(lambda a, b: a | b, [p["score"].isNotNull() for p in priors]))
+    found = detect._matching(blocks, reduce(lambda a, b: a | b, [p["score"].isNotNull() for p in priors]), all(t.cheap(" ".join(x.text.lower().split()), x.fuzzy or t.FUZZY) for x in texts))
     each = found.select(*KEYS, *PLACE, F.explode(held).alias("p"))
     return each.select(*KEYS, *PLACE, "p.branch", t.text_instance(F.col("p.branch"), F.col("text")).alias("instance"), "p.score")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BROADCAST_TEXTS = 20_000
 LONGEST_SENT = 400
 BROADCAST_KEYS = 200_000
+#: Places that hashed keys fall into; a row of each at most is sent, whatever the number of keys.
+SLOTS = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +50,18 @@ def joined(blocks: DataFrame, texts: DataFrame) -> DataFrame:
 def sent(keys: DataFrame) -> DataFrame:
     """A written table of short keys, marked to be sent if it is small: what is joined with it then stays where it is."""
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def met(rows: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``own``, a written table, on short keys, where few of the rows have a partner.
+
+    More keys than are sent as they are first say into which places their hashes fall; rows in
+    other places have no partner and stay where they are.
+    """
+    if own.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(own), keys)
+    if any(rows.schema[k].dataType != own.schema[k].dataType for k in keys):
+        return rows.join(own, keys)  # equal values of two types have different hashes
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).alias("_slot")
+    may = rows.select("*", slot).join(F.broadcast(own.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
+    return may.join(own, keys)
