@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from umbraline import session
+from umbraline.operators import merge
 from umbraline.plans import predicate, prompt
 
 TREE = predicate.branched(predicate.parse({"and": [{"text": "licensed"}, {"region": "top"}, {"semantic": "secrets", "category": "secret"}]}))
@@ -70,3 +71,49 @@ def test_many_rectangles_and_many_keys_lose_nothing(spark, monkeypatch):
     # Keys of another type than the blocks' join all the same.
     wide = scores.withColumn("frame", F.col("frame").cast("long"))
     assert prompt.curated(TREE, blocks, None, wide).where("branch = 'L2'").count() == len(scored)
+
+
+BOX = "video string, frame int, pos int, x int, y int, w int, h int"
+
+
+def _linked(rows):
+    """The smallest position that each box reaches, by all pairs."""
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, f, _, x, y, w, h) in enumerate(rows):
+        for j in range(i):
+            _, f2, _, x2, y2, w2, h2 = rows[j]
+            low = min(h, h2)
+            if f == f2 and low > 0 and abs(y + h / 2 - y2 - h2 / 2) < low * 0.4 and max(x, x2) - min(x + w, x2 + w2) <= low * 0.8:
+                a, b = sorted((top(i), top(j)), key=lambda n: rows[n][2])
+                root[b] = a
+    return sorted((r[1], r[2], rows[top(i)][2]) for i, r in enumerate(rows))
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [("v", f, p, rng.randrange(1500), rng.choice([0, 4, 40, 41, 43, 90]), rng.choice([0, 1, 20, 90, 700]), rng.choice([0, 1, 4, 10, 10, 10, 60])) for f in range(12) for p in rng.sample(range(1000), 60)]
+    # A low box in the gap of two that touch across it; it touches neither.
+    rows += [("v", 99, 0, 0, 0, 100, 100), ("v", 99, 1, 170, 0, 100, 100), ("v", 99, 2, 130, 48, 4, 4), ("v", 99, 3, 260, 49, 4, 4)]
+    got = merge.groups(spark.createDataFrame(rows, BOX).repartition(3)).collect()
+    assert sorted((r["frame"], r["pos"], r["grp"]) for r in got) == _linked(rows)
+
+
+def test_boxes_on_one_place_are_put_together_without_pairs(spark, monkeypatch):
+    written = []
+
+    def counted(df, cut=merge.cut):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(merge, "cut", counted)
+    rows = [("v", 1, p, 3 * p, 20, 100, 400) for p in range(400)]
+    assert {r["grp"] for r in merge.groups(spark.createDataFrame(rows, BOX)).collect()} == {0}
+    # All pairs of neighbours (over 100,000) were written before.
+    assert max(written) <= 2 * len(rows)

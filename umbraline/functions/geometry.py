@@ -10,6 +10,8 @@ PAD = 2
 MARGIN = 0.5
 #: Centres this near (in parts of the frame) may be the same text.
 CENTRE = 0.08
+#: Boxes on a line touch across a gap of so much of the lower one's height.
+GAP = 0.8
 
 
 def half_up(x: Column) -> Column:
@@ -84,7 +86,7 @@ def same_line(y1, h1, y2, h2, ratio: float = 0.4) -> Column:
     return (least > 0) & (F.abs(y1 + h1 / 2 - y2 - h2 / 2) < least * ratio)
 
 
-def touching(x1, w1, h1, x2, w2, h2, ratio: float = 0.8) -> Column:
+def touching(x1, w1, h1, x2, w2, h2, ratio: float = GAP) -> Column:
     least = F.least(h1, h2)
     return (least > 0) & (F.greatest(x1, x2) - F.least(x1 + w1, x2 + w2) <= least * ratio)
 

@@ -10,22 +10,48 @@ from ..session import cut
 from .spatial import near_pairs
 
 RECT = ("x", "y", "w", "h")
+#: Pixels across in which boxes side by side are looked at in one place.
+PART = 512
+
+
+def _solid(boxes: DataFrame) -> DataFrame:
+    """``video, frame, pos``, place, ``part``, ``node`` and ``root``: boxes of one height at one place down a frame, put together without pairs.
+
+    From left to right, those that overlap or adjoin (``node``, their smallest position) fill
+    their outline, and so touch what it touches; ``root`` is the smallest position of those
+    beside each other with a gap in which boxes still touch.  ``part`` is where that was looked at.
+    """
+    c = F.col
+    whole = F.coalesce((c("w") >= 0) & (c("h") > 0) & c("x").isNotNull() & c("y").isNotNull(), F.lit(False))
+    part = F.struct("y", "h", F.floor(c("x") / PART).alias("cx"), F.when(~whole, c("pos")).alias("alone"))
+    row = Window.partitionBy("video", "frame", "part").orderBy("x", "pos")
+    before = F.max(c("x") + c("w")).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    starts = lambda near: F.sum(F.when(near, 0).otherwise(1)).over(row)
+    placed = boxes.select("video", "frame", "pos", *RECT, part.alias("part")).withColumn("before", before)
+    placed = placed.withColumn("solid", starts(c("x") <= c("before"))).withColumn("run", starts(c("x") - c("before") <= c("h") * g.GAP))
+    least = lambda k: F.min("pos").over(Window.partitionBy("video", "frame", "part", k))
+    return placed.select("video", "frame", "pos", *RECT, "part", least("solid").alias("node"), least("run").alias("root"))
 
 
 def groups(boxes: DataFrame) -> DataFrame:
     """``video, frame, pos, grp``: boxes that touch on a line, directly or over others.
 
-    Only boxes of one frame can touch.  Each keeps the smallest position that it has heard
-    of; in every round it asks its neighbours, and the one that it points to for what that
-    one points to, until nothing changes anywhere.
+    Only boxes of one frame can touch.  Those of one height side by side are put together first.
+    Each of the outlines keeps the smallest position that it has heard of; in every round it
+    asks its neighbours, and the one that it points to for what that one points to, until
+    nothing changes anywhere.
     """
-    fields = boxes.select("video", "frame", "pos", *RECT)
-    left = fields.select("video", "frame", *[F.col(c).alias(f"a_{c}") for c in ("pos", *RECT)])
-    right = fields.select("video", "frame", *[F.col(c).alias(f"b_{c}") for c in ("pos", *RECT)])
     c = F.col
-    meets = (c("a_pos") != c("b_pos")) & g.same_line(c("a_y"), c("a_h"), c("b_y"), c("b_h")) & g.touching(c("a_x"), c("a_w"), c("a_h"), c("b_x"), c("b_w"), c("b_h"))
+    placed = cut(_solid(boxes))
+    outlines = placed.groupBy("video", "frame", "part", c("node").alias("pos"), "root").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(c("x") + c("w")) - F.min("x")).alias("w"), F.min("h").alias("h"))
+    fields = cut(outlines)
+    left = fields.select("video", "frame", *[c(k).alias(f"a_{k}") for k in ("pos", *RECT, "part")])
+    right = fields.select("video", "frame", *[c(k).alias(f"b_{k}") for k in ("pos", *RECT, "part")])
+    meets = (c("a_pos") > c("b_pos")) & (c("a_part") != c("b_part")) & g.same_line(c("a_y"), c("a_h"), c("b_y"), c("b_h")) & g.touching(c("a_x"), c("a_w"), c("a_h"), c("b_x"), c("b_w"), c("b_h"))
     # Boxes that touch are no farther apart than the lower one is high, and overlap in height.
-    edges = cut(near_pairs(left, right, (c("a_h"), 0.0)).where(meets).select("video", "frame", c("a_pos").alias("pos"), c("b_pos").alias("other")))
+    met = near_pairs(left, right, (c("a_h"), 0.0)).where(meets).select("video", "frame", c("a_pos").alias("pos"), c("b_pos").alias("other"))
+    once = cut(met.unionAll(fields.where("pos <> root").select("video", "frame", "pos", c("root").alias("other"))))
+    edges = once.unionAll(once.select("video", "frame", c("other").alias("pos"), c("pos").alias("other")))
     state = cut(fields.select("video", "frame", "pos", c("pos").alias("grp")))
     while True:
         theirs = state.select("video", "frame", c("pos").alias("other"), c("grp").alias("heard"))
@@ -35,7 +61,9 @@ def groups(boxes: DataFrame) -> DataFrame:
         new = cut(state.join(least, ["video", "frame", "pos"], "left").select("video", "frame", "pos", F.least("grp", F.coalesce("heard", "grp")).alias("grp"), (F.coalesce("heard", "grp") < c("grp")).alias("moved")))
         state = new.drop("moved")
         if not new.where("moved").limit(1).count():
-            return state
+            break
+    heads = state.select("video", "frame", c("pos").alias("node"), "grp")
+    return placed.join(heads, ["video", "frame", "node"]).select("video", "frame", "pos", "grp")
 
 
 def coalesced(boxes: DataFrame, lines: DataFrame | None = None, least_iou: float = 0.6) -> DataFrame:

@@ -107,7 +107,8 @@ def curated_boxes(tree: Leaf | Node, blocks: DataFrame, regions: DataFrame | Non
     found = curated(tree, blocks, regions, scores)
     place = g.to_pixels(F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.lit(width), F.lit(height))
     number = F.row_number().over(Window.partitionBy("video", "frame").orderBy("branch", "l", "k", "instance")) - 1
-    boxes = found.withColumn("p", place).withColumn("pos", number).select("video", "frame", "pos", "p.*", "text", "score", "branch", "instance")
+    # Merging reads the boxes many times.
+    boxes = cut(found.withColumn("p", place).withColumn("pos", number).select("video", "frame", "pos", "p.*", "text", "score", "branch", "instance"))
     lines = blocks.where("type = 'LINE'").withColumn("p", place).select("video", "frame", "l", "p.*", "text")
     return merge.coalesced(boxes, lines)
 
