@@ -101,3 +101,93 @@ def test_error_drops_what_waits_and_an_open_video_keeps_it(spark, tmp_path):
     ]
     got = _labels(spark, batches, tmp_path / "failed", "failed_rows")
     assert got == [("a", 1, 0, "x", "A"), ("a", 2, 0, "y", "B"), ("a", 2, 1, "x", "A"), ("a", 3, 0, "z", "C"), ("b", 1, 0, "p", "A"), ("b", 2, 0, "q", "B")]
+
+
+class _State:
+    """A value or map in memory that counts how often it is asked."""
+
+    def __init__(self, calls):
+        self.calls, self.data = calls, {}
+
+    def _called(self, answer):
+        self.calls[0] += 1
+        return answer
+
+    def get(self):
+        return self._called(self.data.get(()))
+
+    def exists(self):
+        return self._called(() in self.data)
+
+    def update(self, value):
+        self._called(self.data.update({(): value}))
+
+    def getValue(self, key):
+        return self._called(self.data.get(key))
+
+    def containsKey(self, key):
+        return self._called(key in self.data)
+
+    def updateValue(self, key, value):
+        self._called(self.data.update({key: value}))
+
+    def removeKey(self, key):
+        self._called(self.data.pop(key))
+
+    def keys(self):
+        return self._called(iter(list(self.data)))
+
+    def iterator(self):
+        return self._called(iter(list(self.data.items())))
+
+    def clear(self):
+        self._called(self.data.clear())
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.states = [0], []
+
+    def getValueState(self, name, schema):
+        self.states.append(_State(self.calls))
+        return self.states[-1]
+
+    getMapState = lambda self, name, *schemas: self.getValueState(name, schemas)
+
+
+def _labelled(batches):
+    """Rows of one video's batches of ``type, frame, tracks``, what is left as state, and how often state was asked."""
+    handle, processor = _Handle(), stateful._LettersInOrder("video")
+    processor.init(handle)
+    rows = [tuple(r) for batch in batches for r in processor.handleInputRows(("v",), iter([dict(zip(("type", "frame", "tracks"), e, strict=True)) for e in batch]), None)]
+    return rows, handle.states, handle.calls[0]
+
+
+def test_frames_cost_few_calls_to_state():
+    frames = [("v", f, [f"t{(f * k) % 30}" for k in (1, 7)]) for f in range(300) if f % 50 != 49]
+    events = [("frame", f, t) for _, f, t in frames]
+    rows, _, calls = _labelled([events[::2], [("start", 0, None), *events[1::2]], [("done", None, None)]])
+    assert rows == _in_order(frames)
+    # Several for each frame and each track before: 1,511.
+    assert calls < 100
+
+
+def test_few_blocks_and_numbers_at_a_time(monkeypatch):
+    monkeypatch.setattr(stateful, "BLOCK", 4)
+    monkeypatch.setattr(stateful, "BLOCKS_HELD", 2)
+    monkeypatch.setattr(stateful, "READ_AT_ONCE", 5)
+    for seed in range(30):
+        rng = random.Random(seed)
+        frames = [("v", f, [rng.choice(["", None, *(f"t{n}" for n in range(40))]) for _ in range(rng.randrange(4))]) for f in range(-9, 60) if rng.random() < 0.9 or f == -9]
+        events = [("frame", f, t) for _, f, t in frames] + [("frame", f, ["again"]) for f in range(-9, -5)]
+        firsts, again = events[: len(frames)], events[len(frames) :]
+        rng.shuffle(firsts)
+        firsts.insert(rng.randrange(20), ("start", -9, None))
+        batches = [firsts[k : k + 9] for k in range(0, len(firsts), 9)]
+        held = {f for _, f, _ in frames}
+        batches.insert(len(batches), [e for e in again if e[1] in held])
+        rows, states, _ = _labelled([*batches, [("done", None, None)]])
+        assert rows == _in_order(frames)
+        assert [len(s.data) for s in states] == [0, 0, 1, 0]
+        shown, states, _ = _labelled([*batches, [("error", None, None)], [("frame", 70, ["late"])]])
+        assert shown == rows[: len(shown)] and [len(s.data) for s in states] == [0, 0, 1, 0]

@@ -17,10 +17,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import MapState, StatefulProcessor, StatefulProcessorHandle
 
 from ..model import DedupParams
 
+#: Frames that wait are kept in blocks of so many numbers, of which so many are held at a time: each access to state is a call.
+BLOCK = 64
+BLOCKS_HELD = 256
+#: Numbers of tracks that are read at once; of more, only those that are asked for.
+READ_AT_ONCE = 1_000
+
 
 def deduplicated(frames: DataFrame, params: DedupParams = DedupParams(), key: str = "video", hashes: tuple[str, ...] = ("hash",)) -> DataFrame:
     """``video, i`` and the hashes of the frames kept of a stream of such rows (64-bit hashes).
@@ -61,6 +67,75 @@ def with_map_state(spark: SparkSession) -> SparkSession:
     return session
 
 
+class _Numbers:
+    """Numbers of a video's tracks, from 0: few known ones are read at once, and new ones are written together."""
+
+    def __init__(self, state: MapState, used: int) -> None:
+        self.state, self.used, self.before = state, used, used
+        self.known: dict[str, int] | None = None
+        self.new: dict[str, int] = {}
+
+    def of(self, track: str) -> int:
+        if self.known is None:
+            self.known = {t: n for (t,), (n,) in self.state.iterator()} if 0 < self.before <= READ_AT_ONCE else {}
+        if track not in self.known:
+            stored = self.state.getValue((track,)) if self.before > READ_AT_ONCE else None
+            if stored is None:
+                self.new[track] = self.used
+                self.used += 1
+            self.known[track] = stored[0] if stored is not None else self.new[track]
+        return self.known[track]
+
+    def write(self) -> None:
+        for track, n in self.new.items():
+            self.state.updateValue((track,), (n,))
+
+
+class _Waiting:
+    """A video's frames that wait, in blocks of the state: those in use are held, and written once they are many or at the end."""
+
+    def __init__(self, state: MapState) -> None:
+        self.state = state
+        self.blocks: dict[int, dict[int, list[str]]] = {}
+        self.stored: set[int] = set()
+        self.changed: set[int] = set()
+
+    def block(self, n: int) -> dict[int, list[str]]:
+        if n not in self.blocks:
+            if len(self.blocks) >= BLOCKS_HELD:
+                self.write()
+            kept = self.state.getValue((n,))
+            if kept is not None:
+                self.stored.add(n)
+            self.blocks[n] = dict(zip(*kept, strict=True)) if kept is not None else {}
+        return self.blocks[n]
+
+    def put(self, frame: int, tracks: list[str]) -> None:
+        if frame not in self.block(frame // BLOCK):
+            self.blocks[frame // BLOCK][frame] = tracks
+            self.changed.add(frame // BLOCK)
+
+    def take(self, frame: int) -> list[str] | None:
+        tracks = self.block(frame // BLOCK).pop(frame, None)
+        if tracks is not None:
+            self.changed.add(frame // BLOCK)
+        return tracks
+
+    def rest(self) -> Iterator[tuple[int, list[str]]]:
+        """All frames that wait, in order."""
+        for n in sorted(self.blocks.keys() | {n for (n,) in self.state.keys()}):
+            yield from sorted(self.block(n).items())
+
+    def write(self) -> None:
+        for n in self.changed:
+            if self.blocks[n]:
+                self.state.updateValue((n,), (list(self.blocks[n]), list(self.blocks[n].values())))
+            elif n in self.stored:
+                self.state.removeKey((n,))
+        for held in (self.blocks, self.stored, self.changed):
+            held.clear()
+
+
 class _Letters(StatefulProcessor):
     """A number for each track of a video, in order of first appearance: a map entry each, and their count."""
 
@@ -71,25 +146,19 @@ class _Letters(StatefulProcessor):
         self.count = handle.getValueState("count", "n int")
         self.numbers = handle.getMapState("numbers", "track string", "n int")
 
-    def named(self, tracks: list[str], known: dict[str, int], used: int) -> int:
-        """Put the numbers of ``tracks`` into ``known``; how many are used then."""
-        for track in tracks:
-            if track not in known:
-                if self.numbers.containsKey((track,)):
-                    known[track] = self.numbers.getValue((track,))[0]
-                else:
-                    known[track], used = used, used + 1
-                    self.numbers.updateValue((track,), (known[track],))
-        return used
+    def read(self) -> _Numbers:
+        return _Numbers(self.numbers, (self.count.get() or (0,))[0])
+
+    def keep(self, numbers: _Numbers) -> None:
+        if numbers.new:
+            numbers.write()
+            self.count.update((numbers.used,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        before = self.count.get()[0] if self.count.exists() else 0
-        used, known = before, {}
+        numbers = self.read()
         for frame, pos, track in sorted((r["frame"], r["pos"], r["track"]) for r in rows):
-            used = self.named([track], known, used)
-            yield self.row(key[0], frame, pos, track, letters(known[track]))
-        if used > before:
-            self.count.update((used,))
+            yield self.row(key[0], frame, pos, track, letters(numbers.of(track)))
+        self.keep(numbers)
 
     def close(self) -> None:
         pass
@@ -101,45 +170,43 @@ class _LettersInOrder(_Letters):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.place = handle.getValueState("place", "next int, closed boolean")
-        self.waiting = handle.getMapState("waiting", "frame int", "tracks array<string>")
+        self.waiting = handle.getMapState("waiting", "block int", "frames array<int>, tracks array<array<string>>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        due, closed = tuple(self.place.get()) if self.place.exists() else (None, False)
+        place = self.place.get()
+        due, closed = place or (None, False)
         if closed:
             return
-        before = used = self.count.get()[0] if self.count.exists() else 0
-        known, end = {}, None
+        numbers = self.read() if place is not None else _Numbers(self.numbers, 0)
+        waiting, end = _Waiting(self.waiting), None
         for row in rows:
             if row["type"] == "frame":
-                if (due is None or row["frame"] >= due) and not self.waiting.containsKey((row["frame"],)):
-                    self.waiting.updateValue((row["frame"],), (list(row["tracks"] or []),))
+                if due is None or row["frame"] >= due:
+                    waiting.put(row["frame"], list(row["tracks"] or []))
             elif row["type"] == "start":
                 due = row["frame"] if due is None else due
             elif row["type"] in ("done", "error"):
                 end = "error" if "error" in (end, row["type"]) else "done"
-            while due is not None and self.waiting.containsKey((due,)):
-                used = yield from self._frame(key, due, known, used)
+            while due is not None and (tracks := waiting.take(due)) is not None:
+                yield from self._frame(key, due, tracks, numbers)
                 due += 1
         if end == "done":
-            for (frame,) in sorted(tuple(k) for k in self.waiting.keys()):
-                used = yield from self._frame(key, frame, known, used)
+            for frame, tracks in waiting.rest():
+                yield from self._frame(key, frame, tracks, numbers)
         if end is not None:
             # A closed video needs nothing but the fact that it is closed.
             self.waiting.clear()
             self.numbers.clear()
             self.count.clear()
-        elif used > before:
-            self.count.update((used,))
+        else:
+            waiting.write()
+            self.keep(numbers)
         self.place.update((due, end is not None))
 
-    def _frame(self, key: tuple, frame: int, known: dict[str, int], used: int) -> Iterator[Row]:
-        tracks = self.waiting.getValue((frame,))[0]
-        self.waiting.removeKey((frame,))
-        shown = [(pos, track) for pos, track in enumerate(tracks) if track]
-        used = self.named([track for _, track in shown], known, used)
-        for pos, track in shown:
-            yield self.row(key[0], frame, pos, track, letters(known[track]))
-        return used
+    def _frame(self, key: tuple, frame: int, tracks: list[str], numbers: _Numbers) -> Iterator[Row]:
+        for pos, track in enumerate(tracks):
+            if track:
+                yield self.row(key[0], frame, pos, track, letters(numbers.of(track)))
 
 
 def first_labels(boxes: DataFrame, key: str = "video") -> DataFrame:
