@@ -9,6 +9,7 @@ import pytest
 
 from umbraline import queries  # noqa: F401
 from umbraline.registry import ORACLE, QUERIES
+from umbraline.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -69,3 +70,28 @@ def test_cubes_beyond_64_bits_are_written_out(spark, tmp_path):
         size = f"{n} B" if n < 1024 else of(n / 1024, 1) + " KB" if n < 1 << 20 else of(n / 2**20, 1) + " MB"
         count = str(n) if n < 1000 else of(n / 1e3, 1) + "k" if n < 1_000_000 else of(n / 1e6, 2) + "M"
         assert got[i] == (size, count)
+
+
+def _carried(df) -> list[str]:
+    """Array columns that rows still have once they have been taken out of an array."""
+
+    def walk(plan) -> list[str]:
+        output = plan.output() if plan.getClass().getSimpleName() == "Generate" else None
+        own = [output.apply(i) for i in range(output.size())] if output is not None else []
+        return [a.name() for a in own if a.dataType().typeName() == "array"] + [x for i in range(plan.children().size()) for x in walk(plan.children().apply(i))]
+
+    return walk(df._jdf.queryExecution().optimizedPlan())
+
+
+def test_words_do_not_carry_their_line(spark, tmp_path):
+    texts = ["Thering a  Theering", " \nThering \n\n", "", None]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0, "user", "the a the")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = QUERIES["detect_word_difflib"](spark, str(tmp_path))
+    # Each row went to Python, and waited for it, with all words of its line.
+    assert _carried(found) == []
+    assert [_carried(df) for df in (adapters.lines(spark, str(tmp_path)), *queries._turns(spark, str(tmp_path)))] == [[], [], []]
+    want = [(i + 1, n, k, w, k / len(words), n / len(lines)) for i, t in enumerate(texts) for lines in [(t or "").split("\n")] for n, line in enumerate(lines) for words in [[w for w in line.split(" ") if w]] for k, w in enumerate(words)]
+    assert sorted((r["frame"], r["l"], r["k"], r["text"], r["left"], r["top"]) for r in adapters.words(spark, str(tmp_path)).collect()) == want
+    assert sorted((r["frame"], r["l"], r["k"], r["text"]) for r in found.collect()) == [x[:4] for x in want if x[3] != "a"]
+    assert sorted((r["frame"], r["l"], r["text"], r["top"], r["h"]) for r in adapters.lines(spark, str(tmp_path)).collect()) == [(1, 0, texts[0], 0.0, 1.0), (2, 0, " ", 0.0, 0.25), (2, 1, "Thering ", 0.25, 0.25)]

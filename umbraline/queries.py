@@ -673,7 +673,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     Rows are 0.04 high, or less where a turn has more rows than fit, so that no two words share a place.
     """
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video"), (F.col("turn") + 1).cast("int").alias("frame"), F.split(F.lower("text"), r"\s+").alias("ws"))
-    each = turns.select("video", "frame", F.least(F.lit(0.04), 1 / F.ceil(F.size("ws") / 12)).alias("row"), F.posexplode("ws").alias("k", "text")).where("text <> ''")
+    each = adapters.counted(turns, "ws", "n").select("video", "frame", F.least(F.lit(0.04), 1 / F.ceil(F.col("n") / 12)).alias("row"), F.posexplode("ws").alias("k", "text")).where("text <> ''")
     place = [F.lit(0).alias("l"), "k", F.lit("WORD").alias("type"), "text", (50.0 + F.col("k") % 50).alias("confidence"), (F.col("k") % 12 * 0.08).alias("left"), (F.floor(F.col("k") / 12) * F.col("row")).alias("top"), F.lit(0.07).alias("w"), (F.col("row") * 0.9).alias("h")]
     words = each.select("video", "frame", *place)
     box = g.to_pixels(F.col("left"), F.col("top"), F.col("w"), F.col("h"), F.lit(1600), F.lit(900))

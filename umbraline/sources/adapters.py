@@ -48,10 +48,24 @@ def sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SEQ_SQL.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
 
 
+def counted(rows: DataFrame, array: str, name: str) -> DataFrame:
+    """``rows`` with the size of an array that is then taken apart.
+
+    Asked in one step with ``explode``, the size is taken after it, and each of the rows made
+    carries the whole array: into the queue to Python, too, where a long line's words wait by
+    thousands and go to disk.
+    """
+    return rows.withColumn(name, F.size(array))
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, source, lines, n`` of documents."""
+    return counted(table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines")), "lines", "n")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LINE blocks of documents: video, frame, doc_id, l, text, confidence and place."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
-    each = docs.select("doc_id", "source", F.size("lines").alias("n"), F.posexplode("lines").alias("l", "text")).where("text <> ''")
+    each = _split(spark, sf_dir).select("doc_id", "source", "n", F.posexplode("lines").alias("l", "text")).where("text <> ''")
     return each.select(
         F.col("source").alias("video"), (F.col("doc_id") + 1).cast("int").alias("frame"), "doc_id", "l", F.lit(-1).alias("k"), F.lit("LINE").alias("type"), "text",
         (50 + (F.col("doc_id") * 7 + F.col("l") * 3) % 50).cast("double").alias("confidence"),
@@ -61,10 +75,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WORD blocks of documents, with the line and the place in it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
-    each = docs.select("doc_id", "source", F.size("lines").alias("n"), F.posexplode("lines").alias("l", "line"))
+    each = _split(spark, sf_dir).select("doc_id", "source", "n", F.posexplode("lines").alias("l", "line"))
     each = each.select("doc_id", "source", "n", "l", F.filter(F.split("line", " "), lambda x: x != "").alias("words"))
-    each = each.select("doc_id", "source", "n", "l", F.size("words").alias("m"), F.posexplode("words").alias("k", "text"))
+    each = counted(each, "words", "m").select("doc_id", "source", "n", "l", "m", F.posexplode("words").alias("k", "text"))
     return each.select(
         F.col("source").alias("video"), (F.col("doc_id") + 1).cast("int").alias("frame"), "doc_id", "l", "k", F.lit("WORD").alias("type"), "text",
         (50 + (F.col("doc_id") * 7 + F.col("l") * 3 + F.col("k")) % 50).cast("double").alias("confidence"),
