@@ -238,11 +238,12 @@ def propagated(hits: DataFrame, blocks: DataFrame, query: str, direction: int =
     told = _leaving(found, direction, frames)
     heard = told.limit(0)
     while True:
-        changed = cut(told.exceptAll(heard).unionByName(heard.exceptAll(told)).select(*keys).distinct())
-        if not changed.limit(1).count():
+        changed = told.exceptAll(heard).unionByName(heard.exceptAll(told)).select(*keys).distinct()
+        again = cut(held.unionByName(rows(told, ARRIVAL, c("frame"), pos=c("pos"), norm=c("norm"), label=c("label"), round=c("round"), **placed)).join(changed, keys, "left_semi"))
+        # A segment without rows has no parts either, so nothing was found in it.
+        if not again.limit(1).count():
             break
-        anew = step(cut(held.unionByName(rows(told, ARRIVAL, c("frame"), pos=c("pos"), norm=c("norm"), label=c("label"), round=c("round"), **placed)).join(changed, keys, "left_semi")))
-        found = cut(found.join(changed, keys, "left_anti").select(*found.columns).unionByName(anew))
+        found = cut(found.join(again.select(*keys).distinct(), keys, "left_anti").select(*found.columns).unionByName(step(again)))
         heard, told = told, _leaving(found, direction, frames)
     origin = F.lit("backtrack" if direction < 0 else "forward").alias("origin")
     return found.select("video", "frame", "from_pos", *NAMES, "label", origin, "round")
